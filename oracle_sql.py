@@ -82,14 +82,14 @@ def label_expr(period: str, b: str) -> str:
     return f"CAST(make_date(CAST(year({b}) AS BIGINT), 12, 31) AS TIMESTAMP)"
 
 
-def shift_ctes(src: str, ts: str = "dt", order: str = "dt, o1, o2") -> str:
-    """``sh(series, shift)``: hours+minutes of the first-two-rows delta."""
+def shift_ctes(src: str, ts: str = "dt", order: str = "dt, o1, o2", p: str = "") -> str:
+    """``{p}sh(series, shift)``: hours+minutes of the first-two-rows delta."""
     return f"""
-    rn_ AS (SELECT series, {ts} AS x, row_number() OVER (PARTITION BY series ORDER BY {order}) AS rn FROM {src}),
-    iv_ AS (SELECT series, date_diff('second', min(x) FILTER (WHERE rn = 1), min(x) FILTER (WHERE rn = 2)) AS delta
-            FROM rn_ WHERE rn <= 2 GROUP BY series),
-    sh AS (SELECT series, COALESCE(((delta % 86400 + 86400) % 86400) // 3600 * 3600
-                                   + (((delta % 86400 + 86400) % 86400) // 60) % 60 * 60, 0) AS shift FROM iv_)"""
+    {p}rn_ AS (SELECT series, {ts} AS x, row_number() OVER (PARTITION BY series ORDER BY {order}) AS rn FROM {src}),
+    {p}iv_ AS (SELECT series, date_diff('second', min(x) FILTER (WHERE rn = 1), min(x) FILTER (WHERE rn = 2)) AS delta
+            FROM {p}rn_ WHERE rn <= 2 GROUP BY series),
+    {p}sh AS (SELECT series, COALESCE(((delta % 86400 + 86400) % 86400) // 3600 * 3600
+                                   + (((delta % 86400 + 86400) % 86400) // 60) % 60 * 60, 0) AS shift FROM {p}iv_)"""
 
 
 def energy_expr(how: str, null_sum: str) -> str:
@@ -124,25 +124,26 @@ def end_expr(period: str, label: str, end_stamped: bool = True) -> str:
 
 
 def load_ctes(readings: str, period: str = "H", how: str = "sum", null_sum: str = "skip",
-              zero_ok: bool = True, fill: str | None = None, name: str = "load") -> str:
-    """CTE list ending in ``{name}(series, DateTimeStart, DateTime, Energy)``."""
+              zero_ok: bool = True, fill: str | None = None, name: str = "load", p: str = "") -> str:
+    """CTE list ending in ``{name}(series, DateTimeStart, DateTime, Energy)``;
+    internal CTE names carry the prefix ``p``."""
     e = "energy" if zero_ok else "CASE WHEN energy = 0 THEN NULL ELSE energy END"
     fill_cte = ""
-    src = "x"
+    src = f"{p}x"
     if fill:
-        fill_cte = "," + fill_ctes("x", fill)
-        src = "xf"
+        fill_cte = "," + fill_ctes(f"{p}x", fill, p=p)
+        src = f"{p}xf"
     return f"""
-    r AS ({readings}),
-    {shift_ctes('r')},
-    x AS (SELECT r.series, r.dt - to_seconds(CAST(sh.shift AS BIGINT)) AS t, {e} AS energy, sh.shift, r.o1, r.o2
-          FROM r JOIN sh ON r.series = sh.series){fill_cte},
-    {binned_ctes(src, period, how, null_sum)},
+    {p}r AS ({readings}),
+    {shift_ctes(f'{p}r', p=p)},
+    {p}x AS (SELECT r.series, r.dt - to_seconds(CAST(sh.shift AS BIGINT)) AS t, {e} AS energy, sh.shift, r.o1, r.o2
+          FROM {p}r r JOIN {p}sh sh ON r.series = sh.series){fill_cte},
+    {binned_ctes(src, period, how, null_sum, prefix=p)},
     {name} AS (SELECT series, {label_expr(period, 'bin')} AS DateTimeStart,
-                      {end_expr(period, label_expr(period, 'bin'))} AS DateTime, Energy FROM f)"""
+                      {end_expr(period, label_expr(period, 'bin'))} AS DateTime, Energy FROM {p}f)"""
 
 
-def fill_ctes(src: str, mode: str) -> str:
+def fill_ctes(src: str, mode: str, p: str = "") -> str:
     """``xf``: ``energy`` filled by row position per series (interpolate /
     ffill / bfill / interpolate+ffill+bfill)."""
     w1 = "(PARTITION BY series ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -152,12 +153,12 @@ def fill_ctes(src: str, mode: str) -> str:
     out = {"interpolate": lin, "ffill": "COALESCE(energy, pv)", "bfill": "COALESCE(energy, nv)",
            "all": f"COALESCE({lin}, nv)", "interp_ffill": lin}[mode]
     return f"""
-    xp_ AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t, o1, o2) AS pos FROM {src}),
-    xn_ AS (SELECT *, last_value(energy IGNORE NULLS) OVER {w1} AS pv,
+    {p}xp_ AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t, o1, o2) AS pos FROM {src}),
+    {p}xn_ AS (SELECT *, last_value(energy IGNORE NULLS) OVER {w1} AS pv,
                  last_value(CASE WHEN energy IS NOT NULL THEN pos END IGNORE NULLS) OVER {w1} AS pp,
                  first_value(energy IGNORE NULLS) OVER {w2} AS nv,
-                 first_value(CASE WHEN energy IS NOT NULL THEN pos END IGNORE NULLS) OVER {w2} AS np FROM xp_),
-    xf AS (SELECT series, t, {out} AS energy, shift, o1, o2 FROM xn_)"""
+                 first_value(CASE WHEN energy IS NOT NULL THEN pos END IGNORE NULLS) OVER {w2} AS np FROM {p}xp_),
+    {p}xf AS (SELECT series, t, {out} AS energy, shift, o1, o2 FROM {p}xn_)"""
 
 
 def events_load(period: str = "H", **kw) -> str:

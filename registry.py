@@ -1,18 +1,23 @@
 """Registered queries (Spark) and their DuckDB twins, keyed by name.
 
 Each Spark query reads the provided tables under ``sf_dir`` and runs one
-operator of the library over the whole tables; its twin is plain SQL.
+operator of the library over the whole tables; its twin is plain SQL over the
+same tables (see ``oracle_sql.py``).
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle_sql as O
 from loadgrid.config import DEFAULT
-from loadgrid.operators import stats as ST
+from loadgrid.functions.calendar import holidays_frame
+from loadgrid.operators import clean, combine, compare, distribution, fill, resample, select, stats, typical_day
 from loadgrid.plans import table_queries as TQ
+from loadgrid.plans.load import filtered
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -27,23 +32,162 @@ def register(name: str, sql: str | None):
     return deco
 
 
-LOAD_DOUBLES = ["Energy"]
-LOAD_OTHERS = ["series", "DateTimeStart", "DateTime"]
+# Fixed example inputs of the calendar and selection queries (user parameters
+# of the original commands, not data subsets): the two January public
+# holidays of the default calendar, a date range, picked days.
+HOLIDAYS = ("2024-01-01", "2024-01-06")
+EVENT_RANGE = ("2024-01-05", "2024-01-20")
+ORDER_RANGE = ("1996-03-01", "1996-03-31")
+PICKED_DAYS = ("2024-01-03", "2024-01-17", "2024-01-28")
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+POWER = DEFAULT.with_(input_type="power")
+NO_ZERO = DEFAULT.with_(zero_values_are_ok=False)
+NO_ZERO_PROP = NO_ZERO.with_(null_sum="propagate")
+FILLED = NO_ZERO.with_(fill_zero_energy_to_previous=True)
+SHEET = NO_ZERO.with_(fill_zero_energy_to_previous=True, back_fill=True, null_sum="propagate")
+
+LOAD_D, LOAD_O = ["Energy"], ["series", "DateTimeStart", "DateTime"]
+
+
+def _sel(ctes: str, table: str, doubles, others) -> str:
+    return f"WITH {ctes}\nSELECT {O.qcols(doubles, others)} FROM {table}"
+
+
+def _load_sql(ctes: str, table: str = "load") -> str:
+    return _sel(ctes, table, LOAD_D, LOAD_O)
+
+
+def _view(ctes: str, where: str = "", name: str = "v", src: str = "load") -> str:
+    return f"{ctes},\n    {name} AS (SELECT * FROM {src} WHERE Energy IS NOT NULL {where})"
 
 
-def _load_sql(load_ctes: str) -> str:
-    return f"WITH {load_ctes}\nSELECT {O.qcols(LOAD_DOUBLES, LOAD_OTHERS)} FROM load"
+def _range_sql(start: str, end: str, col: str = "DateTime") -> str:
+    s = dt.date.fromisoformat(start)
+    e = dt.date.fromisoformat(end) + dt.timedelta(days=1)
+    return f" AND {col} >= TIMESTAMP '{s} 01:00:00' AND {col} <= TIMESTAMP '{e} 00:00:00'"
 
 
-def _stats_sql(load_ctes: str, period: str, where: str = "") -> str:
+def _hol_list() -> str:
+    return ", ".join(f"DATE '{h}'" for h in HOLIDAYS)
+
+
+def _bday_sql(col: str = "DateTimeStart") -> str:
+    return f"(isodow({col}) <= 5 AND CAST({col} AS DATE) NOT IN ({_hol_list()}))"
+
+
+def _bhour_sql(col: str = "DateTimeStart") -> str:
+    return (f"(isodow({col}) <= 5 AND hour({col}) * 3600 + minute({col}) * 60 + second({col}) "
+            f"BETWEEN 28800 AND 54000)")
+
+
+def _stats_sql(ctes: str, period: str, where: str = "") -> str:
     d, o = O.stats_cols(period)
-    return f"""WITH {load_ctes},
-    v AS (SELECT * FROM load WHERE Energy IS NOT NULL {where}),
+    return f"""WITH {_view(ctes, where)},
     {O.stats_ctes('v', period)}
     SELECT {O.qcols(d, o)} FROM st"""
 
 
-# -- resampling -------------------------------------------------------------
+def _holidays(spark):
+    return holidays_frame(spark, HOLIDAYS)
+
+
+# ===========================================================================
+# Cleaning (CLN1-7)
+# ===========================================================================
+
+@register("interval_infer", f"""WITH r AS ({O.events_readings()}), {O.shift_ctes('r')}
+    SELECT series, delta AS delta_seconds,
+           CAST(COALESCE(((delta % 86400 + 86400) % 86400) // 3600, 0) AS INTEGER) AS interval_hours,
+           CAST(COALESCE((((delta % 86400 + 86400) % 86400) // 60) % 60, 0) AS INTEGER) AS interval_minutes,
+           CAST(shift AS BIGINT) AS shift_seconds
+    FROM iv_ JOIN sh USING (series)""")
+def interval_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN1: sampling interval per series from its first two readings."""
+    return clean.interval_table(TQ.events_readings(spark, sf_dir), ts="DateTime", order=["event_id"])
+
+
+@register("shift_to_interval_start", f"""WITH r AS ({O.events_readings()}), {O.shift_ctes('r')}
+    SELECT r.series, r.o1 AS event_id, r.dt AS DateTime, r.dt - to_seconds(CAST(sh.shift AS BIGINT)) AS DateTimeStart,
+           {O.q('r.energy')} AS Energy
+    FROM r JOIN sh USING (series)""")
+def shift_to_interval_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN2: end-stamped readings moved to the start of their interval."""
+    r = TQ.events_readings(spark, sf_dir)
+    iv = clean.interval_table(r, ts="DateTime", order=["event_id"])
+    s = clean.shift_to_start(clean.with_shift(r, iv), ts="DateTime", out="DateTimeStart")
+    return TQ.quantized(s.select("series", "event_id", "DateTime", "DateTimeStart", "Energy"))
+
+
+_LI_OTHERS = ["series", "DateTime", "l_orderkey", "l_linenumber"]
+
+
+def _li_readings_sql(energy: str = "CASE WHEN energy = 0 THEN NULL ELSE energy END") -> str:
+    return f"""r0 AS ({O.lineitem_readings('l_discount')}),
+    r AS (SELECT series, dt AS t, dt, {energy} AS energy, 0 AS shift, o1, o2 FROM r0)"""
+
+
+@register("zero_to_null", f"""WITH {_li_readings_sql()}
+    SELECT series, dt AS DateTime, o1 AS l_orderkey, o2 AS l_linenumber, {O.q('energy')} AS Energy FROM r""")
+def zero_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN3: zero readings (``l_discount`` = 0) become missing."""
+    r = clean.zero_to_null(TQ.lineitem_readings(spark, sf_dir, "l_discount"))
+    return TQ.quantized(r.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy"))
+
+
+def _fill_sql(mode: str) -> str:
+    return f"""WITH {_li_readings_sql()}, {O.fill_ctes('r', mode)}
+    SELECT series, t AS DateTime, o1 AS l_orderkey, o2 AS l_linenumber, {O.q('energy')} AS Energy FROM xf"""
+
+
+def _fill_query(spark, sf_dir, **kw) -> DataFrame:
+    r = clean.zero_to_null(TQ.lineitem_readings(spark, sf_dir, "l_discount"))
+    f = fill.fill_gaps(r, ts="DateTime", value="Energy", order=["l_orderkey", "l_linenumber"], **kw)
+    return TQ.quantized(f.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy"))
+
+
+@register("interpolate_linear", _fill_sql("interpolate"))
+def interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN4: linear interpolation by row position (blocked windows)."""
+    return _fill_query(spark, sf_dir, interpolate=True)
+
+
+@register("forward_fill", _fill_sql("ffill"))
+def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN5: forward fill."""
+    return _fill_query(spark, sf_dir, ffill=True)
+
+
+@register("back_fill", _fill_sql("bfill"))
+def back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN6: back fill."""
+    return _fill_query(spark, sf_dir, bfill=True)
+
+
+@register("drop_missing_zero", _sel(_view(O.lineitem_load("D", "l_discount", zero_ok=True), "AND Energy <> 0"),
+                                    "v", LOAD_D, LOAD_O))
+def drop_missing_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN7: filtered view without missing and zero rows."""
+    load = TQ.lineitem_load(spark, sf_dir, "D", DEFAULT, value="l_discount")
+    return TQ.quantized(filtered(load, DEFAULT.with_(drop_zero_energy=True)))
+
+
+@register("load_with_fill", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False, fill="interp_ffill")))
+def load_with_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CLN3+CLN4+CLN5 inside the load: zeros missing, interpolated, daily sums."""
+    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", FILLED, value="l_discount"))
+
+
+@register("load_sheet_policy", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False, fill="all",
+                                                         null_sum="propagate")))
+def load_sheet_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5 + CLN6: the spreadsheet ingest policy (back fill, null-propagating sums)."""
+    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", SHEET, value="l_discount"))
+
+
+# ===========================================================================
+# Resampling (RSM1-6)
+# ===========================================================================
 
 @register("resample_hour_sum", _load_sql(O.events_load("H")))
 def resample_hour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +195,363 @@ def resample_hour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TQ.quantized(TQ.events_load(spark, sf_dir, "H"))
 
 
-# -- statistics -------------------------------------------------------------
+@register("resample_hour_mean", _load_sql(O.events_load("H", how="mean")))
+def resample_hour_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM1 for power input: hourly means, empty hours missing."""
+    return TQ.quantized(TQ.events_load(spark, sf_dir, "H", POWER))
+
+
+@register("resample_15min", _load_sql(O.events_load("15min")))
+def resample_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM1 on a minute grid: ``DateTime`` = label + the sampling interval."""
+    return TQ.quantized(TQ.events_load(spark, sf_dir, "15min"))
+
+
+@register("resample_day_gapfill", _load_sql(O.orders_load("D")))
+def resample_day_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM3: daily order sums, days without orders are 0."""
+    return TQ.quantized(TQ.orders_load(spark, sf_dir, "D"))
+
+
+@register("resample_week_label", _load_sql(O.orders_load("W")))
+def resample_week_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM4: weekly bins labelled by their Sunday."""
+    return TQ.quantized(TQ.orders_load(spark, sf_dir, "W"))
+
+
+@register("resample_month_label", _load_sql(O.orders_load("M")))
+def resample_month_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM4: monthly bins labelled by the month's last day."""
+    return TQ.quantized(TQ.orders_load(spark, sf_dir, "M"))
+
+
+@register("resample_quarter_label", _load_sql(O.orders_load("Q")))
+def resample_quarter_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM4: quarterly bins labelled by the quarter's last day."""
+    return TQ.quantized(TQ.orders_load(spark, sf_dir, "Q"))
+
+
+@register("resample_year_label", _load_sql(O.orders_load("Y")))
+def resample_year_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM4: yearly bins labelled Dec 31."""
+    return TQ.quantized(TQ.orders_load(spark, sf_dir, "Y"))
+
+
+@register("resample_null_propagating", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False,
+                                                                 null_sum="propagate")))
+def resample_null_propagating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM1 / Q2: a day with a missing reading sums to missing."""
+    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", NO_ZERO_PROP, value="l_discount"))
+
+
+@register("resample_null_skip", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False)))
+def resample_null_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM1 / Q2: missing readings are skipped in the day sum."""
+    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", NO_ZERO, value="l_discount"))
+
+
+def _resample_loaded_sql(period: str) -> str:
+    lab = O.label_expr(period, "bin")
+    return f"""WITH {O.events_load('H')},
+    {O.shift_ctes('load', ts='DateTime', order='DateTime', p='z')},
+    y AS (SELECT l.series, l.DateTime - to_seconds(CAST(sh.shift AS BIGINT)) AS t, l.Energy AS energy, sh.shift
+          FROM load l JOIN zsh sh ON l.series = sh.series),
+    {O.binned_ctes('y', period, 'sum', 'propagate', prefix='z')}
+    SELECT series, {lab} AS DateTimeStart, {O.end_expr(period, lab)} AS DateTime, {O.q('Energy')} AS Energy FROM zf"""
+
+
+@register("resample_loaded_day", _resample_loaded_sql("D"))
+def resample_loaded_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM2: hourly loads re-sampled to days (null-propagating sums)."""
+    return TQ.quantized(resample.resample_loaded(TQ.events_load(spark, sf_dir, "H"), "D"))
+
+
+@register("resample_loaded_week", _resample_loaded_sql("W"))
+def resample_loaded_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM2: hourly loads re-sampled to weeks."""
+    return TQ.quantized(resample.resample_loaded(TQ.events_load(spark, sf_dir, "H"), "W"))
+
+
+@register("to_hourly", f"""WITH {_view(O.events_load('15min'))},
+    hb AS (SELECT series, date_trunc('hour', DateTimeStart) AS bin, COALESCE(sum(Energy), 0.0) AS s,
+                  max_by(DateTime, DateTimeStart) AS last_dt FROM v GROUP BY ALL),
+    hg AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS bin
+           FROM (SELECT series, min(bin) AS lo, max(bin) AS hi FROM hb GROUP BY series))
+    SELECT hg.series, hg.bin AS DateTimeStart, hb.last_dt AS DateTime, {O.q('COALESCE(hb.s, 0.0)')} AS Energy
+    FROM hg LEFT JOIN hb ON hg.series = hb.series AND hg.bin = hb.bin""")
+def to_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM5: 15-minute view -> hourly rows (sum, last stamp)."""
+    view = filtered(TQ.events_load(spark, sf_dir, "15min"))
+    return TQ.quantized(resample.to_hourly(view, "15min", "energy"))
+
+
+@register("series_extent", f"""WITH {O.events_load('H')}
+    SELECT series, CAST(min(DateTimeStart) + INTERVAL 1 HOUR AS DATE) AS min_day,
+           CAST(max(DateTimeStart) AS DATE) AS max_day FROM load GROUP BY series""")
+def series_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM6: first and last day of every series."""
+    return resample.series_extent(TQ.events_load(spark, sf_dir, "H"))
+
+
+@register("extent_of_loads", f"""WITH {O.events_load('H')}
+    SELECT min(min_day) AS min_day, max(max_day) AS max_day FROM (
+      SELECT series, CAST(min(DateTimeStart) + INTERVAL 1 HOUR AS DATE) AS min_day,
+             CAST(max(DateTimeStart) AS DATE) AS max_day FROM load
+      WHERE series IN ('click', 'view') GROUP BY series)""")
+def extent_of_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM6: common extent of several series."""
+    return resample.extent_of(TQ.events_load(spark, sf_dir, "H"), ["click", "view"])
+
+
+# ===========================================================================
+# Filters and selection (FLT1-10, SRT4)
+# ===========================================================================
+
+@register("filter_range_hourly", _sel(_view(O.events_load("H"), _range_sql(*EVENT_RANGE)), "v", LOAD_D, LOAD_O))
+def filter_range_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT1 on hourly data: ``DateTime`` in [start 01:00, end+1 00:00]."""
+    return TQ.quantized(select.filter_range(TQ.events_view(spark, sf_dir), *EVENT_RANGE))
+
+
+@register("filter_range_daily", _sel(_view(O.orders_load("D"), _range_sql(*ORDER_RANGE)), "v", LOAD_D, LOAD_O))
+def filter_range_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT1 on daily data (Q5: first day dropped, day after the end kept)."""
+    return TQ.quantized(select.filter_range(filtered(TQ.orders_load(spark, sf_dir, "D")), *ORDER_RANGE))
+
+
+def _cal_query(spark, sf_dir, bdays=0, bhours=0):
+    v = select.select_rows(TQ.events_view(spark, sf_dir), None, bdays, bhours, holidays=_holidays(spark))
+    return TQ.quantized(v)
+
+
+@register("business_days", _sel(_view(O.events_load("H"), f"AND {_bday_sql()}"), "v", LOAD_D, LOAD_O))
+def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT2/FLT6: Mon-Fri minus holidays."""
+    return _cal_query(spark, sf_dir, bdays=1)
+
+
+@register("non_business_days", _sel(_view(O.events_load("H"), f"AND NOT {_bday_sql()}"), "v", LOAD_D, LOAD_O))
+def non_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT3: weekends and holidays."""
+    return _cal_query(spark, sf_dir, bdays=2)
+
+
+@register("business_hours", _sel(_view(O.events_load("H"), f"AND {_bhour_sql()}"), "v", LOAD_D, LOAD_O))
+def business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT4: Mon-Fri 08:00-15:00 inclusive (holidays not consulted, Q6)."""
+    return _cal_query(spark, sf_dir, bhours=1)
+
+
+@register("non_business_hours", _sel(_view(O.events_load("H"), f"AND NOT {_bhour_sql()}"), "v", LOAD_D, LOAD_O))
+def non_business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT5: every other hour."""
+    return _cal_query(spark, sf_dir, bhours=2)
+
+
+_PICKED_SQL = ", ".join(f"DATE '{d}'" for d in PICKED_DAYS)
+
+
+@register("select_days", _sel(O.events_load("H") + f""",
+    s AS (SELECT * FROM load WHERE CAST(DateTimeStart AS DATE) IN ({_PICKED_SQL}))""", "s", LOAD_D, LOAD_O))
+def select_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT7/FLT9: picked days of an hourly table -> all their hours."""
+    return TQ.quantized(select.select_keys(TQ.events_load(spark, sf_dir, "H"), "DateTimeStart", PICKED_DAYS,
+                                           by_day=True))
+
+
+@register("distinct_days", f"""WITH {O.events_load('H')}
+    SELECT DISTINCT CAST(DateTimeStart AS DATE) AS DateTimeStart FROM load""")
+def distinct_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT10: distinct days of an hourly table."""
+    return select.distinct_keys(TQ.events_load(spark, sf_dir, "H"), "DateTimeStart", by_day=True)
+
+
+@register("head_rows", _sel(O.events_load("H") + """,
+    h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY DateTimeStart) AS rn FROM load)
+          WHERE rn <= 5)""", "h", LOAD_D, LOAD_O))
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT4: the first five rows of every series (top-k per group)."""
+    return TQ.quantized(select.head(TQ.events_load(spark, sf_dir, "H"), 5))
+
+
+# ===========================================================================
+# Period statistics (AGG1-8, JN9)
+# ===========================================================================
+
+def _stats_q(load_fn, load_period, period, cfg=DEFAULT, **sel):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        view = filtered(load_fn(spark, sf_dir, load_period, cfg), cfg)
+        if sel:
+            view = select.select_rows(view, sel.get("interval"), sel.get("bdays", 0), sel.get("bhours", 0),
+                                      holidays=_holidays(spark), cfg=cfg)
+        return TQ.quantized(stats.energy_stats(view, period, load_period, cfg))
+    return run
+
+
+for _p in ("H", "D", "W", "M"):
+    _name = {"H": "stats_hour", "D": "stats_day", "W": "stats_week", "M": "stats_month"}[_p]
+    _fn = _stats_q(TQ.events_load, "H", _p)
+    _fn.__doc__ = f"AGG1-8: period-{_p} statistics of the hourly event loads."
+    register(_name, _stats_sql(O.events_load("H"), _p))(_fn)
+
+for _p in ("W", "M", "Q", "Y"):
+    _fn = _stats_q(TQ.orders_load, "D", _p)
+    _fn.__doc__ = f"AGG1-8: period-{_p} statistics of the daily order loads."
+    register(f"stats_orders_{_p.lower()}", _stats_sql(O.orders_load("D"), _p))(_fn)
+
+_fn = _stats_q(TQ.lineitem_load, "D", "M")
+_fn.__doc__ = "AGG1-8: monthly statistics of the daily lineitem quantity loads."
+register("stats_lineitem_month", _stats_sql(O.lineitem_load("D"), "M"))(_fn)
+
+_fn = _stats_q(TQ.events_load, "H", "D", interval=EVENT_RANGE, bdays=1, bhours=1)
+_fn.__doc__ = "FLT1-4 + AGG1: daily statistics in a range, business days and hours only."
+register("stats_day_business", _stats_sql(O.events_load("H"), "D",
+                                          _range_sql(*EVENT_RANGE) + f" AND {_bday_sql()} AND {_bhour_sql()}"))(_fn)
+
+_fn = _stats_q(TQ.events_load, "15min", "H")
+_fn.__doc__ = "AGG1 on a 15-minute load: hourly statistics over quarter-hour rows."
+register("stats_hour_15min", _stats_sql(O.events_load("15min"), "H"))(_fn)
+
+
+# ===========================================================================
+# Typical day (TYP1-6)
+# ===========================================================================
+
+_TD_KEYS = {"no_period": [], "W": ["year", "month", "week"], "M": ["year", "month"], "Q": ["year", "quarter"]}
+_TD_SQLK = {"year": "year", "month": "month", "week": "week", "quarter": "quarter", "hour": "hour"}
+TD_D = ["Energy__mean", "Energy__min", "Energy__max"]
+TD_O = ["Energy__idxmin", "Energy__idxmax"]
+
+
+def _td_ctes(ctes: str, period: str, name: str = "td") -> str:
+    keys = _TD_KEYS[period] + ["hour"]
+    ksql = ", ".join(f"CAST({_TD_SQLK[k]}(DateTimeStart) AS INTEGER) AS {k}" for k in keys)
+    return f"""{_view(ctes)},
+    c0 AS (SELECT *, count(Energy) OVER (PARTITION BY series, date_trunc('day', DateTimeStart)) AS ne,
+                     count(DateTime) OVER (PARTITION BY series, date_trunc('day', DateTimeStart)) AS nt FROM v),
+    c1 AS (SELECT * FROM c0 WHERE ne = 24 AND nt = 24),
+    {name} AS (SELECT series, {ksql}, avg(Energy) AS Energy__mean, min(Energy) AS Energy__min,
+                  first(DateTimeStart ORDER BY Energy ASC, DateTimeStart ASC) AS Energy__idxmin,
+                  max(Energy) AS Energy__max,
+                  first(DateTimeStart ORDER BY Energy DESC, DateTimeStart ASC) AS Energy__idxmax
+           FROM c1 GROUP BY ALL)"""
+
+
+def _td_q(period):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return TQ.quantized(typical_day.typical_day(TQ.events_view(spark, sf_dir), period))
+    run.__doc__ = f"TYP1-5: typical day per {period} over complete days."
+    return run
+
+
+for _p, _n in (("no_period", "typical_day_all"), ("W", "typical_day_week"), ("M", "typical_day_month"),
+               ("Q", "typical_day_quarter")):
+    register(_n, f"WITH {_td_ctes(O.events_load('H'), _p)}\nSELECT "
+                 f"{O.qcols(TD_D, ['series', *_TD_KEYS[_p], 'hour', *TD_O])} FROM td")(_td_q(_p))
+
+
+# ===========================================================================
+# Distribution over loads (DST1-5, JN7-8)
+# ===========================================================================
+
+def _dist_ctes(ctes: str, loads: list[str], period: str, same_count: bool, total_first: bool,
+               name: str = "dist") -> tuple[str, list[str], list[str]]:
+    lst = ", ".join(f"'{x}'" for x in loads)
+    src = "dv"
+    out = f"""{_view(ctes)},
+    dv AS (SELECT series, DateTimeStart, Energy FROM v WHERE series IN ({lst}))"""
+    if same_count:
+        out += f""",
+    dc AS (SELECT *, count(*) OVER (PARTITION BY DateTimeStart) AS n FROM dv),
+    ds AS (SELECT * FROM dc WHERE n = {len(loads)})"""
+        src = "ds"
+    aggs, having = [], []
+    for x in loads:
+        f = f"FILTER (WHERE series = '{x}')"
+        aggs += [f'COALESCE(sum(Energy) {f}, 0.0) AS "{x}__sum"', f'avg(Energy) {f} AS "{x}__mean"',
+                 f'count(Energy) {f} AS "{x}__count"']
+        having.append(f"count(*) {f} > 0")
+    out += f""",
+    d0 AS (SELECT date_trunc('{O.TRUNC[period]}', DateTimeStart) AS period_start, {', '.join(aggs)}
+           FROM {src} GROUP BY 1 HAVING {' AND '.join(having)})"""
+    doubles, others = [], ["period_start"]
+    sel = ["period_start"]
+    for x in loads:
+        sel += [f'"{x}__sum"', f'"{x}__mean"', f'"{x}__count"']
+        doubles += [f"{x}__sum", f"{x}__mean"]
+        others.append(f"{x}__count")
+    if total_first:
+        first = f'"{loads[0]}__sum"'
+        for x in loads:
+            sel.append(f'(CASE WHEN {first} = 0 THEN NULL ELSE "{x}__sum" / {first} END) * 100.0 AS "{x}__percentage"')
+            doubles.append(f"{x}__percentage")
+        sums = "0.0"
+        means = "0.0"
+        for x in loads:
+            sums = f'({sums} + "{x}__sum")'
+            means = f'({means} + "{x}__mean")'
+        osum = f"(2.0 * {first} - {sums})"
+        sel += [f'{osum} AS "other_loads__sum"', f'(2.0 * "{loads[0]}__mean" - {means}) AS "other_loads__mean"',
+                f'(CASE WHEN {first} = 0 THEN NULL ELSE {osum} / {first} END) * 100.0 AS "other_loads__percentage"']
+        doubles += ["other_loads__sum", "other_loads__mean", "other_loads__percentage"]
+    out += f""",
+    {name} AS (SELECT {', '.join(sel)} FROM d0)"""
+    return out, doubles, others
+
+
+def _dist_sql(loads, period, same_count, total_first):
+    ctes, d, o = _dist_ctes(O.events_load("H"), loads, period, same_count, total_first)
+    return f"WITH {ctes}\nSELECT {O.qcols(d, o)} FROM dist"
+
+
+def _dist_df(spark, sf_dir, loads, period, same_count, total_first):
+    return distribution.energy_distribution(TQ.events_view(spark, sf_dir), loads, period, "H",
+                                            same_count=same_count, total_first=total_first)
+
+
+@register("distribution_same_support", _dist_sql(EVENT_TYPES, "D", True, False))
+def distribution_same_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DST1/JN7: daily sums, means, counts of five loads on their common hours."""
+    return TQ.quantized(_dist_df(spark, sf_dir, EVENT_TYPES, "D", True, False))
+
+
+@register("distribution_independent", _dist_sql(EVENT_TYPES, "D", False, False))
+def distribution_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DST2/JN8: each load on its own hours, days present in all loads."""
+    return TQ.quantized(_dist_df(spark, sf_dir, EVENT_TYPES, "D", False, False))
+
+
+@register("distribution_share_residual", _dist_sql(["total", *EVENT_TYPES], "D", True, True))
+def distribution_share_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DST3/DST4: shares of the total and the residual ``other_loads``."""
+    return TQ.quantized(_dist_df(spark, sf_dir, ["total", *EVENT_TYPES], "D", True, True))
+
+
+@register("distribution_weekly", _dist_sql(["total", "click", "view"], "W", True, True))
+def distribution_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DST1/DST3 per week."""
+    return TQ.quantized(_dist_df(spark, sf_dir, ["total", "click", "view"], "W", True, True))
+
+
+# ===========================================================================
+# Combining (SET1-3)
+# ===========================================================================
+
+@register("group_loads", _load_sql(O.events_load("H") + f""",
+    gl AS (SELECT 'grouped' AS series, DateTimeStart, DateTimeStart + INTERVAL 1 HOUR AS DateTime,
+                 COALESCE(sum(COALESCE(Energy, 0.0)), 0.0) AS Energy
+          FROM load WHERE series IN ({', '.join(repr(x) for x in EVENT_TYPES)})
+          GROUP BY DateTimeStart HAVING count(*) = {len(EVENT_TYPES)})""", "gl"))
+def group_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET2: five loads summed into one at their common stamps."""
+    return TQ.quantized(combine.group_loads(TQ.events_load(spark, sf_dir, "H"), EVENT_TYPES, "grouped"))
+
 
-@register("stats_day", _stats_sql(O.events_load("H"), "D"))
-def stats_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG1: daily statistics of the hourly event loads."""
-    return TQ.quantized(ST.energy_stats(TQ.events_view(spark, sf_dir), "D"))
+@register("concat_tables", _load_sql(O.events_load("H") + ", " + O.orders_load("D", name="load2", p="o_") + """,
+    u AS (SELECT * FROM load WHERE series = 'click' UNION ALL SELECT * FROM load2 WHERE series = '1-URGENT')""",
+    "u"))
+def concat_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET1: union of two tables of the same kind, columns aligned by name."""
+    a = TQ.events_load(spark, sf_dir, "H").where(F.col("series") == "click")
+    b = TQ.orders_load(spark, sf_dir, "D").where(F.col("series") == "1-URGENT")
+    return TQ.quantized(combine.concatenate(a, b))

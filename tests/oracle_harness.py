@@ -119,7 +119,7 @@ def main(argv):
         except Exception as e:  # report and go on
             r = {"name": n, "status": "error", "detail": str(e)[:600]}
         failed += r["status"] not in ("ok", "rows-only")
-        print(r, flush=True)
+        print("RESULT", r, flush=True)
     print("FAILED", failed)
     return failed
 
