@@ -196,8 +196,10 @@ def compare_typical_day(td: DataFrame, period: str, offset: int = 1,
         ix = F.make_timestamp_ntz(F.col(f"year_1"), F.col(f"{k2}_1"), F.lit(1), hour, F.lit(0), F.lit(0))
         iy = F.make_timestamp_ntz(F.col(f"year_2"), F.col(f"{k2}_2"), F.lit(1), hour, F.lit(0), F.lit(0))
     else:
-        ix = F.concat_ws("--", "year_1", "month_1", "week_1", "hour")
+        def txt(*names):
+            return F.concat_ws("--", *[F.col(n).cast("string") for n in names])
+        ix = txt("year_1", "month_1", "week_1", "hour")
         third = "week_2" if percent_mode == "consistent" else "month_2"   # SURVEY Q8
-        iy = F.concat_ws("--", "year_2", "month_2", third, "hour")
+        iy = txt("year_2", "month_2", third, "hour")
     return p.select(MX.diff(a, b).alias("mean_energy_difference(x-y)"), pc(a, b).alias("percentage(x-y)/x"),
                     ix.alias("index x"), iy.alias("index y"), "*")

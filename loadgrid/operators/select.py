@@ -50,10 +50,22 @@ def select_rows(view: DataFrame, time_interval=None, bdays: int = 0, bhours: int
     return out
 
 
+def _as_datetime(v) -> dt.datetime:
+    if isinstance(v, str):
+        return dt.datetime.fromisoformat(v)
+    if isinstance(v, dt.datetime):
+        return v
+    if isinstance(v, dt.date):
+        return dt.datetime(v.year, v.month, v.day)
+    return v
+
+
 def _keys_frame(spark: SparkSession, values: Iterable, name: str, dtype: T.DataType) -> DataFrame:
     vals = list(values)
     if isinstance(dtype, T.DateType):
         vals = [_as_date(v) for v in vals]
+    elif isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        vals = [_as_datetime(v) for v in vals]
     return spark.createDataFrame([(v,) for v in vals], T.StructType([T.StructField(name, dtype, True)]))
 
 

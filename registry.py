@@ -555,3 +555,270 @@ def concat_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = TQ.events_load(spark, sf_dir, "H").where(F.col("series") == "click")
     b = TQ.orders_load(spark, sf_dir, "D").where(F.col("series") == "1-URGENT")
     return TQ.quantized(combine.concatenate(a, b))
+
+
+# ===========================================================================
+# Comparisons (JN1-6, CMP1-7) -- one-to-one pairings, see operators.compare
+# ===========================================================================
+
+def _metric_sql(kind: str, a: str, b: str) -> str:
+    e = O.EPS
+    return {
+        "diff": f"({a} - {b})",
+        "pct_b": f"({a} - {b}) / ({e} + {b}) * 100.0",
+        "pct_a_first": f"100.0 * ({a} - {b}) / ({e} + {a})",
+        "pct_b_first": f"100.0 * ({a} - {b}) / ({e} + {b})",
+        "div100": f"({a} - {b}) / 100.0 * ({e} + {a})",
+        "over100a": f"({a} - {b}) / (100.0 * ({e} + {a}))",
+        "consistent": f"({a} - {b}) / ({e} + {a}) * 100.0",
+    }[kind]
+
+
+def _stats_metrics_sql(period: str, mode: str) -> list[tuple[str, str]]:
+    R = f"{O.WORD[period]}_Energy_Hourly_Stats"
+
+    def c(g, s, side):
+        return f'"{g}__{s}_{side}"'
+
+    def pr(g, s):
+        return c(g, s, 1), c(g, s, 2)
+
+    cons = mode == "consistent"
+    if period in ("H", "D"):
+        p = "consistent" if cons else "pct_b"
+        (sa, sb), (ma, mb) = pr(R, "sum"), pr(R, "mean")
+        return [("first_data_sum_minus_second_data_sum", _metric_sql("diff", sa, sb)),
+                ("percent_difference_sum_energy_consumption", _metric_sql(p, sa, sb)),
+                ("first_data_mean_minus_second_data_mean", _metric_sql("diff", ma, mb)),
+                ("percent_difference_mean_power", _metric_sql(p, ma, mb))]
+    if period in ("W", "M"):
+        p = "consistent" if cons else "pct_b"
+        (sa, sb), (ma, mb), (da, db) = pr(R, "sum"), pr(R, "mean"), pr("Daily_Energy", "mean")
+        return [("first_data_monthly_sum_minus_second_data_monthly_sum", _metric_sql("diff", sa, sb)),
+                ("percent_difference_monthly_sum_energy_consumption", _metric_sql(p, sa, sb)),
+                ("first_data_hourly_mean_minus_second_data_hourly_mean", _metric_sql("diff", ma, mb)),
+                ("percent_difference_hourly_mean_power", _metric_sql(p, ma, mb)),
+                ("first_data_daily_mean_consumption_minus_second_data_mean_daily_consumption",
+                 _metric_sql("diff", da, db)),
+                ("percent_difference_mean_daily", _metric_sql(p, da, db))]
+    (sa, sb), (ma, mb) = pr(R, "sum"), pr(R, "mean")
+    (da, db), (moa, mob) = pr("Daily_Energy", "mean"), pr("Monthly_Energy", "mean")
+    if cons:
+        daily, monthly, ps, pm, pdly, pmon = (da, db), (moa, mob), "consistent", "consistent", "consistent", "consistent"
+    else:
+        daily, monthly, ps, pm, pdly, pmon = (moa, mob), (da, db), "pct_a_first", "pct_a_first", "pct_a_first", "pct_b_first"
+    return [("first_data_sum_minus_second_data_sum", _metric_sql("diff", sa, sb)),
+            ("percent_difference_sum_energy_consumption", _metric_sql(ps, sa, sb)),
+            ("first_data_hourly_mean_minus_second_data_hourly_mean", _metric_sql("diff", ma, mb)),
+            ("percent_difference_hourly_mean_power", _metric_sql(pm, ma, mb)),
+            ("first_data_daily_mean_consumption_minus_second_data_mean_daily_consumption",
+             _metric_sql("diff", *daily)),
+            ("percent_difference_mean_daily", _metric_sql(pdly, *daily)),
+            ("first_data_monthly_mean_consumption_minus_second_data_mean_monthly_consumption",
+             _metric_sql("diff", *monthly)),
+            ("percent_difference_mean_monthly", _metric_sql(pmon, *monthly))]
+
+
+def _pair_keys_sql(period: str, how: str, offset: int, ps: str, left: bool) -> list[str]:
+    k = offset if left else 0
+    if how == "inner":
+        return [f"epoch_ms({ps})"]
+    if how == "shifted":
+        ordinal = {
+            "H": f"(date_diff('day', DATE '1970-01-01', CAST({ps} AS DATE)) * 24 + hour({ps}))",
+            "D": f"date_diff('day', DATE '1970-01-01', CAST({ps} AS DATE))",
+            "W": f"floor(date_diff('day', DATE '1970-01-05', CAST({ps} AS DATE)) / 7)",
+            "M": f"(year({ps}) * 12 + month({ps}) - 1)",
+            "Q": f"(year({ps}) * 4 + quarter({ps}) - 1)",
+            "Y": f"year({ps})",
+        }[period]
+        return [f"({ordinal} - {k})"]
+    if period == "H":
+        return [f"(date_diff('day', DATE '1970-01-01', CAST({ps} AS DATE)) - {k})", f"hour({ps})"]
+    if period == "D":
+        return [f"(year({ps}) * 12 + month({ps}) - {k})", f"day({ps})"]
+    if period == "W":
+        return [f"(isoyear({ps}) - {k})", f"week({ps})"]
+    if period == "M":
+        return [f"(year({ps}) - {k})", f"month({ps})"]
+    if period == "Q":
+        return [f"(year({ps}) - {k})", f"quarter({ps})"]
+    return [f"year({ps})"]
+
+
+def _cmp_stats_sql(load_ctes: str, period: str, how: str = "inner", offset: int = 1, left: str | None = None,
+                   right: str | None = None, match_series: bool = False, mode: str = "reference",
+                   where: str = "") -> str:
+    if how == "inner":
+        offset = 0
+    d, o = O.stats_cols(period)
+    cols = o + d
+    lw = f"WHERE series = '{left}'" if left else ""
+    rw = f"WHERE series = '{right}'" if right else ""
+    L = ", ".join(f'"{c}" AS "{c}_1"' for c in cols)
+    R = ", ".join(f'"{c}" AS "{c}_2"' for c in cols)
+    lk = _pair_keys_sql(period, how, offset, "period_start_1", True)
+    rk = _pair_keys_sql(period, how, offset, "period_start_2", False)
+    cond = [f"{a} = {b}" for a, b in zip(lk, rk)]
+    if match_series:
+        cond.append("series_1 = series_2")
+    if how == "aligned":
+        cond.append("period_start_1 <> period_start_2")
+    mets = _stats_metrics_sql(period, mode)
+    doubles = [m for m, _ in mets] + [f"{c}_{s}" for s in (1, 2) for c in d]
+    others = [f"{c}_{s}" for s in (1, 2) for c in o]
+    merge = ", 'both' AS _merge" if how == "inner" else ""
+    return f"""WITH {_view(load_ctes)},
+    {O.stats_ctes('v', period)},
+    cl AS (SELECT {L} FROM st {lw}),
+    cr AS (SELECT {R} FROM st {rw}),
+    cj AS (SELECT {', '.join(f'{e} AS "{m}"' for m, e in mets)}, cl.*, cr.*{merge}
+           FROM cl JOIN cr ON {' AND '.join(cond)})
+    SELECT {O.qcols(doubles, others + (['_merge'] if merge else []))} FROM cj {where}"""
+
+
+def _cmp_stats_q(load_fn, load_period, period, how="inner", offset=1, left=None, right=None,
+                 match_series=False, mode="reference"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        st = stats.energy_stats(filtered(load_fn(spark, sf_dir, load_period)), period, load_period)
+        a = st.where(F.col("series") == left) if left else st
+        b = st.where(F.col("series") == right) if right else st
+        return TQ.quantized(compare.compare_stats(a, b, period, how, offset, mode, match_series))
+    return run
+
+
+_CMP_STATS = [
+    # name, load, load period, period, how, offset, left, right, match_series, mode
+    ("compare_stats_inner_day", "events", "H", "D", "inner", 0, "click", "view", False, "reference"),
+    ("compare_stats_inner_hour", "events", "H", "H", "inner", 0, "total", "purchase", False, "reference"),
+    ("compare_stats_inner_week", "events", "H", "W", "inner", 0, "click", "view", False, "reference"),
+    ("compare_stats_inner_month", "orders", "D", "M", "inner", 0, "1-URGENT", "5-LOW", False, "reference"),
+    ("compare_stats_inner_quarter", "orders", "D", "Q", "inner", 0, "3-MEDIUM", "2-HIGH", False, "reference"),
+    ("compare_stats_inner_year", "orders", "D", "Y", "inner", 0, "1-URGENT", "2-HIGH", False, "reference"),
+    ("compare_stats_inner_year_consistent", "orders", "D", "Y", "inner", 0, "1-URGENT", "2-HIGH", False,
+     "consistent"),
+    ("compare_stats_shifted_day", "events", "H", "D", "shifted", 1, None, None, True, "reference"),
+    ("compare_stats_shifted_month", "orders", "D", "M", "shifted", 1, None, None, True, "reference"),
+    ("compare_stats_cross_month", "orders", "D", "M", "shifted", 1, "1-URGENT", "5-LOW", False, "reference"),
+    ("compare_stats_aligned_hour", "events", "H", "H", "aligned", 1, None, None, True, "reference"),
+    ("compare_stats_aligned_day", "orders", "D", "D", "aligned", 1, None, None, True, "reference"),
+    ("compare_stats_aligned_week", "orders", "D", "W", "aligned", 1, None, None, True, "reference"),
+    ("compare_stats_aligned_month", "orders", "D", "M", "aligned", 1, None, None, True, "reference"),
+    ("compare_stats_aligned_quarter", "orders", "D", "Q", "aligned", 1, None, None, True, "reference"),
+    ("compare_stats_aligned_year", "orders", "D", "Y", "aligned", 1, None, None, True, "reference"),
+]
+_LOADS = {"events": (TQ.events_load, O.events_load), "orders": (TQ.orders_load, O.orders_load)}
+
+for (_n, _src, _lp, _p, _how, _off, _l, _r, _ms, _mode) in _CMP_STATS:
+    _fn = _cmp_stats_q(_LOADS[_src][0], _lp, _p, _how, _off, _l, _r, _ms, _mode)
+    _fn.__doc__ = f"JN/CMP: {_how} comparison of {_p} statistics ({_src})."
+    register(_n, _cmp_stats_sql(_LOADS[_src][1](_lp), _p, _how, _off, _l, _r, _ms, _mode))(_fn)
+
+
+def _cmp_dist_sql(loads, period, total_first, offset=1, mode="reference") -> str:
+    ctes, dd, do = _dist_ctes(O.events_load("H"), loads, period, True, total_first)
+    cols = ["period_start"] + [c for c in do if c != "period_start"] + dd
+    all_loads = list(loads) + (["other_loads"] if total_first else [])
+
+    def ren(c, sfx):
+        if c == "period_start":
+            return f"period_start{sfx}"
+        ld, st = c.rsplit("__", 1)
+        return f"{ld}{sfx}__{st}"
+
+    L = ", ".join(f'"{c}" AS "{ren(c, "_1")}"' for c in cols)
+    R = ", ".join(f'"{c}" AS "{ren(c, "_2")}"' for c in cols)
+    ordinal = {"D": "date_diff('day', DATE '1970-01-01', CAST({x} AS DATE))",
+               "W": "floor(date_diff('day', DATE '1970-01-05', CAST({x} AS DATE)) / 7)",
+               "M": "(year({x}) * 12 + month({x}) - 1)"}[period]
+    p = "consistent" if mode == "consistent" else "div100"
+    mets = []
+    for ld in all_loads:
+        a, b = f"{ld}_1", f"{ld}_2"
+        sa, sb, ma, mb = f'"{a}__sum"', f'"{b}__sum"', f'"{a}__mean"', f'"{b}__mean"'
+        mets += [(f"first_data_sum_minus_second_data_sum_{a}_and_{b}", _metric_sql("diff", sa, sb)),
+                 (f"percent_difference_sum_energy_{a}_and_{b}", _metric_sql(p, sa, sb)),
+                 (f"first_data_mean_minus_second_data_mean_{a}_and_{b}", _metric_sql("diff", ma, mb)),
+                 (f"percent_difference_mean_power_{a}_and_{b}", _metric_sql(p, ma, mb))]
+    doubles = [m for m, _ in mets] + [ren(c, s) for s in ("_1", "_2") for c in dd]
+    others = [ren(c, s) for s in ("_1", "_2") for c in do]
+    return f"""WITH {ctes},
+    dl AS (SELECT {L} FROM dist),
+    dr AS (SELECT {R} FROM dist),
+    dj AS (SELECT {', '.join(f'{e} AS "{m}"' for m, e in mets)}, dl.*, dr.*
+           FROM dl JOIN dr ON {ordinal.format(x='period_start_1')} - {offset} = {ordinal.format(x='period_start_2')})
+    SELECT {O.qcols(doubles, others)} FROM dj"""
+
+
+@register("compare_distribution", _cmp_dist_sql(["total", *EVENT_TYPES], "D", True))
+def compare_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5/CMP4: every day of a distribution against the previous day."""
+    d = _dist_df(spark, sf_dir, ["total", *EVENT_TYPES], "D", True, True)
+    return TQ.quantized(compare.compare_distribution(d, "D", 1))
+
+
+@register("compare_distribution_weekly", _cmp_dist_sql(["total", "click", "view"], "W", True))
+def compare_distribution_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN5/CMP4: every week against the previous week."""
+    d = _dist_df(spark, sf_dir, ["total", "click", "view"], "W", True, True)
+    return TQ.quantized(compare.compare_distribution(d, "W", 1))
+
+
+def _cmp_td_sql(period: str, offset: int = 1, mode: str = "reference") -> str:
+    keys = _TD_KEYS[period]
+    stats_cols = ["Energy__mean", "Energy__min", "Energy__idxmin", "Energy__max", "Energy__idxmax"]
+    w = f"(PARTITION BY series, hour ORDER BY {', '.join(keys)})"
+    sel = ["series", "hour"] + [f"{k} AS {k}_1" for k in keys] + [f"lag({k}, {offset}) OVER {w} AS {k}_2" for k in keys]
+    sel += [f"{s} AS {s}_1" for s in stats_cols] + [f"lag({s}, {offset}) OVER {w} AS {s}_2" for s in stats_cols]
+    a, b = '"Energy__mean_1"', '"Energy__mean_2"'
+    pc = "consistent" if mode == "consistent" else "over100a"
+    if period in ("Q", "M"):
+        k2 = keys[1]
+        ix = f"make_timestamp(year_1, {k2}_1, 1, hour, 0, 0)"
+        iy = f"make_timestamp(year_2, {k2}_2, 1, hour, 0, 0)"
+    else:
+        third = "week_2" if mode == "consistent" else "month_2"
+        ix = "concat_ws('--', year_1, month_1, week_1, hour)"
+        iy = f"concat_ws('--', year_2, month_2, {third}, hour)"
+    doubles = ["mean_energy_difference(x-y)", "percentage(x-y)/x"] + \
+        [f"{s}_{i}" for i in (1, 2) for s in ("Energy__mean", "Energy__min", "Energy__max")]
+    others = ["index x", "index y", "series", "hour"] + [f"{k}_{i}" for i in (1, 2) for k in keys] + \
+        [f"{s}_{i}" for i in (1, 2) for s in ("Energy__idxmin", "Energy__idxmax")]
+    return f"""WITH {_td_ctes(O.events_load('H'), period)},
+    tl AS (SELECT {', '.join(sel)} FROM td),
+    tp AS (SELECT {_metric_sql('diff', a, b)} AS "mean_energy_difference(x-y)",
+                  {_metric_sql(pc, a, b)} AS "percentage(x-y)/x", {ix} AS "index x", {iy} AS "index y", *
+           FROM tl WHERE {keys[0]}_2 IS NOT NULL)
+    SELECT {O.qcols(doubles, others)} FROM tp"""
+
+
+@register("compare_typical_day", _cmp_td_sql("W"))
+def compare_typical_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN6/CMP5/CMP6: every week's typical day against the previous week's,
+    hour by hour (lag over (series, hour))."""
+    td = typical_day.typical_day(TQ.events_view(spark, sf_dir), "W")
+    return TQ.quantized(compare.compare_typical_day(td, "W", 1))
+
+
+@register("compare_typical_day_consistent", _cmp_td_sql("W", mode="consistent"))
+def compare_typical_day_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP5/CMP6 with ``percent_mode='consistent'`` (week label fixed, Q8)."""
+    td = typical_day.typical_day(TQ.events_view(spark, sf_dir), "W")
+    return TQ.quantized(compare.compare_typical_day(td, "W", 1, percent_mode="consistent"))
+
+
+_PAIR1 = ("2024-01-03", "2024-01-11")
+_PAIR2 = ("2024-01-02", "2024-01-10", "2024-01-20")
+
+
+@register("select_pairs", _cmp_stats_sql(
+    O.events_load("H"), "D", "shifted", 1, None, None, True,
+    where=f"""WHERE CAST(period_start_1 AS DATE) IN ({', '.join(f"DATE '{d}'" for d in _PAIR1)})
+      AND CAST(period_start_2 AS DATE) IN ({', '.join(f"DATE '{d}'" for d in _PAIR2)})"""))
+def select_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT8: a two-key comparison table restricted by two key lists."""
+    st = stats.energy_stats(TQ.events_view(spark, sf_dir), "D", "H")
+    c = compare.compare_stats(st, st, "D", "shifted", 1, match_series=True)
+    sel = select.select_pairs(c, "period_start_1", [_d + " 00:00:00" for _d in _PAIR1],
+                              "period_start_2", [_d + " 00:00:00" for _d in _PAIR2])
+    return TQ.quantized(sel)
