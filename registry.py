@@ -822,3 +822,68 @@ def select_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sel = select.select_pairs(c, "period_start_1", [_d + " 00:00:00" for _d in _PAIR1],
                               "period_start_2", [_d + " 00:00:00" for _d in _PAIR2])
     return TQ.quantized(sel)
+
+
+# ===========================================================================
+# Sources and sinks (SRC1-7, SNK1-4, REG1-3)
+# ===========================================================================
+
+def _unpivot_sql() -> str:
+    l15 = O.events_load("15min", name="l15")
+    readings = """SELECT c.series, CAST(c.d AS TIMESTAMP) + to_minutes(CAST((c.q - 1) * 15 AS BIGINT)) AS dt,
+                         l.Energy AS energy, 0 AS o1, 0 AS o2
+                  FROM (SELECT series, d, unnest(generate_series(1, 96)) AS q
+                        FROM (SELECT DISTINCT series, CAST(DateTimeStart AS DATE) AS d FROM l15)) c
+                  LEFT JOIN l15 l ON l.series = c.series
+                   AND l.DateTimeStart = CAST(c.d AS TIMESTAMP) + to_minutes(CAST((c.q - 1) * 15 AS BIGINT))"""
+    return _load_sql(l15 + ", " + O.load_ctes(readings, "H", p="u_"))
+
+
+@register("unpivot_quarters", _unpivot_sql())
+def unpivot_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: 15-minute loads laid out as 96 quarter columns per day, unpivoted
+    back to readings and loaded hourly."""
+    from loadgrid.plans.load import load_series
+    from loadgrid.sources.files import pivot_quarters, unpivot_quarters as unpivot
+
+    l15 = TQ.events_load(spark, sf_dir, "15min")
+    wide = pivot_quarters(l15.select("series", F.col("DateTimeStart").alias("DateTime"), "Energy"))
+    return TQ.quantized(load_series(unpivot(wide), DEFAULT, "H"))
+
+
+@register("csv_round_trip", _load_sql(O.events_load("H")))
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1 + SRC1/SRC3: readings written as two-column CSV files, one folder
+    per series, read back by position and loaded hourly."""
+    import uuid
+
+    from loadgrid.plans.load import load_series
+    from loadgrid.session import scratch_path
+    from loadgrid.sources.files import read_readings
+
+    path = scratch_path(spark, f"csv_round_trip/{uuid.uuid4().hex}")
+    r = TQ.events_readings(spark, sf_dir)
+    r.select("series", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss").alias("DateTime"), "Energy") \
+        .write.partitionBy("series").option("header", True).mode("overwrite").csv(path)
+    back = read_readings(spark, path, "csv", name_from="dir")
+    return TQ.quantized(load_series(back, DEFAULT, "H", order=["__blk", "__row"]))
+
+
+@register("snapshot_round_trip", _stats_sql(O.events_load("H"), "D"))
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REG1 + SNK4 + SRC6: keep a load and its statistics, snapshot the
+    catalog to Parquet, restore the newest snapshot, read the statistics."""
+    import uuid
+
+    from loadgrid.plans.catalog import TableCatalog
+    from loadgrid.session import scratch_path
+
+    root = scratch_path(spark, f"snapshots/{uuid.uuid4().hex}")
+    cat = TableCatalog(spark)
+    load = TQ.events_load(spark, sf_dir, "H")
+    cat.keep("events hourly", load, "energy_data", "H")
+    cat.keep("events_daily_stats", stats.energy_stats(filtered(load), "D"), "energy_stats_data", "D")
+    cat.store_state(root)
+    restored = TableCatalog(spark)
+    restored.load_state(root)
+    return TQ.quantized(restored.get("events_daily_stats"))
