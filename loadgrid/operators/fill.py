@@ -30,19 +30,28 @@ _UNB = Window.unboundedPreceding
 _UNF = Window.unboundedFollowing
 
 
+def _desc(order: list[str]) -> list:
+    return [F.col(c).desc_nulls_last() for c in order]
+
+
 def _neighbours(df: DataFrame, ts: str, value: str, order: list[str], block: str) -> DataFrame:
+    """Per row: position in its block and the nearest non-missing value (with
+    its position) before and after it inside the block. Both directions use
+    running frames (UNBOUNDED PRECEDING .. CURRENT ROW), the "after" one over
+    the reversed order: Spark evaluates a running frame incrementally, whereas
+    a CURRENT ROW .. UNBOUNDED FOLLOWING frame is re-aggregated per row."""
     v = F.col(value)
     blk = ntz(F.date_trunc(block, col_(ts)))
-    wb = Window.partitionBy(SERIES, "__blk").orderBy(*order)
-    d = df.withColumn("__blk", blk).withColumn("__pos", F.row_number().over(wb))
-    pre = wb.rowsBetween(_UNB, Window.currentRow)
-    post = wb.rowsBetween(Window.currentRow, _UNF)
+    fwd = Window.partitionBy(SERIES, "__blk").orderBy(*order)
+    rev = Window.partitionBy(SERIES, "__blk").orderBy(*_desc(order))
+    d = df.withColumn("__blk", blk).withColumn("__pos", F.row_number().over(fwd))
+    run_f = fwd.rowsBetween(_UNB, Window.currentRow)
+    run_r = rev.rowsBetween(_UNB, Window.currentRow)
     nn_pos = F.when(v.isNotNull(), F.col("__pos"))
-    d = (d.withColumn("__pv", F.last(v, True).over(pre))
-          .withColumn("__pp", F.last(nn_pos, True).over(pre))
-          .withColumn("__nv", F.first(v, True).over(post))
-          .withColumn("__np", F.first(nn_pos, True).over(post)))
-    return d
+    return (d.withColumn("__pv", F.last(v, True).over(run_f))
+             .withColumn("__pp", F.last(nn_pos, True).over(run_f))
+             .withColumn("__nv", F.last(v, True).over(run_r))
+             .withColumn("__np", F.last(nn_pos, True).over(run_r)))
 
 
 def _block_summary(d: DataFrame, value: str) -> DataFrame:
@@ -53,6 +62,7 @@ def _block_summary(d: DataFrame, value: str) -> DataFrame:
         F.max(nn).alias("__last"),
         F.min(nn).alias("__first"))
     ws = Window.partitionBy(SERIES).orderBy("__blk")
+    wr = Window.partitionBy(SERIES).orderBy(F.col("__blk").desc())
     s = s.withColumn("__off", F.coalesce(F.sum("__n").over(ws.rowsBetween(_UNB, -1)), F.lit(0)).cast("long"))
     glob_last = F.when(F.col("__last").isNotNull(),
                        F.struct((F.col("__off") + F.col("__last.p")).alias("p"), F.col("__last.v").alias("v")))
@@ -60,7 +70,7 @@ def _block_summary(d: DataFrame, value: str) -> DataFrame:
                         F.struct((F.col("__off") + F.col("__first.p")).alias("p"), F.col("__first.v").alias("v")))
     s = (s.withColumn("__gl", glob_last).withColumn("__gf", glob_first)
           .withColumn("__cp", F.last("__gl", True).over(ws.rowsBetween(_UNB, -1)))
-          .withColumn("__cn", F.first("__gf", True).over(ws.rowsBetween(1, _UNF))))
+          .withColumn("__cn", F.last("__gf", True).over(wr.rowsBetween(_UNB, -1))))
     return s.select(SERIES, "__blk", "__off", "__cp", "__cn")
 
 
@@ -85,7 +95,10 @@ def fill_gaps(df: DataFrame, ts: str = "t", value: str = "Energy", *, interpolat
     next_p = F.when(in_next, F.col("__off") + F.col("__np")).otherwise(F.col("__cn.p"))
     out = v
     if interpolate:
-        lin = prev_v + (next_v - prev_v) * (gpos - prev_p).cast("double") / (next_p - prev_p).cast("double")
+        # try_divide: the branch is only taken for a missing value between two
+        # readings (denominator >= 2), but Spark may evaluate it for every row
+        lin = prev_v + F.try_divide((next_v - prev_v) * (gpos - prev_p).cast("double"),
+                                    (next_p - prev_p).cast("double"))
         out = (F.when(v.isNotNull(), v)
                 .when(prev_v.isNull(), F.lit(None).cast("double"))
                 .when(next_v.isNull(), prev_v)
