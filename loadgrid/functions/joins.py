@@ -1,10 +1,17 @@
 """Size-checked broadcast of small per-key tables.
 
-Per-series side tables (sampling interval, block offsets, holiday calendars)
-are small in practice but their size grows with the number of meters. They
-are broadcast only after their row count has been checked against a bound;
-beyond it the join stays a shuffle join (and AQE's skew handling splits a hot
-key on the large side).
+Per-series side tables (sampling interval, block offsets) are small in
+practice but their size grows with the number of meters. They are broadcast
+only after their row count has been checked against a bound; beyond it the
+join stays a shuffle join (and AQE's skew handling splits a hot key on the
+large side).
+
+The side table is first written with a reliable ``checkpoint()`` to the
+session's shared checkpoint folder: the size check then reads the written
+rows instead of recomputing them, the job survives executor loss, and the
+lineage cut lets AQE reuse the shuffles of the big side when one load feeds
+several aggregations (a side table derived from the same scan it is joined
+back to otherwise makes the two copies of the plan differ).
 """
 
 from __future__ import annotations
@@ -12,15 +19,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+
+def materialize_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Checkpoint ``df``; mark it for broadcast when it has at most
+    ``max_rows`` rows."""
+    checkpoint_dir(df.sparkSession)
+    # persisted first so the checkpoint writes the rows the count computed
+    # instead of computing them a second time
+    cached = df.persist()
+    ck = cached.checkpoint(eager=True)
+    cached.unpersist()
+    n = ck.limit(max_rows + 1).count()
+    return F.broadcast(ck) if n <= max_rows else ck
+
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Cache ``df``, count at most ``max_rows + 1`` rows, and mark it for
-    broadcast only if it fits. The cached copy is what the join then reads, so
-    the side is computed once."""
-    df = df.cache()
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# name kept for callers
+broadcast_if_small = materialize_small
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 2_000_000) -> DataFrame:
-    return big.join(broadcast_if_small(small, max_rows), on=on, how=how)
+    return big.join(materialize_small(small, max_rows), on=on, how=how)

@@ -6,35 +6,38 @@ tie-break columns that fix the order of equal stamps).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
+from ..functions.joins import broadcast_if_small, materialize_small
 from ..functions.time import seconds_between, shift_seconds
 
 SERIES = "series"
 
 
-def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] | None = None) -> DataFrame:
-    """Sampling interval of every series from its first two readings.
+def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] | None = None,
+                   max_rows: int = 2_000_000) -> DataFrame:
+    """Sampling interval of every series from its first two readings (the two
+    earliest stamps; equal stamps give a zero interval).
 
     Returns ``series, delta_seconds, interval_hours, interval_minutes,
     shift_seconds``. Like the original, only the hours and minutes of the
     time-of-day part count (whole days are dropped), so a daily or coarser
     series has shift 0. A one-row series has no interval (shift 0).
 
-    ``row_number() <= 2`` is planned as a partial WindowGroupLimit before the
-    shuffle, so only two rows per series and input partition move.
+    Two hash aggregations, no sort: the earliest stamp per series, then --
+    joined back through a size-checked broadcast -- the number of rows at it
+    and the earliest later stamp. ``order`` is accepted for symmetry with the
+    fill operators; only the sorted stamps matter here.
     """
-    order = [ts] + [c for c in (order or []) if c != ts]
-    w = Window.partitionBy(SERIES).orderBy(*order)
-    first2 = (readings.select(SERIES, *order)
-              .withColumn("__rn", F.row_number().over(w))
-              .where(F.col("__rn") <= 2))
-    g = first2.groupBy(SERIES).agg(
-        F.min(F.when(F.col("__rn") == 1, F.col(ts))).alias("__t1"),
-        F.min(F.when(F.col("__rn") == 2, F.col(ts))).alias("__t2"))
-    delta = seconds_between("__t1", "__t2")
+    r = readings.select(SERIES, F.col(ts).alias("__ts")).where(F.col("__ts").isNotNull())
+    first = materialize_small(r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")), max_rows)
+    g = (r.join(first, SERIES, "inner")
+          .groupBy(SERIES, "__t1")
+          .agg(F.count_if(F.col("__ts") == F.col("__t1")).alias("__n1"),
+               F.min(F.when(F.col("__ts") > F.col("__t1"), F.col("__ts"))).alias("__gt")))
+    t2 = F.when(F.col("__n1") >= 2, F.col("__t1")).otherwise(F.col("__gt"))
+    delta = seconds_between(F.col("__t1"), t2)
     sod = F.pmod(delta, F.lit(86400))
     hours = F.floor(sod / 3600).cast("int")
     minutes = F.pmod(F.floor(sod / 60), F.lit(60)).cast("int")

@@ -112,7 +112,7 @@ def resample_loaded(load: DataFrame, period: str, *, input_type: str = "energy",
     """
     from .clean import interval_table, with_shift
 
-    iv = interval_table(load, ts="DateTime")
+    iv = interval_table(load, ts="DateTime", max_rows=max_rows)
     value_col = "Energy"
     d = with_shift(load.select(SERIES, "DateTime", value_col), iv, max_rows)
     d = d.withColumn("t", shift_seconds("DateTime", -F.col("shift_seconds")))

@@ -36,8 +36,12 @@ QUANT_OFFSET = 0.3183098861837907
 
 
 def quantize(c: Column) -> Column:
-    return F.when(F.abs(c) < F.lit(1e14),
-                  F.floor(c * F.lit(10000.0) + F.lit(QUANT_OFFSET)) / F.lit(10000.0)).otherwise(c)
+    """1e-4 grid below 1e14; above it (percent columns divided by the epsilon
+    guard) 12 significant digits on the same offset grid."""
+    big = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e14)))) - F.lit(11.0))
+    return (F.when(F.abs(c) < F.lit(1e14),
+                   F.floor(c * F.lit(10000.0) + F.lit(QUANT_OFFSET)) / F.lit(10000.0))
+             .otherwise(F.floor(c / big + F.lit(QUANT_OFFSET)) * big))
 
 
 def quantized(df: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ STEP = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M
 
 
 def q(expr: str) -> str:
-    return f"(CASE WHEN abs({expr}) < 1e14 THEN floor(({expr}) * 10000.0 + 0.3183098861837907) / 10000.0 ELSE ({expr}) END)"
+    big = f"pow(10.0, floor(log10(greatest(abs({expr}), 1e14))) - 11.0)"
+    return (f"(CASE WHEN abs({expr}) < 1e14 THEN floor(({expr}) * 10000.0 + 0.3183098861837907) / 10000.0 "
+            f"ELSE floor(({expr}) / {big} + 0.3183098861837907) * {big} END)")
 
 
 def qcols(doubles, others=()) -> str:
