@@ -58,8 +58,10 @@ def series_name_from_file(file_name: str, period: str | None = None, default_per
 
 
 def series_name_column(file_name: Column, period: str | None = None, default_period: str = "H") -> Column:
-    """Column form of :func:`series_name_from_file` for ``_metadata.file_name``."""
-    base = F.regexp_replace(file_name, r"\.[^.]*$", "")
+    """Column form of :func:`series_name_from_file` for ``_metadata.file_name``
+    (which is URL-encoded: decoded first, a literal ``+`` kept as is)."""
+    decoded = F.url_decode(F.regexp_replace(file_name, r"\+", "%2B"))
+    base = F.regexp_replace(decoded, r"\.[^.]*$", "")
     name = F.regexp_replace(F.trim(base), r"\s+", "_")
     if period is not None and period != default_period:
         name = F.concat(name, F.lit(f"_period_{period}"))

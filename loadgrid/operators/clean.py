@@ -9,30 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small, materialize_small
+from ..session import checkpoint_dir
 from ..functions.time import seconds_between, shift_seconds
 
 SERIES = "series"
 
 
-def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] | None = None,
-                   max_rows: int = 2_000_000) -> DataFrame:
-    """Sampling interval of every series from its first two readings (the two
-    earliest stamps; equal stamps give a zero interval).
-
-    Returns ``series, delta_seconds, interval_hours, interval_minutes,
-    shift_seconds``. Like the original, only the hours and minutes of the
-    time-of-day part count (whole days are dropped), so a daily or coarser
-    series has shift 0. A one-row series has no interval (shift 0).
-
-    Two hash aggregations, no sort: the earliest stamp per series, then --
-    joined back through a size-checked broadcast -- the number of rows at it
-    and the earliest later stamp. ``order`` is accepted for symmetry with the
-    fill operators; only the sorted stamps matter here.
-    """
+def _interval(readings: DataFrame, ts: str, max_rows: int) -> tuple[DataFrame, int]:
+    """(interval table, number of series). The first stamps are cached and
+    counted once; the count bounds every per-series side table."""
     r = readings.select(SERIES, F.col(ts).alias("__ts")).where(F.col("__ts").isNotNull())
-    first = materialize_small(r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")), max_rows)
-    g = (r.join(first, SERIES, "inner")
+    first = r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")).cache()
+    n = first.count()
+    side = F.broadcast(first) if n <= max_rows else first
+    g = (r.join(side, SERIES, "inner")
           .groupBy(SERIES, "__t1")
           .agg(F.count_if(F.col("__ts") == F.col("__t1")).alias("__n1"),
                F.min(F.when(F.col("__ts") > F.col("__t1"), F.col("__ts"))).alias("__gt")))
@@ -41,18 +31,51 @@ def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] |
     sod = F.pmod(delta, F.lit(86400))
     hours = F.floor(sod / 3600).cast("int")
     minutes = F.pmod(F.floor(sod / 60), F.lit(60)).cast("int")
-    return g.select(
+    iv = g.select(
         SERIES,
         delta.alias("delta_seconds"),
         F.coalesce(hours, F.lit(0)).alias("interval_hours"),
         F.coalesce(minutes, F.lit(0)).alias("interval_minutes"),
         F.coalesce(hours * 3600 + minutes * 60, F.lit(0)).cast("long").alias("shift_seconds"))
+    return iv, n
 
 
-def with_shift(readings: DataFrame, intervals: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Attach ``shift_seconds`` of each series (size-checked broadcast join)."""
-    side = intervals.select(SERIES, "shift_seconds")
-    return readings.join(broadcast_if_small(side, max_rows), SERIES, "left") \
+def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] | None = None,
+                   max_rows: int = 2_000_000) -> DataFrame:
+    """Sampling interval of every series from its first two readings (the two
+    earliest stamps; equal stamps give a zero interval).
+
+    Returns ``series, delta_seconds, interval_hours, interval_minutes,
+    shift_seconds``. Like the original, only the hours and minutes of the
+    time-of-day part count (whole days are dropped), so a daily or coarser
+    series has shift 0. A one-row series has no interval (shift 0).
+
+    Two hash aggregations and no sort: the earliest stamp per series, then --
+    joined back through a size-checked broadcast -- the number of rows at it
+    and the earliest later stamp. ``order`` is accepted for symmetry with the
+    fill operators; only the sorted stamps matter here.
+    """
+    return _interval(readings, ts, max_rows)[0]
+
+
+def with_shift(readings: DataFrame, intervals: DataFrame | None = None, max_rows: int = 2_000_000,
+               ts: str = "DateTime") -> DataFrame:
+    """Attach ``shift_seconds`` of each series. The per-series side table is
+    persisted, written with a reliable checkpoint (lineage cut, survives
+    executor loss, lets AQE reuse the big side's shuffles) and broadcast when
+    the series count is within ``max_rows``."""
+    if intervals is None:
+        intervals, n = _interval(readings, ts, max_rows)
+    else:
+        n = None
+    checkpoint_dir(readings.sparkSession)
+    cached = intervals.select(SERIES, "shift_seconds").persist()
+    side = cached.checkpoint(eager=True)
+    cached.unpersist()
+    if n is None:
+        n = side.limit(max_rows + 1).count()
+    side = F.broadcast(side) if n <= max_rows else side
+    return readings.join(side, SERIES, "left") \
                    .withColumn("shift_seconds", F.coalesce(F.col("shift_seconds"), F.lit(0).cast("long")))
 
 

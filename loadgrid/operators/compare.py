@@ -112,6 +112,10 @@ def compare_stats(left: DataFrame, right: DataFrame, period: str, how: str = "in
     """Join two statistics tables of the same period and add the difference
     and percent columns. ``match_series`` also requires equal ``series`` (all
     meters of one table against their own history in one job)."""
+    need = stat_col(rows_group(period), "sum")
+    for side in (left, right):
+        if need not in side.columns:
+            raise ValueError(f"Periods must be equal: both tables need {period!r} statistics ({need})")
     if how == "inner":
         offset = 0
     L, R = _suffixed(left, "_1"), _suffixed(right, "_2")

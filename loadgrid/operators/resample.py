@@ -110,11 +110,10 @@ def resample_loaded(load: DataFrame, period: str, *, input_type: str = "energy",
     stamps are shifted back by it, and the bins are summed null-propagating
     (mean for power); ``DateTime`` = label + 1h / + 0 / + interval.
     """
-    from .clean import interval_table, with_shift
+    from .clean import with_shift
 
-    iv = interval_table(load, ts="DateTime", max_rows=max_rows)
     value_col = "Energy"
-    d = with_shift(load.select(SERIES, "DateTime", value_col), iv, max_rows)
+    d = with_shift(load.select(SERIES, "DateTime", value_col), None, max_rows)
     d = d.withColumn("t", shift_seconds("DateTime", -F.col("shift_seconds")))
     how = "mean" if input_type == "power" else "sum"
     binned = resample_bins(d, period, ts="t", value=value_col, how=how, null_sum="propagate",

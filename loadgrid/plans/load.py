@@ -35,8 +35,7 @@ def load_series(readings: DataFrame, cfg: LoadConfig = DEFAULT, period: str | No
     r = readings.select(SERIES, "DateTime", "Energy", *order)
     need_interval = cfg.measurement_is_before_index
     if need_interval:
-        iv = clean.interval_table(r, ts="DateTime", order=order, max_rows=cfg.broadcast_max_rows)
-        r = clean.with_shift(r, iv, cfg.broadcast_max_rows)
+        r = clean.with_shift(r, None, cfg.broadcast_max_rows)
         r = clean.shift_to_start(r, ts="DateTime", out="t")
     else:
         # the original adds the interval and takes it off again: a no-op

@@ -36,12 +36,14 @@ QUANT_OFFSET = 0.3183098861837907
 
 
 def quantize(c: Column) -> Column:
-    """1e-4 grid below 1e14; above it (percent columns divided by the epsilon
-    guard) 12 significant digits on the same offset grid."""
-    big = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e14)))) - F.lit(11.0))
-    return (F.when(F.abs(c) < F.lit(1e14),
-                   F.floor(c * F.lit(10000.0) + F.lit(QUANT_OFFSET)) / F.lit(10000.0))
-             .otherwise(F.floor(c / big + F.lit(QUANT_OFFSET)) * big))
+    """1e-4 grid below 1e6; above it 12 significant digits. Scales are
+    non-negative integer powers of ten, which both engines compute exactly."""
+    off = F.lit(QUANT_OFFSET)
+    e = F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e6)))) - F.lit(11)
+    up = F.pow(F.lit(10.0), -e)
+    down = F.pow(F.lit(10.0), e)
+    big = F.when(e < 0, F.floor(c * up + off) / up).otherwise(F.floor(c / down + off) * down)
+    return F.when(F.abs(c) < F.lit(1e6), F.floor(c * F.lit(10000.0) + off) / F.lit(10000.0)).otherwise(big)
 
 
 def quantized(df: DataFrame) -> DataFrame:

@@ -20,9 +20,12 @@ STEP = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M
 
 
 def q(expr: str) -> str:
-    big = f"pow(10.0, floor(log10(greatest(abs({expr}), 1e14))) - 11.0)"
-    return (f"(CASE WHEN abs({expr}) < 1e14 THEN floor(({expr}) * 10000.0 + 0.3183098861837907) / 10000.0 "
-            f"ELSE floor(({expr}) / {big} + 0.3183098861837907) * {big} END)")
+    off = "0.3183098861837907"
+    e = f"(floor(log10(greatest(abs({expr}), 1e6))) - 11)"
+    big = (f"CASE WHEN {e} < 0 THEN floor(({expr}) * pow(10.0, -{e}) + {off}) / pow(10.0, -{e}) "
+           f"ELSE floor(({expr}) / pow(10.0, {e}) + {off}) * pow(10.0, {e}) END")
+    return (f"(CASE WHEN abs({expr}) < 1e6 THEN floor(({expr}) * 10000.0 + {off}) / 10000.0 "
+            f"ELSE {big} END)")
 
 
 def qcols(doubles, others=()) -> str:
