@@ -48,7 +48,7 @@ class LoadConfig:
     # (a-b)/(eps+a)*100 everywhere with matching labels
     percent_mode: str = "reference"
     # block used to split one series for the fill windows (see operators.fill)
-    fill_block: str = "month"
+    fill_block: str = "day"
     # largest per-series / per-key side that is broadcast after a size check
     broadcast_max_rows: int = 2_000_000
     extra: dict = field(default_factory=dict)

@@ -5,7 +5,7 @@ A per-series window over the whole history would put one meter in one task;
 a meter holding a third of all rows would then be a third of the job in one
 task. The fill is therefore done in two levels:
 
-1. windows partitioned by ``(series, block)`` (block = month by default) find,
+1. windows partitioned by ``(series, block)`` (block = day by default) find,
    for every row, its position in the block and the nearest non-missing value
    before / after it inside the block;
 2. a small per-block summary (row count, first and last non-missing value with
@@ -76,7 +76,7 @@ def _block_summary(d: DataFrame, value: str) -> DataFrame:
 
 def fill_gaps(df: DataFrame, ts: str = "t", value: str = "Energy", *, interpolate: bool = False,
               ffill: bool = False, bfill: bool = False, order: list[str] | None = None,
-              block: str = "month") -> DataFrame:
+              block: str = "day") -> DataFrame:
     """Fill missing ``value`` per series in the order of ``order`` (default
     ``[ts]``). Steps apply in the original's order: interpolate, then forward
     fill, then back fill."""

@@ -1,0 +1,5 @@
+"""Structured Streaming ingest of arriving meter files (hourly resample with
+a watermark). The original tool has no streaming; this is the load's RSM1
+step for continuous delivery."""
+
+from .ingest import hourly_stream, readings_stream, start_file_ingest  # noqa: F401
