@@ -46,7 +46,14 @@ def quantize(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(1e6), F.floor(c * F.lit(10000.0) + off) / F.lit(10000.0)).otherwise(big)
 
 
+# The check harness compares quantised doubles; the benchmark switches this
+# off to time the library's own output.
+CHECK_QUANTIZE = True
+
+
 def quantized(df: DataFrame) -> DataFrame:
+    if not CHECK_QUANTIZE:
+        return df
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
