@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.naming import parse_name
+from ..config import DEFAULT, LoadConfig
+from ..functions.naming import bday_label, bhour_label, parse_name, period_word
+from ..operators import compare, distribution, resample, select, stats, typical_day
 from ..operators.combine import concatenate, group_loads
+from .load import filtered, load_series
 
 KINDS = ("energy_data", "energy_stats_data", "energy_distribution", "energy_stats_comparison",
          "energy_distribution_comparison", "typical_day", "typical_day_comparison", "data")
@@ -105,6 +108,118 @@ class TableCatalog:
             raise NoCommonStamp("there was not a single shared index (timestamp)")
         return self.keep(name, g, e.kind, e.period)
 
+    # -- analysis commands over named tables --------------------------------
+    def _view(self, key: str, time_interval, bdays: int, bhours: int, holidays, cfg: LoadConfig) -> DataFrame:
+        e = self.entry(key)
+        if e.kind != "energy_data":
+            raise KindMismatch(f"{key!r} is a {e.kind} table, not a load")
+        v = filtered(e.df, cfg)
+        if time_interval is not None or bdays or bhours:
+            v = select.select_rows(v, time_interval, bdays, bhours, holidays=holidays, cfg=cfg)
+        return v
+
+    @staticmethod
+    def _label(prefix: str, key: str, period: str, time_interval, bdays: int, bhours: int) -> str:
+        rng = "all" if time_interval is None else f"{time_interval[0]}_end_date_{time_interval[1]}"
+        return (f"{prefix}_for_{key}_period_{period_word(period)}_start_date_{rng}_"
+                f"{bday_label(bdays)}_{bhour_label(bhours)}")
+
+    def load(self, name: str, readings: DataFrame, period: str | None = None, cfg: LoadConfig = DEFAULT,
+             order: list[str] | None = None) -> str:
+        """Load readings (one or many series) as a named load table."""
+        p = period or cfg.time_resolution
+        return self.keep(name, load_series(readings, cfg, p, order), "energy_data", p)
+
+    def resample(self, key: str, period: str, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+        e = self.entry(key)
+        out = resample.resample_loaded(e.df, period, input_type=cfg.input_type, max_rows=cfg.broadcast_max_rows)
+        return self.keep(name or f"{key}_resampled_period_{period}", out, e.kind, period)
+
+    def energy_stats(self, key: str, period: str, time_interval=None, bdays: int = 0, bhours: int = 0,
+                     holidays: DataFrame | None = None, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+        e = self.entry(key)
+        v = self._view(key, time_interval, bdays, bhours, holidays, cfg)
+        out = stats.energy_stats(v, period, e.period or cfg.time_resolution, cfg)
+        name = name or self._label("Energy_stats", key, period, time_interval, bdays, bhours)
+        return self.keep(name, out, "energy_stats_data", period)
+
+    def typical_day(self, key: str, period: str = "M", time_interval=None, bdays: int = 0, bhours: int = 0,
+                    holidays: DataFrame | None = None, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+        e = self.entry(key)
+        v = self._view(key, time_interval, bdays, bhours, holidays, cfg)
+        out = typical_day.typical_day(v, period, e.period or cfg.time_resolution, cfg)
+        word = "whole_range" if period == "no_period" else period
+        name = name or f"Typical_day_for_{key}_period_{word}"
+        return self.keep(name, out, "typical_day", period)
+
+    def energy_dist(self, keys: list[str], loads: list[str], period: str = "M", time_interval=None,
+                    bdays: int = 0, bhours: int = 0, holidays: DataFrame | None = None,
+                    total_first: bool = False, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+        """Distribution of ``loads`` (series names) found in the load tables
+        ``keys``; every table must have the same resolution (DST5)."""
+        self.require(*keys)
+        periods = {self._t[k].period for k in keys}
+        if len(periods) != 1:
+            raise ValueError(f"loads of different resolutions cannot be distributed: {sorted(map(str, periods))}")
+        views = [self._view(k, time_interval, bdays, bhours, holidays, cfg) for k in keys]
+        v = views[0]
+        for other in views[1:]:
+            v = v.unionByName(other)
+        out = distribution.energy_distribution(v, loads, period, periods.pop() or cfg.time_resolution, cfg,
+                                               total_first=total_first)
+        name = name or self._label("Energy_distribution", "_".join(keys), period, time_interval, bdays, bhours)
+        return self.keep(name, out, "energy_distribution", period)
+
+    def compare_stats(self, key: str, key2: str, how: str = "inner", offset: int = 1,
+                      match_series: bool = False, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+        a, b = self.entry(key), self.entry(key2)
+        if a.kind != "energy_stats_data" or b.kind != "energy_stats_data":
+            raise KindMismatch("both tables must be statistics tables")
+        if a.period != b.period:
+            raise ValueError("Chosen data must have the same period!")
+        out = compare.compare_stats(a.df, b.df, a.period, how, offset, cfg.percent_mode, match_series)
+        return self.keep(name or f"Compare_stats_{key}_{key2}", out, "energy_stats_comparison", a.period)
+
+    def compare_distribution(self, key: str, offset: int = 1, name: str | None = None,
+                             cfg: LoadConfig = DEFAULT) -> str:
+        e = self.entry(key)
+        if e.kind != "energy_distribution":
+            raise KindMismatch(f"{key!r} is not a distribution table")
+        out = compare.compare_distribution(e.df, e.period, offset, cfg.percent_mode)
+        return self.keep(name or f"Compare_dists_{key}", out, "energy_distribution_comparison", e.period)
+
+    def compare_typical_day(self, key: str, offset: int = 1, name: str | None = None,
+                            cfg: LoadConfig = DEFAULT) -> str:
+        e = self.entry(key)
+        if e.kind != "typical_day":
+            raise KindMismatch(f"{key!r} is not a typical-day table")
+        out = compare.compare_typical_day(e.df, e.period, offset, cfg.percent_mode)
+        return self.keep(name or f"Compare_typical_day_{key}", out, "typical_day_comparison", e.period)
+
+    def select_rows(self, key: str, column: str, values, name: str | None = None, *,
+                    column2: str | None = None, values2=None) -> str:
+        """Rows by key values (days of an hourly load expand to all hours;
+        two-key tables select by both lists)."""
+        e = self.entry(key)
+        if column2 is not None:
+            out = select.select_pairs(e.df, column, values, column2, values2)
+        else:
+            out = select.select_keys(e.df, column, values, by_day=(e.kind == "energy_data" and e.period == "H"))
+        return self.keep(name or f"Selection_of_{key}", out, e.kind, e.period)
+
+    def head(self, key: str, n: int | None = None, cfg: LoadConfig = DEFAULT) -> DataFrame:
+        e = self.entry(key)
+        order = "DateTimeStart" if "DateTimeStart" in e.df.columns else e.df.columns[1]
+        return select.head(e.df, n or cfg.number_of_rows_to_print_for_head, order) \
+            if "series" in e.df.columns else e.df.limit(n or cfg.number_of_rows_to_print_for_head)
+
+    def extent(self, *keys: str) -> DataFrame:
+        self.require(*keys)
+        v = self._t[keys[0]].df
+        for k in keys[1:]:
+            v = v.unionByName(self._t[k].df)
+        return resample.extent_of(v)
+
     # -- sinks ------------------------------------------------------------
     @staticmethod
     def output_dir(root: str, overwrite: bool = True) -> str:

@@ -97,3 +97,35 @@ def test_catalog_keep_save_snapshot(spark):
     assert other.entry("st").kind == "energy_stats_data" and other.entry("st").period == "D"
     other.remove("st")
     assert "st" not in other.names()
+
+
+def test_catalog_commands(spark):
+    from loadgrid.functions.calendar import holidays_frame
+
+    rows = []
+    for series, base in (("total", 10.0), ("a", 4.0), ("b", 3.0)):
+        for h in range(1, 24 * 20 + 1):
+            rows.append((series, T(2024, 1, 1) + dt.timedelta(hours=h), base + (h % 24) / 24.0))
+    readings = spark.createDataFrame(rows, "series string, DateTime timestamp_ntz, Energy double")
+    cat = TableCatalog(spark)
+    load = cat.load("site", readings, "H")
+    st = cat.energy_stats(load, "D", ("2024-01-02", "2024-01-15"), bdays=1,
+                          holidays=holidays_frame(spark, ["2024-01-08"]))
+    assert cat.entry(st).kind == "energy_stats_data"
+    assert cat.get(st).select("period_start").distinct().count() == 9
+    w = cat.energy_stats(load, "W")
+    cmp_ = cat.compare_stats(w, w, "shifted", 1, match_series=True)
+    assert cat.get(cmp_).count() > 0
+    with pytest.raises(ValueError):
+        cat.compare_stats(st, w)
+    td = cat.typical_day(load, "W")
+    assert cat.get(cat.compare_typical_day(td)).count() > 0
+    dist = cat.energy_dist([load], ["total", "a", "b"], "D", total_first=True)
+    assert cat.get(cat.compare_distribution(dist)).count() > 0
+    daily = cat.resample(load, "D")
+    with pytest.raises(ValueError):
+        cat.energy_dist([load, daily], ["total"], "M")
+    sel = cat.select_rows(load, "DateTimeStart", ["2024-01-03"])
+    assert cat.get(sel).count() == 3 * 24
+    assert cat.head(load, 2).count() == 6
+    assert cat.extent(load).collect()[0]["min_day"] == dt.date(2024, 1, 1)
