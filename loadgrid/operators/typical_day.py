@@ -37,12 +37,14 @@ def _key_expr(k: str, ts):
 
 
 def complete_days(hourly: DataFrame, ts: str = "DateTimeStart", hours: int = 24) -> DataFrame:
-    """Rows of the days that have ``hours`` rows with a reading and a stamp."""
-    w = Window.partitionBy(SERIES, period_start(F.col(ts), "D"))
-    return (hourly.withColumn("__ne", F.count("Energy").over(w))
+    """Rows of the days that have ``hours`` rows with a reading and a stamp.
+    The day key is a column so both counts share one window (one shuffle)."""
+    w = Window.partitionBy(SERIES, "__day")
+    return (hourly.withColumn("__day", period_start(F.col(ts), "D"))
+                  .withColumn("__ne", F.count("Energy").over(w))
                   .withColumn("__nt", F.count("DateTime").over(w))
                   .where((F.col("__ne") == hours) & (F.col("__nt") == hours))
-                  .drop("__ne", "__nt"))
+                  .drop("__day", "__ne", "__nt"))
 
 
 def typical_day(view: DataFrame, period: str = "M", resolution: str = "H",
