@@ -207,3 +207,11 @@ def compare_typical_day(td: DataFrame, period: str, offset: int = 1,
         iy = txt("year_2", "month_2", third, "hour")
     return p.select(MX.diff(a, b).alias("mean_energy_difference(x-y)"), pc(a, b).alias("percentage(x-y)/x"),
                     ix.alias("index x"), iy.alias("index y"), "*")
+
+
+def sort_typical_day_comparison(cmp: DataFrame, period: str) -> DataFrame:
+    """The original's display order of a typical-day comparison: both sides'
+    group keys (year, quarter | month [, week]) then the hour. A total sort is
+    a range-partitioned shuffle; use it for output only."""
+    keys = list(GROUP_KEYS[period])
+    return cmp.orderBy(*[f"{k}_1" for k in keys], *[f"{k}_2" for k in keys], "hour")

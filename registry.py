@@ -407,6 +407,10 @@ _fn.__doc__ = "FLT1-4 + AGG1: daily statistics in a range, business days and hou
 register("stats_day_business", _stats_sql(O.events_load("H"), "D",
                                           _range_sql(*EVENT_RANGE) + f" AND {_bday_sql()} AND {_bhour_sql()}"))(_fn)
 
+_fn = _stats_q(TQ.events_load, "H", "M", bdays=2)
+_fn.__doc__ = "FLT3 + AGG1-8: monthly statistics of the non-business days."
+register("stats_month_non_business_days", _stats_sql(O.events_load("H"), "M", f" AND NOT {_bday_sql()}"))(_fn)
+
 _fn = _stats_q(TQ.events_load, "15min", "H")
 _fn.__doc__ = "AGG1 on a 15-minute load: hourly statistics over quarter-hour rows."
 register("stats_hour_15min", _stats_sql(O.events_load("15min"), "H"))(_fn)
@@ -449,6 +453,15 @@ for _p, _n in (("no_period", "typical_day_all"), ("W", "typical_day_week"), ("M"
                  f"{O.qcols(TD_D, ['series', *_TD_KEYS[_p], 'hour', *TD_O])} FROM td")(_td_q(_p))
 
 
+@register("typical_day_business_hours",
+          f"WITH {_td_ctes(O.events_load('H') + ', lb AS (SELECT * FROM load WHERE ' + _bhour_sql() + ')', 'M').replace('FROM load WHERE Energy IS NOT NULL', 'FROM lb WHERE Energy IS NOT NULL')}"
+          f"\nSELECT {O.qcols(TD_D, ['series', 'year', 'month', 'hour', *TD_O])} FROM td")
+def typical_day_business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TYP1 / Q12: business hours leave no day with 24 rows -> empty result."""
+    v = select.select_rows(TQ.events_view(spark, sf_dir), None, 0, 1)
+    return TQ.quantized(typical_day.typical_day(v, "M"))
+
+
 # ===========================================================================
 # Distribution over loads (DST1-5, JN7-8)
 # ===========================================================================
