@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as MX
+from ..session import checkpoint_dir
 from ..functions.naming import rows_group, stat_col
 from ..functions.time import period_ordinal
 from .typical_day import GROUP_KEYS, PeriodNotSupported
@@ -22,6 +23,14 @@ from .typical_day import GROUP_KEYS, PeriodNotSupported
 SERIES = "series"
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Write an aggregated table once (reliable checkpoint in the shared
+    folder) before it meets itself in a join, so both sides read it instead
+    of recomputing the aggregation from the loads."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _suffixed(df: DataFrame, sfx: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{c}{sfx}") for c in df.columns])
 
@@ -118,6 +127,8 @@ def compare_stats(left: DataFrame, right: DataFrame, period: str, how: str = "in
             raise ValueError(f"Periods must be equal: both tables need {period!r} statistics ({need})")
     if how == "inner":
         offset = 0
+    if left is right:
+        left = right = materialized(left)
     L, R = _suffixed(left, "_1"), _suffixed(right, "_2")
     lk = _pair_keys(period, how, offset, F.col("period_start_1"), True)
     rk = _pair_keys(period, how, offset, F.col("period_start_2"), False)
@@ -136,6 +147,15 @@ def compare_stats(left: DataFrame, right: DataFrame, period: str, how: str = "in
     return out
 
 
+def compare_series(stats: DataFrame, left_series: str, right_series: str, period: str, how: str = "inner",
+                   offset: int = 1, percent_mode: str = "reference") -> DataFrame:
+    """Two meters of one statistics table against each other; the table is
+    written once and both sides read it."""
+    st = materialized(stats)
+    return compare_stats(st.where(F.col(SERIES) == left_series), st.where(F.col(SERIES) == right_series),
+                         period, how, offset, percent_mode)
+
+
 def _dist_loads(dist: DataFrame) -> list[str]:
     return [c[: -len("__sum")] for c in dist.columns if c.endswith("__sum")]
 
@@ -143,8 +163,10 @@ def _dist_loads(dist: DataFrame) -> list[str]:
 def compare_distribution(dist: DataFrame, period: str, offset: int = 1,
                          percent_mode: str = "reference") -> DataFrame:
     """Every period of a distribution table against the period ``offset``
-    steps earlier (self equi-join on the period index)."""
+    steps earlier (self equi-join on the period index; the table, one row per
+    period, is written once first)."""
     loads = _dist_loads(dist)
+    dist = materialized(dist)
 
     def ren(df, sfx):
         cols = []

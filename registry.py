@@ -693,9 +693,9 @@ def _cmp_stats_q(load_fn, load_period, period, how="inner", offset=1, left=None,
                  match_series=False, mode="reference"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         st = stats.energy_stats(filtered(load_fn(spark, sf_dir, load_period)), period, load_period)
-        a = st.where(F.col("series") == left) if left else st
-        b = st.where(F.col("series") == right) if right else st
-        return TQ.quantized(compare.compare_stats(a, b, period, how, offset, mode, match_series))
+        if left and right:
+            return TQ.quantized(compare.compare_series(st, left, right, period, how, offset, mode))
+        return TQ.quantized(compare.compare_stats(st, st, period, how, offset, mode, match_series))
     return run
 
 
