@@ -1,7 +1,11 @@
 """Business-calendar predicates (business days with holidays, business hours).
 
-The holiday calendar is an input table with one ``date`` column; it is small
-by construction (at most one row per calendar day of the covered years).
+The holiday calendar is an input table with one ``date`` column (at most one
+row per calendar day of the covered years). No broadcast is forced: a list
+built with :func:`holidays_frame` is a local relation whose exact size the
+planner knows, so Catalyst broadcasts it under
+``spark.sql.autoBroadcastJoinThreshold``; a stored calendar is judged by its
+file statistics, and a large one falls back to a shuffle join.
 """
 
 from __future__ import annotations
@@ -45,8 +49,7 @@ def business_hours_pred(c, hours: tuple[int, int]) -> Column:
 def _with_holiday_flag(df: DataFrame, ts: str, holidays: DataFrame | None) -> DataFrame:
     if holidays is None:
         return df.withColumn("__hol", F.lit(False))
-    h = F.broadcast(holidays.select(F.col("date").alias("__hday")).distinct()
-                    .withColumn("__hol", F.lit(True)))
+    h = holidays.select(F.col("date").alias("__hday")).distinct().withColumn("__hol", F.lit(True))
     return (df.join(h, F.to_date(F.col(ts)) == F.col("__hday"), "left")
               .drop("__hday")
               .withColumn("__hol", F.coalesce(F.col("__hol"), F.lit(False))))
@@ -67,7 +70,7 @@ def filter_business_days(df: DataFrame, mode: int, ts: str = "DateTimeStart",
     if mode == 1:
         out = df.where(mask)
         if holidays is not None:
-            h = F.broadcast(holidays.select(F.col("date").alias("__hday")).distinct())
+            h = holidays.select(F.col("date").alias("__hday")).distinct()
             out = out.join(h, F.to_date(F.col(ts)) == F.col("__hday"), "left_anti")
         return out
     flagged = _with_holiday_flag(df, ts, holidays)
