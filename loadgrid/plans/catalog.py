@@ -20,7 +20,7 @@ from ..config import DEFAULT, LoadConfig
 from ..functions.naming import bday_label, bhour_label, parse_name, period_word
 from ..operators import compare, distribution, resample, select, stats, typical_day
 from ..operators.combine import concatenate, group_loads
-from .load import filtered, load_series
+from .load import filtered, load_series, store_load
 
 KINDS = ("energy_data", "energy_stats_data", "energy_distribution", "energy_stats_comparison",
          "energy_distribution_comparison", "typical_day", "typical_day_comparison", "data")
@@ -125,10 +125,15 @@ class TableCatalog:
                 f"{bday_label(bdays)}_{bhour_label(bhours)}")
 
     def load(self, name: str, readings: DataFrame, period: str | None = None, cfg: LoadConfig = DEFAULT,
-             order: list[str] | None = None) -> str:
-        """Load readings (one or many series) as a named load table."""
+             order: list[str] | None = None, store: str | None = None) -> str:
+        """Load readings (one or many series) as a named load table; with
+        ``store`` (a shared path) the load is written once and every later
+        command reads the stored table."""
         p = period or cfg.time_resolution
-        return self.keep(name, load_series(readings, cfg, p, order), "energy_data", p)
+        df = load_series(readings, cfg, p, order)
+        if store:
+            df = store_load(df, store)
+        return self.keep(name, df, "energy_data", p)
 
     def resample(self, key: str, period: str, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
         e = self.entry(key)

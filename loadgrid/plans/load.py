@@ -54,3 +54,20 @@ def load_series(readings: DataFrame, cfg: LoadConfig = DEFAULT, period: str | No
 def filtered(load: DataFrame, cfg: LoadConfig = DEFAULT) -> DataFrame:
     """The filtered view every statistic reads: rows with a reading."""
     return clean.filtered_view(load, drop_zeros=cfg.drop_zero_energy)
+
+
+def store_load(load: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Write a load table for repeated analysis and return it read back.
+
+    Rows are range-partitioned by ``DateTimeStart`` (each file covers one
+    stretch of time, whatever the meter mix, so a hot meter does not make one
+    file huge) and sorted by ``series, DateTimeStart`` inside each file; the
+    Parquet min/max statistics then let a date-range filter on the stored
+    table skip row groups (the filter is pushed into the scan, see
+    ``operators.select.filter_range``).
+    """
+    n = files or int(load.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (load.repartitionByRange(n, "DateTimeStart")
+         .sortWithinPartitions(SERIES, "DateTimeStart")
+         .write.mode("overwrite").parquet(path))
+    return load.sparkSession.read.parquet(path)

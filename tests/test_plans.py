@@ -30,9 +30,10 @@ def test_range_filter_pushed_to_scan(spark):
     from loadgrid.operators.select import filter_range
     import tempfile
     root = tempfile.mkdtemp(prefix="lg-push-")
+    from loadgrid.plans.load import store_load
     load = registry.TQ.events_load(spark, SF, "H")
-    load.write.mode("overwrite").parquet(root)
-    stored = spark.read.parquet(root)
+    stored = store_load(load, root)
+    assert stored.count() == load.count()
     plan = _plan(filter_range(stored, "2024-01-05", "2024-01-10"))
     assert "PushedFilters: [IsNotNull(DateTime), GreaterThanOrEqual(DateTime" in plan
 
