@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .time import col_, seconds_of_day, weekday_mon0
+from .time import seconds_of_day, weekday_mon0
 
 HOLIDAY_SCHEMA = T.StructType([T.StructField("date", T.DateType(), False)])
 

@@ -8,7 +8,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loadgrid.config import DEFAULT
 from loadgrid.functions.calendar import filter_business_days, filter_business_hours, holidays_frame
 from loadgrid.operators import select, stats, typical_day
 from loadgrid.operators.typical_day import PeriodNotSupported
