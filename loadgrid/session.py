@@ -58,8 +58,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session (``spark.checkpoint.dir``); only when the session has
     none (local tests) a private folder is created and set.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if d:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)        # configured in the SQL conf only
         return d
     d = tempfile.mkdtemp(prefix="loadgrid-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
