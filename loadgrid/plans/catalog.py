@@ -231,7 +231,12 @@ class TableCatalog:
         """``<root>/Output`` (overwritten) or a new ``<root>/Output_<now>``."""
         return _join(root, "Output" if overwrite else f"Output_{_now()}")
 
-    def save(self, name: str, root: str, fmt: str = "csv", overwrite: bool = True) -> str:
+    def save(self, name: str, root: str, fmt: str | None = None, overwrite: bool | None = None,
+             cfg: LoadConfig = DEFAULT) -> str:
+        """Write a kept table under the output folder (sink policy from
+        ``cfg``: ``results_overwrite``, ``type_of_tabular_output_file``)."""
+        fmt = fmt or cfg.type_of_tabular_output_file
+        overwrite = cfg.results_overwrite if overwrite is None else overwrite
         df = self.get(name)
         path = _join(self.output_dir(root, overwrite), name)
         w = df.write.mode("overwrite")
@@ -243,10 +248,11 @@ class TableCatalog:
             raise NotImplementedError(f"unsupported output type {fmt!r}")
         return path
 
-    def save_last(self, root: str, fmt: str = "csv", overwrite: bool = True) -> str:
+    def save_last(self, root: str, fmt: str | None = None, overwrite: bool | None = None,
+                  cfg: LoadConfig = DEFAULT) -> str:
         if self.last is None:
             raise LookupError("Nothing to save so far!")
-        return self.save(self.last[0], root, fmt, overwrite)
+        return self.save(self.last[0], root, fmt, overwrite, cfg)
 
     # -- snapshots ----------------------------------------------------------
     def store_state(self, root: str) -> str:

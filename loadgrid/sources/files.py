@@ -144,3 +144,15 @@ def pivot_quarters(readings: DataFrame, date_col: str = "Date_") -> DataFrame:
     return (readings.select(SERIES, d.alias(date_col), q.alias("__q"), "Energy")
             .groupBy(SERIES, date_col).pivot("__q", list(range(1, 97))).agg(F.first("Energy"))
             .select(SERIES, date_col, *[F.col(str(i)).alias(str(i)) for i in range(1, 97)]))
+
+
+def read_meter_files(spark: SparkSession, paths: str | Sequence[str], cfg: LoadConfig = DEFAULT,
+                     fmt: str = "csv", period: str | None = None, **kw) -> DataFrame:
+    """The configured input layout: the wide quarter-hour layout when
+    ``cfg.custom_data_load`` is set, two-column files otherwise."""
+    check_format(fmt)
+    if cfg.custom_data_load:
+        if fmt != "csv":
+            raise NotImplementedError("the wide quarter-hour layout is read from delimited files")
+        return read_wide_csv(spark, paths, period=period, cfg=cfg, **kw)
+    return read_readings(spark, paths, fmt, period=period, cfg=cfg, **kw)

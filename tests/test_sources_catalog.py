@@ -51,6 +51,8 @@ def test_wide_quarter_layout(spark):
         f.write(",".join(["20240101"] + ["1"] * 96) + "\n")
         f.write(",".join(["20240102"] + ["2"] * 95 + [""]) + "\n")
     r = read_wide_csv(spark, os.path.join(d, "site a.csv"))
+    from loadgrid.sources.files import read_meter_files
+    assert read_meter_files(spark, os.path.join(d, "site a.csv"), DEFAULT.with_(custom_data_load=True)).count() == 192
     rows = r.orderBy("DateTime").collect()
     assert len(rows) == 192 and rows[0]["series"] == "site_a"
     assert rows[0]["DateTime"] == T(2024, 1, 1, 0, 0) and rows[1]["DateTime"] == T(2024, 1, 1, 0, 15)
