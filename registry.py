@@ -426,10 +426,10 @@ TD_D = ["Energy__mean", "Energy__min", "Energy__max"]
 TD_O = ["Energy__idxmin", "Energy__idxmax"]
 
 
-def _td_ctes(ctes: str, period: str, name: str = "td") -> str:
+def _td_ctes(ctes: str, period: str, name: str = "td", src: str = "load") -> str:
     keys = _TD_KEYS[period] + ["hour"]
     ksql = ", ".join(f"CAST({_TD_SQLK[k]}(DateTimeStart) AS INTEGER) AS {k}" for k in keys)
-    return f"""{_view(ctes)},
+    return f"""{_view(ctes, src=src)},
     c0 AS (SELECT *, count(Energy) OVER (PARTITION BY series, date_trunc('day', DateTimeStart)) AS ne,
                      count(DateTime) OVER (PARTITION BY series, date_trunc('day', DateTimeStart)) AS nt FROM v),
     c1 AS (SELECT * FROM c0 WHERE ne = 24 AND nt = 24),
@@ -467,10 +467,10 @@ def typical_day_business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ===========================================================================
 
 def _dist_ctes(ctes: str, loads: list[str], period: str, same_count: bool, total_first: bool,
-               name: str = "dist") -> tuple[str, list[str], list[str]]:
+               name: str = "dist", view_src: str = "load") -> tuple[str, list[str], list[str]]:
     lst = ", ".join(f"'{x}'" for x in loads)
     src = "dv"
-    out = f"""{_view(ctes)},
+    out = f"""{_view(ctes, src=view_src)},
     dv AS (SELECT series, DateTimeStart, Energy FROM v WHERE series IN ({lst}))"""
     if same_count:
         out += f""",
@@ -899,3 +899,45 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     restored = TableCatalog(spark)
     restored.load_state(root)
     return TQ.quantized(restored.get("events_daily_stats"))
+
+
+# ===========================================================================
+# Sub-hourly loads inside the other operators (RSM5 / Q4) and power input
+# ===========================================================================
+
+def _hourly_of_15min_ctes() -> str:
+    """``h15``: the 15-minute event loads' filtered view as hourly rows (sum,
+    last stamp; hours without rows are 0 with no stamp)."""
+    return f"""{O.events_load('15min', name='l15')},
+    v15 AS (SELECT * FROM l15 WHERE Energy IS NOT NULL),
+    hb AS (SELECT series, date_trunc('hour', DateTimeStart) AS bin, COALESCE(sum(Energy), 0.0) AS s,
+                  max_by(DateTime, DateTimeStart) AS last_dt FROM v15 GROUP BY ALL),
+    hg AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS bin
+           FROM (SELECT series, min(bin) AS lo, max(bin) AS hi FROM hb GROUP BY series)),
+    h15 AS (SELECT hg.series, hg.bin AS DateTimeStart, hb.last_dt AS DateTime, COALESCE(hb.s, 0.0) AS Energy
+            FROM hg LEFT JOIN hb ON hg.series = hb.series AND hg.bin = hb.bin)"""
+
+
+@register("typical_day_15min", f"WITH {_td_ctes(_hourly_of_15min_ctes(), 'M', src='h15')}\nSELECT "
+                               f"{O.qcols(TD_D, ['series', 'year', 'month', 'hour', *TD_O])} FROM td")
+def typical_day_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TYP1-3 on a 15-minute load: converted to hourly rows first (RSM5)."""
+    view = filtered(TQ.events_load(spark, sf_dir, "15min"))
+    return TQ.quantized(typical_day.typical_day(view, "M", "15min"))
+
+
+def _dist15_sql() -> str:
+    ctes, d, o = _dist_ctes(_hourly_of_15min_ctes(), EVENT_TYPES, "D", True, False, view_src="h15")
+    return f"WITH {ctes}\nSELECT {O.qcols(d, o)} FROM dist"
+
+
+@register("distribution_15min", _dist15_sql())
+def distribution_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DST1 on 15-minute loads: hourly rows first, then common stamps."""
+    view = filtered(TQ.events_load(spark, sf_dir, "15min"))
+    return TQ.quantized(distribution.energy_distribution(view, EVENT_TYPES, "D", "15min"))
+
+
+_fn = _stats_q(TQ.events_load, "H", "M", POWER)
+_fn.__doc__ = "AGG1-8 on a power load (hourly means)."
+register("stats_month_power", _stats_sql(O.events_load("H", how="mean"), "M"))(_fn)
