@@ -112,3 +112,48 @@ def test_compare_distribution_previous_period(mk):
     a, b = 2 * 2.0, 2 * 1.0
     assert c[0]["first_data_sum_minus_second_data_sum_a_1_and_a_2"] == a - b
     assert c[0]["percent_difference_sum_energy_a_1_and_a_2"] == (a - b) / 100 * (EPS + a)
+
+
+def _stats_table(spark, period, values):
+    cols = stats.stats_columns(period)
+    schema = "series string, period_start timestamp_ntz, " + ", ".join(
+        f"{c} {'timestamp_ntz' if 'idx' in c else ('bigint' if c.endswith('count') else 'double')}" for c in cols)
+    rows = []
+    for series, v in values.items():
+        d = {c: None for c in cols}
+        d.update(v)
+        rows.append((series, T(2024, 1, 1), *[d[c] for c in cols]))
+    return spark.createDataFrame(rows, schema)
+
+
+def test_compare_stats_month_and_year_formulas(spark):
+    m = _stats_table(spark, "M", {
+        "x": {"Monthly_Energy_Hourly_Stats__sum": 300.0, "Monthly_Energy_Hourly_Stats__mean": 3.0,
+              "Daily_Energy__mean": 30.0},
+        "y": {"Monthly_Energy_Hourly_Stats__sum": 200.0, "Monthly_Energy_Hourly_Stats__mean": 2.0,
+              "Daily_Energy__mean": 20.0}})
+    r = compare.compare_series(m, "x", "y", "M").collect()[0]
+    assert r["first_data_monthly_sum_minus_second_data_monthly_sum"] == 100.0
+    assert r["percent_difference_monthly_sum_energy_consumption"] == 100.0 / (EPS + 200.0) * 100.0
+    assert r["percent_difference_hourly_mean_power"] == 1.0 / (EPS + 2.0) * 100.0
+    assert r["first_data_daily_mean_consumption_minus_second_data_mean_daily_consumption"] == 10.0
+    assert r["percent_difference_mean_daily"] == 10.0 / (EPS + 20.0) * 100.0
+
+    y = _stats_table(spark, "Y", {
+        "x": {"Yearly_Energy_Hourly_Stats__sum": 400.0, "Yearly_Energy_Hourly_Stats__mean": 4.0,
+              "Daily_Energy__mean": 40.0, "Monthly_Energy__mean": 1000.0},
+        "y": {"Yearly_Energy_Hourly_Stats__sum": 100.0, "Yearly_Energy_Hourly_Stats__mean": 2.0,
+              "Daily_Energy__mean": 10.0, "Monthly_Energy__mean": 500.0}})
+    q = compare.compare_series(y, "x", "y", "Y").collect()[0]
+    # sums and hourly means divide by the first value
+    assert q["percent_difference_sum_energy_consumption"] == 100.0 * 300.0 / (EPS + 400.0)
+    assert q["percent_difference_hourly_mean_power"] == 100.0 * 2.0 / (EPS + 4.0)
+    # columns named "daily" read the monthly block, divided by the first value (Q1)
+    assert q["first_data_daily_mean_consumption_minus_second_data_mean_daily_consumption"] == 500.0
+    assert q["percent_difference_mean_daily"] == 100.0 * 500.0 / (EPS + 1000.0)
+    # columns named "monthly" read the daily block, divided by the second value (Q1)
+    assert q["first_data_monthly_mean_consumption_minus_second_data_mean_monthly_consumption"] == 30.0
+    assert q["percent_difference_mean_monthly"] == 100.0 * 30.0 / (EPS + 10.0)
+    c = compare.compare_series(y, "x", "y", "Y", percent_mode="consistent").collect()[0]
+    assert c["first_data_daily_mean_consumption_minus_second_data_mean_daily_consumption"] == 30.0
+    assert c["percent_difference_mean_monthly"] == 500.0 / (EPS + 1000.0) * 100.0
