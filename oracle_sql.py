@@ -21,10 +21,10 @@ STEP = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M
 
 def q(expr: str) -> str:
     off = "0.3183098861837907"
-    e = f"(floor(log10(greatest(abs({expr}), 1e6))) - 11)"
+    e = f"(floor(log10(greatest(abs({expr}), 1e4))) - 8)"
     big = (f"CASE WHEN {e} < 0 THEN floor(({expr}) * pow(10.0, -{e}) + {off}) / pow(10.0, -{e}) "
            f"ELSE floor(({expr}) / pow(10.0, {e}) + {off}) * pow(10.0, {e}) END")
-    return (f"(CASE WHEN abs({expr}) < 1e6 THEN floor(({expr}) * 10000.0 + {off}) / 10000.0 "
+    return (f"(CASE WHEN abs({expr}) < 1e4 THEN floor(({expr}) * 10000.0 + {off}) / 10000.0 "
             f"ELSE {big} END)")
 
 
@@ -45,21 +45,23 @@ def nn(v: str) -> str:
 
 def events_readings() -> str:
     return f"""
-    SELECT event_type AS series, {rnd('ts')} AS dt, {nn('value')} AS energy, event_id AS o1, 0 AS o2 FROM events
+    SELECT event_type AS series, {rnd('ts')} AS dt, {nn('value')} AS energy, event_id AS o1, 0 AS o2,
+           0 AS o3, 0 AS o4 FROM events
     UNION ALL
-    SELECT 'total' AS series, {rnd('ts')} AS dt, {nn('value')} AS energy, event_id AS o1, 0 AS o2 FROM events"""
+    SELECT 'total' AS series, {rnd('ts')} AS dt, {nn('value')} AS energy, event_id AS o1, 0 AS o2,
+           0 AS o3, 0 AS o4 FROM events"""
 
 
 def orders_readings() -> str:
     return f"""
     SELECT o_orderpriority AS series, {rnd('o_orderdate')} AS dt, {nn('o_totalprice')} AS energy,
-           o_orderkey AS o1, 0 AS o2 FROM orders"""
+           o_orderkey AS o1, 0 AS o2, 0 AS o3, 0 AS o4 FROM orders"""
 
 
 def lineitem_readings(value: str = "l_quantity") -> str:
     return f"""
     SELECT l_returnflag AS series, {rnd('l_shipdate')} AS dt, {nn(value)} AS energy,
-           l_orderkey AS o1, l_linenumber AS o2 FROM lineitem"""
+           l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4 FROM lineitem"""
 
 
 def bin_expr(period: str, t: str) -> str:
@@ -87,7 +89,7 @@ def label_expr(period: str, b: str) -> str:
     return f"CAST(make_date(CAST(year({b}) AS BIGINT), 12, 31) AS TIMESTAMP)"
 
 
-def shift_ctes(src: str, ts: str = "dt", order: str = "dt, o1, o2", p: str = "") -> str:
+def shift_ctes(src: str, ts: str = "dt", order: str = "dt, o1, o2, o3, o4", p: str = "") -> str:
     """``{p}sh(series, shift)``: hours+minutes of the first-two-rows delta."""
     return f"""
     {p}rn_ AS (SELECT series, {ts} AS x, row_number() OVER (PARTITION BY series ORDER BY {order}) AS rn FROM {src}),
@@ -141,7 +143,8 @@ def load_ctes(readings: str, period: str = "H", how: str = "sum", null_sum: str
     return f"""
     {p}r AS ({readings}),
     {shift_ctes(f'{p}r', p=p)},
-    {p}x AS (SELECT r.series, r.dt - to_seconds(CAST(sh.shift AS BIGINT)) AS t, {e} AS energy, sh.shift, r.o1, r.o2
+    {p}x AS (SELECT r.series, r.dt - to_seconds(CAST(sh.shift AS BIGINT)) AS t, {e} AS energy, sh.shift,
+                r.o1, r.o2, r.o3, r.o4
           FROM {p}r r JOIN {p}sh sh ON r.series = sh.series){fill_cte},
     {binned_ctes(src, period, how, null_sum, prefix=p)},
     {name} AS (SELECT series, {label_expr(period, 'bin')} AS DateTimeStart,
@@ -158,12 +161,12 @@ def fill_ctes(src: str, mode: str, p: str = "") -> str:
     out = {"interpolate": lin, "ffill": "COALESCE(energy, pv)", "bfill": "COALESCE(energy, nv)",
            "all": f"COALESCE({lin}, nv)", "interp_ffill": lin}[mode]
     return f"""
-    {p}xp_ AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t, o1, o2) AS pos FROM {src}),
+    {p}xp_ AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t, o1, o2, o3, o4) AS pos FROM {src}),
     {p}xn_ AS (SELECT *, last_value(energy IGNORE NULLS) OVER {w1} AS pv,
                  last_value(CASE WHEN energy IS NOT NULL THEN pos END IGNORE NULLS) OVER {w1} AS pp,
                  first_value(energy IGNORE NULLS) OVER {w2} AS nv,
                  first_value(CASE WHEN energy IS NOT NULL THEN pos END IGNORE NULLS) OVER {w2} AS np FROM {p}xp_),
-    {p}xf AS (SELECT series, t, {out} AS energy, shift, o1, o2 FROM {p}xn_)"""
+    {p}xf AS (SELECT series, t, {out} AS energy, shift, o1, o2, o3, o4 FROM {p}xn_)"""
 
 
 def events_load(period: str = "H", **kw) -> str:

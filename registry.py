@@ -123,7 +123,7 @@ _LI_OTHERS = ["series", "DateTime", "l_orderkey", "l_linenumber"]
 
 def _li_readings_sql(energy: str = "CASE WHEN energy = 0 THEN NULL ELSE energy END") -> str:
     return f"""r0 AS ({O.lineitem_readings('l_discount')}),
-    r AS (SELECT series, dt AS t, dt, {energy} AS energy, 0 AS shift, o1, o2 FROM r0)"""
+    r AS (SELECT series, dt AS t, dt, {energy} AS energy, 0 AS shift, o1, o2, o3, o4 FROM r0)"""
 
 
 @register("zero_to_null", f"""WITH {_li_readings_sql()}
@@ -141,7 +141,7 @@ def _fill_sql(mode: str) -> str:
 
 def _fill_query(spark, sf_dir, **kw) -> DataFrame:
     r = clean.zero_to_null(TQ.lineitem_readings(spark, sf_dir, "l_discount"))
-    f = fill.fill_gaps(r, ts="DateTime", value="Energy", order=["l_orderkey", "l_linenumber"], **kw)
+    f = fill.fill_gaps(r, ts="DateTime", value="Energy", order=TQ.LINEITEM_ORDER, **kw)
     return TQ.quantized(f.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy"))
 
 
@@ -843,7 +843,7 @@ def select_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unpivot_sql() -> str:
     l15 = O.events_load("15min", name="l15")
     readings = """SELECT c.series, CAST(c.d AS TIMESTAMP) + to_minutes(CAST((c.q - 1) * 15 AS BIGINT)) AS dt,
-                         l.Energy AS energy, 0 AS o1, 0 AS o2
+                         l.Energy AS energy, 0 AS o1, 0 AS o2, 0 AS o3, 0 AS o4
                   FROM (SELECT series, d, unnest(generate_series(1, 96)) AS q
                         FROM (SELECT DISTINCT series, CAST(DateTimeStart AS DATE) AS d FROM l15)) c
                   LEFT JOIN l15 l ON l.series = c.series
