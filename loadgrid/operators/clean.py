@@ -71,17 +71,20 @@ def shift_table(readings: DataFrame, ts: str = "DateTime", max_rows: int = 2_000
     series). The checkpoint cuts the lineage (AQE can then reuse the big
     side's shuffles when one load feeds several aggregations) and survives
     executor loss."""
-    key = (readings.semanticHash(), ts, max_rows, id(readings.sparkSession))
+    # the table depends on the meter keys and stamps only, so readings that
+    # differ in their value column (or other columns) share it
+    stamps = readings.select(SERIES, ts)
+    key = (stamps.semanticHash(), ts, max_rows, id(readings.sparkSession))
     if reuse:
         for seen, side, n in _SHIFT_TABLES.get(key, []):
-            if seen.sameSemantics(readings):
+            if seen.sameSemantics(stamps):
                 return side, n
-    intervals, n = _interval(readings, ts, max_rows)
+    intervals, n = _interval(stamps, ts, max_rows)
     checkpoint_dir(readings.sparkSession)
     cached = intervals.select(SERIES, "shift_seconds").persist()
     side = cached.checkpoint(eager=True)
     cached.unpersist()
-    _SHIFT_TABLES.setdefault(key, []).append((readings, side, n))
+    _SHIFT_TABLES.setdefault(key, []).append((stamps, side, n))
     return side, n
 
 
