@@ -43,3 +43,22 @@ def test_interval_side_is_sort_free(spark):
     r = registry.TQ.events_readings(spark, SF)
     p = _plan(clean.interval_table(r))
     assert "Window" not in p and "Sort " not in p
+
+
+def test_shift_side_table_broadcast_and_fallback(spark):
+    from pyspark.sql import functions as F
+    from loadgrid.config import DEFAULT
+    from loadgrid.operators import clean
+    r = registry.TQ.events_readings(spark, SF)
+    small = registry.TQ.events_load(spark, SF, "H")
+    plan = _plan(small)
+    assert "BroadcastHashJoin" in plan and "ExistingRDD" in plan
+    # above the bound the side table is not hinted for broadcast; same result
+    side, n = clean.shift_table(r, max_rows=2, reuse=False)
+    assert n == 6
+    big = registry.TQ.events_load(spark, SF, "H", DEFAULT.with_(broadcast_max_rows=2))
+    a = small.orderBy("series", "DateTimeStart").collect()
+    b = big.orderBy("series", "DateTimeStart").collect()
+    assert a == b
+    joined = clean.with_shift(r, None, max_rows=2)
+    assert joined.where(F.col("shift_seconds").isNull()).count() == 0
