@@ -65,6 +65,13 @@ def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] |
 _SHIFT_TABLES: dict[tuple, list[tuple[DataFrame, DataFrame, int]]] = {}
 
 
+def clear_side_tables() -> None:
+    """Forget the remembered shift tables (after input files were replaced in
+    place; like Spark's own cache, the memo is keyed by the plan, not by the
+    files' contents)."""
+    _SHIFT_TABLES.clear()
+
+
 def shift_table(readings: DataFrame, ts: str = "DateTime", max_rows: int = 2_000_000,
                 reuse: bool = True) -> tuple[DataFrame, int]:
     """(``series, shift_seconds`` written with a reliable checkpoint, number of

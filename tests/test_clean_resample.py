@@ -151,3 +151,14 @@ def test_drop_zero_view(mk):
     df = mk(rows).withColumn("DateTimeStart", F.col("DateTime"))
     assert clean.filtered_view(df).count() == 2
     assert clean.filtered_view(df, drop_zeros=True).count() == 1
+
+
+def test_side_table_memo_and_clear(mk):
+    rows = [("a", T(2024, 1, 1, 0, 15), 1.0), ("a", T(2024, 1, 1, 0, 30), 2.0)]
+    df = mk(rows)
+    s1, n1 = clean.shift_table(df)
+    s2, n2 = clean.shift_table(df)
+    assert s1 is s2 and n1 == n2 == 1
+    clean.clear_side_tables()
+    s3, _ = clean.shift_table(df)
+    assert s3 is not s1 and s3.collect()[0]["shift_seconds"] == 900
