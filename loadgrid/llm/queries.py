@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import best_fit_packing, exact_topk, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -13,5 +13,26 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLE: dict[str, str] = {}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, url_filters.rules_frame(spark, url_filters.RULES)).drop("url")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_output.packed_matrices(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = exact_topk.quantised(table(spark, sf_dir, "embeddings"))
+    return exact_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_best_fit_packing, op4_url_filters, op6_token_output,
+                                   op7_exact_topk)}
+ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE}
