@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, exact_topk, suffix_dedup, token_output, url_filters
+from . import best_fit_packing, exact_topk, minhash_dedup, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -23,6 +23,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, url_filters.rules_frame(spark, url_filters.RULES)).drop("url")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return minhash_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_output.packed_matrices(table(spark, sf_dir, "documents"))
@@ -33,6 +38,6 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_best_fit_packing, op4_url_filters, op6_token_output,
-                                   op7_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
+                                   op6_token_output, op7_exact_topk)}
 ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE}
