@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, exact_topk, minhash_dedup, suffix_dedup, token_output, url_filters
+from . import best_fit_packing, decontamination, exact_topk, minhash_dedup, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -38,6 +38,13 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")) \
+        .drop("doc_h", "item_h").distinct()
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
-                                   op6_token_output, op7_exact_topk)}
-ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE}
+                                   op6_token_output, op7_exact_topk, op10_decontamination)}
+ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
+          "op10_decontamination": decontamination.ORACLE}
