@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, decontamination, exact_topk, minhash_dedup, suffix_dedup, token_output, url_filters
+from . import best_fit_packing, decontamination, exact_topk, language_id, minhash_dedup, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -13,6 +13,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train, held_out = language_id.train_split(docs)
+    model = language_id.train(train)
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -44,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("doc_h", "item_h").distinct()
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
                                    op6_token_output, op7_exact_topk, op10_decontamination)}
 ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
           "op10_decontamination": decontamination.ORACLE}
