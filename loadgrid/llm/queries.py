@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, exact_topk, language_id, minhash_dedup, suffix_dedup, token_output, url_filters
+from . import best_fit_packing, decontamination, exact_topk, language_id, lm_scoring, minhash_dedup, pii, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -45,6 +46,17 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lm_scoring.remainder(F.col("doc_id"), 7)
+    held_out = F.coalesce(left == 2, F.lit(False))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out, F.coalesce(left != 2, F.lit(False)))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")) \
@@ -52,6 +64,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
-                                   op6_token_output, op7_exact_topk, op10_decontamination)}
+                                   op6_token_output, op7_exact_topk, op8_pii, op9_lm_scoring, op10_decontamination)}
 ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
           "op10_decontamination": decontamination.ORACLE}
