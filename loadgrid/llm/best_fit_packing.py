@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, staged, texts_of
+from .common import batch, prepare, staged, texts_of
 from .tokens import END_ID, MAX_TOKENS, RANKS, TOKENIZER, Ids, cuts, little_endian
 
 #: Pieces of one packing task.
@@ -55,6 +55,7 @@ def _pieces(tokenizer: str, ranks: str | None, end_id: int, limit: int):
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, end_id: int = END_ID,
            limit: int = MAX_TOKENS) -> DataFrame:
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _pieces(tokenizer, ranks, end_id, limit), PIECE_DDL)
 

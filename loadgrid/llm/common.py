@@ -45,8 +45,20 @@ def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, for helper columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def keep(df: DataFrame, *without: str) -> list:
+    """All columns of ``df`` but some."""
+    gone = {c.lower() for c in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
 
 
 def texts_of(col: pa.Array) -> list[str]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, prepare, staged, texts_of
+from .common import broadcast_below, fresh, prepare, staged, texts_of
 from .textkernels import U, chunks, distinct_per_text, mix, shingles
 
 SHINGLE, THRESHOLD, MISS, BITS = 5, 0.8, 1e-6, 23
@@ -175,10 +175,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item."""
+    d, h, i, k = fresh(docs, "__doc", "__h", "__id", "__k")
     bad = staged(contaminated(docs.select("doc_id", "text"), benchmark, **kw).select(
-        F.col("doc_id").alias("__id"), F.col("doc_h").alias("__k")).distinct(), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k"))
-    return docs.withColumn("__h", F.xxhash64("text")).join(broadcast_below(bad, MAX_KEYS), same, "left_anti").drop("__h")
+        F.col("doc_id").alias(i), F.col("doc_h").alias(k)).distinct(), "contaminated")
+    keyed = docs.withColumn(d, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64("text"))
+    return keyed.join(broadcast_below(bad, MAX_KEYS), F.col(d).eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)), "left_anti").drop(d, h)
 
 
 ORACLE = r"""

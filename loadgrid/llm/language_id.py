@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.functions import PandasUDFType
 
-from .common import broadcast_below, prepare, texts_of
+from .common import broadcast_below, fresh, keep, prepare, texts_of
 from .textkernels import chunks
 
 DIM, SAMPLE, CLUSTERS, RATIO, ITERATIONS = 4096, 1000, 4, 0.25, 12
@@ -189,13 +188,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(pd.DataFrame({"lang": lang, "score": score, "rejected": rejected}))
             yield pd.concat(out[1:] or out, ignore_index=True)
 
-    udf = F.pandas_udf(run, "lang string, score double, rejected boolean", PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(run, "lang string, score double, rejected boolean")
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected", "__p")]
-    return docs.withColumn("__p", udf(F.col("text"))).select(
-        *keep, F.when(known, F.col("__p.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(known, F.col("__p.score")).otherwise(0.0).alias("score"),
-        (~known | F.col("__p.rejected")).alias("rejected"))
+    (p,) = fresh(docs, "__p")
+    return docs.withColumn(p, udf(F.col("text"))).select(
+        *keep(docs, "lang_pred", "score", "rejected"), F.when(known, F.col(f"{p}.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, F.col(f"{p}.score")).otherwise(0.0).alias("score"), (~known | F.col(f"{p}.rejected")).alias("rejected"))
 
 
 def remainder(doc_id: Column, by: int) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, broadcast_below, staged, texts_of
+from .common import batch, broadcast_below, fresh, prepare, staged, texts_of
 from .textkernels import U, chunks, distinct_per_text, mix, shingles
 
 SHINGLE, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 30, 6
@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     """``docs(doc_id, text)`` -> (``doc_id, h, comp, class_id`` one row per
     input row, the verified links between contents). ``h``: xxhash64 of the
     text; ``comp``: the class's content key, null for texts without a word."""
+    prepare(docs.sparkSession)
     m = bands * band_rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     signed = staged(docs.select("doc_id", "h", "text").mapInArrow(
@@ -259,14 +260,15 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     rows, _ = near_duplicates(docs.select("doc_id", "text"), **kw)
     rows = staged(rows.where("comp IS NOT NULL"), "class-rows")
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("k"))
+    d, h, i, k = fresh(docs, "__doc", "__h", "__id", "__k")
     drop = staged(rows.join(first, "comp").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.h"))))
-                  .select(F.col("doc_id").alias("__id"), F.col("h").alias("__k")).distinct(), "dropped")
-    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k"))
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64("text"))
+                  .select(F.col("doc_id").alias(i), F.col("h").alias(k)).distinct(), "dropped")
+    same = F.col(d).eqNullSafe(F.col(i)) & (F.col(h) == F.col(k))
+    keyed = docs.withColumn(d, F.col("doc_id").cast("long")).withColumn(h, F.xxhash64("text"))
     kept = keyed.join(broadcast_below(drop, MAX_KEYS), same, "left_anti")
     twice = staged(rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.col("doc_id").alias("__id"), F.col("h").alias("__k")), "repeated")
+        F.col("doc_id").alias(i), F.col("h").alias(k)), "repeated")
     if twice.limit(1).count():      # a kept text whose very row repeats
-        once = kept.join(twice, same, "left_semi").dropDuplicates(["__doc", "__h"])
+        once = kept.join(twice, same, "left_semi").dropDuplicates([d, h])
         kept = kept.join(twice, same, "left_anti").unionByName(once)
-    return kept.drop("__doc", "__h")
+    return kept.drop(d, h)

@@ -29,9 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
-from .common import batch, broadcast_below, prepare, texts_of
+from .common import batch, broadcast_below, fresh, keep, prepare, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, HIDDEN, EMBED = 2000, 1500, 14, 16, 12
@@ -416,8 +415,7 @@ def _pattern_udf(shared, mask: bool):
                 rows.append((*n, joined(b) if not mask else None, joined(spans),
                              masked(text, spans) if mask and spans else None))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "masked"])
-    return F.pandas_udf(run, "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, masked string",
-                        PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, masked string")
 
 
 def find(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -433,10 +431,11 @@ def redact(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``[KIND]``; a column
     ``n_chars`` follows the new text. All rows stay."""
     udf = _pattern_udf(docs.sparkSession.sparkContext.broadcast(model), True)
-    new = docs.withColumn("__p", udf(F.col("text")))
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out["text"] = F.coalesce("__p.masked", "text")
+    (p,) = fresh(docs, "__p")
+    new = docs.withColumn(p, udf(F.col("text")))
+    out = dict(zip(docs.columns, keep(docs)))
+    out["text"] = F.coalesce(f"{p}.masked", "text")
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("__p.masked").isNotNull(), F.length("__p.masked")).otherwise(F.col("n_chars")) \
+        out["n_chars"] = F.when(F.col(f"{p}.masked").isNotNull(), F.length(f"{p}.masked")).otherwise(F.col("n_chars")) \
             .cast(docs.schema["n_chars"].dataType)
     return new.select(*[v.alias(c) for c, v in out.items()])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import prepare, texts_of
 from .tokens import END_ID, MAX_TOKENS, RANKS, TOKENIZER, Ids, cuts
 
 BLOCK_TOKENS, PAD_ID = 1 << 20, 0
@@ -127,6 +127,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | No
                     pad_id: int = PAD_ID) -> DataFrame:
     """One row per matrix row. ``dtype``: the ids' type, ``<u2`` for
     vocabularies below 65,536, else ``<u4``."""
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _rows(tokenizer, ranks, end_id, capacity, block_tokens, dtype, pad_id), DDL)
 

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_below
+from .common import broadcast_below, fresh, keep
 
 #: Rules as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -65,12 +65,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         (F.length("host") + F.length("path")).alias("n"), F.length("host").alias("n_host")), MAX_BROADCAST_RULES)
 
     host, path = host_and_path(F.col("url"))
-    pages = pages.withColumn("__host", host).withColumn("__path", path)
+    out = keep(pages, "host", "path", "rule", "verdict")
+    h, p, b = fresh(pages, "__host", "__path", "__best")
+    pages = pages.withColumn(h, host).withColumn(p, path)
     parts = F.split("__host", r"\.")
     n = F.least(F.size(parts), F.lit(labels))
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, -i, i), "."))
     fitting = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.length("__path"))
-    urls = pages.select("__host", "__path").distinct().where(F.length("__host") > 0)
+    urls = pages.select(F.col(h).alias("__host"), F.col(p).alias("__path")).distinct().where(F.length("__host") > 0)
     if not lengths:
         urls = urls.limit(0)
     hits = urls.select("__host", "__path", F.explode(suffixes).alias("s")) \
@@ -78,12 +80,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .withColumn("digest", _digest(F.col("s"), F.substr("__path", F.lit(1), F.col("x")))) \
         .withColumn("key", F.substring("digest", 1, PREFIX)) \
         .join(keyed, "key").where("digest = r_digest")
-    best = hits.groupBy("__host", "__path").agg(F.max(F.struct(
-        "n", "n_host", (F.col("r_verdict") == "block").alias("blocks"), "rule", "r_verdict")).alias("best"))
-    return pages.join(best, ["__host", "__path"], "left").select(
-        *[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "__host", "__path")],
-        F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("best.rule").alias("rule"),
-        F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy(F.col("__host").alias(h), F.col("__path").alias(p)).agg(F.max(F.struct(
+        "n", "n_host", (F.col("r_verdict") == "block").alias("blocks"), "rule", "r_verdict")).alias(b))
+    return pages.join(best, [h, p], "left").select(
+        *out, F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{b}.rule").alias("rule"),
+        F.coalesce(f"{b}.r_verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""
