@@ -7,7 +7,7 @@ state. Defaults are ours (the original ships no parameter file).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Resolution codes understood by the resampler and the period operators.
 PERIODS = ("H", "D", "W", "M", "Q", "Y")
@@ -49,9 +49,9 @@ class LoadConfig:
     percent_mode: str = "reference"
     # block used to split one series for the fill windows (see operators.fill)
     fill_block: str = "day"
-    # largest per-series / per-key side that is broadcast after a size check
-    broadcast_max_rows: int = 2_000_000
-    extra: dict = field(default_factory=dict)
+    # largest per-series / per-key side that is broadcast after a check of its
+    # rows and bytes (64 a row: about 32 MB)
+    broadcast_max_rows: int = 500_000
 
     def with_(self, **kw) -> "LoadConfig":
         return replace(self, **kw)

@@ -2,10 +2,10 @@
 
 The holiday calendar is an input table with one ``date`` column (at most one
 row per calendar day of the covered years). No broadcast is forced: a list
-built with :func:`holidays_frame` is a local relation whose exact size the
-planner knows, so Catalyst broadcasts it under
-``spark.sql.autoBroadcastJoinThreshold``; a stored calendar is judged by its
-file statistics, and a large one falls back to a shuffle join.
+built with :func:`holidays_frame` is an inline relation whose size the planner
+knows, so Catalyst broadcasts it under ``spark.sql.autoBroadcastJoinThreshold``
+and the load is not shuffled; a stored calendar is judged by its file
+statistics, and a large one falls back to a shuffle join.
 """
 
 from __future__ import annotations
@@ -30,8 +30,18 @@ def holidays_frame(spark: SparkSession, dates: Iterable) -> DataFrame:
             d = dt.date.fromisoformat(d)
         elif isinstance(d, dt.datetime):
             d = d.date()
-        rows.append((d,))
-    return spark.createDataFrame(rows, HOLIDAY_SCHEMA)
+        rows.append(d)
+    return inline_values(spark, rows, "date", HOLIDAY_SCHEMA["date"].dataType)
+
+
+def inline_values(spark: SparkSession, values: list, name: str, dtype: T.DataType) -> DataFrame:
+    """A one-column table of literals. Unlike a table made from a Python list
+    through an RDD, its size is known to the planner, which broadcasts it."""
+    if not values:
+        return spark.createDataFrame([], T.StructType([T.StructField(name, dtype, False)]))
+    kind = dtype.simpleString()
+    texts = ", ".join("(CAST('" + str(v).replace("\\", "\\\\").replace("'", "\\'") + f"' AS {kind}))" for v in values)
+    return spark.sql(f"SELECT * FROM VALUES {texts} AS t(`{name}`)")
 
 
 def in_weekmask(c, weekmask: Iterable[int]) -> Column:
@@ -65,7 +75,7 @@ def filter_business_days(df: DataFrame, mode: int, ts: str = "DateTimeStart",
     if mode == 0:
         return df
     if mode not in (1, 2):
-        raise ValueError(f"Input {mode} is an invalid input!")
+        raise ValueError(f"business-day mode must be 0, 1 or 2, got {mode!r}")
     mask = in_weekmask(F.col(ts), weekmask)
     if mode == 1:
         out = df.where(mask)
@@ -86,4 +96,4 @@ def filter_business_hours(df: DataFrame, mode: int, ts: str = "DateTimeStart",
         return df.where(business_hours_pred(F.col(ts), hours))
     if mode == 2:
         return df.where(~business_hours_pred(F.col(ts), hours))
-    raise ValueError(f"Input {mode} is an invalid input!")
+    raise ValueError(f"business-hour mode must be 0, 1 or 2, got {mode!r}")

@@ -2,7 +2,7 @@
 
 Per-series side tables (sampling interval, block offsets) are small in
 practice but their size grows with the number of meters. They are broadcast
-only after their row count has been checked against a bound; beyond it the
+only after their row count and bytes have been checked against a bound; beyond it the
 join stays a shuffle join (and AQE's skew handling splits a hot key on the
 large side).
 
@@ -22,22 +22,27 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+#: Bytes that a row of a broadcast side table may have on average.
+ROW_BYTES = 64
+
+
 def materialize_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Checkpoint ``df``; mark it for broadcast when it has at most
-    ``max_rows`` rows."""
+    ``max_rows`` rows and ``max_rows * ROW_BYTES`` bytes."""
+    ck = written(df)
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) if t == "string" else F.lit(16)
+                 for c, t in ck.dtypes), F.lit(0))
+    n, size = ck.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(ck) if n <= max_rows and size <= max_rows * ROW_BYTES else ck
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once by a reliable checkpoint (persisted first, so that
+    its rows are computed once)."""
     checkpoint_dir(df.sparkSession)
-    # persisted first so the checkpoint writes the rows the count computed
-    # instead of computing them a second time
     cached = df.persist()
     ck = cached.checkpoint(eager=True)
     cached.unpersist()
-    n = ck.limit(max_rows + 1).count()
-    return F.broadcast(ck) if n <= max_rows else ck
-
-
-# name kept for callers
-broadcast_if_small = materialize_small
+    return ck
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 2_000_000) -> DataFrame:
-    return big.join(materialize_small(small, max_rows), on=on, how=how)

@@ -20,21 +20,21 @@ def period_word(period: str) -> str:
     try:
         return PERIOD_WORDS[period]
     except KeyError:
-        raise ValueError(f"Input {period} is an invalid input!") from None
+        raise ValueError(f"unknown period {period!r}; known: {', '.join(PERIOD_WORDS)}") from None
 
 
 def bday_label(code: int) -> str:
     try:
         return BDAY_LABELS[code]
     except KeyError:
-        raise ValueError(f"Input {code} is an invalid input!") from None
+        raise ValueError(f"business-day mode must be 0, 1 or 2, got {code!r}") from None
 
 
 def bhour_label(code: int) -> str:
     try:
         return BHOUR_LABELS[code]
     except KeyError:
-        raise ValueError(f"Input {code} is an invalid input!") from None
+        raise ValueError(f"business-hour mode must be 0, 1 or 2, got {code!r}") from None
 
 
 def rows_group(period: str) -> str:
@@ -42,7 +42,7 @@ def rows_group(period: str) -> str:
     return f"{period_word(period)}_Energy_Hourly_Stats"
 
 
-def parse_name(name: str) -> str:
+def table_key(name: str) -> str:
     """Trim and replace inner runs of white space by ``_``."""
     return re.sub(r"\s+", "_", name.strip())
 
@@ -51,7 +51,7 @@ def series_name_from_file(file_name: str, period: str | None = None, default_per
     """Series key from a file name: drop the extension, trim, white space to
     ``_``, and append ``_period_<p>`` for a non-default period."""
     base = file_name.rsplit(".", 1)[0] if "." in file_name else file_name
-    name = parse_name(base)
+    name = table_key(base)
     if period is not None and period != default_period:
         name = f"{name}_period_{period}"
     return name

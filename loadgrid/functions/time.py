@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import PERIODS
+from ..session import require_utc
 
 _TRUNC_UNIT = {"H": "hour", "D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 _STEP_SQL = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAYS",
@@ -22,6 +23,8 @@ _MIN_RE = re.compile(r"^\s*(\d+)\s*(min|t|minutes?)\s*$", re.I)
 
 
 def ntz(c: Column) -> Column:
+    """Cast back to wall time; only right where the session zone is UTC."""
+    require_utc()
     return c.cast("timestamp_ntz")
 
 
@@ -82,11 +85,6 @@ def period_label(start, period: str) -> Column:
     return ntz(F.make_date(F.year(s), F.lit(12), F.lit(31)))
 
 
-def label_to_start(label, period: str) -> Column:
-    """Inverse of :func:`period_label` (period start of a bin label)."""
-    return period_start(label, period)
-
-
 def step_sql(period: str) -> str:
     kind, n = parse_resolution(period)
     return f"INTERVAL {n} MINUTES" if kind == "min" else _STEP_SQL[kind]
@@ -140,10 +138,6 @@ def shift_seconds(c, secs) -> Column:
     return F.timestamp_add("SECOND", s, col_(c))
 
 
-def iso_week(c) -> Column:
-    return F.weekofyear(col_(c))
-
-
 def weekday_mon0(c) -> Column:
     """Day of week with Monday = 0 ... Sunday = 6."""
     return F.weekday(col_(c))

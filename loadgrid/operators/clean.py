@@ -9,20 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..functions.joins import materialize_small
 from ..functions.time import seconds_between, shift_seconds
 
 SERIES = "series"
 
 
-def _interval(readings: DataFrame, ts: str, max_rows: int) -> tuple[DataFrame, int]:
-    """(interval table, number of series). The first stamps are cached and
-    counted once; the count bounds every per-series side table."""
+def interval_table(readings: DataFrame, ts: str = "DateTime", max_rows: int = 500_000) -> DataFrame:
+    """Sampling interval of every series from its first two readings (the two
+    earliest stamps; equal stamps give a zero interval).
+
+    Returns ``series, delta_seconds, interval_hours, interval_minutes,
+    shift_seconds``. Like the original, only the hours and minutes of the
+    time-of-day part count (whole days are dropped), so a daily or coarser
+    series has shift 0. A one-row series has no interval (shift 0).
+
+    Two hash aggregations and no sort: the earliest stamp per series, then --
+    joined back, by broadcast if a count of the written table allows it --
+    the number of rows at it and the earliest later stamp. The result belongs
+    to the readings it was made from; callers that load the same meters again
+    keep it and pass it to :func:`with_shift`.
+    """
     r = readings.select(SERIES, F.col(ts).alias("__ts")).where(F.col("__ts").isNotNull())
-    first = r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")).cache()
-    n = first.count()
-    side = F.broadcast(first) if n <= max_rows else first
-    g = (r.join(side, SERIES, "inner")
+    first = materialize_small(r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")), max_rows)
+    g = (r.join(first, SERIES, "inner")
           .groupBy(SERIES, "__t1")
           .agg(F.count_if(F.col("__ts") == F.col("__t1")).alias("__n1"),
                F.min(F.when(F.col("__ts") > F.col("__t1"), F.col("__ts"))).alias("__gt")))
@@ -31,84 +41,24 @@ def _interval(readings: DataFrame, ts: str, max_rows: int) -> tuple[DataFrame, i
     sod = F.pmod(delta, F.lit(86400))
     hours = F.floor(sod / 3600).cast("int")
     minutes = F.pmod(F.floor(sod / 60), F.lit(60)).cast("int")
-    iv = g.select(
+    return g.select(
         SERIES,
         delta.alias("delta_seconds"),
         F.coalesce(hours, F.lit(0)).alias("interval_hours"),
         F.coalesce(minutes, F.lit(0)).alias("interval_minutes"),
         F.coalesce(hours * 3600 + minutes * 60, F.lit(0)).cast("long").alias("shift_seconds"))
-    return iv, n
 
 
-def interval_table(readings: DataFrame, ts: str = "DateTime", order: list[str] | None = None,
-                   max_rows: int = 2_000_000) -> DataFrame:
-    """Sampling interval of every series from its first two readings (the two
-    earliest stamps; equal stamps give a zero interval).
-
-    Returns ``series, delta_seconds, interval_hours, interval_minutes,
-    shift_seconds``. Like the original, only the hours and minutes of the
-    time-of-day part count (whole days are dropped), so a daily or coarser
-    series has shift 0. A one-row series has no interval (shift 0).
-
-    Two hash aggregations and no sort: the earliest stamp per series, then --
-    joined back through a size-checked broadcast -- the number of rows at it
-    and the earliest later stamp. ``order`` is accepted for symmetry with the
-    fill operators; only the sorted stamps matter here.
-    """
-    return _interval(readings, ts, max_rows)[0]
-
-
-# Checkpointed shift tables of readings already seen in this session, keyed
-# by the readings' plan (semantic hash), stamp column and broadcast bound:
-# commands run again over the same readings reuse the written side table, as
-# the original keeps a loaded series' properties with the loaded table.
-_SHIFT_TABLES: dict[tuple, list[tuple[DataFrame, DataFrame, int]]] = {}
-
-
-def clear_side_tables() -> None:
-    """Forget the remembered shift tables (after input files were replaced in
-    place; like Spark's own cache, the memo is keyed by the plan, not by the
-    files' contents)."""
-    _SHIFT_TABLES.clear()
-
-
-def shift_table(readings: DataFrame, ts: str = "DateTime", max_rows: int = 2_000_000,
-                reuse: bool = True) -> tuple[DataFrame, int]:
-    """(``series, shift_seconds`` written with a reliable checkpoint, number of
-    series). The checkpoint cuts the lineage (AQE can then reuse the big
-    side's shuffles when one load feeds several aggregations) and survives
-    executor loss."""
-    # the table depends on the meter keys and stamps only, so readings that
-    # differ in their value column (or other columns) share it
-    stamps = readings.select(SERIES, ts)
-    key = (stamps.semanticHash(), ts, max_rows, id(readings.sparkSession))
-    if reuse:
-        for seen, side, n in _SHIFT_TABLES.get(key, []):
-            if seen.sameSemantics(stamps):
-                return side, n
-    intervals, n = _interval(stamps, ts, max_rows)
-    checkpoint_dir(readings.sparkSession)
-    cached = intervals.select(SERIES, "shift_seconds").persist()
-    side = cached.checkpoint(eager=True)
-    cached.unpersist()
-    _SHIFT_TABLES.setdefault(key, []).append((stamps, side, n))
-    return side, n
-
-
-def with_shift(readings: DataFrame, intervals: DataFrame | None = None, max_rows: int = 2_000_000,
-               ts: str = "DateTime", reuse: bool = True) -> DataFrame:
-    """Attach ``shift_seconds`` of each series; the per-series side table is
-    broadcast when the series count is within ``max_rows``, else joined by a
-    shuffle join."""
-    if intervals is None:
-        side, n = shift_table(readings, ts, max_rows, reuse)
-    else:
-        checkpoint_dir(readings.sparkSession)
-        side = intervals.select(SERIES, "shift_seconds").checkpoint(eager=True)
-        n = side.limit(max_rows + 1).count()
-    side = F.broadcast(side) if n <= max_rows else side
-    return readings.join(side, SERIES, "left") \
-                   .withColumn("shift_seconds", F.coalesce(F.col("shift_seconds"), F.lit(0).cast("long")))
+def with_shift(readings: DataFrame, intervals: DataFrame | None = None, max_rows: int = 500_000,
+               ts: str = "DateTime") -> DataFrame:
+    """Attach ``shift_seconds`` of each series, from ``intervals`` or inferred
+    from the readings. The per-series table is written once (a lost executor
+    rereads it) and broadcast if its count allows it, else joined by a
+    shuffle. A meter without an entry is an error, not a meter without shift."""
+    side = materialize_small((interval_table(readings, ts, max_rows) if intervals is None else intervals)
+                             .select(SERIES, "shift_seconds"), max_rows)
+    missing = F.raise_error(F.concat(F.lit("no sampling interval is known for meter "), F.col(SERIES))).cast("long")
+    return readings.join(side, SERIES, "left").withColumn("shift_seconds", F.coalesce(F.col("shift_seconds"), missing))
 
 
 def shift_to_start(df: DataFrame, ts: str = "DateTime", out: str = "t") -> DataFrame:

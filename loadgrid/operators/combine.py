@@ -18,11 +18,14 @@ def group_loads(load: DataFrame, names: list[str], name: str = "Grouped") -> Dat
     n = len(names)
     if n == 0:
         raise ValueError("no loads given")
+    if len(set(names)) != n:
+        raise ValueError("a load is listed twice")
+    each = F.array(*[F.count_if(F.col(SERIES) == F.lit(x)) for x in names])
     g = (load.where(F.col(SERIES).isin(list(names)))
              .groupBy("DateTimeStart")
-             .agg(F.count(F.lit(1)).alias("__n"),
+             .agg(F.count(F.lit(1)).alias("__n"), F.array_max(each).alias("__own"),
                   F.sum(F.coalesce(F.col("Energy"), F.lit(0.0))).alias("Energy")))
-    keep = F.when(F.col("__n") > n, F.raise_error(F.lit("duplicate timestamps in a load: cannot group loads"))) \
+    keep = F.when(F.col("__own") > 1, F.raise_error(F.lit("a load holds a stamp twice: loads can't be grouped")).cast("boolean")) \
             .otherwise(F.col("__n") == n)
     return g.where(keep).select(F.lit(name).alias(SERIES), "DateTimeStart",
                                 shift_seconds("DateTimeStart", 3600).alias("DateTime"),

@@ -1,7 +1,7 @@
 """Pairwise comparison of statistics, distributions and typical days.
 
 Every pairing here is one-to-one: a row meets at most one partner, found by an
-equi-join on an integer period key or by a ``lag`` window. Pairing every
+equi-join on an integer period key. Pairing every
 period with every other period (the original's "outer" and self comparisons)
 would emit all pairs, which this library does not do; instead a comparison
 names its partner: the same period (``inner``), the period ``offset`` steps
@@ -11,11 +11,11 @@ earlier (``shifted``), or the same calendar slot ``offset`` cycles earlier
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as MX
-from ..session import checkpoint_dir
+from ..functions.joins import written
 from ..functions.naming import rows_group, stat_col
 from ..functions.time import period_ordinal
 from .typical_day import GROUP_KEYS, PeriodNotSupported
@@ -23,14 +23,6 @@ from .typical_day import GROUP_KEYS, PeriodNotSupported
 SERIES = "series"
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Write an aggregated table once (reliable checkpoint in the shared
-    folder) before it meets itself in a join, so both sides read it instead
-    of recomputing the aggregation from the loads."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _suffixed(df: DataFrame, sfx: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{c}{sfx}") for c in df.columns])
 
@@ -66,7 +58,7 @@ def _stats_metrics(period: str, mode: str) -> list[Column]:
     R = rows_group(period)
 
     def c(group, stat, side):
-        return F.col(f"{stat_col(group, stat)}_{side}")
+        return F.col(f"`{stat_col(group, stat)}_{side}`")
 
     def pair(group, stat):
         return c(group, stat, 1), c(group, stat, 2)
@@ -117,18 +109,22 @@ def _stats_metrics(period: str, mode: str) -> list[Column]:
 
 
 def compare_stats(left: DataFrame, right: DataFrame, period: str, how: str = "inner", offset: int = 1,
-                  percent_mode: str = "reference", match_series: bool = False) -> DataFrame:
-    """Join two statistics tables of the same period and add the difference
-    and percent columns. ``match_series`` also requires equal ``series`` (all
-    meters of one table against their own history in one job)."""
+                  percent_mode: str = "reference") -> DataFrame:
+    """Join two statistics tables of the same period, meter by meter, and add
+    the difference and percent columns. A row meets one partner at most; two
+    different meters are compared by :func:`compare_series`."""
+    return _compare(left, right, period, how, offset, percent_mode, True)
+
+
+def _compare(left, right, period, how, offset, percent_mode, match_series: bool) -> DataFrame:
     need = stat_col(rows_group(period), "sum")
     for side in (left, right):
         if need not in side.columns:
-            raise ValueError(f"Periods must be equal: both tables need {period!r} statistics ({need})")
+            raise ValueError(f"both tables must hold {period!r} statistics ({need})")
     if how == "inner":
         offset = 0
     if left is right:
-        left = right = materialized(left)
+        left = right = written(left)
     L, R = _suffixed(left, "_1"), _suffixed(right, "_2")
     lk = _pair_keys(period, how, offset, F.col("period_start_1"), True)
     rk = _pair_keys(period, how, offset, F.col("period_start_2"), False)
@@ -149,11 +145,12 @@ def compare_stats(left: DataFrame, right: DataFrame, period: str, how: str = "in
 
 def compare_series(stats: DataFrame, left_series: str, right_series: str, period: str, how: str = "inner",
                    offset: int = 1, percent_mode: str = "reference") -> DataFrame:
-    """Two meters of one statistics table against each other; the table is
-    written once and both sides read it."""
-    st = materialized(stats)
-    return compare_stats(st.where(F.col(SERIES) == left_series), st.where(F.col(SERIES) == right_series),
-                         period, how, offset, percent_mode)
+    """Two meters of one statistics table against each other. The table is
+    cut to the two before it is written (the filter reaches the load's scan),
+    and both sides read the written rows."""
+    st = written(stats.where(F.col(SERIES).isin(left_series, right_series)))
+    return _compare(st.where(F.col(SERIES) == left_series), st.where(F.col(SERIES) == right_series),
+                    period, how, offset, percent_mode, False)
 
 
 def _dist_loads(dist: DataFrame) -> list[str]:
@@ -166,7 +163,7 @@ def compare_distribution(dist: DataFrame, period: str, offset: int = 1,
     steps earlier (self equi-join on the period index; the table, one row per
     period, is written once first)."""
     loads = _dist_loads(dist)
-    dist = materialized(dist)
+    dist = written(dist)
 
     def ren(df, sfx):
         cols = []
@@ -196,24 +193,28 @@ def compare_distribution(dist: DataFrame, period: str, offset: int = 1,
 
 def compare_typical_day(td: DataFrame, period: str, offset: int = 1,
                         percent_mode: str = "reference") -> DataFrame:
-    """Every group of a typical-day table against the group ``offset``
-    positions earlier at the same hour (``lag`` over ``(series, hour)``).
-    ``x`` is the group, ``y`` its partner."""
+    """Every group of a typical-day table against the group of the same hour
+    ``offset`` periods earlier. The period is that of the group's
+    ``first_day``: a missing week has no partner, and the year's end is a
+    week like any other. A week cut by a month's end has two groups; as a
+    partner it stands for the later one (the earlier one for a negative
+    offset). ``x`` is the group, ``y`` its partner."""
     if period == "no_period":
         raise PeriodNotSupported("a whole-range typical day has nothing to compare with")
     if period not in GROUP_KEYS:
-        raise PeriodNotSupported(f"Period not supported: {period!r}")
+        raise PeriodNotSupported(f"typical days are compared by {sorted(k for k in GROUP_KEYS if len(k) == 1)}, not by {period!r}")
     keys = list(GROUP_KEYS[period])
     stats = [c for c in td.columns if c.startswith("Energy__")]
-    w = Window.partitionBy(SERIES, "hour").orderBy(*keys)
-
-    def partner(c):
-        return F.lag(c, offset).over(w) if offset >= 0 else F.lead(c, -offset).over(w)
-
-    cols = [F.col(SERIES), F.col("hour")]
-    cols += [F.col(k).alias(f"{k}_1") for k in keys] + [partner(k).alias(f"{k}_2") for k in keys]
-    cols += [F.col(s).alias(f"{s}_1") for s in stats] + [partner(s).alias(f"{s}_2") for s in stats]
-    p = td.select(*cols).where(F.col(f"{keys[0]}_2").isNotNull())
+    td = written(td)
+    at = period_ordinal(F.col("first_day").cast("timestamp_ntz"), period)
+    left = td.select(F.col(SERIES), F.col("hour"), (at - F.lit(offset)).alias("__k"),
+                     *[F.col(c).alias(f"{c}_1") for c in (*keys, *stats)])
+    pick = F.max_by if offset >= 0 else F.min_by
+    right = td.groupBy(F.col(SERIES).alias("__s"), F.col("hour").alias("__h"), at.alias("__r")).agg(
+        pick(F.struct(*keys, *stats), F.col("first_day")).alias("__y"))
+    p = left.join(right, (F.col(SERIES) == F.col("__s")) & (F.col("hour") == F.col("__h")) & (F.col("__k") == F.col("__r")))
+    p = p.select(SERIES, "hour", *[f"{k}_1" for k in keys], *[F.col(f"__y.{k}").alias(f"{k}_2") for k in keys],
+                 *[f"{c}_1" for c in stats], *[F.col(f"__y.{c}").alias(f"{c}_2") for c in stats])
     a, b = F.col("Energy__mean_1"), F.col("Energy__mean_2")
     pc = MX.pct_consistent if percent_mode == "consistent" else MX.pct_over_100a
     hour = F.col("hour")

@@ -2,8 +2,8 @@
 
 Long form throughout: the loads are rows of one table, so N loads cost one
 aggregation, not N aggregations and an N-way join. The wide output
-(``<load>__sum`` ...) is a conditional aggregation over the known load names
--- what ``pivot`` does, without its extra distinct-values pass.
+(``<load>__sum`` ...) is made from the aggregated rows, one per period and
+load, over the known load names.
 """
 
 from __future__ import annotations
@@ -21,14 +21,18 @@ OTHER = "other_loads"
 
 
 def common_stamps(view: DataFrame, n_loads: int, ts: str = "DateTimeStart") -> DataFrame:
-    """Rows at stamps present in all ``n_loads`` loads. A stamp seen more often
-    than once per load is an error, not a double count (SURVEY Q17). The
-    window is partitioned by the stamp: at most ``n_loads`` rows each."""
-    c = F.count(F.lit(1)).over(Window.partitionBy(ts))
-    keep = F.when(F.col("__c") > n_loads,
-                  F.raise_error(F.lit("duplicate timestamps in a load: cannot align loads"))) \
+    """Rows at stamps present in all ``n_loads`` loads. A stamp that a load
+    holds twice is an error, not a double count (SURVEY Q17). The windows are
+    partitioned by the stamp: at most ``n_loads`` rows each."""
+    rows = F.count(F.lit(1)).over(Window.partitionBy(ts))
+    own = F.count(F.lit(1)).over(Window.partitionBy(ts, SERIES))
+    keep = F.when(F.col("__own") > 1, F.raise_error(F.lit("a load holds a stamp twice: loads can't be aligned")).cast("boolean")) \
             .otherwise(F.col("__c") == n_loads)
-    return view.withColumn("__c", c).where(keep).drop("__c")
+    return view.withColumn("__c", rows).withColumn("__own", own).where(keep).drop("__c", "__own")
+
+
+def _c(load: str, stat: str):
+    return F.col(f"`{load}__{stat}`")
 
 
 def energy_distribution(view: DataFrame, loads: list[str], period: str = "M", resolution: str = "H",
@@ -51,33 +55,22 @@ def energy_distribution(view: DataFrame, loads: list[str], period: str = "M", re
     if same_count:
         v = common_stamps(v, len(loads))
     e = F.col("Energy")
-    aggs, present = [], []
-    for ld in loads:
-        m = F.col(SERIES) == F.lit(ld)
-        aggs += [F.coalesce(F.sum(F.when(m, e)), F.lit(0.0)).alias(f"{ld}__sum"),
-                 F.avg(F.when(m, e)).alias(f"{ld}__mean"),
-                 F.count(F.when(m, e)).alias(f"{ld}__count"),
-                 F.count(F.when(m, F.lit(1))).alias(f"__p_{ld}")]
-        present.append(F.col(f"__p_{ld}") > 0)
-    out = v.groupBy(period_start(F.col("DateTimeStart"), period).alias("period_start")).agg(*aggs)
-    cond = present[0]
-    for p in present[1:]:
-        cond = cond & p
-    out = out.where(cond).drop(*[f"__p_{ld}" for ld in loads])
+    long = v.groupBy(period_start(F.col("DateTimeStart"), period).alias("period_start"), SERIES).agg(
+        F.coalesce(F.sum(e), F.lit(0.0)).alias("sum"), F.avg(e).alias("mean"), F.count(e).alias("count"))
+    aggs = [F.max(F.when(F.col(SERIES) == F.lit(ld), F.col(k))).alias(f"{ld}__{k}")
+            for ld in loads for k in ("sum", "mean", "count")]
+    out = long.groupBy("period_start").agg(F.count(F.lit(1)).alias("__loads"), *aggs) \
+        .where(F.col("__loads") == len(loads)).drop("__loads")
     if not total_first:
         return out
-    first = F.col(f"{loads[0]}__sum")
-    cols = ["period_start"]
+    first = _c(loads[0], "sum")
+    cols = [F.col("period_start")]
     for ld in loads:
-        cols += [f"{ld}__sum", f"{ld}__mean", f"{ld}__count"]
-        out = out.withColumn(f"{ld}__percentage", share(F.col(f"{ld}__sum"), first))
-        cols.append(f"{ld}__percentage")
-    sum_all = sum((F.col(f"{ld}__sum") for ld in loads), F.lit(0.0))
-    mean_all = sum((F.col(f"{ld}__mean") for ld in loads), F.lit(0.0))
-    out = (out.withColumn(f"{OTHER}__sum", F.lit(2.0) * first - sum_all)
-              .withColumn(f"{OTHER}__mean", F.lit(2.0) * F.col(f"{loads[0]}__mean") - mean_all))
-    out = out.withColumn(f"{OTHER}__percentage", share(F.col(f"{OTHER}__sum"), first))
-    return out.select(*cols, f"{OTHER}__sum", f"{OTHER}__mean", f"{OTHER}__percentage")
+        cols += [_c(ld, "sum"), _c(ld, "mean"), _c(ld, "count"), share(_c(ld, "sum"), first).alias(f"{ld}__percentage")]
+    rest = F.lit(2.0) * first - sum((_c(ld, "sum") for ld in loads), F.lit(0.0))
+    mean = F.lit(2.0) * _c(loads[0], "mean") - sum((_c(ld, "mean") for ld in loads), F.lit(0.0))
+    return out.select(*cols, rest.alias(f"{OTHER}__sum"), mean.alias(f"{OTHER}__mean"),
+                      share(rest, first).alias(f"{OTHER}__percentage"))
 
 
 def distribution_loads(loads: list[str], total_first: bool) -> list[str]:

@@ -11,8 +11,8 @@ task. The fill is therefore done in two levels:
 2. a small per-block summary (row count, first and last non-missing value with
    its position) is windowed per series to get each block's row offset and the
    nearest non-missing values in earlier / later blocks;
-3. the summary is joined back on ``(series, block)``; the big side is already
-   partitioned by that key, so only the summary moves.
+3. the summary is joined back on ``(series, block)``. The blocked rows are
+   written once to the shared folder, as both steps read them.
 
 Interpolation follows the original: linear in the row position (not in time),
 leading gaps stay missing, trailing gaps take the last value.
@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import written
 from ..functions.time import col_, ntz
 
 SERIES = "series"
@@ -51,16 +52,21 @@ def _neighbours(df: DataFrame, ts: str, value: str, order: list[str], block: str
     return (d.withColumn("__pv", F.last(v, True).over(run_f))
              .withColumn("__pp", F.last(nn_pos, True).over(run_f))
              .withColumn("__nv", F.last(v, True).over(run_r))
-             .withColumn("__np", F.last(nn_pos, True).over(run_r)))
-
-
-def _block_summary(d: DataFrame, value: str) -> DataFrame:
-    v = F.col(value)
-    nn = F.when(v.isNotNull(), F.struct(F.col("__pos").alias("p"), v.alias("v")))
-    s = d.groupBy(SERIES, "__blk").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.max(nn).alias("__last"),
-        F.min(nn).alias("__first"))
+             .withColumn("__np", F.last(nn_pos, True).over(run_r))
+             .withColumn("__rpos", F.row_number().over(rev)))
+
+
+def _block_summary(d: DataFrame) -> DataFrame:
+    """Per block: rows, and the first and last non-missing value with their
+    positions, which the running windows hold at the block's ends. Typed
+    max over at most two rows of a block: a hash aggregation."""
+    at_start, at_end = F.col("__pos") == 1, F.col("__rpos") == 1
+    s = d.where(at_start | at_end).groupBy(SERIES, "__blk").agg(
+        F.max("__pos").alias("__n"), F.max(F.when(at_end, F.col("__pp"))).alias("__lp"),
+        F.max(F.when(at_end, F.col("__pv"))).alias("__lv"), F.max(F.when(at_start, F.col("__np"))).alias("__fp"),
+        F.max(F.when(at_start, F.col("__nv"))).alias("__fv"))
+    s = (s.withColumn("__last", F.when(F.col("__lp").isNotNull(), F.struct(F.col("__lp").alias("p"), F.col("__lv").alias("v"))))
+          .withColumn("__first", F.when(F.col("__fp").isNotNull(), F.struct(F.col("__fp").alias("p"), F.col("__fv").alias("v")))))
     ws = Window.partitionBy(SERIES).orderBy("__blk")
     wr = Window.partitionBy(SERIES).orderBy(F.col("__blk").desc())
     s = s.withColumn("__off", F.coalesce(F.sum("__n").over(ws.rowsBetween(_UNB, -1)), F.lit(0)).cast("long"))
@@ -82,8 +88,10 @@ def fill_gaps(df: DataFrame, ts: str = "t", value: str = "Energy", *, interpolat
     fill, then back fill."""
     order = [ts] + [c for c in (order or []) if c != ts]
     cols = df.columns
-    d = _neighbours(df, ts, value, order, block)
-    s = _block_summary(d, value)
+    # written once: the summary and the join back read the same blocked rows
+    # instead of scanning, shuffling and sorting the readings twice
+    d = written(_neighbours(df, ts, value, order, block))
+    s = _block_summary(d)
     j = d.join(s, [SERIES, "__blk"], "left")
     v = F.col(value)
     gpos = F.col("__off") + F.col("__pos")

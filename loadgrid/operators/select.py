@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, LoadConfig
-from ..functions.calendar import filter_business_days, filter_business_hours
+from ..functions.calendar import filter_business_days, filter_business_hours, inline_values
 
 SERIES = "series"
 
@@ -60,34 +60,32 @@ def _as_datetime(v) -> dt.datetime:
     return v
 
 
-def _keys_frame(spark: SparkSession, values: Iterable, name: str, dtype: T.DataType) -> DataFrame:
+#: Lists of up to so many keys are a literal predicate; longer ones a semi join.
+MAX_LITERALS = 1000
+
+
+def select_keys(df: DataFrame, key: str, values: Iterable, *, by_day: bool = False) -> DataFrame:
+    """Rows whose ``key`` is in ``values``. With ``by_day`` the values are
+    dates and every row of those days is kept (for hourly tables). A picked
+    list is a predicate on the row, so nothing is shuffled; a list of more
+    than ``MAX_LITERALS`` keys is an inline relation of known size."""
+    dtype = T.DateType() if by_day else df.schema[key].dataType
     vals = list(values)
     if isinstance(dtype, T.DateType):
         vals = [_as_date(v) for v in vals]
     elif isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
         vals = [_as_datetime(v) for v in vals]
-    return spark.createDataFrame([(v,) for v in vals], T.StructType([T.StructField(name, dtype, True)]))
+    c = F.to_date(F.col(f"`{key}`")) if by_day else F.col(f"`{key}`")
+    if len(vals) <= MAX_LITERALS:
+        return df.where(c.isin([F.lit(v).cast(dtype) for v in vals]) if vals else F.lit(False))
+    return df.join(inline_values(df.sparkSession, vals, "__k", dtype), c == F.col("__k"), "left_semi")
 
 
-def select_keys(df: DataFrame, key: str, values: Iterable, *, by_day: bool = False) -> DataFrame:
-    """Rows whose ``key`` is in ``values`` (semi join). With ``by_day`` the
-    values are dates and every row of those days is kept (for hourly
-    tables). The key list is a local relation, so its size is known to the
-    planner and it is broadcast."""
-    spark = df.sparkSession
-    if by_day:
-        keys = _keys_frame(spark, values, "__k", T.DateType())
-        return df.join(keys, F.to_date(F.col(key)) == F.col("__k"), "left_semi")
-    dtype = df.schema[key].dataType
-    keys = _keys_frame(spark, values, "__k", dtype)
-    return df.join(keys, F.col(key) == F.col("__k"), "left_semi")
-
-
-def select_pairs(df: DataFrame, key1: str, values1: Iterable, key2: str, values2: Iterable) -> DataFrame:
+def select_pairs(df: DataFrame, key1: str, values1: Iterable, key2: str, values2: Iterable, *,
+                 by_day: bool = False) -> DataFrame:
     """Two-key tables (comparisons): rows with ``key1`` in the first list and
-    ``key2`` in the second. Two semi joins; the product of the lists is never
-    built."""
-    return select_keys(select_keys(df, key1, values1), key2, values2)
+    ``key2`` in the second. The product of the lists is never built."""
+    return select_keys(select_keys(df, key1, values1, by_day=by_day), key2, values2, by_day=by_day)
 
 
 def distinct_keys(df: DataFrame, key: str, *, by_day: bool = False) -> DataFrame:
@@ -96,8 +94,8 @@ def distinct_keys(df: DataFrame, key: str, *, by_day: bool = False) -> DataFrame
     return df.select(c.alias(key)).distinct()
 
 
-def head(df: DataFrame, n: int = 5, order: str = "DateTimeStart") -> DataFrame:
+def head(df: DataFrame, n: int = 5, order: str | list[str] = "DateTimeStart") -> DataFrame:
     """First ``n`` rows of every series in time order (a top-k per group,
     planned as a WindowGroupLimit that cuts rows before the shuffle)."""
-    w = Window.partitionBy(SERIES).orderBy(order)
+    w = Window.partitionBy(SERIES).orderBy(*([order] if isinstance(order, str) else order))
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")

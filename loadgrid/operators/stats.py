@@ -1,16 +1,15 @@
 """Period statistics of load series.
 
-Three aggregations read the same (filtered, range/calendar selected) view:
-
-* rows block  -- per period: sum, mean, min, idxmin, max, idxmax, std, count
-* daily block -- day energy = day mean x the fullest day's row count (per
-  series), then mean, min, idxmin, max, idxmax, std, count per period
-  (W, M, Q, Y)
-* monthly block -- month sums, then the same seven statistics (Q, Y)
-
-Each is a partial + final hash aggregation; the blocks are joined on
-``(series, period_start)``. ``idxmin``/``idxmax`` are the earliest stamp of the
-extreme value (``min`` over a struct), which is tie-stable.
+Per period: the rows block (sum, mean, min, idxmin, max, idxmax, std, count of
+the rows), from W on the daily block (day energy = day mean x the fullest day's
+row count of the series, then seven statistics of it), for Q and Y the monthly
+block (month sums, the same seven).
+
+The rows are aggregated once, to days (for H to hours): count, sum, second
+moment about the cell's mean, extremes and the earliest stamps of the
+extremes, which a window over one cell's few rows marks so that typed min/max
+stay hash aggregations. Everything else is derived from that small table:
+moments merge exactly, and all blocks are one aggregation by period.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from ..functions.time import period_start
 from .resample import to_hourly
 
 SERIES = "series"
+# Fixed values that must equal the original tool's column names.
 ROW_STATS = ("sum", "mean", "min", "idxmin", "max", "idxmax", "std", "count")
 BLOCK_STATS = ("mean", "min", "idxmin", "max", "idxmax", "std", "count")
 DAILY = "Daily_Energy"
@@ -56,35 +56,28 @@ def _stat_exprs(value: Column, stamp: Column, group: str, stats: tuple[str, ...]
     return out
 
 
-def rows_block(view: DataFrame, period: str, ts: str = "DateTimeStart") -> DataFrame:
-    return view.groupBy(SERIES, period_start(F.col(ts), period).alias("period_start")).agg(
-        *_stat_exprs(F.col("Energy"), F.col(ts), rows_group(period), ROW_STATS))
-
-
-def daily_energy(hourly: DataFrame, ts: str = "DateTimeStart") -> DataFrame:
-    """``series, day, day_energy``: day mean x largest per-day row count of the
-    series (SURVEY Q20: a partly missing day is scaled like a full one)."""
-    d = hourly.groupBy(SERIES, period_start(F.col(ts), "D").alias("day")).agg(
-        F.avg("Energy").alias("__dmean"), F.count("Energy").alias("__dn"))
-    hid = F.max("__dn").over(Window.partitionBy(SERIES))
-    return d.select(SERIES, "day", (F.col("__dmean") * hid).alias("day_energy"))
-
+def cells(view: DataFrame, grain: str, ts: str = "DateTimeStart") -> DataFrame:
+    """One row per series and day (or hour): ``n, s, m, m2, lo, t_lo, hi,
+    t_hi`` of its rows. A cell holds a day's rows at most."""
+    e, stamp = F.col("Energy"), F.col(ts)
+    w = Window.partitionBy(SERIES, "cell")
+    d = (view.select(SERIES, period_start(stamp, grain).alias("cell"), stamp.alias("__t"), "Energy")
+             .withColumn("__lo", F.min("Energy").over(w)).withColumn("__hi", F.max("Energy").over(w)))
+    return d.groupBy(SERIES, "cell").agg(
+        F.count(e).alias("n"), F.sum(e).alias("s"), F.avg(e).alias("m"), (F.var_pop(e) * F.count(e)).alias("m2"),
+        F.min(e).alias("lo"), F.min(F.when(e == F.col("__lo"), F.col("__t"))).alias("t_lo"),
+        F.max(e).alias("hi"), F.min(F.when(e == F.col("__hi"), F.col("__t"))).alias("t_hi"))
 
-def monthly_energy(hourly: DataFrame, ts: str = "DateTimeStart") -> DataFrame:
-    return hourly.groupBy(SERIES, period_start(F.col(ts), "M").alias("month")).agg(
-        F.coalesce(F.sum("Energy"), F.lit(0.0)).alias("month_energy"))
 
-
-def daily_block(hourly: DataFrame, period: str) -> DataFrame:
-    d = daily_energy(hourly)
-    return d.groupBy(SERIES, period_start(F.col("day"), period).alias("period_start")).agg(
-        *_stat_exprs(F.col("day_energy"), F.col("day"), DAILY, BLOCK_STATS))
-
-
-def monthly_block(hourly: DataFrame, period: str) -> DataFrame:
-    m = monthly_energy(hourly)
-    return m.groupBy(SERIES, period_start(F.col("month"), period).alias("period_start")).agg(
-        *_stat_exprs(F.col("month_energy"), F.col("month"), MONTHLY, BLOCK_STATS))
+def _rows_exprs(group: str) -> list[Column]:
+    """The rows block from cells that carry their period's mean ``pm``."""
+    n = F.sum("n")
+    m2 = F.sum(F.when(F.col("n") > 0, F.col("m2") + F.col("n") * (F.col("m") - F.col("pm")) * (F.col("m") - F.col("pm"))))
+    low = F.min(F.when(F.col("n") > 0, F.struct(F.col("lo").alias("v"), F.col("t_lo").alias("t"))))["t"]
+    high = F.min(F.when(F.col("n") > 0, F.struct((-F.col("hi")).alias("v"), F.col("t_hi").alias("t"))))["t"]
+    parts = {"sum": F.coalesce(F.sum("s"), F.lit(0.0)), "mean": F.sum("s") / n, "min": F.min("lo"), "idxmin": low,
+             "max": F.max("hi"), "idxmax": high, "std": F.when(n > 1, F.sqrt(m2 / (n - 1))), "count": n}
+    return [parts[k].alias(stat_col(group, k)) for k in ROW_STATS]
 
 
 def energy_stats(view: DataFrame, period: str = "M", resolution: str = "H",
@@ -96,14 +89,25 @@ def energy_stats(view: DataFrame, period: str = "M", resolution: str = "H",
     converted to hourly rows.
     """
     period_word(period)
-    hourly = to_hourly(view, resolution, cfg.input_type)
-    rows_src = view if period == "H" else hourly
-    out = rows_block(rows_src, period)
+    grain = "H" if period == "H" else "D"
+    # H reads the view as is, everything else the view as hourly rows
+    d = cells(view if period == "H" else to_hourly(view, resolution, cfg.input_type), grain)
+    d = d.withColumn("period_start", period_start(F.col("cell"), period))
+    w = Window.partitionBy(SERIES, "period_start")
+    d = d.withColumn("pm", F.sum("s").over(w) / F.sum("n").over(w))
+    aggs = _rows_exprs(rows_group(period))
     if period in ("W", "M", "Q", "Y"):
-        out = out.join(daily_block(hourly, period), [SERIES, "period_start"], "inner")
+        # day mean x the series' fullest day
+        d = d.withColumn("day_energy", F.col("m") * F.max("n").over(Window.partitionBy(SERIES)))
+        aggs += _stat_exprs(F.col("day_energy"), F.col("cell"), DAILY, BLOCK_STATS)
     if period in ("Q", "Y"):
-        out = out.join(monthly_block(hourly, period), [SERIES, "period_start"], "inner")
-    return out
+        # a month's sum stands on its first day
+        wm = Window.partitionBy(SERIES, "period_start", "month")
+        d = d.withColumn("month", period_start(F.col("cell"), "M"))
+        d = d.withColumn("month_energy", F.when(F.col("cell") == F.min("cell").over(wm),
+                                                F.coalesce(F.sum("s").over(wm), F.lit(0.0))))
+        aggs += _stat_exprs(F.col("month_energy"), F.col("month"), MONTHLY, BLOCK_STATS)
+    return d.groupBy(SERIES, "period_start").agg(*aggs)
 
 
 def stats_columns(period: str) -> list[str]:

@@ -18,7 +18,7 @@ from .resample import to_hourly
 SERIES = "series"
 PROFILE_STATS = ("mean", "min", "idxmin", "max", "idxmax")
 
-# period -> grouping keys before ``hour``
+# Fixed values that must equal the original tool's keys: period -> grouping keys before ``hour``.
 GROUP_KEYS = {
     "Q": ("year", "quarter"),
     "M": ("year", "month"),
@@ -49,23 +49,25 @@ def complete_days(hourly: DataFrame, ts: str = "DateTimeStart", hours: int = 24)
 
 def typical_day(view: DataFrame, period: str = "M", resolution: str = "H",
                 cfg: LoadConfig = DEFAULT) -> DataFrame:
-    """Profile of every series: ``series, <period keys>, hour, Energy__mean,
-    Energy__min, Energy__idxmin, Energy__max, Energy__idxmax``.
+    """Profile of every series: ``series, <period keys>, hour, first_day,
+    Energy__mean, Energy__min, Energy__idxmin, Energy__max, Energy__idxmax``.
+    ``first_day``, the earliest day of the group, orders the groups in time.
 
     ``period``: ``Q`` (year, quarter), ``M`` (year, month), ``W`` (calendar
     year, month, ISO week) or ``no_period`` (hour only). ``H``/``D`` have no
     typical day and ``Y`` is not supported, as in the original.
     """
     if period in ("H", "D"):
-        raise PeriodNotSupported(f"no typical day for period {period!r}")
+        raise PeriodNotSupported(f"a typical day of period {period!r} has no meaning")
     if period not in GROUP_KEYS:
-        raise PeriodNotSupported(f"Period not supported: {period!r}")
+        raise PeriodNotSupported(f"typical days are kept by {sorted(GROUP_KEYS)}, not by {period!r}")
     ts = F.col("DateTimeStart")
     days = complete_days(to_hourly(view, resolution, cfg.input_type))
     keys = [_key_expr(k, ts) for k in (*GROUP_KEYS[period], "hour")]
     e = F.col("Energy")
     nn = e.isNotNull()
     return days.groupBy(SERIES, *keys).agg(
+        F.min(F.to_date(ts)).alias("first_day"),
         F.avg(e).alias("Energy__mean"),
         F.min(e).alias("Energy__min"),
         F.min(F.when(nn, F.struct(e.alias("v"), ts.alias("t"))))["t"].alias("Energy__idxmin"),

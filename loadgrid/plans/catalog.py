@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, LoadConfig
-from ..functions.naming import bday_label, bhour_label, parse_name, period_word
+from ..functions.naming import table_key
 from ..operators import compare, distribution, resample, select, stats, typical_day
 from ..operators.combine import concatenate, group_loads
 from .load import filtered, load_series, store_load
@@ -30,6 +30,11 @@ CATALOG_SCHEMA = T.StructType([T.StructField("name", T.StringType(), False),
                                T.StructField("period", T.StringType(), True)])
 
 
+#: Columns that order a table's rows for ``head``, whatever its kind.
+KEY_ORDER = ("DateTimeStart", "period_start", "period_start_1", "period_start_2", "year", "quarter", "month", "week",
+             "year_1", "quarter_1", "month_1", "week_1", "hour")
+
+
 class TableNotFound(KeyError):
     """No kept table has that name."""
 
@@ -50,7 +55,7 @@ class Entry:
 
 
 def _now() -> str:
-    return dt.datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
+    return dt.datetime.now().strftime("%Y-%m-%d_%H-%M-%S-%f")
 
 
 def _join(root: str, *parts: str) -> str:
@@ -62,12 +67,13 @@ class TableCatalog:
         self.spark = spark
         self._t: dict[str, Entry] = {}
         self.last: tuple[str, Entry] | None = None
+        self.session = _now()      # names the output folder of this session
 
     # -- registry ---------------------------------------------------------
     def keep(self, name: str, df: DataFrame, kind: str = "data", period: str | None = None) -> str:
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}")
-        name = parse_name(name)
+        name = table_key(name)
         self._t[name] = Entry(df, kind, period)
         df.createOrReplaceTempView(f"`{name}`")
         self.last = (name, self._t[name])
@@ -76,7 +82,7 @@ class TableCatalog:
     def require(self, *names: str) -> None:
         missing = [n for n in names if n not in self._t]
         if missing:
-            raise TableNotFound(f"Key(s) {' and '.join(missing)} were not found in the loaded data!")
+            raise TableNotFound(f"no table is kept as {', '.join(missing)}")
 
     def entry(self, name: str) -> Entry:
         self.require(name)
@@ -98,14 +104,14 @@ class TableCatalog:
     def concatenate(self, a: str, b: str, name: str | None = None) -> str:
         ea, eb = self.entry(a), self.entry(b)
         if ea.kind != eb.kind:
-            raise KindMismatch("Dataframes should belong to the same class.")
-        return self.keep(name or f"Concatenated_{a}_and_{b}", concatenate(ea.df, eb.df), ea.kind, ea.period)
+            raise KindMismatch(f"{a!r} is a {ea.kind} table and {b!r} a {eb.kind} table")
+        return self.keep(name or f"concat__{a}__{b}", concatenate(ea.df, eb.df), ea.kind, ea.period)
 
     def group(self, table: str, series: list[str], name: str = "Grouped") -> str:
         e = self.entry(table)
         g = group_loads(e.df, series, name)
         if g.isEmpty():
-            raise NoCommonStamp("there was not a single shared index (timestamp)")
+            raise NoCommonStamp(f"the loads {series} have no stamp in common")
         return self.keep(name, g, e.kind, e.period)
 
     # -- analysis commands over named tables --------------------------------
@@ -120,9 +126,12 @@ class TableCatalog:
 
     @staticmethod
     def _label(prefix: str, key: str, period: str, time_interval, bdays: int, bhours: int) -> str:
-        rng = "all" if time_interval is None else f"{time_interval[0]}_end_date_{time_interval[1]}"
-        return (f"{prefix}_for_{key}_period_{period_word(period)}_start_date_{rng}_"
-                f"{bday_label(bdays)}_{bhour_label(bhours)}")
+        parts = [prefix, key, period]
+        if time_interval is not None:
+            parts += [str(time_interval[0]), str(time_interval[1])]
+        parts += [{1: "bdays", 2: "no_bdays"}[bdays]] if bdays else []
+        parts += [{1: "bhours", 2: "no_bhours"}[bhours]] if bhours else []
+        return "__".join(parts)
 
     def load(self, name: str, readings: DataFrame, period: str | None = None, cfg: LoadConfig = DEFAULT,
              order: list[str] | None = None, store: str | None = None) -> str:
@@ -137,15 +146,16 @@ class TableCatalog:
 
     def resample(self, key: str, period: str, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
         e = self.entry(key)
-        out = resample.resample_loaded(e.df, period, input_type=cfg.input_type, max_rows=cfg.broadcast_max_rows)
-        return self.keep(name or f"{key}_resampled_period_{period}", out, e.kind, period)
+        out = resample.resample_loaded(e.df, period, resolution=e.period, input_type=cfg.input_type,
+                                       max_rows=cfg.broadcast_max_rows)
+        return self.keep(name or f"{key}__{period}", out, e.kind, period)
 
     def energy_stats(self, key: str, period: str, time_interval=None, bdays: int = 0, bhours: int = 0,
                      holidays: DataFrame | None = None, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
         e = self.entry(key)
         v = self._view(key, time_interval, bdays, bhours, holidays, cfg)
         out = stats.energy_stats(v, period, e.period or cfg.time_resolution, cfg)
-        name = name or self._label("Energy_stats", key, period, time_interval, bdays, bhours)
+        name = name or self._label("stats", key, period, time_interval, bdays, bhours)
         return self.keep(name, out, "energy_stats_data", period)
 
     def typical_day(self, key: str, period: str = "M", time_interval=None, bdays: int = 0, bhours: int = 0,
@@ -153,8 +163,7 @@ class TableCatalog:
         e = self.entry(key)
         v = self._view(key, time_interval, bdays, bhours, holidays, cfg)
         out = typical_day.typical_day(v, period, e.period or cfg.time_resolution, cfg)
-        word = "whole_range" if period == "no_period" else period
-        name = name or f"Typical_day_for_{key}_period_{word}"
+        name = name or f"typical_day__{key}__{period}"
         return self.keep(name, out, "typical_day", period)
 
     def energy_dist(self, keys: list[str], loads: list[str], period: str = "M", time_interval=None,
@@ -172,18 +181,24 @@ class TableCatalog:
             v = v.unionByName(other)
         out = distribution.energy_distribution(v, loads, period, periods.pop() or cfg.time_resolution, cfg,
                                                total_first=total_first)
-        name = name or self._label("Energy_distribution", "_".join(keys), period, time_interval, bdays, bhours)
+        name = name or self._label("distribution", "_".join(keys), period, time_interval, bdays, bhours)
         return self.keep(name, out, "energy_distribution", period)
 
     def compare_stats(self, key: str, key2: str, how: str = "inner", offset: int = 1,
-                      match_series: bool = False, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+                      series: tuple[str, str] | None = None, name: str | None = None, cfg: LoadConfig = DEFAULT) -> str:
+        """Meter by meter; with ``series`` the first meter of ``key`` against
+        the second of ``key2``."""
         a, b = self.entry(key), self.entry(key2)
         if a.kind != "energy_stats_data" or b.kind != "energy_stats_data":
             raise KindMismatch("both tables must be statistics tables")
         if a.period != b.period:
-            raise ValueError("Chosen data must have the same period!")
-        out = compare.compare_stats(a.df, b.df, a.period, how, offset, cfg.percent_mode, match_series)
-        return self.keep(name or f"Compare_stats_{key}_{key2}", out, "energy_stats_comparison", a.period)
+            raise ValueError(f"{key!r} holds period {a.period!r} and {key2!r} period {b.period!r}")
+        if series is None:
+            out = compare.compare_stats(a.df, b.df, a.period, how, offset, cfg.percent_mode)
+        else:
+            both = a.df if a is b else a.df.where(F.col("series") == series[0]).unionByName(b.df.where(F.col("series") == series[1]))
+            out = compare.compare_series(both, series[0], series[1], a.period, how, offset, cfg.percent_mode)
+        return self.keep(name or f"stats_vs__{key}__{key2}", out, "energy_stats_comparison", a.period)
 
     def compare_distribution(self, key: str, offset: int = 1, name: str | None = None,
                              cfg: LoadConfig = DEFAULT) -> str:
@@ -191,7 +206,7 @@ class TableCatalog:
         if e.kind != "energy_distribution":
             raise KindMismatch(f"{key!r} is not a distribution table")
         out = compare.compare_distribution(e.df, e.period, offset, cfg.percent_mode)
-        return self.keep(name or f"Compare_dists_{key}", out, "energy_distribution_comparison", e.period)
+        return self.keep(name or f"distribution_vs__{key}", out, "energy_distribution_comparison", e.period)
 
     def compare_typical_day(self, key: str, offset: int = 1, name: str | None = None,
                             cfg: LoadConfig = DEFAULT) -> str:
@@ -199,24 +214,33 @@ class TableCatalog:
         if e.kind != "typical_day":
             raise KindMismatch(f"{key!r} is not a typical-day table")
         out = compare.compare_typical_day(e.df, e.period, offset, cfg.percent_mode)
-        return self.keep(name or f"Compare_typical_day_{key}", out, "typical_day_comparison", e.period)
+        return self.keep(name or f"typical_day_vs__{key}", out, "typical_day_comparison", e.period)
 
     def select_rows(self, key: str, column: str, values, name: str | None = None, *,
                     column2: str | None = None, values2=None) -> str:
         """Rows by key values (days of an hourly load expand to all hours;
         two-key tables select by both lists)."""
         e = self.entry(key)
+        by_day = e.period == "H" and e.kind in ("energy_data", "energy_stats_data", "energy_distribution",
+                                                "energy_stats_comparison", "energy_distribution_comparison")
         if column2 is not None:
-            out = select.select_pairs(e.df, column, values, column2, values2)
+            out = select.select_pairs(e.df, column, values, column2, values2, by_day=by_day)
         else:
-            out = select.select_keys(e.df, column, values, by_day=(e.kind == "energy_data" and e.period == "H"))
-        return self.keep(name or f"Selection_of_{key}", out, e.kind, e.period)
+            out = select.select_keys(e.df, column, values, by_day=by_day)
+        return self.keep(name or f"rows__{key}", out, e.kind, e.period)
 
     def head(self, key: str, n: int | None = None, cfg: LoadConfig = DEFAULT) -> DataFrame:
         e = self.entry(key)
-        order = "DateTimeStart" if "DateTimeStart" in e.df.columns else e.df.columns[1]
-        return select.head(e.df, n or cfg.number_of_rows_to_print_for_head, order) \
-            if "series" in e.df.columns else e.df.limit(n or cfg.number_of_rows_to_print_for_head)
+        n = n or cfg.number_of_rows_to_print_for_head
+        keys = [c for c in KEY_ORDER if c in e.df.columns] or e.df.columns[:1]
+        return select.head(e.df, n, keys) if "series" in e.df.columns else e.df.orderBy(*keys).limit(n)
+
+    def keys(self, key: str, *columns: str) -> DataFrame:
+        """Distinct keys of a table: of one column, or of both levels of a
+        comparison (days of hourly tables)."""
+        e = self.entry(key)
+        cols = columns or [c for c in ("DateTimeStart", "period_start", "period_start_1", "period_start_2") if c in e.df.columns]
+        return e.df.select(*[(F.to_date(F.col(c)) if e.period == "H" else F.col(c)).alias(c) for c in cols]).distinct()
 
     def extent(self, *keys: str) -> DataFrame:
         self.require(*keys)
@@ -226,10 +250,9 @@ class TableCatalog:
         return resample.extent_of(v)
 
     # -- sinks ------------------------------------------------------------
-    @staticmethod
-    def output_dir(root: str, overwrite: bool = True) -> str:
-        """``<root>/Output`` (overwritten) or a new ``<root>/Output_<now>``."""
-        return _join(root, "Output" if overwrite else f"Output_{_now()}")
+    def output_dir(self, root: str, overwrite: bool = True) -> str:
+        """``<root>/Output`` (overwritten), or one folder per session."""
+        return _join(root, "Output" if overwrite else f"Output_{self.session}")
 
     def save(self, name: str, root: str, fmt: str | None = None, overwrite: bool | None = None,
              cfg: LoadConfig = DEFAULT) -> str:
@@ -251,7 +274,7 @@ class TableCatalog:
     def save_last(self, root: str, fmt: str | None = None, overwrite: bool | None = None,
                   cfg: LoadConfig = DEFAULT) -> str:
         if self.last is None:
-            raise LookupError("Nothing to save so far!")
+            raise LookupError("no table has been kept yet")
         return self.save(self.last[0], root, fmt, overwrite, cfg)
 
     # -- snapshots ----------------------------------------------------------
@@ -274,7 +297,7 @@ class TableCatalog:
         if snapshot is None:
             snaps = self.snapshots(root)
             if not snaps:
-                raise LookupError("No state available.")
+                raise LookupError(f"no snapshot below {root!r}")
             snapshot = snaps[-1]
         meta = self.spark.read.schema(CATALOG_SCHEMA).parquet(_join(root, snapshot, "_catalog")).collect()
         for n in list(self._t):

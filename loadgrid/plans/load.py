@@ -15,27 +15,37 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, LoadConfig
 from ..functions.time import parse_resolution
+from ..session import require_utc
 from ..operators import clean, fill
 from ..operators.resample import resample_bins, stamp_columns
 
 SERIES = "series"
+#: Rows of one file of a stored load; the number of files follows the size
+#: (adaptive execution merges small ranges, this splits large ones).
+MAX_ROWS_PER_FILE = 20_000_000
 
 
 def load_series(readings: DataFrame, cfg: LoadConfig = DEFAULT, period: str | None = None,
-                order: list[str] | None = None) -> DataFrame:
+                order: list[str] | None = None, intervals: DataFrame | None = None) -> DataFrame:
     """Readings ``series, DateTime, Energy`` (+ optional tie-break columns named
     in ``order``) -> load table ``series, DateTimeStart, DateTime, Energy``.
 
     ``period`` overrides ``cfg.time_resolution``. ``DateTime`` of the readings
-    should already be rounded to seconds (the sources do it).
+    should already be rounded to seconds (the sources do it). ``intervals``
+    (``series, shift_seconds``) saves inferring the sampling intervals. A
+    reading without a stamp is an error: it would belong to no bin.
     """
+    require_utc(readings.sparkSession)
     res = period or cfg.time_resolution
     kind, _ = parse_resolution(res)
     order = [c for c in (order or []) if c not in ("DateTime",)]
-    r = readings.select(SERIES, "DateTime", "Energy", *order)
+    stamped = F.coalesce(F.col("DateTime"), F.raise_error(F.lit("a reading has no stamp")).cast("timestamp_ntz"))
+    r = readings.select(SERIES, stamped.alias("DateTime"), "Energy", *order)
     need_interval = cfg.measurement_is_before_index
     if need_interval:
-        r = clean.with_shift(r, None, cfg.broadcast_max_rows)
+        if intervals is None:
+            intervals = clean.interval_table(readings, "DateTime", cfg.broadcast_max_rows)
+        r = clean.with_shift(r, intervals, cfg.broadcast_max_rows)
         r = clean.shift_to_start(r, ts="DateTime", out="t")
     else:
         # the original adds the interval and takes it off again: a no-op
@@ -66,8 +76,7 @@ def store_load(load: DataFrame, path: str, files: int | None = None) -> DataFram
     table skip row groups (the filter is pushed into the scan, see
     ``operators.select.filter_range``).
     """
-    n = files or int(load.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (load.repartitionByRange(n, "DateTimeStart")
-         .sortWithinPartitions(SERIES, "DateTimeStart")
-         .write.mode("overwrite").parquet(path))
+    ordered = load.repartitionByRange(files, "DateTimeStart") if files else load.repartitionByRange("DateTimeStart")
+    (ordered.sortWithinPartitions(SERIES, "DateTimeStart")
+            .write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).mode("overwrite").parquet(path))
     return load.sparkSession.read.parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,18 +47,25 @@ def build_session(master: str | None = None, app: str = "loadgrid",
 def apply_conf(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to an existing session (idempotent)."""
     for k, v in REQUIRED_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave it
-            pass
+        spark.conf.set(k, v)
     return spark
 
 
+def require_utc(spark: SparkSession | None = None) -> None:
+    """Raise unless stamps keep their wall time: truncations pass through the
+    session time zone, so it must be UTC (``apply_conf`` sets it)."""
+    spark = spark or SparkSession.getActiveSession()
+    zone = spark.conf.get("spark.sql.session.timeZone") if spark else "UTC"
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise RuntimeError(f"the session time zone is {zone!r}; call loadgrid.session.apply_conf(spark) to set UTC")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir``); only when the session has
-    none (local tests) a private folder is created and set.
+    Read from the session (``spark.checkpoint.dir``). Only a local session
+    that has none gets a private folder, deleted at its end; on a cluster a
+    missing setting is an error, as executors don't share local folders.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -64,8 +73,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)        # configured in the SQL conf only
         return d
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="loadgrid-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
     return d
 

@@ -19,26 +19,16 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, LoadConfig
 from ..functions.naming import series_name_column
-from ..functions.time import round_to_second
+from ..functions.time import ntz, round_to_second
 
 SERIES = "series"
 
-# Stamp layouts tried, in order, after Spark's own ISO parser.
-DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd-MM-yyyy HH:mm",
-    "dd.MM.yyyy HH:mm:ss",
-    "dd.MM.yyyy HH:mm",
-    "yyyyMMdd HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy",
-)
+# Stamp layouts tried in order after ISO; a call reads all its files either
+# month first or day first, never row by row.
+_ANY = ("yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd[ HH:mm:ss]", "d MMM yyyy[ H:mm[:ss]]", "d MMMM yyyy[ H:mm[:ss]]",
+        "MMM d yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]", "MMMM d, yyyy[ H:mm[:ss]]")
+MONTH_FIRST = _ANY + tuple(f"M{s}d{s}yyyy{t}" for s in "/-." for t in ("[ H:mm[:ss]]", " h:mm[:ss] a"))
+DAY_FIRST = _ANY + tuple(f"d{s}M{s}yyyy{t}" for s in "/-." for t in ("[ H:mm[:ss]]", " h:mm[:ss] a"))
 
 READINGS_SCHEMA = T.StructType([
     T.StructField("DateTime", T.StringType(), True),
@@ -52,11 +42,12 @@ WIDE_SCHEMA = T.StructType([T.StructField("Date_", T.IntegerType(), True)] +
 SUPPORTED_FORMATS = ("csv", "parquet")
 
 
-def parse_datetime(c: Column, formats: Sequence[str] = DATETIME_FORMATS) -> Column:
-    """First successful parse among Spark's ISO parser and ``formats``;
-    NULL if none applies (never an error)."""
-    tries = [F.try_to_timestamp(c)] + [F.try_to_timestamp(c, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+def parse_datetime(c: Column, day_first: bool = False, formats: Sequence[str] | None = None) -> Column:
+    """The stamp as wall time (a zone in the text is not applied); NULL if
+    neither ISO nor one of the layouts fits."""
+    text = F.trim(c)
+    layouts = formats or (DAY_FIRST if day_first else MONTH_FIRST)
+    return F.coalesce(text.try_cast("timestamp_ntz"), *[ntz(F.try_to_timestamp(text, F.lit(f))) for f in layouts])
 
 
 def parse_energy(c: Column, decimal_comma: bool = False) -> Column:
@@ -76,19 +67,25 @@ def check_format(fmt: str) -> str:
 
 def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", *, header: bool = True,
                   sep: str = ",", name_from: str = "file", period: str | None = None,
-                  cfg: LoadConfig = DEFAULT, decimal_comma: bool = False) -> DataFrame:
+                  cfg: LoadConfig = DEFAULT, decimal_comma: bool = False, day_first: bool = False,
+                  formats: Sequence[str] | None = None, rejects: bool = False, mode: str = "FAILFAST") -> DataFrame:
     """Two-column meter files -> readings ``series, DateTime, Energy, __blk,
     __row`` (the last two keep each file's row order for equal stamps).
 
     ``name_from``: ``"file"`` -- series = file name without extension, trimmed,
     inner white space as ``_``, plus ``_period_<p>`` for a non-default period;
     ``"dir"`` -- the ``series=<name>`` folder (Spark partition discovery).
+
+    Slash, dash and dot dates are read month first unless ``day_first``. A row
+    whose stamp fits no layout raises; with ``rejects`` the call returns those
+    rows instead (``series, stamp, reading``). A delimited line with missing or
+    surplus fields raises as well (``mode``).
     """
     fmt = check_format(fmt)
     paths = [paths] if isinstance(paths, str) else list(paths)
     if fmt == "csv":
         raw = (spark.read.schema(READINGS_SCHEMA).option("header", header).option("sep", sep)
-               .option("mode", "PERMISSIVE").csv(paths))
+               .option("mode", mode).csv(paths))
         first, second = F.col("DateTime"), F.col("Energy")
     else:
         raw = spark.read.parquet(*paths)
@@ -102,11 +99,16 @@ def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
             series = F.concat(series, F.lit(f"_period_{period}"))
     else:
         raise ValueError("name_from must be 'file' or 'dir'")
-    ts = first if isinstance(raw.schema[0].dataType, (T.TimestampType, T.TimestampNTZType)) and fmt == "parquet" \
-        else parse_datetime(first.cast("string"))
+    stamped = isinstance(raw.schema[0].dataType, (T.TimestampType, T.TimestampNTZType)) and fmt == "parquet"
+    ts = first.cast("timestamp_ntz") if stamped else parse_datetime(first.cast("string"), day_first, formats)
+    if rejects:
+        return raw.select(series.alias(SERIES), first.cast("string").alias("stamp"), second.cast("string").alias("reading")) \
+            .where((first.cast("timestamp_ntz") if stamped else parse_datetime(F.col("stamp"), day_first, formats)).isNull())
+    bad = F.raise_error(F.concat(F.lit("no stamp layout fits "), F.coalesce(first.cast("string"), F.lit("an empty stamp")),
+                                 F.lit(" of meter "), series)).cast("timestamp_ntz")
     return raw.select(
         series.alias(SERIES),
-        round_to_second(ts.cast("timestamp_ntz")).alias("DateTime"),
+        round_to_second(F.coalesce(ts, bad)).alias("DateTime"),
         parse_energy(second, decimal_comma).alias("Energy"),
         F.col("_metadata.file_block_start").alias("__blk"),
         F.monotonically_increasing_id().alias("__row"))

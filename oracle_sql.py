@@ -21,11 +21,9 @@ STEP = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M
 
 def q(expr: str) -> str:
     off = "0.3183098861837907"
-    e = f"(floor(log10(greatest(abs({expr}), 1e4))) - 8)"
-    big = (f"CASE WHEN {e} < 0 THEN floor(({expr}) * pow(10.0, -{e}) + {off}) / pow(10.0, -{e}) "
-           f"ELSE floor(({expr}) / pow(10.0, {e}) + {off}) * pow(10.0, {e}) END")
-    return (f"(CASE WHEN abs({expr}) < 1e4 THEN floor(({expr}) * 10000.0 + {off}) / 10000.0 "
-            f"ELSE {big} END)")
+    e = f"greatest(floor(log10(greatest(abs({expr}), 1e-300))) - 6, -8)"
+    return (f"(CASE WHEN {e} < 0 THEN floor(({expr}) * pow(10.0, -{e}) + {off}) / pow(10.0, -{e}) "
+            f"ELSE floor(({expr}) / pow(10.0, {e}) + {off}) * pow(10.0, {e}) END)")
 
 
 def qcols(doubles, others=()) -> str:
@@ -58,6 +56,16 @@ def orders_readings() -> str:
            o_orderkey AS o1, 0 AS o2, 0 AS o3, 0 AS o4 FROM orders"""
 
 
+def orders_hourly_readings() -> str:
+    return f"""
+    SELECT o_orderpriority AS series, {rnd('o_orderdate')} + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS dt,
+           {nn('o_totalprice')} AS energy, o_orderkey AS o1, 0 AS o2, 0 AS o3, 0 AS o4 FROM orders"""
+
+
+def orders_hourly_load(**kw) -> str:
+    return load_ctes(orders_hourly_readings(), "H", **kw)
+
+
 def lineitem_readings(value: str = "l_quantity") -> str:
     return f"""
     SELECT l_returnflag AS series, {rnd('l_shipdate')} AS dt, {nn(value)} AS energy,

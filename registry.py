@@ -2,7 +2,8 @@
 
 Each Spark query reads the provided tables under ``sf_dir`` and runs one
 operator of the library over the whole tables; its twin is plain SQL over the
-same tables (see ``oracle_sql.py``).
+same tables (see ``oracle_sql.py``). Registration rounds the doubles of every
+result to the grid that the twins use.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return TQ.quantized(fn(spark, sf_dir))
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -104,7 +108,7 @@ def _holidays(spark):
     FROM iv_ JOIN sh USING (series)""")
 def interval_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLN1: sampling interval per series from its first two readings."""
-    return clean.interval_table(TQ.events_readings(spark, sf_dir), ts="DateTime", order=["event_id"])
+    return clean.interval_table(TQ.events_readings(spark, sf_dir), ts="DateTime")
 
 
 @register("shift_to_interval_start", f"""WITH r AS ({O.events_readings()}), {O.shift_ctes('r')}
@@ -115,7 +119,7 @@ def shift_to_interval_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLN2: end-stamped readings moved to the start of their interval."""
     r = TQ.events_readings(spark, sf_dir)
     s = clean.shift_to_start(clean.with_shift(r), ts="DateTime", out="DateTimeStart")
-    return TQ.quantized(s.select("series", "event_id", "DateTime", "DateTimeStart", "Energy"))
+    return s.select("series", "event_id", "DateTime", "DateTimeStart", "Energy")
 
 
 _LI_OTHERS = ["series", "DateTime", "l_orderkey", "l_linenumber"]
@@ -131,7 +135,7 @@ def _li_readings_sql(energy: str = "CASE WHEN energy = 0 THEN NULL ELSE energy E
 def zero_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLN3: zero readings (``l_discount`` = 0) become missing."""
     r = clean.zero_to_null(TQ.lineitem_readings(spark, sf_dir, "l_discount"))
-    return TQ.quantized(r.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy"))
+    return r.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy")
 
 
 def _fill_sql(mode: str) -> str:
@@ -142,7 +146,7 @@ def _fill_sql(mode: str) -> str:
 def _fill_query(spark, sf_dir, **kw) -> DataFrame:
     r = clean.zero_to_null(TQ.lineitem_readings(spark, sf_dir, "l_discount"))
     f = fill.fill_gaps(r, ts="DateTime", value="Energy", order=TQ.LINEITEM_ORDER, **kw)
-    return TQ.quantized(f.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy"))
+    return f.select("series", "DateTime", "l_orderkey", "l_linenumber", "Energy")
 
 
 @register("interpolate_linear", _fill_sql("interpolate"))
@@ -168,20 +172,20 @@ def back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_missing_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLN7: filtered view without missing and zero rows."""
     load = TQ.lineitem_load(spark, sf_dir, "D", DEFAULT, value="l_discount")
-    return TQ.quantized(filtered(load, DEFAULT.with_(drop_zero_energy=True)))
+    return filtered(load, DEFAULT.with_(drop_zero_energy=True))
 
 
 @register("load_with_fill", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False, fill="interp_ffill")))
 def load_with_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLN3+CLN4+CLN5 inside the load: zeros missing, interpolated, daily sums."""
-    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", FILLED, value="l_discount"))
+    return TQ.lineitem_load(spark, sf_dir, "D", FILLED, value="l_discount")
 
 
 @register("load_sheet_policy", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False, fill="all",
                                                          null_sum="propagate")))
 def load_sheet_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC5 + CLN6: the spreadsheet ingest policy (back fill, null-propagating sums)."""
-    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", SHEET, value="l_discount"))
+    return TQ.lineitem_load(spark, sf_dir, "D", SHEET, value="l_discount")
 
 
 # ===========================================================================
@@ -191,62 +195,62 @@ def load_sheet_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("resample_hour_sum", _load_sql(O.events_load("H")))
 def resample_hour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM1/RSM3/RSM4 + CLN1/CLN2: events -> hourly energy loads."""
-    return TQ.quantized(TQ.events_load(spark, sf_dir, "H"))
+    return TQ.events_load(spark, sf_dir, "H")
 
 
 @register("resample_hour_mean", _load_sql(O.events_load("H", how="mean")))
 def resample_hour_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM1 for power input: hourly means, empty hours missing."""
-    return TQ.quantized(TQ.events_load(spark, sf_dir, "H", POWER))
+    return TQ.events_load(spark, sf_dir, "H", POWER)
 
 
 @register("resample_15min", _load_sql(O.events_load("15min")))
 def resample_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM1 on a minute grid: ``DateTime`` = label + the sampling interval."""
-    return TQ.quantized(TQ.events_load(spark, sf_dir, "15min"))
+    return TQ.events_load(spark, sf_dir, "15min")
 
 
 @register("resample_day_gapfill", _load_sql(O.orders_load("D")))
 def resample_day_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM3: daily order sums, days without orders are 0."""
-    return TQ.quantized(TQ.orders_load(spark, sf_dir, "D"))
+    return TQ.orders_load(spark, sf_dir, "D")
 
 
 @register("resample_week_label", _load_sql(O.orders_load("W")))
 def resample_week_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM4: weekly bins labelled by their Sunday."""
-    return TQ.quantized(TQ.orders_load(spark, sf_dir, "W"))
+    return TQ.orders_load(spark, sf_dir, "W")
 
 
 @register("resample_month_label", _load_sql(O.orders_load("M")))
 def resample_month_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM4: monthly bins labelled by the month's last day."""
-    return TQ.quantized(TQ.orders_load(spark, sf_dir, "M"))
+    return TQ.orders_load(spark, sf_dir, "M")
 
 
 @register("resample_quarter_label", _load_sql(O.orders_load("Q")))
 def resample_quarter_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM4: quarterly bins labelled by the quarter's last day."""
-    return TQ.quantized(TQ.orders_load(spark, sf_dir, "Q"))
+    return TQ.orders_load(spark, sf_dir, "Q")
 
 
 @register("resample_year_label", _load_sql(O.orders_load("Y")))
 def resample_year_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM4: yearly bins labelled Dec 31."""
-    return TQ.quantized(TQ.orders_load(spark, sf_dir, "Y"))
+    return TQ.orders_load(spark, sf_dir, "Y")
 
 
 @register("resample_null_propagating", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False,
                                                                  null_sum="propagate")))
 def resample_null_propagating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM1 / Q2: a day with a missing reading sums to missing."""
-    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", NO_ZERO_PROP, value="l_discount"))
+    return TQ.lineitem_load(spark, sf_dir, "D", NO_ZERO_PROP, value="l_discount")
 
 
 @register("resample_null_skip", _load_sql(O.lineitem_load("D", "l_discount", zero_ok=False)))
 def resample_null_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM1 / Q2: missing readings are skipped in the day sum."""
-    return TQ.quantized(TQ.lineitem_load(spark, sf_dir, "D", NO_ZERO, value="l_discount"))
+    return TQ.lineitem_load(spark, sf_dir, "D", NO_ZERO, value="l_discount")
 
 
 def _resample_loaded_sql(period: str) -> str:
@@ -262,26 +266,33 @@ def _resample_loaded_sql(period: str) -> str:
 @register("resample_loaded_day", _resample_loaded_sql("D"))
 def resample_loaded_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM2: hourly loads re-sampled to days (null-propagating sums)."""
-    return TQ.quantized(resample.resample_loaded(TQ.events_load(spark, sf_dir, "H"), "D"))
+    return resample.resample_loaded(TQ.events_load(spark, sf_dir, "H"), "D", resolution="H")
 
 
 @register("resample_loaded_week", _resample_loaded_sql("W"))
 def resample_loaded_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM2: hourly loads re-sampled to weeks."""
-    return TQ.quantized(resample.resample_loaded(TQ.events_load(spark, sf_dir, "H"), "W"))
+    return resample.resample_loaded(TQ.events_load(spark, sf_dir, "H"), "W", resolution="H")
 
 
-@register("to_hourly", f"""WITH {_view(O.events_load('15min'))},
-    hb AS (SELECT series, date_trunc('hour', DateTimeStart) AS bin, COALESCE(sum(Energy), 0.0) AS s,
-                  max_by(DateTime, DateTimeStart) AS last_dt FROM v GROUP BY ALL),
-    hg AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS bin
-           FROM (SELECT series, min(bin) AS lo, max(bin) AS hi FROM hb GROUP BY series))
-    SELECT hg.series, hg.bin AS DateTimeStart, hb.last_dt AS DateTime, {O.q('COALESCE(hb.s, 0.0)')} AS Energy
-    FROM hg LEFT JOIN hb ON hg.series = hb.series AND hg.bin = hb.bin""")
+def _to_hourly_sql(ctes: str, fn: str) -> str:
+    return f"""WITH {_view(ctes)}
+    SELECT series, date_trunc('hour', DateTimeStart) AS DateTimeStart, max(DateTime) AS DateTime,
+           {O.q(f'{fn}(Energy)')} AS Energy FROM v GROUP BY series, date_trunc('hour', DateTimeStart)"""
+
+
+@register("to_hourly", _to_hourly_sql(O.events_load("15min"), "sum"))
 def to_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSM5: 15-minute view -> hourly rows (sum, last stamp)."""
     view = filtered(TQ.events_load(spark, sf_dir, "15min"))
-    return TQ.quantized(resample.to_hourly(view, "15min", "energy"))
+    return resample.to_hourly(view, "15min", "energy")
+
+
+@register("to_hourly_power", _to_hourly_sql(O.events_load("15min", how="mean"), "avg"))
+def to_hourly_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM5 for power: 15-minute means -> hourly means; hours without readings stay away."""
+    view = filtered(TQ.events_load(spark, sf_dir, "15min", POWER))
+    return resample.to_hourly(view, "15min", "power")
 
 
 @register("series_extent", f"""WITH {O.events_load('H')}
@@ -309,18 +320,18 @@ def extent_of_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("filter_range_hourly", _sel(_view(O.events_load("H"), _range_sql(*EVENT_RANGE)), "v", LOAD_D, LOAD_O))
 def filter_range_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT1 on hourly data: ``DateTime`` in [start 01:00, end+1 00:00]."""
-    return TQ.quantized(select.filter_range(TQ.events_view(spark, sf_dir), *EVENT_RANGE))
+    return select.filter_range(TQ.events_view(spark, sf_dir), *EVENT_RANGE)
 
 
 @register("filter_range_daily", _sel(_view(O.orders_load("D"), _range_sql(*ORDER_RANGE)), "v", LOAD_D, LOAD_O))
 def filter_range_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT1 on daily data (Q5: first day dropped, day after the end kept)."""
-    return TQ.quantized(select.filter_range(filtered(TQ.orders_load(spark, sf_dir, "D")), *ORDER_RANGE))
+    return select.filter_range(filtered(TQ.orders_load(spark, sf_dir, "D")), *ORDER_RANGE)
 
 
 def _cal_query(spark, sf_dir, bdays=0, bhours=0):
     v = select.select_rows(TQ.events_view(spark, sf_dir), None, bdays, bhours, holidays=_holidays(spark))
-    return TQ.quantized(v)
+    return v
 
 
 @register("business_days", _sel(_view(O.events_load("H"), f"AND {_bday_sql()}"), "v", LOAD_D, LOAD_O))
@@ -354,8 +365,8 @@ _PICKED_SQL = ", ".join(f"DATE '{d}'" for d in PICKED_DAYS)
     s AS (SELECT * FROM load WHERE CAST(DateTimeStart AS DATE) IN ({_PICKED_SQL}))""", "s", LOAD_D, LOAD_O))
 def select_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT7/FLT9: picked days of an hourly table -> all their hours."""
-    return TQ.quantized(select.select_keys(TQ.events_load(spark, sf_dir, "H"), "DateTimeStart", PICKED_DAYS,
-                                           by_day=True))
+    return select.select_keys(TQ.events_load(spark, sf_dir, "H"), "DateTimeStart", PICKED_DAYS,
+                                           by_day=True)
 
 
 @register("distinct_days", f"""WITH {O.events_load('H')}
@@ -370,7 +381,7 @@ def distinct_days(spark: SparkSession, sf_dir: str) -> DataFrame:
           WHERE rn <= 5)""", "h", LOAD_D, LOAD_O))
 def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT4: the first five rows of every series (top-k per group)."""
-    return TQ.quantized(select.head(TQ.events_load(spark, sf_dir, "H"), 5))
+    return select.head(TQ.events_load(spark, sf_dir, "H"), 5)
 
 
 # ===========================================================================
@@ -383,7 +394,7 @@ def _stats_q(load_fn, load_period, period, cfg=DEFAULT, **sel):
         if sel:
             view = select.select_rows(view, sel.get("interval"), sel.get("bdays", 0), sel.get("bhours", 0),
                                       holidays=_holidays(spark), cfg=cfg)
-        return TQ.quantized(stats.energy_stats(view, period, load_period, cfg))
+        return stats.energy_stats(view, period, load_period, cfg)
     return run
 
 
@@ -423,7 +434,7 @@ register("stats_hour_15min", _stats_sql(O.events_load("15min"), "H"))(_fn)
 _TD_KEYS = {"no_period": [], "W": ["year", "month", "week"], "M": ["year", "month"], "Q": ["year", "quarter"]}
 _TD_SQLK = {"year": "year", "month": "month", "week": "week", "quarter": "quarter", "hour": "hour"}
 TD_D = ["Energy__mean", "Energy__min", "Energy__max"]
-TD_O = ["Energy__idxmin", "Energy__idxmax"]
+TD_O = ["first_day", "Energy__idxmin", "Energy__idxmax"]
 
 
 def _td_ctes(ctes: str, period: str, name: str = "td", src: str = "load") -> str:
@@ -433,24 +444,28 @@ def _td_ctes(ctes: str, period: str, name: str = "td", src: str = "load") -> str
     c0 AS (SELECT *, count(Energy) OVER (PARTITION BY series, date_trunc('day', DateTimeStart)) AS ne,
                      count(DateTime) OVER (PARTITION BY series, date_trunc('day', DateTimeStart)) AS nt FROM v),
     c1 AS (SELECT * FROM c0 WHERE ne = 24 AND nt = 24),
-    {name} AS (SELECT series, {ksql}, avg(Energy) AS Energy__mean, min(Energy) AS Energy__min,
+    {name} AS (SELECT series, {ksql}, min(CAST(DateTimeStart AS DATE)) AS first_day, avg(Energy) AS Energy__mean, min(Energy) AS Energy__min,
                   first(DateTimeStart ORDER BY Energy ASC, DateTimeStart ASC) AS Energy__idxmin,
                   max(Energy) AS Energy__max,
                   first(DateTimeStart ORDER BY Energy DESC, DateTimeStart ASC) AS Energy__idxmax
            FROM c1 GROUP BY ALL)"""
 
 
-def _td_q(period):
+def _td_q(period, view=TQ.events_view, cfg=DEFAULT):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return TQ.quantized(typical_day.typical_day(TQ.events_view(spark, sf_dir), period))
+        return typical_day.typical_day(view(spark, sf_dir, cfg), period, cfg=cfg)
     run.__doc__ = f"TYP1-5: typical day per {period} over complete days."
     return run
 
 
-for _p, _n in (("no_period", "typical_day_all"), ("W", "typical_day_week"), ("M", "typical_day_month"),
-               ("Q", "typical_day_quarter")):
-    register(_n, f"WITH {_td_ctes(O.events_load('H'), _p)}\nSELECT "
-                 f"{O.qcols(TD_D, ['series', *_TD_KEYS[_p], 'hour', *TD_O])} FROM td")(_td_q(_p))
+# events: one month of energy (every hour is there) and of power (empty hours
+# are missing, so days are incomplete); orders: seven years of hourly energy
+for _src, _load, _view_fn, _cfg in (("", O.events_load("H"), TQ.events_view, DEFAULT),
+                                    ("power_", O.events_load("H", how="mean"), TQ.events_view, POWER),
+                                    ("orders_", O.orders_hourly_load(), TQ.orders_hourly_view, DEFAULT)):
+    for _p, _n in (("no_period", "all"), ("W", "week"), ("M", "month"), ("Q", "quarter")):
+        register(f"typical_day_{_src}{_n}", f"WITH {_td_ctes(_load, _p)}\nSELECT "
+                 f"{O.qcols(TD_D, ['series', *_TD_KEYS[_p], 'hour', *TD_O])} FROM td")(_td_q(_p, _view_fn, _cfg))
 
 
 @register("typical_day_business_hours",
@@ -459,7 +474,7 @@ for _p, _n in (("no_period", "typical_day_all"), ("W", "typical_day_week"), ("M"
 def typical_day_business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TYP1 / Q12: business hours leave no day with 24 rows -> empty result."""
     v = select.select_rows(TQ.events_view(spark, sf_dir), None, 0, 1)
-    return TQ.quantized(typical_day.typical_day(v, "M"))
+    return typical_day.typical_day(v, "M")
 
 
 # ===========================================================================
@@ -511,38 +526,50 @@ def _dist_ctes(ctes: str, loads: list[str], period: str, same_count: bool, total
     return out, doubles, others
 
 
-def _dist_sql(loads, period, same_count, total_first):
-    ctes, d, o = _dist_ctes(O.events_load("H"), loads, period, same_count, total_first)
+def _dist_sql(loads, period, same_count, total_first, how="sum"):
+    ctes, d, o = _dist_ctes(O.events_load("H", how=how), loads, period, same_count, total_first)
     return f"WITH {ctes}\nSELECT {O.qcols(d, o)} FROM dist"
 
 
-def _dist_df(spark, sf_dir, loads, period, same_count, total_first):
-    return distribution.energy_distribution(TQ.events_view(spark, sf_dir), loads, period, "H",
+def _dist_df(spark, sf_dir, loads, period, same_count, total_first, cfg=DEFAULT):
+    return distribution.energy_distribution(TQ.events_view(spark, sf_dir, cfg), loads, period, "H", cfg,
                                             same_count=same_count, total_first=total_first)
 
 
+def _dist_power(name: str, doc: str, loads, same_count, total_first):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _dist_df(spark, sf_dir, loads, "D", same_count, total_first, POWER)
+    run.__doc__ = doc
+    register(name, _dist_sql(loads, "D", same_count, total_first, "mean"))(run)
+
+
+_dist_power("distribution_power_same_support", "DST1 on power loads, whose hours differ.", EVENT_TYPES, True, False)
+_dist_power("distribution_power_independent", "DST2 on power loads, whose hours differ.", EVENT_TYPES, False, False)
+_dist_power("distribution_power_share_residual", "DST3/DST4 on power loads.", ["total", *EVENT_TYPES], True, True)
+
+
 @register("distribution_same_support", _dist_sql(EVENT_TYPES, "D", True, False))
 def distribution_same_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DST1/JN7: daily sums, means, counts of five loads on their common hours."""
-    return TQ.quantized(_dist_df(spark, sf_dir, EVENT_TYPES, "D", True, False))
+    return _dist_df(spark, sf_dir, EVENT_TYPES, "D", True, False)
 
 
 @register("distribution_independent", _dist_sql(EVENT_TYPES, "D", False, False))
 def distribution_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DST2/JN8: each load on its own hours, days present in all loads."""
-    return TQ.quantized(_dist_df(spark, sf_dir, EVENT_TYPES, "D", False, False))
+    return _dist_df(spark, sf_dir, EVENT_TYPES, "D", False, False)
 
 
 @register("distribution_share_residual", _dist_sql(["total", *EVENT_TYPES], "D", True, True))
 def distribution_share_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DST3/DST4: shares of the total and the residual ``other_loads``."""
-    return TQ.quantized(_dist_df(spark, sf_dir, ["total", *EVENT_TYPES], "D", True, True))
+    return _dist_df(spark, sf_dir, ["total", *EVENT_TYPES], "D", True, True)
 
 
 @register("distribution_weekly", _dist_sql(["total", "click", "view"], "W", True, True))
 def distribution_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DST1/DST3 per week."""
-    return TQ.quantized(_dist_df(spark, sf_dir, ["total", "click", "view"], "W", True, True))
+    return _dist_df(spark, sf_dir, ["total", "click", "view"], "W", True, True)
 
 
 # ===========================================================================
@@ -556,17 +583,14 @@ def distribution_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
           GROUP BY DateTimeStart HAVING count(*) = {len(EVENT_TYPES)})""", "gl"))
 def group_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET2: five loads summed into one at their common stamps."""
-    return TQ.quantized(combine.group_loads(TQ.events_load(spark, sf_dir, "H"), EVENT_TYPES, "grouped"))
+    return combine.group_loads(TQ.events_load(spark, sf_dir, "H"), EVENT_TYPES, "grouped")
 
 
 @register("concat_tables", _load_sql(O.events_load("H") + ", " + O.orders_load("D", name="load2", p="o_") + """,
-    u AS (SELECT * FROM load WHERE series = 'click' UNION ALL SELECT * FROM load2 WHERE series = '1-URGENT')""",
-    "u"))
+    u AS (SELECT * FROM load UNION ALL SELECT * FROM load2)""", "u"))
 def concat_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET1: union of two tables of the same kind, columns aligned by name."""
-    a = TQ.events_load(spark, sf_dir, "H").where(F.col("series") == "click")
-    b = TQ.orders_load(spark, sf_dir, "D").where(F.col("series") == "1-URGENT")
-    return TQ.quantized(combine.concatenate(a, b))
+    return combine.concatenate(TQ.events_load(spark, sf_dir, "H"), TQ.orders_load(spark, sf_dir, "D"))
 
 
 # ===========================================================================
@@ -690,12 +714,12 @@ def _cmp_stats_sql(load_ctes: str, period: str, how: str = "inner", offset: int
 
 
 def _cmp_stats_q(load_fn, load_period, period, how="inner", offset=1, left=None, right=None,
-                 match_series=False, mode="reference"):
+                 mode="reference"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         st = stats.energy_stats(filtered(load_fn(spark, sf_dir, load_period)), period, load_period)
         if left and right:
-            return TQ.quantized(compare.compare_series(st, left, right, period, how, offset, mode))
-        return TQ.quantized(compare.compare_stats(st, st, period, how, offset, mode, match_series))
+            return compare.compare_series(st, left, right, period, how, offset, mode)
+        return compare.compare_stats(st, st, period, how, offset, mode)
     return run
 
 
@@ -722,7 +746,7 @@ _CMP_STATS = [
 _LOADS = {"events": (TQ.events_load, O.events_load), "orders": (TQ.orders_load, O.orders_load)}
 
 for (_n, _src, _lp, _p, _how, _off, _l, _r, _ms, _mode) in _CMP_STATS:
-    _fn = _cmp_stats_q(_LOADS[_src][0], _lp, _p, _how, _off, _l, _r, _ms, _mode)
+    _fn = _cmp_stats_q(_LOADS[_src][0], _lp, _p, _how, _off, _l, _r, _mode)
     _fn.__doc__ = f"JN/CMP: {_how} comparison of {_p} statistics ({_src})."
     register(_n, _cmp_stats_sql(_LOADS[_src][1](_lp), _p, _how, _off, _l, _r, _ms, _mode))(_fn)
 
@@ -766,22 +790,23 @@ def _cmp_dist_sql(loads, period, total_first, offset=1, mode="reference") -> str
 def compare_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5/CMP4: every day of a distribution against the previous day."""
     d = _dist_df(spark, sf_dir, ["total", *EVENT_TYPES], "D", True, True)
-    return TQ.quantized(compare.compare_distribution(d, "D", 1))
+    return compare.compare_distribution(d, "D", 1)
 
 
 @register("compare_distribution_weekly", _cmp_dist_sql(["total", "click", "view"], "W", True))
 def compare_distribution_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5/CMP4: every week against the previous week."""
     d = _dist_df(spark, sf_dir, ["total", "click", "view"], "W", True, True)
-    return TQ.quantized(compare.compare_distribution(d, "W", 1))
+    return compare.compare_distribution(d, "W", 1)
 
 
-def _cmp_td_sql(period: str, offset: int = 1, mode: str = "reference") -> str:
+def _cmp_td_sql(load: str, period: str, offset: int = 1, mode: str = "reference") -> str:
     keys = _TD_KEYS[period]
     stats_cols = ["Energy__mean", "Energy__min", "Energy__idxmin", "Energy__max", "Energy__idxmax"]
-    w = f"(PARTITION BY series, hour ORDER BY {', '.join(keys)})"
-    sel = ["series", "hour"] + [f"{k} AS {k}_1" for k in keys] + [f"lag({k}, {offset}) OVER {w} AS {k}_2" for k in keys]
-    sel += [f"{s} AS {s}_1" for s in stats_cols] + [f"lag({s}, {offset}) OVER {w} AS {s}_2" for s in stats_cols]
+    step = {"W": "floor(date_diff('day', DATE '1970-01-05', first_day) / 7)", "M": "(year(first_day) * 12 + month(first_day) - 1)",
+            "Q": "(year(first_day) * 4 + quarter(first_day) - 1)"}[period]
+    sel = [f"x.{k} AS {k}_1" for k in keys] + [f"y.{k} AS {k}_2" for k in keys]
+    sel += [f"x.{c} AS {c}_1" for c in stats_cols] + [f"y.{c} AS {c}_2" for c in stats_cols]
     a, b = '"Energy__mean_1"', '"Energy__mean_2"'
     pc = "consistent" if mode == "consistent" else "over100a"
     if period in ("Q", "M"):
@@ -793,30 +818,36 @@ def _cmp_td_sql(period: str, offset: int = 1, mode: str = "reference") -> str:
         ix = "concat_ws('--', year_1, month_1, week_1, hour)"
         iy = f"concat_ws('--', year_2, month_2, {third}, hour)"
     doubles = ["mean_energy_difference(x-y)", "percentage(x-y)/x"] + \
-        [f"{s}_{i}" for i in (1, 2) for s in ("Energy__mean", "Energy__min", "Energy__max")]
+        [f"{c}_{i}" for i in (1, 2) for c in ("Energy__mean", "Energy__min", "Energy__max")]
     others = ["index x", "index y", "series", "hour"] + [f"{k}_{i}" for i in (1, 2) for k in keys] + \
-        [f"{s}_{i}" for i in (1, 2) for s in ("Energy__idxmin", "Energy__idxmax")]
-    return f"""WITH {_td_ctes(O.events_load('H'), period)},
-    tl AS (SELECT {', '.join(sel)} FROM td),
+        [f"{c}_{i}" for i in (1, 2) for c in ("Energy__idxmin", "Energy__idxmax")]
+    return f"""WITH {_td_ctes(load, period)},
+    ts AS (SELECT *, {step} AS step FROM td),
+    ty AS (SELECT * FROM ts QUALIFY row_number() OVER (PARTITION BY series, hour, step ORDER BY first_day DESC) = 1),
+    tl AS (SELECT x.series, x.hour, {', '.join(sel)} FROM ts x JOIN ty y
+           ON x.series = y.series AND x.hour = y.hour AND x.step - {offset} = y.step),
     tp AS (SELECT {_metric_sql('diff', a, b)} AS "mean_energy_difference(x-y)",
-                  {_metric_sql(pc, a, b)} AS "percentage(x-y)/x", {ix} AS "index x", {iy} AS "index y", *
-           FROM tl WHERE {keys[0]}_2 IS NOT NULL)
+                  {_metric_sql(pc, a, b)} AS "percentage(x-y)/x", {ix} AS "index x", {iy} AS "index y", * FROM tl)
     SELECT {O.qcols(doubles, others)} FROM tp"""
 
 
-@register("compare_typical_day", _cmp_td_sql("W"))
-def compare_typical_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN6/CMP5/CMP6: every week's typical day against the previous week's,
-    hour by hour (lag over (series, hour))."""
-    td = typical_day.typical_day(TQ.events_view(spark, sf_dir), "W")
-    return TQ.quantized(compare.compare_typical_day(td, "W", 1))
+def _cmp_td(name: str, load: str, view, period: str, mode: str, doc: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return compare.compare_typical_day(typical_day.typical_day(view(spark, sf_dir), period), period, 1, mode)
+    run.__doc__ = doc
+    register(name, _cmp_td_sql(load, period, mode=mode))(run)
 
 
-@register("compare_typical_day_consistent", _cmp_td_sql("W", mode="consistent"))
-def compare_typical_day_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP5/CMP6 with ``percent_mode='consistent'`` (week label fixed, Q8)."""
-    td = typical_day.typical_day(TQ.events_view(spark, sf_dir), "W")
-    return TQ.quantized(compare.compare_typical_day(td, "W", 1, percent_mode="consistent"))
+_cmp_td("compare_typical_day", O.events_load("H"), TQ.events_view, "W", "reference",
+        "JN6/CMP5/CMP6: every week's typical day against the previous week's, hour by hour.")
+_cmp_td("compare_typical_day_consistent", O.events_load("H"), TQ.events_view, "W", "consistent",
+        "CMP5/CMP6 with ``percent_mode='consistent'`` (week label fixed, Q8).")
+_cmp_td("compare_typical_day_week", O.orders_hourly_load(), TQ.orders_hourly_view, "W", "reference",
+        "JN6 over seven years: year ends and weeks cut by a month's end.")
+_cmp_td("compare_typical_day_month", O.orders_hourly_load(), TQ.orders_hourly_view, "M", "reference",
+        "JN6/CMP6: every month's typical day against the previous month's, stamp labels.")
+_cmp_td("compare_typical_day_quarter", O.orders_hourly_load(), TQ.orders_hourly_view, "Q", "reference",
+        "JN6/CMP6: every quarter's typical day against the previous quarter's, stamp labels.")
 
 
 _PAIR1 = ("2024-01-03", "2024-01-11")
@@ -830,10 +861,10 @@ _PAIR2 = ("2024-01-02", "2024-01-10", "2024-01-20")
 def select_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT8: a two-key comparison table restricted by two key lists."""
     st = stats.energy_stats(TQ.events_view(spark, sf_dir), "D", "H")
-    c = compare.compare_stats(st, st, "D", "shifted", 1, match_series=True)
+    c = compare.compare_stats(st, st, "D", "shifted", 1)
     sel = select.select_pairs(c, "period_start_1", [_d + " 00:00:00" for _d in _PAIR1],
                               "period_start_2", [_d + " 00:00:00" for _d in _PAIR2])
-    return TQ.quantized(sel)
+    return sel
 
 
 # ===========================================================================
@@ -860,25 +891,68 @@ def unpivot_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     l15 = TQ.events_load(spark, sf_dir, "15min")
     wide = pivot_quarters(l15.select("series", F.col("DateTimeStart").alias("DateTime"), "Energy"))
-    return TQ.quantized(load_series(unpivot(wide), DEFAULT, "H"))
+    return load_series(unpivot(wide), DEFAULT, "H")
 
 
 @register("csv_round_trip", _load_sql(O.events_load("H")))
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK1 + SRC1/SRC3: readings written as two-column CSV files, one folder
-    per series, read back by position and loaded hourly."""
+    """SNK1-SNK3: an hourly load kept under a name, written as CSV by the
+    catalog's sink (``save_last``) and read back with its own columns."""
+    import uuid
+
+    from loadgrid.plans.catalog import TableCatalog
+    from loadgrid.session import scratch_path
+
+    cat = TableCatalog(spark)
+    cat.keep("events hourly", TQ.events_load(spark, sf_dir, "H"), "energy_data", "H")
+    path = cat.save_last(scratch_path(spark, f"csv_round_trip/{uuid.uuid4().hex}"), overwrite=False)
+    return spark.read.schema("series string, DateTimeStart timestamp_ntz, DateTime timestamp_ntz, Energy double") \
+        .option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+@register("load_meter_files", _load_sql(O.events_load("H")))
+def load_meter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, SRC3, SRC4: all readings of ``events`` written as one delimited
+    file per meter, named after it, with month-first stamps; read back by
+    position, the meter taken from the file's name, and loaded hourly."""
     import uuid
 
     from loadgrid.plans.load import load_series
     from loadgrid.session import scratch_path
-    from loadgrid.sources.files import read_readings
+    from loadgrid.sources.files import read_meter_files
+
+    base = scratch_path(spark, f"meter_files/{uuid.uuid4().hex}")
+    TQ.events_readings(spark, sf_dir).select("series", F.date_format("DateTime", "M/d/yyyy H:mm:ss").alias("stamp"), "Energy") \
+        .repartition("series").write.partitionBy("series").option("header", True).csv(f"{base}/parts")
+    jvm = spark.sparkContext._jvm
+    P = jvm.org.apache.hadoop.fs.Path
+    fs = P(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(P(f"{base}/meters"))
+    for i, f in enumerate(fs.globStatus(P(f"{base}/parts/series=*/part-*"))):      # a rename per meter
+        meter = f.getPath().getParent().getName().split("=", 1)[1]
+        fs.rename(f.getPath(), P(f"{base}/meters/ {meter}  .csv"))
+    return load_series(read_meter_files(spark, f"{base}/meters"), DEFAULT, "H", order=["__blk", "__row"])
+
+
+@register("stored_load_range", _sel(_view(O.events_load("H"), _range_sql(*EVENT_RANGE)), "v", LOAD_D, LOAD_O))
+def stored_load_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT1 on a stored load: the range is pushed into its scan."""
+    import uuid
+
+    from loadgrid.plans.load import store_load
+    from loadgrid.session import scratch_path
+
+    stored = store_load(TQ.events_load(spark, sf_dir, "H"), scratch_path(spark, f"stored_load/{uuid.uuid4().hex}"))
+    return select.filter_range(filtered(stored), *EVENT_RANGE)
 
-    path = scratch_path(spark, f"csv_round_trip/{uuid.uuid4().hex}")
-    r = TQ.events_readings(spark, sf_dir)
-    r.select("series", F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss").alias("DateTime"), "Energy") \
-        .write.partitionBy("series").option("header", True).mode("overwrite").csv(path)
-    back = read_readings(spark, path, "csv", name_from="dir")
-    return TQ.quantized(load_series(back, DEFAULT, "H", order=["__blk", "__row"]))
+
+@register("start_stamped", _load_sql(f"""r AS ({O.events_readings()}),
+    x AS (SELECT series, dt AS t, energy, 0 AS shift FROM r),
+    {O.binned_ctes('x', 'H', 'sum', 'skip')},
+    load AS (SELECT series, bin AS DateTimeStart, bin AS DateTime, Energy FROM f)"""))
+def start_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM1 for readings stamped at the start of their interval."""
+    return TQ.events_load(spark, sf_dir, "H", DEFAULT.with_(measurement_is_before_index=False))
 
 
 @register("snapshot_round_trip", _stats_sql(O.events_load("H"), "D"))
@@ -898,24 +972,39 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat.store_state(root)
     restored = TableCatalog(spark)
     restored.load_state(root)
-    return TQ.quantized(restored.get("events_daily_stats"))
+    return restored.get("events_daily_stats")
 
 
 # ===========================================================================
 # Sub-hourly loads inside the other operators (RSM5 / Q4) and power input
 # ===========================================================================
 
-def _hourly_of_15min_ctes() -> str:
+def _hourly_of_15min_ctes(where: str = "") -> str:
     """``h15``: the 15-minute event loads' filtered view as hourly rows (sum,
-    last stamp; hours without rows are 0 with no stamp)."""
+    last stamp) of the hours that have rows."""
     return f"""{O.events_load('15min', name='l15')},
-    v15 AS (SELECT * FROM l15 WHERE Energy IS NOT NULL),
-    hb AS (SELECT series, date_trunc('hour', DateTimeStart) AS bin, COALESCE(sum(Energy), 0.0) AS s,
-                  max_by(DateTime, DateTimeStart) AS last_dt FROM v15 GROUP BY ALL),
-    hg AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS bin
-           FROM (SELECT series, min(bin) AS lo, max(bin) AS hi FROM hb GROUP BY series)),
-    h15 AS (SELECT hg.series, hg.bin AS DateTimeStart, hb.last_dt AS DateTime, COALESCE(hb.s, 0.0) AS Energy
-            FROM hg LEFT JOIN hb ON hg.series = hb.series AND hg.bin = hb.bin)"""
+    v15 AS (SELECT * FROM l15 WHERE Energy IS NOT NULL {where}),
+    h15 AS (SELECT series, date_trunc('hour', DateTimeStart) AS DateTimeStart, max(DateTime) AS DateTime,
+                   sum(Energy) AS Energy FROM v15 GROUP BY series, date_trunc('hour', DateTimeStart))"""
+
+
+def _business_view(spark, sf_dir):
+    return select.select_rows(filtered(TQ.events_load(spark, sf_dir, "15min")), None, 0, 1)
+
+
+@register("stats_day_15min_business_hours", f"""WITH {_hourly_of_15min_ctes(' AND ' + _bhour_sql())},
+    {O.stats_ctes('h15', 'D')}
+    SELECT {O.qcols(*O.stats_cols('D'))} FROM st""")
+def stats_day_15min_business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM5 + FLT4 + AGG1: daily statistics of 15-minute loads in business hours."""
+    return stats.energy_stats(_business_view(spark, sf_dir), "D", "15min")
+
+
+@register("distribution_15min_business", (lambda t: f"WITH {t[0]}\nSELECT {O.qcols(t[1], t[2])} FROM dist")(
+    _dist_ctes(_hourly_of_15min_ctes(" AND " + _bhour_sql()), EVENT_TYPES, "D", True, False, view_src="h15")))
+def distribution_15min_business(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSM5 + FLT4 + DST1: 15-minute loads in business hours, on their common hours."""
+    return distribution.energy_distribution(_business_view(spark, sf_dir), EVENT_TYPES, "D", "15min")
 
 
 @register("typical_day_15min", f"WITH {_td_ctes(_hourly_of_15min_ctes(), 'M', src='h15')}\nSELECT "
@@ -923,7 +1012,7 @@ def _hourly_of_15min_ctes() -> str:
 def typical_day_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TYP1-3 on a 15-minute load: converted to hourly rows first (RSM5)."""
     view = filtered(TQ.events_load(spark, sf_dir, "15min"))
-    return TQ.quantized(typical_day.typical_day(view, "M", "15min"))
+    return typical_day.typical_day(view, "M", "15min")
 
 
 def _dist15_sql() -> str:
@@ -935,7 +1024,7 @@ def _dist15_sql() -> str:
 def distribution_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DST1 on 15-minute loads: hourly rows first, then common stamps."""
     view = filtered(TQ.events_load(spark, sf_dir, "15min"))
-    return TQ.quantized(distribution.energy_distribution(view, EVENT_TYPES, "D", "15min"))
+    return distribution.energy_distribution(view, EVENT_TYPES, "D", "15min")
 
 
 _fn = _stats_q(TQ.events_load, "H", "M", POWER)
