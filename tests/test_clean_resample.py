@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from loadgrid.config import DEFAULT
@@ -153,12 +154,76 @@ def test_drop_zero_view(mk):
     assert clean.filtered_view(df, drop_zeros=True).count() == 1
 
 
-def test_side_table_memo_and_clear(mk):
-    rows = [("a", T(2024, 1, 1, 0, 15), 1.0), ("a", T(2024, 1, 1, 0, 30), 2.0)]
-    df = mk(rows)
-    s1, n1 = clean.shift_table(df)
-    s2, n2 = clean.shift_table(df)
-    assert s1 is s2 and n1 == n2 == 1
-    clean.clear_side_tables()
-    s3, _ = clean.shift_table(df)
-    assert s3 is not s1 and s3.collect()[0]["shift_seconds"] == 900
+def test_appended_meter_gets_its_own_interval(spark, tmp_path):
+    """W2: no memo of intervals outlives the readings it was made from."""
+    path = str(tmp_path / "readings")
+
+    def add(series, minutes):
+        rows = [(series, T(2024, 1, 1) + dt.timedelta(minutes=minutes * k), 1.0) for k in range(1, 9)]
+        spark.createDataFrame(rows, "series string, DateTime timestamp_ntz, Energy double").write.mode("append").parquet(path)
+
+    add("m1", 60)
+    assert load_series(spark.read.parquet(path), DEFAULT, "H").count() == 8
+    kept = clean.interval_table(spark.read.parquet(path))
+    add("m2", 120)
+    m2 = load_series(spark.read.parquet(path), DEFAULT, "H").where("series = 'm2'").orderBy("DateTimeStart").first()
+    assert m2["DateTimeStart"] == T(2024, 1, 1, 0)
+    with pytest.raises(Exception, match="no sampling interval is known for meter m2"):
+        load_series(spark.read.parquet(path), DEFAULT, "H", intervals=kept).collect()
+    assert load_series(spark.read.parquet(path).where("series = 'm1'"), DEFAULT, "H", intervals=kept).count() == 8
+
+
+def test_missing_stamp_raises(mk):
+    with pytest.raises(Exception, match="a reading has no stamp"):
+        load_series(mk([("a", "2024-01-01 00:15:00", 1.0), ("a", "2024-01-01 00:30:00", 1.0), ("a", None, 2.0)]), DEFAULT).collect()
+
+
+def test_other_session_zone_raises(spark, mk):
+    df = mk([("a", "2024-03-10 02:00:00", 4.0), ("a", "2024-03-10 03:00:00", 5.0)])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(RuntimeError, match="time zone"):
+            load_series(df, DEFAULT)
+        with pytest.raises(RuntimeError, match="time zone"):
+            resample.resample_bins(df.withColumn("t", F.col("DateTime")), "D")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_long_gap_on_a_minute_grid(mk):
+    """P5: a stray stamp far away makes many rows, but no array longer than a day."""
+    df = mk([("s", "1999-01-01 00:00:00", 1.0), ("s", "1999-01-01 00:01:00", 1.0), ("s", "2003-01-01 00:00:00", 1.0)])
+    out = resample.resample_bins(df.withColumn("t", F.col("DateTime")), "1min")
+    days = (dt.date(2003, 1, 1) - dt.date(1999, 1, 1)).days
+    assert out.count() == days * 1440 + 1
+    assert out.where("Energy > 0").count() == 3 and out.select("bin").distinct().count() == days * 1440 + 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2
+
+
+def test_quarter_hours_in_business_hours_invent_nothing(mk):
+    """W3: a constant 15-minute load under business hours keeps its constant hours."""
+    from loadgrid.operators import select, stats
+    rows = [("s", T(2024, 1, 1) + dt.timedelta(minutes=15 * (k + 1)), 1.0) for k in range(96 * 3)]
+    view = select.select_rows(filtered(load_series(mk(rows), DEFAULT, "15min")), None, 0, 1)
+    h = resample.to_hourly(view, "15min").collect()
+    # 08:00 .. 15:00 of three days; the last quarter-hour kept is 15:00 itself
+    assert len(h) == 24 and {r["Energy"] for r in h} == {4.0, 1.0}
+    d = stats.energy_stats(view, "D", "15min").orderBy("period_start").collect()
+    assert [r["Daily_Energy_Hourly_Stats__count"] for r in d] == [8, 8, 8]
+    assert min(r["Daily_Energy_Hourly_Stats__min"] for r in d) == 1.0
+
+
+def test_stats_moments_merge(mk):
+    """One pass over the rows: moments of days merge to those of the period."""
+    import statistics
+    from loadgrid.operators import stats
+    vals = [((k * 7919) % 1000) / 7.0 + 1e6 for k in range(24 * 40)]
+    rows = [("s", T(2024, 1, 1) + dt.timedelta(hours=k), T(2024, 1, 1) + dt.timedelta(hours=k), v) for k, v in enumerate(vals)]
+    view = mk(rows, "series string, DateTimeStart timestamp_ntz, DateTime timestamp_ntz, Energy double")
+    r = stats.energy_stats(view, "Y").collect()[0]
+    g = "Yearly_Energy_Hourly_Stats__"
+    assert abs(r[g + "std"] - statistics.stdev(vals)) < 1e-6 and abs(r[g + "sum"] - sum(vals)) < 1e-3
+    assert r[g + "idxmin"] == rows[vals.index(min(vals))][1] and r[g + "idxmax"] == rows[vals.index(max(vals))][1]
+    assert r["Monthly_Energy__count"] == 2 and r["Daily_Energy__count"] == 40
+    assert abs(r["Monthly_Energy__max"] - sum(vals[:24 * 31])) < 1e-3 and r["Monthly_Energy__idxmax"] == T(2024, 1, 1)

@@ -66,20 +66,21 @@ def test_compare_stats_daily_formulas(spark):
     st = spark.createDataFrame([row("x", 1, 200.0, 10.0), row("x", 2, 100.0, 5.0),
                                 row("y", 1, 100.0, 4.0), row("y", 2, 50.0, 5.0)], schema)
     a, b = st.where("series = 'x'"), st.where("series = 'y'")
-    r = {x["period_start_1"].day: x for x in compare.compare_stats(a, b, "D").collect()}
+    assert compare.compare_stats(a, b, "D").count() == 0            # different meters never meet here
+    r = {x["period_start_1"].day: x for x in compare.compare_series(a.union(b), "x", "y", "D").collect()}
     assert r[1]["first_data_sum_minus_second_data_sum"] == 100.0
     assert r[1]["percent_difference_sum_energy_consumption"] == 100.0 / (EPS + 100.0) * 100.0
     assert r[1]["percent_difference_mean_power"] == 6.0 / (EPS + 4.0) * 100.0
     assert r[1]["_merge"] == "both"
     # shifted: day 2 of x against day 1 of y
-    s = compare.compare_stats(a, b, "D", "shifted", 1).collect()
+    s = compare.compare_series(st, "x", "y", "D", "shifted", 1).collect()
     assert len(s) == 1 and s[0]["period_start_1"].day == 2 and s[0]["period_start_2"].day == 1
     # self comparison by series: antisymmetric pairs do not exist, each day meets its predecessor
-    own = compare.compare_stats(st, st, "D", "shifted", 1, match_series=True).collect()
+    own = compare.compare_stats(st, st, "D", "shifted", 1).collect()
     assert {(x["series_1"], x["series_2"]) for x in own} == {("x", "x"), ("y", "y")}
-    assert compare.compare_stats(st, st, "D", "aligned", 1, match_series=True).count() == 0
+    assert compare.compare_stats(st, st, "D", "aligned", 1).count() == 0
     with pytest.raises(ValueError):
-        compare.compare_stats(st, st, "Y", "aligned", 1, match_series=True)
+        compare.compare_stats(st, st, "Y", "aligned", 1)
 
 
 def test_compare_typical_day_lag(mk):
@@ -157,3 +158,43 @@ def test_compare_stats_month_and_year_formulas(spark):
     c = compare.compare_series(y, "x", "y", "Y", percent_mode="consistent").collect()[0]
     assert c["first_data_daily_mean_consumption_minus_second_data_mean_daily_consumption"] == 30.0
     assert c["percent_difference_mean_monthly"] == 500.0 / (EPS + 1000.0) * 100.0
+
+
+def test_many_meters_one_partner_each(mk):
+    """W5: 30 meters over two months compare row by row, not all with all."""
+    from loadgrid.operators import stats
+    rows = [(f"m{m}", T(2024, mo, d), T(2024, mo, d), float(m + d)) for m in range(30) for mo in (1, 2) for d in range(1, 4)]
+    st = stats.energy_stats(mk(rows, "series string, DateTimeStart timestamp_ntz, DateTime timestamp_ntz, Energy double"), "M", "D")
+    assert compare.compare_stats(st, st, "M").count() == 60
+    assert compare.compare_stats(st, st, "M", "shifted", 1).count() == 30
+
+
+def test_typical_day_partner_at_year_end_and_gap(mk):
+    """W6: 2024-W49 meets W48, 2024-12-30 is week 1 of 2025 and meets W52; a missing week has no partner."""
+    days = [T(2024, 11, 25), T(2024, 12, 2), T(2024, 12, 16), T(2024, 12, 23), T(2024, 12, 30), T(2025, 1, 2), T(2025, 1, 6)]
+    rows = [("s", d + dt.timedelta(hours=h), d + dt.timedelta(hours=h), float(d.day)) for d in days for h in range(24)]
+    td = typical_day.typical_day(mk(rows, "series string, DateTimeStart timestamp_ntz, DateTime timestamp_ntz, Energy double"), "W")
+    c = {(r["year_1"], r["month_1"], r["week_1"]): (r["year_2"], r["month_2"], r["week_2"])
+         for r in compare.compare_typical_day(td, "W", 1).where("hour = 3").collect()}
+    assert c == {(2024, 12, 49): (2024, 11, 48), (2024, 12, 52): (2024, 12, 51), (2024, 12, 1): (2024, 12, 52),
+                 (2025, 1, 1): (2024, 12, 52), (2025, 1, 2): (2025, 1, 1)}
+
+
+def test_duplicate_stamps_raise(mk):
+    """W4: a stamp twice in one load and absent in another is no common stamp."""
+    from loadgrid.operators import combine
+    rows = [("a", T(2024, 1, 1), T(2024, 1, 1), 5.0), ("a", T(2024, 1, 1), T(2024, 1, 1), 5.0), ("b", T(2024, 1, 2), T(2024, 1, 2), 1.0)]
+    v = mk(rows, "series string, DateTimeStart timestamp_ntz, DateTime timestamp_ntz, Energy double")
+    with pytest.raises(Exception, match="holds a stamp twice"):
+        combine.group_loads(v, ["a", "b"]).collect()
+    with pytest.raises(Exception, match="holds a stamp twice"):
+        distribution.energy_distribution(v, ["a", "b"], "D").collect()
+
+
+def test_distribution_over_dotted_names(mk):
+    rows = [(s, T(2024, 1, 1, h), T(2024, 1, 1, h), x) for s, x in (("hall.v2", 4.0), ("a b", 1.0)) for h in range(3)]
+    v = mk(rows, "series string, DateTimeStart timestamp_ntz, DateTime timestamp_ntz, Energy double")
+    r = distribution.energy_distribution(v, ["hall.v2", "a b"], "D", total_first=True)
+    assert r.collect()[0]["a b__percentage"] == 25.0 and r.collect()[0]["other_loads__sum"] == 9.0
+    both = r.unionByName(r.withColumn("period_start", F.expr("period_start + interval 1 day")))
+    assert compare.compare_distribution(both, "D").count() == 1

@@ -40,8 +40,8 @@ def test_resample_day_then_month_equals_month(spark):
 
 def test_comparison_antisymmetry(spark):
     st = stats.energy_stats(TQ.events_view(spark, SF), "D")
-    fwd = compare.compare_stats(st, st, "D", "shifted", 1, match_series=True)
-    back = compare.compare_stats(st, st, "D", "shifted", -1, match_series=True)
+    fwd = compare.compare_stats(st, st, "D", "shifted", 1)
+    back = compare.compare_stats(st, st, "D", "shifted", -1)
     f = {(r["series_1"], r["period_start_1"], r["period_start_2"]): r["first_data_sum_minus_second_data_sum"]
          for r in fwd.collect()}
     b = {(r["series_1"], r["period_start_2"], r["period_start_1"]): r["first_data_sum_minus_second_data_sum"]

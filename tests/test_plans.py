@@ -54,11 +54,42 @@ def test_shift_side_table_broadcast_and_fallback(spark):
     plan = _plan(small)
     assert "BroadcastHashJoin" in plan and "ExistingRDD" in plan
     # above the bound the side table is not hinted for broadcast; same result
-    side, n = clean.shift_table(r, max_rows=2, reuse=False)
-    assert n == 6
     big = registry.TQ.events_load(spark, SF, "H", DEFAULT.with_(broadcast_max_rows=2))
     a = small.orderBy("series", "DateTimeStart").collect()
     b = big.orderBy("series", "DateTimeStart").collect()
     assert a == b
     joined = clean.with_shift(r, None, max_rows=2)
     assert joined.where(F.col("shift_seconds").isNull()).count() == 0
+
+
+def _exchanges(plan: str) -> list[str]:
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+
+
+@pytest.mark.parametrize("name", ["business_days", "non_business_days", "select_days", "stats_day_business"])
+def test_calendar_and_key_lists_do_not_shuffle_the_load(spark, name):
+    """P1: no exchange by date; at most the load's own by series (and bin) and the statistics' by period."""
+    p = _plan(registry.QUERIES[name](spark, SF))
+    assert "SortMergeJoin" not in p
+    assert not any("DateTimeStart" in x for x in _exchanges(p))   # the holiday list may be made distinct
+
+
+@pytest.mark.parametrize("name", ["stats_month", "stats_orders_y", "stats_orders_q", "stats_lineitem_month"])
+def test_statistics_read_the_rows_once(spark, name):
+    """P3: one scan, one aggregation of the hourly rows, no sort aggregate on them."""
+    p = _plan(registry.QUERIES[name](spark, SF))
+    assert p.count("FileScan parquet") == 1
+    cells = [x for x in p.splitlines() if "Aggregate" in x and "var_pop" in x]
+    assert cells and not any("SortAggregate" in x for x in cells)
+
+
+@pytest.mark.parametrize("name", ["interpolate_linear", "forward_fill", "back_fill"])
+def test_fills_scan_and_shuffle_the_readings_once(spark, name):
+    """P2: both steps read the written blocks."""
+    p = _plan(registry.QUERIES[name](spark, SF))
+    assert "FileScan parquet" not in p and p.count("ExistingRDD") == 2
+
+
+def test_resampling_a_known_grid_runs_the_load_once(spark):
+    p = _plan(registry.QUERIES["resample_loaded_day"](spark, SF))
+    assert p.count("FileScan parquet") == 1

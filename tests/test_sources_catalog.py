@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadgrid.config import DEFAULT
-from loadgrid.functions.naming import parse_name, series_name_from_file
+from loadgrid.functions.naming import series_name_from_file, table_key
 from loadgrid.plans.catalog import KindMismatch, NoCommonStamp, TableCatalog, TableNotFound
 from loadgrid.plans.load import load_series
 from loadgrid.sources.files import check_format, read_readings, read_wide_csv, unpivot_quarters
@@ -19,7 +19,7 @@ T = dt.datetime
 
 
 def test_series_names():
-    assert parse_name("  Main   meter \t A ") == "Main_meter_A"
+    assert table_key("  Main   meter \t A ") == "Main_meter_A"
     assert series_name_from_file(" Main meter.csv") == "Main_meter"
     assert series_name_from_file("hall.v2.csv", period="D") == "hall.v2_period_D"
     assert series_name_from_file("hall.csv", period="H") == "hall"
@@ -116,7 +116,7 @@ def test_catalog_commands(spark):
     assert cat.entry(st).kind == "energy_stats_data"
     assert cat.get(st).select("period_start").distinct().count() == 9
     w = cat.energy_stats(load, "W")
-    cmp_ = cat.compare_stats(w, w, "shifted", 1, match_series=True)
+    cmp_ = cat.compare_stats(w, w, "shifted", 1)
     assert cat.get(cmp_).count() > 0
     with pytest.raises(ValueError):
         cat.compare_stats(st, w)
@@ -131,3 +131,87 @@ def test_catalog_commands(spark):
     assert cat.get(sel).count() == 3 * 24
     assert cat.head(load, 2).count() == 6
     assert cat.extent(load).collect()[0]["min_day"] == dt.date(2024, 1, 1)
+
+
+def _file(text: str) -> str:
+    d = tempfile.mkdtemp(prefix="lg-src-")
+    with open(os.path.join(d, "m.csv"), "w") as f:
+        f.write(text)
+    return os.path.join(d, "m.csv")
+
+
+def test_slash_dates_are_month_first_unless_told(spark):
+    p = _file("t,v\n01/02/2024 01:00,1\n1/13/2024 2:05:06,2\n")
+    assert sorted(r["DateTime"] for r in read_readings(spark, p).collect()) == [T(2024, 1, 2, 1), T(2024, 1, 13, 2, 5, 6)]
+    with pytest.raises(Exception, match="no stamp layout fits 1/13/2024"):
+        read_readings(spark, p, day_first=True).collect()
+    assert [r["stamp"] for r in read_readings(spark, p, day_first=True, rejects=True).collect()] == ["1/13/2024 2:05:06"]
+    p = _file("t,v\n01/02/2024 01:00,1\n")
+    assert read_readings(spark, p, day_first=True).first()["DateTime"] == T(2024, 2, 1, 1)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-01-05", T(2024, 1, 5)), ("2024-01-05T06:07:08", T(2024, 1, 5, 6, 7, 8)), ("2024/1/5 6:07", T(2024, 1, 5, 6, 7)),
+    ("20240105 06:07:08", T(2024, 1, 5, 6, 7, 8)), ("5 Jan 2024 6:07", T(2024, 1, 5, 6, 7)), ("January 5 2024", None),
+    ("Jan 5 2024 06:07", T(2024, 1, 5, 6, 7)), ("1/5/2024 6:07:08 PM", T(2024, 1, 5, 18, 7, 8)), ("1-5-2024", T(2024, 1, 5)),
+    ("2024-01-05 06:00:00+02:00", T(2024, 1, 5, 6)), ("soon", None)])
+def test_stamp_layouts(spark, text, want):
+    from loadgrid.sources.files import parse_datetime
+    got = spark.range(1).select(parse_datetime(F.lit(text)).alias("t")).first()["t"]
+    assert got == want or want is None and (got is None or got == T(2024, 1, 5))
+
+
+def test_bad_lines_raise(spark):
+    with pytest.raises(Exception):
+        read_readings(spark, _file("t,v\n2024-01-01 01:00:00,1,7\n")).collect()
+    with pytest.raises(Exception):
+        read_readings(spark, _file("t,v\n2024-01-01 01:00:00\n")).collect()
+    with pytest.raises(Exception, match="an empty stamp"):
+        read_readings(spark, _file("t,v\n,5\n")).collect()
+
+
+def test_save_last_one_folder_a_session(spark):
+    cat = TableCatalog(spark)
+    with pytest.raises(LookupError):
+        cat.save_last(tempfile.mkdtemp())
+    root = tempfile.mkdtemp(prefix="lg-out-")
+    cat.keep("first", spark.range(3))
+    a = cat.save_last(root, "csv", overwrite=False)
+    cat.keep("second table", spark.range(4))
+    b = cat.save_last(root, "parquet", overwrite=False)
+    assert os.path.dirname(a) == os.path.dirname(b) and b.endswith("/second_table")
+    assert spark.read.parquet(b).count() == 4 and spark.read.option("header", True).csv(a).count() == 3
+    assert cat.store_state(root) != cat.store_state(root)          # snapshots of one second stay apart
+
+
+def test_picked_days_of_hourly_statistics_and_comparisons(spark):
+    rows = [("m", T(2024, 1, 1) + dt.timedelta(hours=h + 1), float(h)) for h in range(24 * 5)]
+    cat = TableCatalog(spark)
+    load = cat.load("m", spark.createDataFrame(rows, "series string, DateTime timestamp_ntz, Energy double"), "H")
+    st = cat.energy_stats(load, "H")
+    assert cat.get(cat.select_rows(st, "period_start", ["2024-01-02"])).count() == 24
+    cmp_ = cat.compare_stats(st, st, "aligned", 1)
+    sel = cat.select_rows(cmp_, "period_start_1", ["2024-01-03"], column2="period_start_2", values2=["2024-01-02", "2024-01-01"])
+    assert cat.get(sel).count() == 24
+    assert cat.keys(cmp_).count() == 4 and cat.keys(st).count() == 5
+    dist = cat.energy_dist([load], ["m"], "D")
+    assert [r["period_start"].day for r in cat.head(dist, 3).collect()] == [1, 2, 3]
+
+
+def test_checkpoint_folder_is_required_off_local_mode(monkeypatch):
+    from loadgrid import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.checkpoint_dir(Session())
