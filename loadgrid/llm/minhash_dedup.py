@@ -30,12 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import batch, broadcast_below, fresh, prepare, staged, texts_of
 from .textkernels import U, chunks, distinct_per_text, mix, shingles
 
 SHINGLE, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 30, 6
-SMALL, ROUNDS, SLACK = 12, 2, 5.0
+SMALL, ROUNDS, CENTRES, SLACK = 12, 2, 3, 5.0
+#: Counters of shingle frequencies (4 bytes each) that order the shingles for prefix filtering.
+SLOTS = 1 << 20
 #: Up to so many text keys (16 bytes) are broadcast to pick texts to verify.
 MAX_KEYS = 500_000
 _CHUNK = 1 << 20
@@ -112,7 +115,7 @@ def _signatures(bands: int, band_rows: int, n: int):
                     total = np.concatenate([[U(0)], np.cumsum(mix(raw ^ mix(pos * _ODD + salt)), dtype=np.uint64)])
                     sums.append(total[at[1:]] - total[at[:-1]])
                 node = [x.tobytes() if n_ else None for x, n_ in zip(np.stack(sums, axis=1), size)]
-                short = (reg & U(0xFFFFFFFF)).astype("<u4")
+                short = (reg & U(0xFF)).astype(np.uint8)      # unequal ones agree once in 256: the estimate errs upwards
                 yield batch(_SIGN, b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), node,
                             [x.tobytes() for x in short], [k.view(np.int64).tolist() if n_ else None
                                                            for k, n_ in zip(key, size)])
@@ -123,8 +126,8 @@ def _agreeing(m: int):
     """Share of agreeing registers of each pair."""
     def run(batches):
         for b in batches:
-            a = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(-1, m)
-            c = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(-1, m)
+            a = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, m)
+            c = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, m)
             share = (a == c).mean(axis=1) if len(a) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share)], names=["a", "b", "estimate"])
     return run
@@ -202,23 +205,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     star = with_centres(large).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     found = _links(docs, contents, pairs_of(few_pairs.select("a", "b").unionByName(star)), threshold, m, n)
     links = found
+    ranked = W.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node"))
+    centres = large.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= 1 + rounds * CENTRES) \
+        .select("bucket", F.col("node").alias("centre"), "rank")
     for r in range(rounds + 1):
         if large.limit(1).count() == 0:
             break
         comps = components(contents.select("node"), links, f"comps{r}")
-        centred = with_centres(large).join(comps, "node")
         main = comps.select(F.col("node").alias("centre"), F.col("comp").alias("main"))
-        labelled = staged(centred.join(main, "centre"), f"labelled{r}")
+        first = staged(centres.where("rank = 1").join(main, "centre").select("bucket", "main"), f"main{r}")
+        labelled = staged(large.join(comps, "node").join(first, "bucket"), f"labelled{r}")
         outside = labelled.where("comp <> main").select("bucket", "node", "weight", "comp")
         if outside.limit(1).count() == 0:
             break
         if r < rounds:
-            c = with_centres(outside)
-            new = c.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+            others = centres.where(F.col("rank").between(2 + r * CENTRES, 1 + (r + 1) * CENTRES))
+            new = with_centres(outside).select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(
+                outside.join(others, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b")))
         else:
-            other = labelled.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            new = outside.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket") \
-                .where("comp <> comp_b").select("a", "b")
+            open_buckets = staged(outside.select("bucket").distinct(), "open")
+            members = staged(labelled.join(open_buckets, "bucket").groupBy("node", "comp").agg(
+                F.max(F.col("comp") != F.col("main")).alias("outside")), "open-members")
+            new = _prefix_pairs(docs, contents, members, threshold, n)
         links = staged(links.unionByName(_links(docs, contents, pairs_of(new), threshold, m, n)), f"links{r}")
     comps = components(contents.select("node"), links, "classes")
     ids = contents.select("node", "low_id").join(comps, "node")
@@ -229,19 +237,94 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     return rows.select("doc_id", "h", "comp", F.coalesce("class_id", alone).alias("class_id")), links
 
 
+def _texts(docs: DataFrame, contents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes(node)`` -> ``(node, text)``."""
+    keys = contents.select("node", F.col("one.doc_id").alias("k_id"), F.col("one.h").alias("k_h")).join(nodes, "node")
+    keys = broadcast_below(keys, MAX_KEYS)
+    return staged(docs.join(keys, docs.doc_id.eqNullSafe(keys.k_id) & (docs.h == keys.k_h)).select("node", "text")
+                  .dropDuplicates(["node"]), "texts")
+
+
+def _slot(v: np.ndarray) -> np.ndarray:
+    return (mix(v ^ _GOLD) % U(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(n: int):
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            texts = texts_of(b.column(0))
+            for i, j in chunks([len(t) for t in texts], _CHUNK):
+                total += np.bincount(_slot(weighted_shingles(texts[i:j], n)[0]), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+    return run
+
+
+def _prefixes(counts, threshold: float, n: int):
+    """The shingles of each text's prefix that occur in another text too (a
+    slot that was hit once holds a shingle of one text)."""
+    def run(batches):
+        for b in batches:
+            texts, own, out, sizes = texts_of(b.column(1)), [], [], [[], [], []]
+            for i, j in chunks([len(t) for t in texts], _CHUNK):
+                v, w, at = weighted_shingles(texts[i:j], n)
+                c = counts.value[_slot(v)]
+                owner = np.repeat(np.arange(j - i), np.diff(at))
+                o = np.lexsort((v, c, owner))
+                before = np.cumsum(w[o]) - w[o]
+                before = before - before[at[:-1]][owner]           # each text's weight before the shingle
+                total = np.add.reduceat(w, at[:-1])[owner] if len(w) else w
+                hit = (before <= (1 - threshold) * total + 1e-6) & (c[o] > 1)
+                out.append(v[o][hit])
+                single = np.diff(at).astype(np.float64)[owner]
+                for column, x in zip(sizes, (before, total, total - single)):
+                    column.append(x[hit])
+                own.append(owner[hit] + i)
+            t = pa.array(np.concatenate(own) if own else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(t), b.column(2).take(t), b.column(3).take(t),
+                                              pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64()),
+                                              *[pa.array(np.concatenate(x) if x else [], pa.float64()) for x in sizes]],
+                                             names=["node", "comp", "outside", "shingle", "u", "w", "e"])
+    return run
+
+
+def _prefix_pairs(docs: DataFrame, contents: DataFrame, members: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Pairs of an outside member and a member of another component that can
+    reach the threshold. If weights X of W and Y of V of two texts lie on
+    shingles that they don't have in common, their similarity is at most
+    1 / (1 + X / (W - X) + Y / (V - Y)): each common shingle's term is at most
+    x*y / (y + Y*x) of its shares x and y of its texts, which is concave. At
+    their rarest common shingle, X and Y are at least the weights that come
+    before it (``u``); and as their common shingles weigh 1 or more on either
+    side, X - Y differs from W - V by the weights above 1 (``e``) at most."""
+    texts = _texts(docs, contents, members.select("node"))
+    got = texts.select("text").mapInArrow(_slot_counts(n), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.uint32)                            # SLOTS numbers, whatever the input
+    counts[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
+    rows = staged(members.join(texts, "node").select("node", "text", "comp", "outside").mapInArrow(
+        _prefixes(docs.sparkSession.sparkContext.broadcast(counts), threshold, n),
+        "node binary, comp binary, outside boolean, shingle long, u double, w double, e double"), "prefixes")
+    x = rows.where("outside").select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("comp", "shingle", "u", "w", "e")])
+    y = rows.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("comp", "shingle", "u", "w", "e")])
+    c = F.col
+    only_a = F.greatest(c("u_a"), c("u_b") + c("w_a") - c("w_b") - c("e_a") - c("e_b"))
+    only_b = F.greatest(c("u_b"), c("u_a") + c("w_b") - c("w_a") - c("e_a") - c("e_b"))
+    near = (only_a < c("w_a")) & (only_b < c("w_b")) & (
+        F.try_divide(only_a, c("w_a") - only_a) + F.try_divide(only_b, c("w_b") - only_b) <= 1 / threshold - 1 + 1e-6)
+    return x.join(y, (c("shingle_a") == c("shingle_b")) & (c("comp_a") != c("comp_b")) & near).select("a", "b")
+
+
 def _links(docs: DataFrame, contents: DataFrame, pairs: DataFrame, threshold: float, m: int, n: int) -> DataFrame:
     """The pairs whose texts reach the threshold."""
-    c = contents.select("node", "registers", F.col("one.doc_id").alias("doc_id"), F.col("one.h").alias("h"))
+    c = contents.select("node", "registers")
     left = c.select(F.col("node").alias("a"), F.col("registers").alias("ra"))
     right = c.select(F.col("node").alias("b"), F.col("registers").alias("rb"))
     least = threshold - SLACK * (threshold * (1 - threshold) / m) ** 0.5
     likely = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb").mapInArrow(
         _agreeing(m), "a binary, b binary, estimate double").where(F.col("estimate") >= least), "likely")
     keys = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    keys = broadcast_below(c.select("node", "doc_id", "h").join(keys, "node").select(
-        F.col("node"), F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")), MAX_KEYS)
-    texts = staged(docs.join(keys, docs.doc_id.eqNullSafe(keys.k_id) & (docs.h == keys.k_h)).select("node", "text")
-                   .dropDuplicates(["node"]), "texts")
+    texts = _texts(docs, contents, keys)
     return staged(likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
                   .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
                   .select("a", "b", "ta", "tb").mapInArrow(_verified(threshold, n), "a binary, b binary, similarity double"),
