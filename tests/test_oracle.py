@@ -6,14 +6,18 @@ from __future__ import annotations
 
 import pytest
 
+import os
+import sys
+
 import __spark_entry__ as E
-import os, sys
+import registry
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracle_harness import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {k: v for k, v in E.queries().items() if k in registry.QUERIES}
+SQL = {k: v for k, v in E.oracle_sql().items() if k in registry.ORACLE}
 
 
 @pytest.fixture(scope="module")
