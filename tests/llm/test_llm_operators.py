@@ -13,7 +13,6 @@ import re
 import zlib
 
 import numpy as np
-import pytest
 
 from loadgrid.llm import (best_fit_packing, decontamination, exact_topk, language_id, lm_scoring, minhash_dedup, pii,
                           suffix_dedup, token_output, tokens, url_filters)
@@ -434,6 +433,7 @@ def test_lm_scores(spark):
                   for i, t in toks)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 and math.isfinite(r.score) and r.spelled_score <= r.score + 1e-9 for r in out)
+    assert len({round(r.score, 9) for r in out if r.doc_id == 3 and r.n_tokens == 2}) == 1      # equal texts, equal scores
     ho = [r for r in out if r.held_out]
     assert sum(r.score for r in ho) > sum(r.base_score for r in ho)      # better than add-one on unseen texts
     none = lm_scoring.score(df, F.lit(False), F.lit(False)).first()
@@ -453,16 +453,21 @@ def test_spelling_is_a_distribution():
 
 
 def test_seating_follows_the_sequential_process():
-    rng = np.random.default_rng(2)
-    many = lm_scoring.seat(rng, np.full(4000, 1000), np.full(4000, 3.0), np.full(4000, 0.3), 0.3, 1.0)
-    slow = []
+    rng, slow = np.random.default_rng(2), []
     for _ in range(400):
         t = 1
         for k in range(1, 1000):
             a = (1.0 + 0.3 * (3.0 + t)) * 0.3
             t += rng.random() < a / (a + k - 0.3 * t)
         slow.append(t)
-    assert abs(many.mean() - np.mean(slow)) < 0.35
+    words = np.arange(4000, dtype=np.uint64) * np.uint64(7919)
+    for draws in (lm_scoring.Draws(2), lm_scoring.WordDraws(words, 0)):
+        many = lm_scoring.seat(draws, np.full(4000, 1000), np.full(4000, 3.0), np.full(4000, 0.3), 0.3, 1.0)
+        assert abs(many.mean() - np.mean(slow)) < 0.35
+    who = np.arange(4000)
+    for mean in (0.5, 7.0, 400.0):
+        x = lm_scoring.WordDraws(words, 3).poisson(who, np.full(4000, mean), 128)
+        assert abs(x.mean() - mean) < 5 * math.sqrt(mean / 4000) and abs(x.var() / mean - 1) < 0.15
 
 
 # --- 10: decontamination ------------------------------------------------------------
@@ -500,3 +505,20 @@ def test_decontamination_full_bitmap_changes_nothing(spark, monkeypatch):
     df = docs(spark, [(1, prose(500) + " " + item), (2, prose(300))])
     monkeypatch.setattr(decontamination, "_bitmap", lambda *a: np.full((1 << decontamination.BITS) // 8, 255, np.uint8))
     assert [r.doc_id for r in decontamination.contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [1]
+
+
+def test_large_family_is_joined_through_prefixes(spark):
+    """A family whose members mostly reach only the original: prefixes must find what the centres miss."""
+    rng = random.Random(77)
+    words = prose(120, rng=rng).split()
+    rows = [(0, " ".join(words))]
+    for i in range(1, 40):
+        w = list(words)
+        for k in rng.sample(range(len(w)), rng.choice([2, 3, 5, 8])):
+            w[k] = f"y{i}z{k}"
+        rows.append((i, " ".join(w)))
+    got, _ = minhash_dedup.near_duplicates(docs(spark, rows), small=2)
+    want = brute_classes(rows)
+    low = {c: min(i for i, k in enumerate(want) if k == c) for c in set(want)}
+    assert {r.doc_id: r.class_id for r in got.collect()} == {i: low[c] for i, c in enumerate(want)}
+    assert len(set(want)) > 1
