@@ -11,13 +11,14 @@ text (same words) count as one content before that, so buckets hold different
 texts only. Buckets of at most ``SMALL`` contents are compared in full. In a
 larger one every member is compared with the bucket's centre, the member with
 the largest buckets overall (the original of a family of edited copies);
-links make components, and what is still outside the centre's component is
-compared with a centre of its own (``ROUNDS`` times) and at last with every
-member of another component. So no pair of different components that shares a
-bucket goes unseen, without listing all pairs of a family. Candidates whose
-registers agree too rarely for the threshold (by ``SLACK`` standard
-deviations) are dropped; the rest is verified by the exact probability
-Jaccard similarity of the texts. Classes are the components of the links.
+links make components. For members outside their centre's component prefix
+filtering finds the rest exactly: two texts at the threshold share a shingle
+among the rarest ones that make up more than 1 - threshold of either's weight,
+so the members of such buckets are joined by those. So no link that could join
+two components goes unseen, without listing all pairs of a family. Candidates
+whose registers agree too rarely for the threshold (by ``SLACK`` standard
+deviations) are dropped; the rest is verified by the exact probability Jaccard
+similarity of the texts. Classes are the components of the links.
 
 Texts without a word are classes of their own. Texts of one to four words
 have one shingle, the whole text. Null doc_ids and repeated rows stay, one
@@ -30,13 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import batch, broadcast_below, fresh, prepare, staged, texts_of
 from .textkernels import U, chunks, distinct_per_text, mix, shingles
 
 SHINGLE, THRESHOLD, BANDS, BAND_ROWS = 5, 0.8, 30, 6
-SMALL, ROUNDS, CENTRES, SLACK = 12, 2, 3, 5.0
+SMALL, SLACK = 12, 5.0
 #: Counters of shingle frequencies (4 bytes each) that order the shingles for prefix filtering.
 SLOTS = 1 << 20
 #: Up to so many text keys (16 bytes) are broadcast to pick texts to verify.
@@ -155,24 +155,28 @@ def _verified(threshold: float, n: int):
 def components(nodes: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
     """``nodes(node)``, ``links(a, b)`` -> ``(node, comp)``: the smallest node
     of each connected component. Labels spread to neighbours and jump along
-    their labels' labels until nothing changes; every round is a written table."""
+    their labels' labels until nothing changes; every round is a written
+    table, and one shuffle while the labels may be broadcast."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), f"{name}-links")
     labels = staged(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")), f"{name}-0")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("low"))
-        lower = labels.join(near, labels.node == near.a).select(
-            "node", F.least("comp", "low").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("j"), F.col("comp").alias("further"))
-        new = staged(lower.join(jump, lower.comp == jump.j).select("node", F.least("comp", "further").alias("comp"), "old"),
+        known = broadcast_below(labels, MAX_KEYS)
+        near = known.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+        spread = both.join(near, F.col("b") == F.col("n")).select(
+            F.col("a").alias("node"), F.col("c").alias("comp"), F.lit(None).cast(labels.schema["comp"].dataType).alias("old"))
+        low = labels.withColumn("old", F.col("comp")).unionByName(spread).groupBy("node").agg(
+            F.min("comp").alias("comp"), F.max("old").alias("old"))
+        jump = known.select(F.col("node").alias("j"), F.col("comp").alias("further"))
+        new = staged(low.join(jump, F.col("comp") == F.col("j")).select("node", F.least("comp", "further").alias("comp"), "old"),
                      f"{name}-n")
         labels = new.select("node", "comp")
         if new.where("comp <> old").limit(1).count() == 0:
             break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return nodes.join(broadcast_below(labels, MAX_KEYS), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS,
-                    band_rows: int = BAND_ROWS, small: int = SMALL, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+                    band_rows: int = BAND_ROWS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> (``doc_id, h, comp, class_id`` one row per
     input row, the verified links between contents). ``h``: xxhash64 of the
     text; ``comp``: the class's content key, null for texts without a word."""
@@ -196,39 +200,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     def pairs_of(x: DataFrame) -> DataFrame:
         return x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def with_centres(x: DataFrame) -> DataFrame:
-        centre = x.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")) \
-            .select("bucket", F.col("c.node").alias("centre"))
-        return x.join(centre, "bucket")
-
+    centres = staged(large.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c"))
+                     .select("bucket", F.col("c.node").alias("centre")), "centres")
     few_pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b")
-    star = with_centres(large).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    found = _links(docs, contents, pairs_of(few_pairs.select("a", "b").unionByName(star)), threshold, m, n)
-    links = found
-    ranked = W.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node"))
-    centres = large.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= 1 + rounds * CENTRES) \
-        .select("bucket", F.col("node").alias("centre"), "rank")
-    for r in range(rounds + 1):
-        if large.limit(1).count() == 0:
-            break
-        comps = components(contents.select("node"), links, f"comps{r}")
-        main = comps.select(F.col("node").alias("centre"), F.col("comp").alias("main"))
-        first = staged(centres.where("rank = 1").join(main, "centre").select("bucket", "main"), f"main{r}")
-        labelled = staged(large.join(comps, "node").join(first, "bucket"), f"labelled{r}")
-        outside = labelled.where("comp <> main").select("bucket", "node", "weight", "comp")
-        if outside.limit(1).count() == 0:
-            break
-        if r < rounds:
-            others = centres.where(F.col("rank").between(2 + r * CENTRES, 1 + (r + 1) * CENTRES))
-            new = with_centres(outside).select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(
-                outside.join(others, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        else:
-            open_buckets = staged(outside.select("bucket").distinct(), "open")
-            members = staged(labelled.join(open_buckets, "bucket").groupBy("node", "comp").agg(
-                F.max(F.col("comp") != F.col("main")).alias("outside")), "open-members")
-            new = _prefix_pairs(docs, contents, members, threshold, n)
-        links = staged(links.unionByName(_links(docs, contents, pairs_of(new), threshold, m, n)), f"links{r}")
-    comps = components(contents.select("node"), links, "classes")
+    star = large.join(centres, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = _links(docs, contents, pairs_of(few_pairs.select("a", "b").unionByName(star)), threshold, m, n)
+    comps = staged(components(contents.select("node"), links), "comps")
+
+    main = centres.join(comps.select(F.col("node").alias("centre"), F.col("comp").alias("main")), "centre").select("bucket", "main")
+    labelled = staged(large.join(comps, "node").join(main, "bucket").select("bucket", "node", "comp", "main"), "labelled")
+    open_buckets = staged(labelled.where("comp <> main").select("bucket").distinct(), "open")
+    if open_buckets.limit(1).count():
+        inside = staged(labelled.join(open_buckets, "bucket").groupBy("node", "comp").agg(
+            F.max(F.col("comp") != F.col("main")).alias("outside")), "open-members")
+        more = _links(docs, contents, pairs_of(_prefix_pairs(docs, contents, inside, threshold, n)), threshold, m, n)
+        if more.limit(1).count():       # the components that they join
+            links = links.unionByName(more)
+            ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
+            across = more.join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+            whole = components(comps.select(F.col("comp").alias("node")).distinct(), across, "merged") \
+                .select(F.col("node").alias("part"), F.col("comp").alias("whole"))
+            comps = staged(comps.join(whole, F.col("comp") == F.col("part")).select("node", F.col("whole").alias("comp")), "comps-merged")
     ids = contents.select("node", "low_id").join(comps, "node")
     by_class = ids.groupBy("comp").agg(F.min("low_id").alias("class_id"))
     of_node = ids.join(by_class, "comp").select("node", "comp", "class_id")
