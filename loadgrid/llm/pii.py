@@ -20,7 +20,6 @@ Null texts count as empty. Repeated rows and null ids stay.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

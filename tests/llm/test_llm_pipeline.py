@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pytest
 
 import corpus_pipeline
 from loadgrid.llm.common import staged, table
