@@ -91,7 +91,7 @@ def test_catalog_keep_save_snapshot(spark):
         cat.group(ab, ["a", "zzz"], "none")
     path = cat.save("load_a", root, "csv")
     assert spark.read.option("header", True).csv(path).count() == 1
-    assert "Output_" in TableCatalog.output_dir(root, overwrite=False)
+    assert "Output_" in cat.output_dir(root, overwrite=False)
     snap = cat.store_state(root)
     other = TableCatalog(spark)
     assert other.load_state(root) == snap
