@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, broadcast_below, longs, staged
+from .common import batch, broadcast_below, longs, prepare, staged
 from .textkernels import U, chunks, mix, prefix_sums, sliding_min, span_hash
 
 THRESHOLD, SEED, BLOCK = 400, 128, 16
@@ -151,7 +151,8 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEE
     ranges of starts whose threshold-byte string starts elsewhere too."""
     anchors = staged(docs.select("doc_id", "doc_h", "data").mapInArrow(_anchor_rows(threshold, seed), _ddl(_ANCHOR)),
                      "anchors")
-    shared = anchors.groupBy("rank0").agg(F.count("*").alias("n")).where("n > 1").select("rank0")
+    # counts are written before they are joined back: a join of two scans can be split at hot ranks
+    shared = staged(anchors.groupBy("rank0").agg(F.count("*").alias("n")).where("n > 1").select("rank0"), "rank0-shared")
     left = staged(anchors.join(shared, "rank0"), "rank0")
 
     key = ["rank0", "d_lo", "d_hi", "rank1"]
@@ -161,23 +162,25 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEE
         .select("doc_id", "doc_h", (F.col("anchor") - F.col("d_hi")).alias("lo"),
                 (F.col("anchor") - F.col("d_lo")).alias("hi"))
 
-    unsure = classes.groupBy("rank0").agg(F.min("n").alias("m"), F.count("*").alias("k")).where("m = 1 AND k > 1") \
-        .select("rank0")
+    unsure = staged(classes.groupBy("rank0").agg(F.min("n").alias("m"), F.count("*").alias("k")).where("m = 1 AND k > 1")
+                    .select("rank0"), "rank1-unsure")
     runs = staged(classes.join(unsure, "rank0").select(
         "rank0", "one.doc_id", "one.doc_h", "one.anchor", "d_lo", "d_hi", F.least("n", F.lit(2)).cast("int").alias("copies")),
         "runs")
     nodes = staged(_with_text(docs, runs).mapInArrow(_node_rows(threshold, block), _ddl(_NODE)), "rank2")
-    cores = nodes.groupBy("rank0", "core").agg(F.sum("copies").alias("n_core")).where("n_core > 1")
-    spans = nodes.where("span IS NOT NULL").groupBy("rank0", "span").agg(F.sum("copies").alias("n_span"))
+    cores = staged(nodes.groupBy("rank0", "core").agg(F.sum("copies").alias("n_core")).where("n_core > 1"), "rank2-cores")
+    spans = staged(nodes.where("span IS NOT NULL").groupBy("rank0", "span").agg(F.sum("copies").alias("n_span"))
+                   .where("n_span > 1"), "rank2-spans")
     left = staged(nodes.where("copies = 1").join(cores, ["rank0", "core"]).join(spans, ["rank0", "span"], "left")
                   .withColumn("done", F.coalesce("n_span", F.lit(0)) > 1).drop("span", "n_core", "n_span"), "rank2-left")
     blocks = left.where("done")
 
     # single starts of the open blocks, and of every block that shares their common bytes
-    open_keys = left.where("NOT done").select("rank0", "core").distinct()
+    open_keys = staged(left.where("NOT done").select("rank0", "core").distinct(), "rank2-open")
     open_runs = staged(nodes.join(open_keys, ["rank0", "core"], "left_semi").drop("core", "span"), "rank3-runs")
     singles = staged(_with_text(docs, open_runs).mapInArrow(_node_rows(threshold, 1), _ddl(_NODE)), "rank3")
-    twice = singles.groupBy("rank0", "core").agg(F.sum("copies").alias("n")).where("n > 1").select("rank0", "core")
+    twice = staged(singles.groupBy("rank0", "core").agg(F.sum("copies").alias("n")).where("n > 1").select("rank0", "core"),
+                   "rank3-shared")
     starts = singles.where("copies = 1").join(twice, ["rank0", "core"], "left_semi")
 
     as_range = [F.col("doc_id"), F.col("doc_h"), (F.col("anchor") - F.col("d_hi")).alias("lo"),
@@ -207,13 +210,15 @@ def _remove(threshold: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep_text: bool = True, seed: int = SEED,
+                   block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256 and, if ``keep_text``, the kept bytes.
     Null texts count as empty; an empty table gives an empty result."""
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_h"),
                        F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
-    ranges = repeated_starts(docs.where(F.length("data") >= threshold), threshold)
+    ranges = repeated_starts(docs.where(F.length("data") >= threshold), threshold, seed, block)
     per_doc = staged(ranges.groupBy(F.col("doc_id").alias("k_id"), F.col("doc_h").alias("k_h"))
                      .agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
     keys = broadcast_below(per_doc.select("k_id", "k_h"), MAX_KEYS)
@@ -225,3 +230,21 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep_text: bool
         F.lit(0).cast("long").alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"),
         (F.col("data") if keep_text else F.lit(None).cast("binary")).alias("kept"))
     return cut.unionByName(rest)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, unnest(range(0, length(x) // 2 - 399)) AS s, x FROM d WHERE length(x) >= 800),
+w AS (SELECT r, s, md5_number(substr(x, 2 * s + 1, 800)) AS h FROM p),
+t AS (SELECT r, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, s, s - 400 > coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), -401) AS new FROM t),
+i AS (SELECT r, s, count_if(new) OVER (PARTITION BY r ORDER BY s) AS k FROM g),
+c AS (SELECT r, k, min(s) AS lo, max(s) + 400 AS hi FROM i GROUP BY r, k),
+e AS (SELECT r, lo, hi, lead(lo) OVER (PARTITION BY r ORDER BY lo) AS nxt, row_number() OVER (PARTITION BY r ORDER BY lo) AS n FROM c),
+j AS (SELECT e.r, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans,
+             min_by(substr(x, 1, 2 * lo), n) || string_agg(substr(x, 2 * hi + 1, 2 * (coalesce(nxt, length(x) // 2) - hi)), '' ORDER BY n) AS kept
+      FROM e JOIN d ON e.r = d.r GROUP BY e.r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN j ON d.r = j.r
+"""
