@@ -65,5 +65,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
                                    op6_token_output, op7_exact_topk, op8_pii, op9_lm_scoring, op10_decontamination)}
-ORACLE = {"op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
+ORACLE = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
           "op10_decontamination": decontamination.ORACLE}
