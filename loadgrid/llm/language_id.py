@@ -4,8 +4,10 @@ A text's letters, lower-cased, with one space for everything else, give
 character 1- to 3-grams, hashed to ``DIM`` bins and weighted
 (1 + ln tf) * idf, at unit length. Document frequencies run over all training
 documents (one Spark aggregation). Centroids come from a bounded sample:
-``SAMPLE`` training documents of each language, those with the smallest hash
-of their id; spherical k-means gives ``CLUSTERS`` centroids per language. A
+about ``SAMPLE`` training documents of each language (a language's n documents
+give those whose hash is in the first SAMPLE / n of its range, so no language
+is sorted in one task); spherical k-means gives ``CLUSTERS`` centroids per
+language. A
 text gets the language of the centroid with the highest cosine.
 
 Short texts are farther from any centroid, so the rejection distance depends
@@ -27,13 +29,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import broadcast_below, fresh, keep, prepare, texts_of
 from .textkernels import chunks
 
 DIM, SAMPLE, CLUSTERS, RATIO, ITERATIONS = 4096, 1000, 4, 0.25, 12
 UNKNOWN = "und"
+#: Up to so many languages' counts are broadcast.
+MAX_LANGUAGES, _HASHES = 10_000, 1 << 40
 _CHUNK = 1 << 19
 _CUTS = [1 << b for b in range(1, 13)]
 
@@ -163,10 +166,9 @@ def train(docs: DataFrame, dim: int = DIM, sample: int = SAMPLE, clusters: int =
     got = {r["bin"]: r["n"] for r in counts.collect()}         # dim + 1 rows
     total = got.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([got.get(i, 0) for i in range(dim)]))) + 0.1
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
-    ids = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")) \
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "h").distinct()
-    chosen = docs.join(broadcast_below(ids, 100 * sample), "doc_id")
+    sizes = broadcast_below(docs.groupBy("lang").agg(F.count("*").alias("n")), MAX_LANGUAGES)
+    h = F.xxhash64("doc_id", "text")
+    chosen = docs.join(sizes, "lang").withColumn("h", h).where(F.pmod("h", F.lit(_HASHES)) < F.lit(float(_HASHES * sample)) / F.col("n"))
     fitted = chosen.groupBy("lang").applyInPandas(
         _fit_language(idf, dim, clusters), "lang string, centre binary, floor binary").collect()   # clusters per language
     fitted.sort(key=lambda r: (r["lang"], r["centre"]))
