@@ -54,6 +54,7 @@ def _pair_keys(period: str, how: str, offset: int, ps: Column, left: bool) -> li
     return [F.year(ps).cast("long")]
 
 
+# Fixed values that must equal the original tool's output: the names of the difference and percent columns.
 def _stats_metrics(period: str, mode: str) -> list[Column]:
     R = rows_group(period)
 
