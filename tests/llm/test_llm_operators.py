@@ -441,6 +441,69 @@ def test_lm_scores(spark):
     assert lm_scoring.score(df.limit(0), F.lit(False), F.lit(True)).count() == 0
 
 
+def test_lm_scores_follow_the_order_of_words(spark):
+    from pyspark.sql import functions as F
+    rng, follow = random.Random(7), {w: [f"w{(3 * w + k) % 40}" for k in range(2)] for w in range(40)}
+    def chain():
+        out = [f"w{rng.randrange(40)}"]
+        for _ in range(50):
+            out.append(rng.choice(follow[int(out[-1][1:])]))
+        return out
+    rows = [(i, " ".join(chain()), 1) for i in range(150)]
+    for i in range(20):
+        t = chain()
+        rows += [(1000 + 2 * i, " ".join(t), 1), (1001 + 2 * i, " ".join(rng.sample(t, len(t))), 1)]
+    out = lm_scoring.score(docs(spark, rows, "doc_id long, text string, block int"), F.col("doc_id") >= 1000, F.col("doc_id") < 1000,
+                           block_bytes=3000).collect()
+    got = {r.doc_id: r for r in out}
+    for i in range(1000, 1040, 2):
+        assert abs(got[i].base_score - got[i + 1].base_score) < 1e-6 and got[i].score > got[i + 1].score + 10
+
+
+def test_pairs_are_counted_over_all_blocks():
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    rng, emitted, want = random.Random(8), [], collections.Counter()
+    for block in range(4):
+        local, texts, meta, lists = {}, [], [], []
+        for i in range(30):
+            t = [f"w{int(rng.random() ** 3 * 40)}".encode() for _ in range(rng.randrange(12))] + [b""]
+            train = rng.random() < 0.7
+            texts.append(np.array([local.setdefault(w, len(local)) for w in t], "<u4"))
+            meta.append((i if i else None, not train, train))
+            lists.append(t)
+            if train:
+                want.update(zip([b"", *t], t))
+        emitted.append((lists, *lm_scoring._emit(block, local, texts, meta)))
+    cut = pa.Table.from_batches([e[1] for e in emitted])
+    rows = pa.Table.from_batches(list(lm_scoring._slices(cut.drop_columns("slice").to_batches()))).sort_by([("slice", "ascending"), ("block", "ascending")])
+    back = pa.Table.from_batches(list(lm_scoring._count_slices(rows.to_batches(max_chunksize=7), pack_bytes=300)))
+    assert sum(back["once"].to_pylist()) == sum(n == 1 for n in want.values())
+    assert sum(back["twice"].to_pylist()) == sum(n == 2 for n in want.values())
+    m, t, n = collections.Counter(), collections.Counter(), collections.Counter()
+    for block, (lists, own) in enumerate(emitted):
+        mine = back.filter(pa.compute.equal(back["block"], block)).drop_columns(["once", "twice"])
+        table = pa.concat_tables([mine, pa.Table.from_batches([own])], promote_options="default")
+        data, packed, meta, c, _ = lm_scoring._block_of(table)
+        ids, doc_id, size, flags = lm_scoring._opened(data, meta)
+        assert flags[0] & 1 and doc_id[1:].tolist() == list(range(1, 30)) and size.tolist() == [len(x) for x in lists]
+        number = lm_scoring._pairs(ids, packed)[3]
+        flat = [p for x in lists for p in zip([b"", *x], x)]
+        assert c[number].tolist() == [want[p] for p in flat]
+        for r in lm_scoring._word_rows(table).to_pylist():
+            m[r["word"]] += r["m"]
+            t[r["word"]] += r["t"]
+            n[r["word"]] += r["n"]
+    assert +m == collections.Counter(w for _, w in want) and +t == collections.Counter(u for u, _ in want)
+    assert all(n[w] == sum(k for (_, x), k in want.items() if x == w) for w in n)
+    # the probabilities after each word, and that of unknown words, sum to one
+    total = sum(m.values())
+    p1 = {w: m[w] / (total + 1.0) for w in m if m[w]} | {None: 1.0 / (total + 1.0)}
+    for u in t:
+        p = [10 ** float(lm_scoring.pair_log10(np.array(want[u, w]), np.array(n[u]), np.array(t[u]), np.log10(q), 0.6)) for w, q in p1.items()]
+        assert abs(sum(p) - 1) < 1e-9
+
+
 def test_spelling_is_a_distribution():
     x = np.array([2, 3, 0, 2, 2, 0, 4, 0, 2, 3, 0])
     code, n = np.unique(lm_scoring.codes(x, 6, 3), return_counts=True)
