@@ -1,4 +1,4 @@
-"""Operator 1: removal of repeated byte strings by distributed prefix doubling.
+"""Operator 1: removal of repeated byte strings by counts of anchored fingerprints.
 
 A byte goes if it lies in a ``threshold``-byte string of its document that
 also starts anywhere else in the corpus (same document included).
@@ -7,8 +7,8 @@ Sorting a rank for every byte position would move many times the corpus. Here
 one anchor stands for a run of neighbouring start positions: the position of
 the smallest ``seed``-byte fingerprint inside a start's threshold-byte window.
 Equal windows have their anchor at the same place, so an anchor rank groups
-all starts that can be equal. Ranks then grow as in prefix doubling, to both
-sides of the anchor:
+all starts that can be equal. In place of prefix doubling, four counts at fixed
+widths follow, to both sides of the anchor:
 
 * rank 0: the ``seed`` bytes at the anchor; anchors with a rank of their own
   are done, none of their starts repeats;
