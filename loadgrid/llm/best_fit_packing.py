@@ -7,8 +7,10 @@ a lower bound of the partition's number of sequences: where the packing meets
 it, it is certified optimal and final. A partition with a gap keeps its
 completely filled sequences and exchanges the pieces of all others with the
 other partitions that have gaps; these are dealt anew and packed again, until
-everything is certified, a round saves nothing, or ``rounds`` are over. Every
-round after the first works only on what was released.
+everything is certified or a round saves no sequence (a single partition has
+nothing to exchange with). Every round after the first works only on what was
+released. ``certificates`` gives each partition's bound, its sequences and
+whether they are certified.
 
 Null texts count as empty; an empty text is its end id alone. Rows that
 repeat a doc_id are packed as documents of their own; an empty table gives an
@@ -30,7 +32,7 @@ from .common import batch, prepare, staged, texts_of
 from .tokens import END_ID, MAX_TOKENS, RANKS, TOKENIZER, Ids, cuts, little_endian
 
 #: Pieces of one packing task.
-PART_ROWS, ROUNDS = 25_000, 4
+PART_ROWS = 25_000
 #: Parameters of the dual-feasible functions u(k).
 DFF_K = range(1, 21)
 
@@ -107,47 +109,65 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bin_of, offset, capacity - np.array(room, np.int64)
 
 
-def _pack(capacity: int, last: bool, seq_base: int):
+def _pack(capacity: int, seq_base: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         sizes = pdf["length"].to_numpy()
         bins, offset, fill = best_fit_decreasing(sizes, capacity)
-        sure = len(fill) <= lower_bound(sizes, capacity)
-        pdf["sequence_id"] = seq_base + int(pdf["part"].iloc[0]) * (1 << 32) + bins
+        bound = lower_bound(sizes, capacity)
+        sure = len(fill) <= bound
+        pdf["sequence_id"] = seq_base + int(pdf["part"].iloc[0]) * (1 << 24) + bins
         pdf["offset"] = offset
-        pdf["final"] = True if sure or last else fill[bins] == capacity
+        pdf["final"] = True if sure else fill[bins] == capacity
+        pdf["certified"] = sure
+        # completely filled sequences of a partition with a gap are their own bound
+        pdf["bound"] = np.where(sure | ~pdf["final"], bound - (0 if sure else int((fill == capacity).sum())), 0)
         return pdf.drop(columns="part")
     return run
 
 
-def pack(piece_rows: DataFrame, capacity: int = MAX_TOKENS, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(piece_rows: DataFrame, capacity: int = MAX_TOKENS, part_rows: int = PART_ROWS, rounds: int | None = None,
+         proof: bool = False) -> DataFrame:
     """``piece_rows`` (any columns with doc_id, piece and length 1..capacity)
-    plus sequence_id and offset."""
+    plus sequence_id and offset; with ``proof`` also certified and bound of
+    the partition, for ``certificates``. ``rounds``: None for no limit."""
     rows = staged(piece_rows, "pieces")
-    schema = rows.schema.add("sequence_id", "long").add("offset", "long").add("final", "boolean")
+    schema = rows.schema.add("sequence_id", "long").add("offset", "long").add("final", "boolean") \
+        .add("certified", "boolean").add("bound", "long")
     full = rows.where(F.col("length") == capacity).withColumn("sequence_id", -F.monotonically_increasing_id() - 1) \
-        .withColumn("offset", F.lit(0).cast("long"))
-    todo, done, before = rows.where(F.col("length") < capacity), [full], None
-    for r in range(rounds):
+        .withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True)).withColumn("bound", F.lit(1).cast("long"))
+    todo, done, before, r = rows.where(F.col("length") < capacity), [full], None, 0
+    while True:
         n = todo.count()
         if not n:
             break
         parts = math.ceil(n / part_rows)
-        last = r == rounds - 1
         dealt = todo.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(r)), F.lit(parts)))
         packed = staged(dealt.repartition(parts, "part").groupBy("part").applyInPandas(
-            _pack(capacity, last, r << 56), schema), f"round{r}")
+            _pack(capacity, r << 48), schema), f"round{r}")
         done.append(packed.where("final").drop("final"))
         open_rows = packed.where("NOT final")
-        bins = open_rows.select("sequence_id").distinct().count()
-        if parts == 1 or not bins or (before is not None and bins >= before):
+        made, bins = packed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.expr("IF(final, NULL, sequence_id)"))).first()
+        r += 1
+        if parts == 1 or not bins or (before is not None and made >= before) or r == rounds:
             done.append(open_rows.drop("final"))     # nothing left to exchange with, or the round saved nothing
             break
-        todo, before = open_rows.drop("final", "sequence_id", "offset"), bins
+        todo, before = open_rows.drop("final", "certified", "bound", "sequence_id", "offset"), bins
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out if proof else out.drop("certified", "bound")
+
+
+def certificates(packed: DataFrame) -> DataFrame:
+    """Of ``pack(proof=True)``: part, sequences, bound and certified of each
+    partition in what it kept. Sequences of one full piece are their own bound
+    and stand in one row (part null)."""
+    part = F.when(F.col("sequence_id") >= 0, F.shiftright("sequence_id", 24))
+    return packed.groupBy(part.alias("part"), "sequence_id").agg(F.max("bound").alias("bound")) \
+        .withColumn("own", F.col("part").isNull() | (F.col("bound") == 0)).groupBy("part").agg(
+            F.count("*").alias("sequences"), (F.count_if("own") + F.coalesce(F.max(F.when(~F.col("own"), F.col("bound"))), F.lit(0)))
+            .alias("bound")).withColumn("certified", F.col("sequences") <= F.col("bound"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, end_id: int = END_ID,

@@ -178,6 +178,25 @@ def test_rounds_exchange_between_partitions(spark):
     assert got.count() == 600 and got.select("sequence_id").distinct().count() <= apart
 
 
+def test_packing_goes_on_until_a_round_saves_nothing_and_shows_its_bounds(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, 0, int(n)) for i, n in enumerate(rng.integers(200, 700, 1500))] + [(5000 + i, 0, 1024) for i in range(3)]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, piece int, length long")
+    packed = best_fit_packing.pack(df, part_rows=40, proof=True).collect()
+    four = best_fit_packing.pack(df, part_rows=40, rounds=4).select("sequence_id").distinct().count()
+    fill = collections.Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert len(packed) == 1503 and max(fill.values()) <= 1024 and len(fill) <= four
+    proof = best_fit_packing.certificates(spark.createDataFrame(packed)).collect()
+    assert sum(r.sequences for r in proof) == len(fill) and all(r.bound <= r.sequences for r in proof)
+    assert all(r.certified == (r.bound == r.sequences) for r in proof)
+    for r in proof:
+        sizes = np.array([x.length for x in packed if (x.sequence_id >> 24 if x.sequence_id >= 0 else None) == r.part])
+        assert best_fit_packing.lower_bound(sizes, 1024) <= r.sequences
+    assert {r.part: r.sequences for r in proof}[None] == 3
+
+
 def test_token_output_round_trip(spark):
     df = docs(spark, [(i, t, b"x") for i, t in TEXTS], "doc_id long, text string, ids binary")
     back, n = collections.defaultdict(list), 0
