@@ -114,6 +114,16 @@ def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
         F.monotonically_increasing_id().alias("__row"))
 
 
+def write_meter_folders(readings: DataFrame, path: str) -> None:
+    """``series`` and two more columns -> delimited files in ``series=<name>``
+    folders (read with ``name_from="dir"``). The rows of a series are dealt
+    over as many tasks as a shuffle has, so none writes a large meter alone."""
+    tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [F.col(f"`{c}`") for c in readings.columns if c != SERIES]
+    readings.repartition(F.col(SERIES), F.pmod(F.xxhash64(*rest), F.lit(tasks))) \
+        .write.partitionBy(SERIES).option("header", True).csv(path)
+
+
 def unpivot_quarters(wide: DataFrame, date_col: str = "Date_", id_cols: Sequence[str] = (SERIES,)) -> DataFrame:
     """Wide quarter-hour rows -> readings: ``Date_`` + (q - 1) x 15 minutes.
     Cells without a value stay as missing readings."""

@@ -912,26 +912,19 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("load_meter_files", _load_sql(O.events_load("H")))
 def load_meter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1, SRC3, SRC4: all readings of ``events`` written as one delimited
-    file per meter, named after it, with month-first stamps; read back by
-    position, the meter taken from the file's name, and loaded hourly."""
+    """SRC1, SRC3, SRC4: all readings of ``events`` written as delimited files
+    in one folder per meter, with month-first stamps; read back by position,
+    the meter taken from the folder's name, and loaded hourly."""
     import uuid
 
     from loadgrid.plans.load import load_series
     from loadgrid.session import scratch_path
-    from loadgrid.sources.files import read_meter_files
-
-    base = scratch_path(spark, f"meter_files/{uuid.uuid4().hex}")
-    TQ.events_readings(spark, sf_dir).select("series", F.date_format("DateTime", "M/d/yyyy H:mm:ss").alias("stamp"), "Energy") \
-        .repartition("series").write.partitionBy("series").option("header", True).csv(f"{base}/parts")
-    jvm = spark.sparkContext._jvm
-    P = jvm.org.apache.hadoop.fs.Path
-    fs = P(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(P(f"{base}/meters"))
-    for i, f in enumerate(fs.globStatus(P(f"{base}/parts/series=*/part-*"))):      # a rename per meter
-        meter = f.getPath().getParent().getName().split("=", 1)[1]
-        fs.rename(f.getPath(), P(f"{base}/meters/ {meter}  .csv"))
-    return load_series(read_meter_files(spark, f"{base}/meters"), DEFAULT, "H", order=["__blk", "__row"])
+    from loadgrid.sources.files import read_meter_files, write_meter_folders
+
+    path = scratch_path(spark, f"meter_files/{uuid.uuid4().hex}")
+    write_meter_folders(TQ.events_readings(spark, sf_dir).select(
+        "series", F.date_format("DateTime", "M/d/yyyy H:mm:ss").alias("stamp"), "Energy"), path)
+    return load_series(read_meter_files(spark, path, name_from="dir"), DEFAULT, "H", order=["__blk", "__row"])
 
 
 @register("stored_load_range", _sel(_view(O.events_load("H"), _range_sql(*EVENT_RANGE)), "v", LOAD_D, LOAD_O))

@@ -215,3 +215,20 @@ def test_checkpoint_folder_is_required_off_local_mode(monkeypatch):
 
     with pytest.raises(RuntimeError, match="share"):
         session.checkpoint_dir(Session())
+
+
+def test_a_large_meter_is_written_by_several_tasks(spark, tmp_path):
+    import glob
+
+    from loadgrid.sources.files import read_meter_files, write_meter_folders
+    rows = [("total", f"1/{1 + k % 28}/2020 {k % 24}:00:00", float(k)) for k in range(4000)] + [("b c", "1/2/2020 3:00:00", 1.5)]
+    out = str(tmp_path / "meters")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # so small a table is one task otherwise
+    try:
+        write_meter_folders(spark.createDataFrame(rows, "series string, stamp string, Energy double").coalesce(1), out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = glob.glob(f"{out}/series=total/part-*")
+    assert len(files) > 1 and max(sum(1 for _ in open(f)) for f in files) < 3000
+    back = read_meter_files(spark, out, name_from="dir").select("series", "Energy").collect()
+    assert sorted(map(tuple, back)) == sorted((s, e) for s, _, e in rows)
