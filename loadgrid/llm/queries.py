@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, exact_topk, language_id, lm_scoring, minhash_dedup, pii, suffix_dedup, token_output, url_filters
+from . import best_fit_packing, decontamination, exact_topk, language_id, lm_scoring, minhash_dedup, pii, quality_rules, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -63,7 +63,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("doc_h", "item_h").distinct()
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_rules.fit(*quality_rules.trusted_flag(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.judge(docs, weights).drop("text", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
-                                   op6_token_output, op7_exact_topk, op8_pii, op9_lm_scoring, op10_decontamination)}
+                                   op6_token_output, op7_exact_topk, op8_pii, op9_lm_scoring, op10_decontamination, op12_quality_rules)}
 ORACLE = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
-          "op10_decontamination": decontamination.ORACLE}
+          "op10_decontamination": decontamination.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
