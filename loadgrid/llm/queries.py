@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, exact_topk, language_id, lm_scoring, minhash_dedup, pii, quality_rules, suffix_dedup, token_output, url_filters
+from . import best_fit_packing, decontamination, exact_topk, language_id, lm_scoring, minhash_dedup, pii, prefix_trie, quality_rules, structure_repair, suffix_dedup, token_output, url_filters
 from .common import prepare, table
 
 
@@ -63,13 +63,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("doc_h", "item_h").distinct()
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality_rules.fit(*quality_rules.trusted_flag(docs, table(spark, sf_dir, "labels")))
     return quality_rules.judge(docs, weights).drop("text", "score")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows, plan, turns = structure_repair.repair(structure_repair.damaged(conversations))
+    return structure_repair.summary(conversations, rows, plan, structure_repair.digests(turns))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_minhash_dedup,
-                                   op6_token_output, op7_exact_topk, op8_pii, op9_lm_scoring, op10_decontamination, op12_quality_rules)}
+                                   op6_token_output, op7_exact_topk, op8_pii, op9_lm_scoring, op10_decontamination, op11_prefix_trie, op12_quality_rules,
+                                   op13_structure_repair)}
 ORACLE = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE, "op7_exact_topk": exact_topk.ORACLE,
-          "op10_decontamination": decontamination.ORACLE, "op12_quality_rules": quality_rules.ORACLE}
+          "op10_decontamination": decontamination.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_quality_rules": quality_rules.ORACLE, "op13_structure_repair": structure_repair.ORACLE}
