@@ -11,16 +11,39 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-#: Rows per Arrow batch handed to Python; bounds a task's memory with long texts.
-ARROW_ROWS = 1024
+#: Rows and bytes of an Arrow batch handed to Python: a task holds no more texts at once.
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of these operators (idempotent)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
+def lean(fn):
+    """``fn(batches)`` for ``mapInArrow``, in a worker that earlier tasks have
+    used: what those left in reference cycles (each task unpickles its own
+    modules) and in allocators goes back to the system before and after."""
+    def run(batches):
+        import ctypes
+        import gc
+
+        def trim():
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass       # another C library: it trims by its own rules
+
+        trim()
+        yield from fn(batches)
+        trim()
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -43,7 +43,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = exact_topk.quantised(table(spark, sf_dir, "embeddings"))
-    return exact_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,30 +226,45 @@ def _runs(batches):
         yield emit(done)
 
 
-def _joined(rows: pa.Table) -> pa.Table:
+_PLAN = pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), ("symbols", pa.string()), ("part", pa.string()), ("state", pa.int32()),
+                   ("cost", pa.int64()), ("illegal", pa.int64()), ("audit", pa.string())])
+
+
+def _joined(runs: list[dict]) -> list[tuple]:
     """The runs of one conversation -> its cheapest repair, cut back into runs;
     the first one also has what holds for all: cost, illegal, whole audit."""
-    rows = rows.sort_by("at")
-    symbols, head, tail = (rows[c].to_pylist() for c in ("symbols", "head", "tail"))
-    cells = [tuple(None if c is None else (c, a) for c, a in zip(x, y)) for x, y in zip(rows["costs"].to_pylist(), rows["audits"].to_pylist())]
+    cells = [tuple(None if c is None else (c, a) for c, a in zip(r["costs"], r["audits"])) for r in runs]
     cost, audit = best(combine(cells))
-    illegal = sum(rows["illegal"].to_pylist()) + sum(a + b not in LEGAL for a, b in zip(tail, head[1:]))
-    parts, states, state, at = [], [], START, 0
-    for i, x in enumerate(symbols):
-        end, left = at, len(x)
+    illegal = sum(r["illegal"] for r in runs) + sum(a["tail"] + b["head"] not in LEGAL for a, b in zip(runs, runs[1:]))
+    out, state, at = [], START, 0
+    for i, r in enumerate(runs):
+        end, left = at, len(r["symbols"])
         while left:                           # insertions go in front of a row, those at the end to the last run
             left -= audit[end] != "I"
             end += 1
-        if i + 1 == len(symbols):
+        if i + 1 == len(runs):
             end = len(audit)
-        parts.append(audit[at:end])
-        states.append(state)
-        _, state = outcome(x, audit[at:end], state)
+        out.append((r["conv_id"], r["at"], r["symbols"], audit[at:end], state, *((cost, illegal, audit) if i == 0 else (None, None, None))))
+        if i + 1 < len(runs):
+            _, state = outcome(r["symbols"], audit[at:end], state)
         at = end
-    rest = [None] * (len(symbols) - 1)
-    return pa.table({"conv_id": rows["conv_id"], "at": rows["at"], "symbols": rows["symbols"], "part": pa.array(parts, pa.string()),
-                     "state": pa.array(states, pa.int32()), "cost": pa.array([cost, *rest], pa.int64()),
-                     "illegal": pa.array([illegal, *rest], pa.int64()), "audit": pa.array([audit, *rest], pa.string())})
+    return out
+
+
+def _plans(batches):
+    """Runs by conversation and place -> their repairs."""
+    runs: list[dict] = []
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if runs and r["conv_id"] != runs[0]["conv_id"]:
+                out += _joined(runs)
+                runs = []
+            runs.append(r)
+        if out:
+            yield batch(_PLAN, *map(list, zip(*out)))
+    if runs:
+        yield batch(_PLAN, *map(list, zip(*_joined(runs))))
 
 
 _PLAN_DDL = "conv_id long, at long, symbols string, part string, state int, cost long, illegal long, audit string"
@@ -259,7 +274,7 @@ def plan(rows: DataFrame) -> DataFrame:
     """``placed`` rows -> their cheapest repair: a row for each run, and on the
     first run of a conversation its ``cost``, ``illegal`` pairs and ``audit``."""
     runs = staged(rows.select("conv_id", "at", "x", "initial", "n").mapInArrow(_runs, _RUN_DDL), "repair-runs")
-    return staged(runs.groupBy("conv_id").applyInArrow(_joined, _PLAN_DDL), "repair-plan")
+    return staged(runs.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(_plans, _PLAN_DDL), "repair-plan")
 
 
 _OUT = pa.schema([("at", pa.int64()), ("out", pa.string())])

@@ -10,7 +10,7 @@ Equal windows have their anchor at the same place, so an anchor rank groups
 all starts that can be equal. In place of prefix doubling, four counts at fixed
 widths follow, to both sides of the anchor:
 
-* rank 0: the ``seed`` bytes at the anchor; anchors with a rank of their own
+* rank 0: a fingerprint of the ``seed`` bytes at the anchor; anchors with a rank of their own
   are done, none of their starts repeats;
 * rank 1: (rank 0, all bytes that the run's windows cover); if two runs share
   it, every start of both repeats, and they are done;
@@ -20,13 +20,14 @@ widths follow, to both sides of the anchor:
   bytes are not is done as well;
 * rank 3: single starts of the remaining blocks, by their whole window.
 
-Each rank is counted by a Spark aggregation over fingerprints and joined back;
-unique ones leave before the next, so only a few percent of the positions
+Rank 0 only groups; all later ranks are 128-bit BLAKE2 digests of the bytes
+themselves, so texts made to share a fingerprint are told apart. Each rank is
+counted by a Spark aggregation and joined back; unique ones leave before the next, so only a few percent of the positions
 reach the last. Rank 1 keeps one run per distinct content for the later
 ranks: a thousand copies cost as much as two.
 
 Documents are told apart by (doc_id, fingerprint of the text); repeated rows
-count as separate documents. Null or short texts lose nothing; null doc_ids
+count as separate documents, whose equal ranges are kept once. Null or short texts lose nothing; null doc_ids
 and other columns pass through untouched.
 """
 
@@ -39,19 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, broadcast_below, longs, prepare, staged
-from .textkernels import U, chunks, mix, prefix_sums, sliding_min, span_hash
+from .common import batch, broadcast_below, lean, longs, prepare, staged
+from .textkernels import U, chunks, digests, prefix_sums, sliding_min, span_hash
 
 THRESHOLD, SEED, BLOCK = 400, 128, 16
 #: Up to so many document keys (16 bytes each) are broadcast to pick the texts of a rank.
 MAX_KEYS = 500_000
-_TILE = 1 << 20
+_TILE = 1 << 18
 
 _ANCHOR = pa.schema([("rank0", pa.int64()), ("doc_id", pa.int64()), ("doc_h", pa.int64()), ("anchor", pa.int64()),
-                     ("d_hi", pa.int32()), ("d_lo", pa.int32()), ("rank1", pa.int64())])
+                     ("d_hi", pa.int32()), ("d_lo", pa.int32()), ("rank1", pa.int64()), ("rank1b", pa.int64())])
 _NODE = pa.schema([("rank0", pa.int64()), ("doc_id", pa.int64()), ("doc_h", pa.int64()), ("anchor", pa.int64()),
-                   ("d_lo", pa.int32()), ("d_hi", pa.int32()), ("copies", pa.int32()), ("core", pa.int64()),
-                   ("span", pa.int64())])
+                   ("d_lo", pa.int32()), ("d_hi", pa.int32()), ("copies", pa.int32()), ("core", pa.binary()),
+                   ("span", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -61,7 +62,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _anchors_of(buf: np.ndarray, ends: np.ndarray, threshold: int, seed: int):
     """Runs of starts that share an anchor: first start, last start, anchor,
-    document, fingerprint of the seed and of all that the run covers."""
+    document, fingerprint of the seed and digest of all that the run covers."""
     n = len(buf)
     if n < threshold:
         return None
@@ -77,7 +78,7 @@ def _anchors_of(buf: np.ndarray, ends: np.ndarray, threshold: int, seed: int):
     a, d = anchor[start], doc[start]
     new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1) | (d[1:] != d[:-1])])
     lo, hi = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
-    return lo, hi, a[new], d[new], grams[a[new]], span_hash(h, lo, hi + threshold)
+    return lo, hi, a[new], d[new], grams[a[new]], digests(buf, lo, hi + threshold)
 
 
 def _anchor_rows(threshold: int, seed: int):
@@ -99,48 +100,59 @@ def _anchor_rows(threshold: int, seed: int):
                 row = np.array([p[0] for p in part])[d]
                 shift = np.array([p[1] - (e - len(p[2])) for p, e in zip(part, ends)])[d]
                 yield batch(_ANCHOR, longs(gram), ids.take(pa.array(row)), np.array(hs, np.int64)[row],
-                            a + shift, (a - lo).astype(np.int32), (a - hi).astype(np.int32), longs(span))
+                            a + shift, (a - lo).astype(np.int32), (a - hi).astype(np.int32), longs(span[:, 0]), longs(span[:, 1]))
     return run
 
 
+def _tagged(digest: np.ndarray, tag: np.ndarray) -> list[bytes]:
+    """Digests as 16 bytes that also differ by ``tag``."""
+    out = digest.copy()
+    out[:, 0] ^= tag
+    raw = out.tobytes()
+    return [raw[k: k + 16] for k in range(0, len(raw), 16)]
+
+
 def _node_rows(threshold: int, block: int):
-    """Blocks of starts of the listed runs with the fingerprints of the bytes
-    that all their windows share and of all that they cover. ``span`` is null
-    where the run or the document does not hold the whole block."""
+    """Blocks of starts of the listed runs with the digests of the bytes that
+    all their windows share and of all that they cover. ``span`` is null where
+    the run or the document does not hold the whole block."""
     def run(batches):
         for b in batches:
-            cols = b.to_pydict()
-            for text, doc_id, doc_h, runs in zip(cols["data"], cols["doc_id"], cols["doc_h"], cols["runs"]):
+            for r in range(b.num_rows):
+                text, doc_id, doc_h, runs = (c[r].as_py() for c in b.columns[2:3] + b.columns[0:2] + b.columns[3:4])
                 anchor = np.array([r["anchor"] for r in runs], np.int64)
                 rank0 = np.array([r["rank0"] for r in runs], np.int64)
                 copies = np.array([r["copies"] for r in runs], np.int32)
                 d_lo = np.array([r["d_lo"] for r in runs], np.int64)
                 d_hi = np.array([r["d_hi"] for r in runs], np.int64)
-                h = prefix_sums(np.frombuffer(text, np.uint8))
+                buf = np.frombuffer(text, np.uint8)
                 first = d_lo // block
                 k = d_hi // block - first + 1
                 own = np.repeat(np.arange(len(runs)), k)
                 b0 = (np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k) + first[own]) * block
                 lo, hi = np.maximum(b0, d_lo[own]), np.minimum(b0 + block - 1, d_hi[own])
                 a = anchor[own]
-                core = span_hash(h, a - b0, a - (b0 + block - 1) + threshold)
                 whole = (lo == b0) & (hi == b0 + block - 1)
-                span = span_hash(h, a - hi, a - lo + threshold)
-                tag = mix(b0.astype(np.uint64) + U(1))
-                for i in range(0, len(own), 1 << 16):
-                    s = slice(i, i + (1 << 16))
+                tag = (b0 + 1).astype(np.uint64) * U(0x9E3779B97F4A7C15)
+                for i in range(0, len(own), 1 << 14):
+                    s = slice(i, i + (1 << 14))
+                    core = _tagged(digests(buf, a[s] - b0[s], a[s] - (b0[s] + block - 1) + threshold), tag[s])
+                    if block == 1:
+                        span = pa.nulls(len(core), pa.binary())         # a start alone is its own core
+                    else:
+                        span = pa.array(_tagged(digests(buf, a[s] - hi[s], a[s] - lo[s] + threshold), tag[s]), pa.binary(), mask=~whole[s])
                     yield batch(_NODE, rank0[own[s]], [doc_id] * len(own[s]), [doc_h] * len(own[s]), a[s],
-                                lo[s].astype(np.int32), hi[s].astype(np.int32), copies[own[s]], longs(core[s] ^ tag[s]),
-                                pa.array((span[s] ^ tag[s]).view(np.int64), mask=~whole[s]))
+                                lo[s].astype(np.int32), hi[s].astype(np.int32), copies[own[s]], core, span)
     return run
 
 
 def _with_text(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The texts of the documents that ``runs`` name, with their runs."""
-    per_doc = runs.groupBy("doc_id", "doc_h").agg(F.collect_list(
+    per_doc = runs.distinct().groupBy("doc_id", "doc_h").agg(F.collect_list(
         F.struct("rank0", "anchor", "d_lo", "d_hi", "copies")).alias("runs"))
     keys = broadcast_below(runs.select(F.col("doc_id").alias("k_id"), F.col("doc_h").alias("k_h")).distinct(), MAX_KEYS)
-    some = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("doc_h") == F.col("k_h")), "left_semi")
+    some = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("doc_h") == F.col("k_h")), "left_semi") \
+        .dropDuplicates(["doc_id", "doc_h"])
     p = per_doc.select(F.col("doc_id").alias("k_id"), F.col("doc_h").alias("k_h"), "runs")
     return some.join(p, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("doc_h") == F.col("k_h"))) \
         .select("doc_id", "doc_h", "data", "runs")
@@ -149,13 +161,13 @@ def _with_text(docs: DataFrame, runs: DataFrame) -> DataFrame:
 def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """``docs(doc_id, doc_h, data binary)`` -> ``(doc_id, doc_h, lo, hi)``:
     ranges of starts whose threshold-byte string starts elsewhere too."""
-    anchors = staged(docs.select("doc_id", "doc_h", "data").mapInArrow(_anchor_rows(threshold, seed), _ddl(_ANCHOR)),
+    anchors = staged(docs.select("doc_id", "doc_h", "data").mapInArrow(lean(_anchor_rows(threshold, seed)), _ddl(_ANCHOR)),
                      "anchors")
     # counts are written before they are joined back: a join of two scans can be split at hot ranks
     shared = staged(anchors.groupBy("rank0").agg(F.count("*").alias("n")).where("n > 1").select("rank0"), "rank0-shared")
     left = staged(anchors.join(shared, "rank0"), "rank0")
 
-    key = ["rank0", "d_lo", "d_hi", "rank1"]
+    key = ["rank0", "d_lo", "d_hi", "rank1", "rank1b"]
     classes = staged(left.groupBy(*key).agg(F.count("*").alias("n"), F.min(
         F.struct("doc_id", "doc_h", "anchor")).alias("one")), "rank1")
     whole = left.join(classes.where("n > 1").select(*key), key) \
@@ -167,7 +179,7 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEE
     runs = staged(classes.join(unsure, "rank0").select(
         "rank0", "one.doc_id", "one.doc_h", "one.anchor", "d_lo", "d_hi", F.least("n", F.lit(2)).cast("int").alias("copies")),
         "runs")
-    nodes = staged(_with_text(docs, runs).mapInArrow(_node_rows(threshold, block), _ddl(_NODE)), "rank2")
+    nodes = staged(_with_text(docs, runs).mapInArrow(lean(_node_rows(threshold, block)), _ddl(_NODE)), "rank2")
     cores = staged(nodes.groupBy("rank0", "core").agg(F.sum("copies").alias("n_core")).where("n_core > 1"), "rank2-cores")
     spans = staged(nodes.where("span IS NOT NULL").groupBy("rank0", "span").agg(F.sum("copies").alias("n_span"))
                    .where("n_span > 1"), "rank2-spans")
@@ -178,7 +190,7 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEE
     # single starts of the open blocks, and of every block that shares their common bytes
     open_keys = staged(left.where("NOT done").select("rank0", "core").distinct(), "rank2-open")
     open_runs = staged(nodes.join(open_keys, ["rank0", "core"], "left_semi").drop("core", "span"), "rank3-runs")
-    singles = staged(_with_text(docs, open_runs).mapInArrow(_node_rows(threshold, 1), _ddl(_NODE)), "rank3")
+    singles = staged(_with_text(docs, open_runs).mapInArrow(lean(_node_rows(threshold, 1)), _ddl(_NODE)), "rank3")
     twice = staged(singles.groupBy("rank0", "core").agg(F.sum("copies").alias("n")).where("n > 1").select("rank0", "core"),
                    "rank3-shared")
     starts = singles.where("copies = 1").join(twice, ["rank0", "core"], "left_semi")
@@ -219,12 +231,12 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep_text: bool
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_h"),
                        F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     ranges = repeated_starts(docs.where(F.length("data") >= threshold), threshold, seed, block)
-    per_doc = staged(ranges.groupBy(F.col("doc_id").alias("k_id"), F.col("doc_h").alias("k_h"))
+    per_doc = staged(ranges.distinct().groupBy(F.col("doc_id").alias("k_id"), F.col("doc_h").alias("k_h"))
                      .agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
     keys = broadcast_below(per_doc.select("k_id", "k_h"), MAX_KEYS)
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("doc_h") == F.col("k_h"))
     cut = docs.join(keys, same, "left_semi").join(per_doc, same).select("doc_id", "data", "starts") \
-        .mapInArrow(_remove(threshold, keep_text), _ddl(_KEPT))
+        .mapInArrow(lean(_remove(threshold, keep_text)), _ddl(_KEPT))
     rest = docs.join(keys, same, "left_anti").select(
         "doc_id", F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"),

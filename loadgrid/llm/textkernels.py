@@ -1,18 +1,21 @@
 """Vectorised text fingerprints for the tasks (numpy only).
 
-All fingerprints are polynomial sums over a buffer, modulo 2**64, whose byte
+They select and group; strings made for it can share one (op1 decides by
+``digests``). All fingerprints are polynomial sums over a buffer, modulo 2**64, whose byte
 values come from a fixed random table, finished by a bit mixer.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _STEP = U(0xC2B2AE3D27D4EB4F)
 _CACHE: dict = {}
-TILE = 1 << 20
+TILE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,6 +57,14 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * inv[start])
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests of the strings ``[start, end)``, as rows of two uint64."""
+    view, out = memoryview(buf), bytearray()
+    for a, b in zip(start.tolist(), end.tolist()):
+        out += hashlib.blake2b(view[a:b], digest_size=16).digest()
+    return np.frombuffer(bytes(out), np.uint64).reshape(-1, 2)
+
+
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of ``w`` values."""
     n = len(v)

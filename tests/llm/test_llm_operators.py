@@ -334,14 +334,16 @@ def test_top_k_matches_brute_force(spark):
            (950, [1.0, 2.0]), (951, [3.0, 4.0]), (0, rows[0][1]), (1000, [1e30] * 8)]
     df = spark.createDataFrame([(i, v, 1, 7) for i, v in rows + odd], "vec_id long, embedding array<float>, label int, shard int")
     v = exact_topk.quantised(df)
-    got = [tuple(r) for r in exact_topk.top_k(v, v.where("vec_id % 50 = 0"), shard_rows=70, query_rows=3).orderBy("query_id", "rank").collect()]
-    ok = {i: [min(math.floor(256 * np.float32(x)), 2**63 - 1) for x in e] for i, e in rows + odd[6:8] + odd[9:]}
+    got = [tuple(r) for r in exact_topk.top_k(v, F.col("vec_id") % 50 == 0, shard_rows=40).orderBy("query_id", "rank").collect()]
+    ok = [(n, i, [min(math.floor(256 * np.float32(x)), 2**63 - 1) for x in e]) for n, (i, e) in enumerate(rows + odd)
+          if e is not None and all(x is not None and math.isfinite(x) for x in e)]
     want = []
-    for q in sorted(k for k in ok if k % 50 == 0):
-        s = sorted((-min(max(sum(a * b for a, b in zip(ok[q], e)), -2**63), 2**63 - 1), i) for i, e in ok.items() if i != q and len(e) == len(ok[q]))
-        want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:5])]
-    assert got == want
-    assert exact_topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    for n, q, e in ok:
+        if q is not None and q % 50 == 0:
+            s = sorted((-min(max(sum(a * b for a, b in zip(e, f)), -2**63), 2**63 - 1), i is None, i or 0) for m, i, f in ok if m != n and len(e) == len(f))
+            want += [(q, r + 1, None if none else i, -x) for r, (x, none, i) in enumerate(s[:5])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert exact_topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 # --- 8: personal data -----------------------------------------------------------
@@ -495,7 +497,7 @@ def test_pairs_are_counted_over_all_blocks():
                 want.update(zip([b"", *t], t))
         emitted.append((lists, *lm_scoring._emit(block, local, texts, meta)))
     cut = pa.Table.from_batches([e[1] for e in emitted])
-    rows = pa.Table.from_batches(list(lm_scoring._slices(cut.drop_columns("slice").to_batches()))).sort_by([("slice", "ascending"), ("block", "ascending")])
+    rows = pa.Table.from_batches(list(lm_scoring._slices(6)(cut.drop_columns("slice").to_batches()))).sort_by([("slice", "ascending"), ("block", "ascending")])
     back = pa.Table.from_batches(list(lm_scoring._count_slices(rows.to_batches(max_chunksize=7), pack_bytes=300)))
     assert sum(back["once"].to_pylist()) == sum(n == 1 for n in want.values())
     assert sum(back["twice"].to_pylist()) == sum(n == 2 for n in want.values())
