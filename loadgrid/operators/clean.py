@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import materialize_small
+from ..functions.joins import small_side
 from ..functions.time import seconds_between, shift_seconds
 
 SERIES = "series"
@@ -24,14 +24,15 @@ def interval_table(readings: DataFrame, ts: str = "DateTime", max_rows: int = 50
     time-of-day part count (whole days are dropped), so a daily or coarser
     series has shift 0. A one-row series has no interval (shift 0).
 
-    Two hash aggregations and no sort: the earliest stamp per series, then --
-    joined back, by broadcast if a count of the written table allows it --
-    the number of rows at it and the earliest later stamp. The result belongs
-    to the readings it was made from; callers that load the same meters again
-    keep it and pass it to :func:`with_shift`.
+    Two hash aggregations of two columns and no sort: the earliest stamp per
+    series, then -- joined back, see ``functions.joins`` -- the number of rows
+    at it and the earliest later stamp. (One aggregation can't do both: the
+    second row may share the first one's stamp, and a two-column minimum would
+    be a sort.) The result belongs to the readings it was made from; callers
+    that load the same meters again keep it and pass it to :func:`with_shift`.
     """
     r = readings.select(SERIES, F.col(ts).alias("__ts")).where(F.col("__ts").isNotNull())
-    first = materialize_small(r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")), max_rows)
+    first = small_side(r.groupBy(SERIES).agg(F.min("__ts").alias("__t1")), r, max_rows)
     g = (r.join(first, SERIES, "inner")
           .groupBy(SERIES, "__t1")
           .agg(F.count_if(F.col("__ts") == F.col("__t1")).alias("__n1"),
@@ -52,11 +53,13 @@ def interval_table(readings: DataFrame, ts: str = "DateTime", max_rows: int = 50
 def with_shift(readings: DataFrame, intervals: DataFrame | None = None, max_rows: int = 500_000,
                ts: str = "DateTime") -> DataFrame:
     """Attach ``shift_seconds`` of each series, from ``intervals`` or inferred
-    from the readings. The per-series table is written once (a lost executor
+    from the readings. For small readings (by the plan's statistics) this is
+    one lazy plan; else the per-series table is written once (a lost executor
     rereads it) and broadcast if its count allows it, else joined by a
     shuffle. A meter without an entry is an error, not a meter without shift."""
-    side = materialize_small((interval_table(readings, ts, max_rows) if intervals is None else intervals)
-                             .select(SERIES, "shift_seconds"), max_rows)
+    own = intervals is None
+    table = (interval_table(readings, ts, max_rows) if own else intervals).select(SERIES, "shift_seconds")
+    side = small_side(table, readings.select(SERIES, ts) if own else intervals, max_rows)
     missing = F.raise_error(F.concat(F.lit("no sampling interval is known for meter "), F.col(SERIES))).cast("long")
     return readings.join(side, SERIES, "left").withColumn("shift_seconds", F.coalesce(F.col("shift_seconds"), missing))
 

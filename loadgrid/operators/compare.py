@@ -1,7 +1,9 @@
 """Pairwise comparison of statistics, distributions and typical days.
 
 Every pairing here is one-to-one: a row meets at most one partner, found by an
-equi-join on an integer period key. Pairing every
+integer period key: in the rows of one table by a window whose RANGE frame is
+that key alone (a missing period gives no partner), in two tables by an
+equi-join. Nothing is written on the way. Pairing every
 period with every other period (the original's "outer" and self comparisons)
 would emit all pairs, which this library does not do; instead a comparison
 names its partner: the same period (``inner``), the period ``offset`` steps
@@ -11,11 +13,10 @@ earlier (``shifted``), or the same calendar slot ``offset`` cycles earlier
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as MX
-from ..functions.joins import written
 from ..functions.naming import rows_group, stat_col
 from ..functions.time import period_ordinal
 from .typical_day import GROUP_KEYS, PeriodNotSupported
@@ -109,6 +110,18 @@ def _stats_metrics(period: str, mode: str) -> list[Column]:
             monthly[2](monthly[0], monthly[1]).alias("percent_difference_mean_monthly")]
 
 
+def _partners(table: DataFrame, keys: list[Column], offset: int) -> DataFrame:
+    """Every row of a table (one row per series and period) beside the row of
+    its series ``offset`` steps of the first key earlier, with the other keys
+    equal: columns ``<c>_1`` and ``<c>_2``. A window holds one meter's rows."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    d = table.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    w = Window.partitionBy(SERIES, *names[1:]).orderBy(names[0]).rangeBetween(-offset, -offset)
+    y = F.first(F.struct(*[F.col(f"`{c}`") for c in table.columns])).over(w)
+    return d.withColumn("__y", y).where(F.col("__y").isNotNull()).select(
+        *[F.col(f"`{c}`").alias(f"{c}_1") for c in table.columns], *[F.col("__y").getField(c).alias(f"{c}_2") for c in table.columns])
+
+
 def compare_stats(left: DataFrame, right: DataFrame, period: str, how: str = "inner", offset: int = 1,
                   percent_mode: str = "reference") -> DataFrame:
     """Join two statistics tables of the same period, meter by meter, and add
@@ -124,19 +137,22 @@ def _compare(left, right, period, how, offset, percent_mode, match_series: bool)
             raise ValueError(f"both tables must hold {period!r} statistics ({need})")
     if how == "inner":
         offset = 0
-    if left is right:
-        left = right = written(left)
-    L, R = _suffixed(left, "_1"), _suffixed(right, "_2")
-    lk = _pair_keys(period, how, offset, F.col("period_start_1"), True)
-    rk = _pair_keys(period, how, offset, F.col("period_start_2"), False)
-    L = L.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(lk)])
-    R = R.select("*", *[k.alias(f"__r{i}") for i, k in enumerate(rk)])
-    cond = [F.col(f"__k{i}") == F.col(f"__r{i}") for i in range(len(lk))]
-    if match_series:
-        cond.append(F.col("series_1") == F.col("series_2"))
-    if how == "aligned":
-        cond.append(F.col("period_start_1") != F.col("period_start_2"))
-    j = L.join(R, cond, "inner").drop(*[f"__k{i}" for i in range(len(lk))], *[f"__r{i}" for i in range(len(rk))])
+    if left is right and match_series:
+        j = _partners(left, _pair_keys(period, how, 0, F.col("period_start"), False), offset)
+        if how == "aligned":      # a year's slot is the year itself: it has no other period
+            j = j.where(F.col("period_start_1") != F.col("period_start_2") if period != "Y" else F.lit(False))
+    else:
+        L, R = _suffixed(left, "_1"), _suffixed(right, "_2")
+        lk = _pair_keys(period, how, offset, F.col("period_start_1"), True)
+        rk = _pair_keys(period, how, offset, F.col("period_start_2"), False)
+        L = L.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(lk)])
+        R = R.select("*", *[k.alias(f"__r{i}") for i, k in enumerate(rk)])
+        cond = [F.col(f"__k{i}") == F.col(f"__r{i}") for i in range(len(lk))]
+        if match_series:
+            cond.append(F.col("series_1") == F.col("series_2"))
+        if how == "aligned":
+            cond.append(F.col("period_start_1") != F.col("period_start_2"))
+        j = L.join(R, cond, "inner").drop(*[f"__k{i}" for i in range(len(lk))], *[f"__r{i}" for i in range(len(rk))])
     side_cols = [c for c in j.columns]
     out = j.select(*_stats_metrics(period, percent_mode), *[F.col(f"`{c}`") for c in side_cols])
     if how == "inner":
@@ -146,11 +162,9 @@ def _compare(left, right, period, how, offset, percent_mode, match_series: bool)
 
 def compare_series(stats: DataFrame, left_series: str, right_series: str, period: str, how: str = "inner",
                    offset: int = 1, percent_mode: str = "reference") -> DataFrame:
-    """Two meters of one statistics table against each other. The table is
-    cut to the two before it is written (the filter reaches the load's scan),
-    and both sides read the written rows."""
-    st = written(stats.where(F.col(SERIES).isin(left_series, right_series)))
-    return _compare(st.where(F.col(SERIES) == left_series), st.where(F.col(SERIES) == right_series),
+    """Two meters of one statistics table against each other: each side's
+    filter reaches the load's scan, so a side computes its own meter only."""
+    return _compare(stats.where(F.col(SERIES) == left_series), stats.where(F.col(SERIES) == right_series),
                     period, how, offset, percent_mode, False)
 
 
@@ -161,24 +175,22 @@ def _dist_loads(dist: DataFrame) -> list[str]:
 def compare_distribution(dist: DataFrame, period: str, offset: int = 1,
                          percent_mode: str = "reference") -> DataFrame:
     """Every period of a distribution table against the period ``offset``
-    steps earlier (self equi-join on the period index; the table, one row per
-    period, is written once first)."""
+    steps earlier. Each row goes to two keys, its own period's index and its
+    partner's; one hash aggregation by key brings the two together, so the
+    table is computed once and not joined with itself."""
     loads = _dist_loads(dist)
-    dist = written(dist)
-
-    def ren(df, sfx):
-        cols = []
-        for c in df.columns:
-            if c == "period_start":
-                cols.append(F.col(c).alias(f"period_start{sfx}"))
-            else:
-                ld, st = c.rsplit("__", 1)
-                cols.append(F.col(f"`{c}`").alias(f"{ld}{sfx}__{st}"))
-        return df.select(*cols)
-
-    L = ren(dist, "_1").withColumn("__k", period_ordinal(F.col("period_start_1"), period) - F.lit(offset))
-    R = ren(dist, "_2").withColumn("__r", period_ordinal(F.col("period_start_2"), period))
-    j = L.join(R, F.col("__k") == F.col("__r"), "inner").drop("__k", "__r")
+    own, later = F.struct(F.lit(1).alias("side"), F.lit(0).alias("move")), F.struct(F.lit(2).alias("side"), F.lit(offset).alias("move"))
+    d = dist.withColumn("__at", F.explode(F.array(own, later)))
+    key = (period_ordinal(F.col("period_start"), period) + F.col("__at.move")).alias("__k")
+
+    def name(c, side):
+        if c == "period_start":
+            return f"period_start_{side}"
+        ld, st = c.rsplit("__", 1)
+        return f"{ld}_{side}__{st}"
+    side = F.col("__at.side")
+    j = d.groupBy(key).agg(*[F.max(F.when(side == n, F.col(f"`{c}`"))).alias(name(c, n)) for n in (1, 2) for c in dist.columns]) \
+        .where(F.col("period_start_1").isNotNull() & F.col("period_start_2").isNotNull()).drop("__k")
     p = MX.pct_consistent if percent_mode == "consistent" else MX.pct_div100_times
     mets = []
     for ld in loads:
@@ -206,16 +218,12 @@ def compare_typical_day(td: DataFrame, period: str, offset: int = 1,
         raise PeriodNotSupported(f"typical days are compared by {sorted(k for k in GROUP_KEYS if len(k) == 1)}, not by {period!r}")
     keys = list(GROUP_KEYS[period])
     stats = [c for c in td.columns if c.startswith("Energy__")]
-    td = written(td)
     at = period_ordinal(F.col("first_day").cast("timestamp_ntz"), period)
-    left = td.select(F.col(SERIES), F.col("hour"), (at - F.lit(offset)).alias("__k"),
-                     *[F.col(c).alias(f"{c}_1") for c in (*keys, *stats)])
     pick = F.max_by if offset >= 0 else F.min_by
-    right = td.groupBy(F.col(SERIES).alias("__s"), F.col("hour").alias("__h"), at.alias("__r")).agg(
-        pick(F.struct(*keys, *stats), F.col("first_day")).alias("__y"))
-    p = left.join(right, (F.col(SERIES) == F.col("__s")) & (F.col("hour") == F.col("__h")) & (F.col("__k") == F.col("__r")))
-    p = p.select(SERIES, "hour", *[f"{k}_1" for k in keys], *[F.col(f"__y.{k}").alias(f"{k}_2") for k in keys],
-                 *[f"{c}_1" for c in stats], *[F.col(f"__y.{c}").alias(f"{c}_2") for c in stats])
+    w = Window.partitionBy(SERIES, "hour").orderBy("__k").rangeBetween(-offset, -offset)
+    p = td.withColumn("__k", at).withColumn("__y", pick(F.struct(*keys, *stats), F.col("first_day")).over(w)).where(F.col("__y").isNotNull())
+    p = p.select(SERIES, "hour", *[F.col(k).alias(f"{k}_1") for k in keys], *[F.col(f"__y.{k}").alias(f"{k}_2") for k in keys],
+                 *[F.col(c).alias(f"{c}_1") for c in stats], *[F.col(f"__y.{c}").alias(f"{c}_2") for c in stats])
     a, b = F.col("Energy__mean_1"), F.col("Energy__mean_2")
     pc = MX.pct_consistent if percent_mode == "consistent" else MX.pct_over_100a
     hour = F.col("hour")

