@@ -146,3 +146,19 @@ def weekday_mon0(c) -> Column:
 def seconds_of_day(c) -> Column:
     c = col_(c)
     return F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+def _spread(c: Column) -> Column:
+    """The 16 bits of ``c`` at every second place."""
+    for by, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        c = c.bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def meter_time_order(series, ts) -> Column:
+    """Place on a space-filling (Z-order) curve over meters, by a 16-bit hash,
+    and days: stretches of it hold some meters for some time, whichever of the
+    two a query names."""
+    meter = F.pmod(F.xxhash64(col_(series)), F.lit(1 << 16))
+    day = F.pmod(F.datediff(F.to_date(col_(ts)), F.lit("1970-01-01").cast("date")), F.lit(1 << 16)).cast("long")
+    return _spread(meter).bitwiseOR(F.shiftleft(_spread(day), 1))

@@ -241,9 +241,17 @@ def compare_typical_day(td: DataFrame, period: str, offset: int = 1,
                     ix.alias("index x"), iy.alias("index y"), "*")
 
 
-def sort_typical_day_comparison(cmp: DataFrame, period: str) -> DataFrame:
-    """The original's display order of a typical-day comparison: both sides'
-    group keys (year, quarter | month [, week]) then the hour. A total sort is
-    a range-partitioned shuffle; use it for output only."""
+def display_order(period: str) -> list[str]:
+    """The original's order of a typical-day comparison: both sides' group
+    keys (year, quarter | month [, week]), then the hour."""
     keys = list(GROUP_KEYS[period])
-    return cmp.orderBy(*[f"{k}_1" for k in keys], *[f"{k}_2" for k in keys], "hour")
+    return [f"{k}_1" for k in keys] + [f"{k}_2" for k in keys] + ["hour"]
+
+
+def sort_typical_day_comparison(cmp: DataFrame, period: str) -> DataFrame:
+    """The rows in display order, meter by meter, with their ``position`` in
+    the meter's list. A window per meter numbers them; the total sort is a
+    range-partitioned shuffle, for output only."""
+    order = display_order(period)
+    position = F.row_number().over(Window.partitionBy(SERIES).orderBy(*order))
+    return cmp.withColumn("position", position).orderBy(SERIES, "position")

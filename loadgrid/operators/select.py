@@ -67,17 +67,27 @@ MAX_LITERALS = 1000
 def select_keys(df: DataFrame, key: str, values: Iterable, *, by_day: bool = False) -> DataFrame:
     """Rows whose ``key`` is in ``values``. With ``by_day`` the values are
     dates and every row of those days is kept (for hourly tables). A picked
-    list is a predicate on the row, so nothing is shuffled; a list of more
-    than ``MAX_LITERALS`` keys is an inline relation of known size."""
+    list is a predicate on the row, so nothing is shuffled, and a stored
+    table's row groups are skipped by it; a list of more than ``MAX_LITERALS``
+    keys is an inline relation of known size, and its bounds are the predicate."""
     dtype = T.DateType() if by_day else df.schema[key].dataType
     vals = list(values)
     if isinstance(dtype, T.DateType):
         vals = [_as_date(v) for v in vals]
     elif isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
         vals = [_as_datetime(v) for v in vals]
-    c = F.to_date(F.col(f"`{key}`")) if by_day else F.col(f"`{key}`")
+    raw = F.col(f"`{key}`")
+    c = F.to_date(raw) if by_day else raw
+    if not vals:
+        return df.where(F.lit(False))
+    if by_day and isinstance(df.schema[key].dataType, T.TimestampNTZType):
+        # the days' bounds on the column itself reach the scan of a stored table, a day's truncation does not
+        first, last = (_as_datetime(d) for d in (min(map(_as_date, vals)), max(map(_as_date, vals))))
+        df = df.where((raw >= F.lit(first).cast("timestamp_ntz")) & (raw < F.lit(last + dt.timedelta(days=1)).cast("timestamp_ntz")))
     if len(vals) <= MAX_LITERALS:
-        return df.where(c.isin([F.lit(v).cast(dtype) for v in vals]) if vals else F.lit(False))
+        return df.where(c.isin([F.lit(v).cast(dtype) for v in vals]))
+    if not by_day:
+        df = df.where(raw.between(F.lit(min(vals)).cast(dtype), F.lit(max(vals)).cast(dtype)))
     return df.join(inline_values(df.sparkSession, vals, "__k", dtype), c == F.col("__k"), "left_semi")
 
 

@@ -22,12 +22,14 @@ from ..operators import compare, distribution, resample, select, stats, typical_
 from ..operators.combine import concatenate, group_loads
 from .load import filtered, load_series, store_load
 
+# Fixed values that must equal the original tool's kinds of tables.
 KINDS = ("energy_data", "energy_stats_data", "energy_distribution", "energy_stats_comparison",
          "energy_distribution_comparison", "typical_day", "typical_day_comparison", "data")
 
 CATALOG_SCHEMA = T.StructType([T.StructField("name", T.StringType(), False),
                                T.StructField("kind", T.StringType(), False),
-                               T.StructField("period", T.StringType(), True)])
+                               T.StructField("period", T.StringType(), True),
+                               T.StructField("path", T.StringType(), False)])
 
 
 #: Columns that order a table's rows for ``head``, whatever its kind.
@@ -67,6 +69,8 @@ class TableCatalog:
         self.spark = spark
         self._t: dict[str, Entry] = {}
         self.last: tuple[str, Entry] | None = None
+        self._stored: dict[tuple[str, int], str] = {}      # (root, plan) -> folder in the last snapshot
+        self._held: list[DataFrame] = []
         self.session = _now()      # names the output folder of this session
 
     # -- registry ---------------------------------------------------------
@@ -80,20 +84,20 @@ class TableCatalog:
         return name
 
     def require(self, *names: str) -> None:
-        missing = [n for n in names if n not in self._t]
+        missing = [n for n in names if table_key(n) not in self._t]
         if missing:
             raise TableNotFound(f"no table is kept as {', '.join(missing)}")
 
     def entry(self, name: str) -> Entry:
         self.require(name)
-        return self._t[name]
+        return self._t[table_key(name)]
 
     def get(self, name: str) -> DataFrame:
         return self.entry(name).df
 
     def remove(self, *names: str) -> None:
         self.require(*names)
-        for n in names:
+        for n in {table_key(n): None for n in names}:
             del self._t[n]
             self.spark.catalog.dropTempView(f"`{n}`")
 
@@ -172,7 +176,7 @@ class TableCatalog:
         """Distribution of ``loads`` (series names) found in the load tables
         ``keys``; every table must have the same resolution (DST5)."""
         self.require(*keys)
-        periods = {self._t[k].period for k in keys}
+        periods = {self.entry(k).period for k in keys}
         if len(periods) != 1:
             raise ValueError(f"loads of different resolutions cannot be distributed: {sorted(map(str, periods))}")
         views = [self._view(k, time_interval, bdays, bhours, holidays, cfg) for k in keys]
@@ -244,9 +248,9 @@ class TableCatalog:
 
     def extent(self, *keys: str) -> DataFrame:
         self.require(*keys)
-        v = self._t[keys[0]].df
+        v = self.get(keys[0])
         for k in keys[1:]:
-            v = v.unionByName(self._t[k].df)
+            v = v.unionByName(self.get(k))
         return resample.extent_of(v)
 
     # -- sinks ------------------------------------------------------------
@@ -261,7 +265,7 @@ class TableCatalog:
         fmt = fmt or cfg.type_of_tabular_output_file
         overwrite = cfg.results_overwrite if overwrite is None else overwrite
         df = self.get(name)
-        path = _join(self.output_dir(root, overwrite), name)
+        path = _join(self.output_dir(root, overwrite), table_key(name))
         w = df.write.mode("overwrite")
         if "csv" in fmt:
             w.option("header", True).csv(path)
@@ -279,18 +283,42 @@ class TableCatalog:
 
     # -- snapshots ----------------------------------------------------------
     def store_state(self, root: str) -> str:
+        """Snapshot of all kept tables: one Parquet folder per table and, last,
+        a ``_catalog`` manifest with each table's folder. The manifest is
+        written beside its place and renamed into it, so a snapshot that broke
+        off is never the newest. A table that the last snapshot of this
+        catalog holds unchanged is referred to and not written again; a plan
+        kept under several names is written once."""
         snap = f"state_{_now()}"
+        done: dict[int, str] = {}
+        meta = []
         for n, e in self._t.items():
-            e.df.write.mode("overwrite").parquet(_join(root, snap, n))
-        meta = [(n, e.kind, e.period) for n, e in self._t.items()]
-        self.spark.createDataFrame(meta, CATALOG_SCHEMA).coalesce(1).write.mode("overwrite") \
-            .parquet(_join(root, snap, "_catalog"))
+            path = self._stored.get((root, id(e.df))) or done.get(id(e.df))
+            if path is None:
+                path = _join(snap, n)
+                e.df.write.mode("overwrite").parquet(_join(root, path))
+            done[id(e.df)] = path
+            meta.append((n, e.kind, e.period, path))
+        self.spark.createDataFrame(meta, CATALOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(_join(root, snap, "_writing"))
+        fs, path = self._fs(root)
+        if not fs.rename(path(_join(root, snap, "_writing")), path(_join(root, snap, "_catalog"))):
+            raise OSError(f"the manifest of {snap} could not be put in place")
+        self._stored = {(root, id(e.df)): done[id(e.df)] for e in self._t.values()}
+        self._held = [e.df for e in self._t.values()]         # keeps the ids above in use
         return snap
 
+    def _fs(self, root: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def snapshots(self, root: str) -> list[str]:
-        cat = self.spark.read.schema(CATALOG_SCHEMA).parquet(_join(root, "state_*", "_catalog"))
-        snap = F.regexp_extract(F.col("_metadata.file_path"), r"/(state_[^/]+)/_catalog", 1)
-        return sorted(r[0] for r in cat.select(snap.alias("s")).distinct().collect())
+        """Whole snapshots, oldest first: those with a manifest."""
+        fs, path = self._fs(root)
+        if not fs.exists(path(root)):
+            return []
+        found = fs.globStatus(path(_join(root, "state_*", "_catalog")))
+        return sorted(f.getPath().getParent().getName() for f in found or [])
 
     def load_state(self, root: str, snapshot: str | None = None) -> str:
         """Replace the catalog by a snapshot (the newest when not named)."""
@@ -304,5 +332,7 @@ class TableCatalog:
             self.spark.catalog.dropTempView(f"`{n}`")
         self._t = {}
         for r in meta:
-            self.keep(r["name"], self.spark.read.parquet(_join(root, snapshot, r["name"])), r["kind"], r["period"])
+            self.keep(r["name"], self.spark.read.parquet(_join(root, r["path"])), r["kind"], r["period"])
+        self._stored = {(root, id(e.df)): r["path"] for r in meta for n, e in self._t.items() if n == r["name"]}
+        self._held = [e.df for e in self._t.values()]
         return snapshot

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, LoadConfig
-from ..functions.time import parse_resolution
+from ..functions.time import meter_time_order, parse_resolution
 from ..session import require_utc
 from ..operators import clean, fill
 from ..operators.resample import resample_bins, stamp_columns
@@ -66,17 +66,21 @@ def filtered(load: DataFrame, cfg: LoadConfig = DEFAULT) -> DataFrame:
     return clean.filtered_view(load, drop_zeros=cfg.drop_zero_energy)
 
 
-def store_load(load: DataFrame, path: str, files: int | None = None) -> DataFrame:
+def store_load(load: DataFrame, path: str, files: int | None = None, layout: str = "time") -> DataFrame:
     """Write a load table for repeated analysis and return it read back.
 
-    Rows are range-partitioned by ``DateTimeStart`` (each file covers one
-    stretch of time, whatever the meter mix, so a hot meter does not make one
-    file huge) and sorted by ``series, DateTimeStart`` inside each file; the
-    Parquet min/max statistics then let a date-range filter on the stored
-    table skip row groups (the filter is pushed into the scan, see
-    ``operators.select.filter_range``).
+    ``layout``: ``"time"`` -- rows are range-partitioned by ``DateTimeStart``,
+    each file covers one stretch of time, for queries by date; ``"mixed"`` --
+    by a Z-order of meters and days, for queries by meter, by date or by both.
+    In either case a hot meter lies in many files. Inside a file the rows are
+    sorted by ``series, DateTimeStart``, and a Parquet Bloom filter on
+    ``series`` stands beside the min/max statistics: range and key predicates
+    (``operators.select``) are pushed into the scan and skip row groups.
     """
-    ordered = load.repartitionByRange(files, "DateTimeStart") if files else load.repartitionByRange("DateTimeStart")
-    (ordered.sortWithinPartitions(SERIES, "DateTimeStart")
-            .write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE).mode("overwrite").parquet(path))
+    if layout not in ("time", "mixed"):
+        raise ValueError(f"unknown layout {layout!r}")
+    by = F.col("DateTimeStart") if layout == "time" else meter_time_order(SERIES, "DateTimeStart")
+    ordered = load.repartitionByRange(files, by) if files else load.repartitionByRange(by)
+    (ordered.sortWithinPartitions(SERIES, "DateTimeStart").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
+            .option(f"parquet.bloom.filter.enabled#{SERIES}", "true").mode("overwrite").parquet(path))
     return load.sparkSession.read.parquet(path)

@@ -83,6 +83,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for a written intermediate."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "loadgrid", name) if "://" not in base else f"{base.rstrip('/')}/loadgrid/{name}"
+    """A path for a written intermediate, in this application's folder below
+    the shared checkpoint folder; Spark deletes that folder when the driver ends."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/loadgrid/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{root}/{name}"

@@ -1023,3 +1023,198 @@ def distribution_15min(spark: SparkSession, sf_dir: str) -> DataFrame:
 _fn = _stats_q(TQ.events_load, "H", "M", POWER)
 _fn.__doc__ = "AGG1-8 on a power load (hourly means)."
 register("stats_month_power", _stats_sql(O.events_load("H", how="mean"), "M"))(_fn)
+
+
+# ===========================================================================
+# Rejects and counts of files, names, checks, the catalog (SRC1-4, SRC7, REG2-3, ...)
+# ===========================================================================
+
+def _planted(spark, sf_dir) -> DataFrame:
+    """All events as texts, some of them unreadable: by the event's number a
+    stamp that is none, readings that are no number, missing ones."""
+    e = TQ.table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    stamp = F.when(n % 97 == 0, "not a day").otherwise(F.date_format(F.col("ts").cast("timestamp_ntz"), "M/d/yyyy H:mm:ss"))
+    reading = F.when(n % 97 == 0, "1.5").when(n % 89 == 0, "abc").when(n % 83 == 0, "1,234.5").when(n % 79 == 0, "").when(n % 71 == 0, "NA") \
+        .otherwise(F.col("value").cast("string"))
+    return e.select(F.col("event_type").alias("series"), stamp.alias("stamp"), reading.alias("reading"))
+
+
+def _meter_folders(spark, rows: DataFrame, name: str) -> str:
+    import uuid
+
+    from loadgrid.session import scratch_path
+    from loadgrid.sources.files import write_meter_folders
+
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    write_meter_folders(rows, path)
+    return path
+
+
+@register("meter_file_rejects", """SELECT event_type AS series,
+    CASE WHEN event_id % 97 = 0 THEN 'not a day' ELSE strftime(ts, '%-m/%-d/%Y %-H:%M:%S') END AS stamp,
+    CASE WHEN event_id % 97 = 0 THEN '1.5' WHEN event_id % 89 = 0 THEN 'abc' ELSE '1,234.5' END AS reading,
+    CASE WHEN event_id % 97 = 0 THEN 'no stamp layout fits' ELSE 'the reading is no number' END AS reason
+    FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0""")
+def meter_file_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: the unreadable rows of meter files with the reason."""
+    from loadgrid.sources.files import read_readings
+
+    path = _meter_folders(spark, _planted(spark, sf_dir), "planted")
+    return read_readings(spark, path, name_from="dir", rejects=True).drop("file")
+
+
+@register("meter_file_counts", """WITH r AS (SELECT event_type AS series, event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 AS bad,
+        event_id % 79 = 0 OR event_id % 71 = 0 OR value IS NULL OR isnan(value) AS missing FROM events)
+    SELECT series, count(*) AS lines, count(*) FILTER (WHERE NOT bad AND NOT missing) AS readings,
+           count(*) FILTER (WHERE NOT bad AND missing) AS missing, count(*) FILTER (WHERE bad) AS rejects FROM r GROUP BY series""")
+def meter_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1, SRC3: lines, readings, missing ones and rejects of every meter's files."""
+    from loadgrid.sources.files import read_counts
+
+    path = _meter_folders(spark, _planted(spark, sf_dir), "planted")
+    c = read_counts(spark, path, name_from="dir").groupBy("series")
+    return c.agg(*[F.sum(n).cast("long").alias(n) for n in ("lines", "readings", "missing", "rejects")])
+
+
+_WIDE_DAYS = O.events_load("15min", name="l15") + """,
+    d AS (SELECT DISTINCT series, CAST(DateTimeStart AS DATE) AS d FROM l15)"""
+
+
+def _wide_planted(spark, sf_dir) -> DataFrame:
+    """The 15-minute event loads in the wide layout, as texts: every 11th day
+    of a month without a date, on every 7th a cell that is no number, on every
+    5th one that is not available."""
+    from loadgrid.sources.files import QUARTERS, pivot_quarters
+
+    wide = pivot_quarters(TQ.events_load(spark, sf_dir, "15min").select("series", F.col("DateTimeStart").alias("DateTime"), "Energy"))
+    day = F.col("Date_") % 100
+    cells = [F.col(f"`{q}`").cast("string").alias(q) for q in QUARTERS]
+    cells[4] = F.when(day % 7 == 0, "x").when(day % 5 == 0, "n/a").otherwise(F.col("`5`").cast("string")).alias("5")
+    return wide.select("series", F.when(day % 11 == 0, "someday").otherwise(F.col("Date_").cast("string")).alias("Date_"), *cells)
+
+
+@register("wide_file_rejects", f"""WITH {_WIDE_DAYS}
+    SELECT series, CASE WHEN day(d) % 11 = 0 THEN 'someday' ELSE strftime(d, '%Y%m%d') END AS date,
+           CASE WHEN day(d) % 11 <> 0 THEN 5 END AS day_quarter, CASE WHEN day(d) % 11 <> 0 THEN 'x' END AS cell,
+           CASE WHEN day(d) % 11 = 0 THEN 'the date is none' ELSE 'the cell is no number' END AS reason
+    FROM d WHERE day(d) % 11 = 0 OR day(d) % 7 = 0""")
+def wide_file_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: the unreadable lines and cells of wide files with the reason."""
+    from loadgrid.sources.files import read_wide_csv
+
+    path = _meter_folders(spark, _wide_planted(spark, sf_dir), "wide_planted")
+    return read_wide_csv(spark, path, name_from="dir", rejects=True).drop("file")
+
+
+@register("wide_files", f"""WITH {O.events_load("15min", name="l15")},
+    d AS (SELECT DISTINCT series, CAST(DateTimeStart AS DATE) AS d FROM l15),
+    q AS (SELECT series, CAST(d AS TIMESTAMP) + to_minutes(CAST(15 * q AS BIGINT)) AS DateTime FROM d, (SELECT unnest(range(96)) AS q))
+    SELECT q.series, q.DateTime, {O.q('l15.Energy')} AS Energy FROM q LEFT JOIN l15 ON l15.series = q.series AND l15.DateTimeStart = q.DateTime""")
+def wide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2: wide files, every day a line of 96 cells, read as readings."""
+    from loadgrid.sources.files import pivot_quarters, read_wide_csv
+
+    wide = pivot_quarters(TQ.events_load(spark, sf_dir, "15min").select("series", F.col("DateTimeStart").alias("DateTime"), "Energy"))
+    return read_wide_csv(spark, _meter_folders(spark, wide, "wide"), name_from="dir")
+
+
+@register("meter_names", r"""SELECT p_partkey, regexp_replace(trim(p_name), '\s+', '_', 'g') || '_' || p_brand AS hourly,
+    regexp_replace(trim(p_name), '\s+', '_', 'g') || '_' || p_brand || '_period_D' AS daily FROM part""")
+def meter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4, SC11: names of meters from the names of their files (URL-encoded,
+    with white space around and inside, an extension, a period)."""
+    from loadgrid.functions.naming import series_name_column
+
+    p = TQ.table(spark, sf_dir, "part")
+    file = F.replace(F.url_encode(F.concat(F.lit(" "), "p_name", F.lit("  "), "p_brand", F.lit(" .csv"))), F.lit("+"), F.lit("%20"))
+    return p.select("p_partkey", series_name_column(file).alias("hourly"), series_name_column(file, "D").alias("daily"))
+
+
+@register("catalog_tables", f"""WITH {O.events_load('H')}, {O.orders_load('D', name='load2', p='o_')},
+    v AS (SELECT * FROM load WHERE Energy IS NOT NULL), {O.stats_ctes('v', 'D')}
+    SELECT 'events_hourly' AS name, 'energy_data' AS kind, 'H' AS period, count(*) AS n_rows FROM load
+    UNION ALL SELECT 'orders', 'energy_data', 'D', count(*) FROM load2
+    UNION ALL SELECT 'daily', 'energy_stats_data', 'D', count(*) FROM st""")
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT12, REG1, REG2: tables kept under names, one removed, listed by kind
+    (names are found as they were given), with their rows."""
+    from functools import reduce
+
+    from loadgrid.plans.catalog import TableCatalog
+
+    cat = TableCatalog(spark)
+    load = TQ.events_load(spark, sf_dir, "H")
+    cat.keep(" events  hourly ", load, "energy_data", "H")
+    cat.keep("orders", TQ.orders_load(spark, sf_dir, "D"), "energy_data", "D")
+    cat.keep("dropped", load, "energy_data", "H")
+    cat.keep("daily", stats.energy_stats(filtered(cat.get(" events  hourly ")), "D"), "energy_stats_data", "D")
+    cat.remove("dropped")
+    listed = [(n, k) for k in ("energy_data", "energy_stats_data", "typical_day") for n in cat.names(k)]
+    return reduce(DataFrame.unionByName, [cat.get(n).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(cat.entry(n).period).alias("period"), "n_rows") for n, k in listed])
+
+
+_CHECKS = (("a file of unknown format", "NotImplementedError"), ("a table that is not kept", "TableNotFound"),
+           ("loads of different resolutions distributed", "ValueError"), ("statistics of different periods compared", "ValueError"),
+           ("a whole-range profile compared", "PeriodNotSupported"), ("a typical day of days", "PeriodNotSupported"),
+           ("a typical day of years", "PeriodNotSupported"))
+
+
+@register("raised_checks", f"""WITH {O.events_load('H')}, n AS (SELECT count(*) AS n_rows FROM load),
+    c(check_, error) AS (VALUES {', '.join(str(c) for c in _CHECKS)})
+    SELECT check_ AS "check", error, n_rows FROM c, n""")
+def raised_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7, DST5, TYP6, CMP7, REG3: what the commands refuse, one row for
+    each with the error, beside the rows of the load that they were given."""
+    from loadgrid.plans.catalog import TableCatalog
+    from loadgrid.sources.files import check_format
+
+    cat = TableCatalog(spark)
+    load = TQ.events_load(spark, sf_dir, "H")
+    cat.keep("hours", load, "energy_data", "H")
+    cat.keep("days", TQ.orders_load(spark, sf_dir, "D"), "energy_data", "D")
+    daily, weekly = cat.energy_stats("hours", "D"), cat.energy_stats("hours", "W")
+    whole = cat.typical_day("hours", "no_period")
+    tries = {"a file of unknown format": lambda: check_format("xlsx"), "a table that is not kept": lambda: cat.get("weeks"),
+             "loads of different resolutions distributed": lambda: cat.energy_dist(["hours", "days"], EVENT_TYPES),
+             "statistics of different periods compared": lambda: cat.compare_stats(daily, weekly),
+             "a whole-range profile compared": lambda: cat.compare_typical_day(whole),
+             "a typical day of days": lambda: cat.typical_day("hours", "D"), "a typical day of years": lambda: cat.typical_day("hours", "Y")}
+    raised = []
+    for what, call in tries.items():
+        try:
+            call()
+            raised.append((what, "nothing"))
+        except Exception as e:      # the error is the result
+            raised.append((what, type(e).__name__))
+    said = F.explode(F.array(*[F.struct(F.lit(w).alias("check"), F.lit(e).alias("error")) for w, e in raised]))
+    return load.agg(F.count(F.lit(1)).alias("n_rows")).select(said.alias("x"), "n_rows").select("x.*", "n_rows")
+
+
+def _sorted_td_sql() -> str:
+    own = ", ".join(f"{k}_{i}" for i in (1, 2) for k in ("year", "month"))
+    inner = _cmp_td_sql(O.orders_hourly_load(), "M").rsplit("SELECT", 1)[0]
+    return f"{inner}SELECT series, {own}, hour, row_number() OVER (PARTITION BY series ORDER BY {own}, hour) AS position FROM tp"
+
+
+@register("compare_typical_day_sorted", _sorted_td_sql())
+def compare_typical_day_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT2: a comparison of typical days in display order, numbered."""
+    td = typical_day.typical_day(TQ.orders_hourly_view(spark, sf_dir), "M")
+    out = compare.sort_typical_day_comparison(compare.compare_typical_day(td, "M"), "M")
+    return out.select("series", *compare.display_order("M"), "position")
+
+
+@register("stored_load_meters", _sel(_view(O.events_load("H"), f"""AND series IN ('click', 'view')
+    AND CAST(DateTimeStart AS DATE) IN ({_PICKED_SQL})"""), "v", LOAD_D, LOAD_O))
+def stored_load_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT7, FLT9, JN10 on a stored load in the mixed layout: the meters and
+    the bounds of the days are pushed into its scan."""
+    import uuid
+
+    from loadgrid.plans.load import store_load
+    from loadgrid.session import scratch_path
+
+    stored = store_load(TQ.events_load(spark, sf_dir, "H"), scratch_path(spark, f"stored_load/{uuid.uuid4().hex}"), layout="mixed")
+    return select.select_keys(select.select_keys(filtered(stored), "series", ["click", "view"]), "DateTimeStart", PICKED_DAYS, by_day=True)
