@@ -155,10 +155,11 @@ def _spread(c: Column) -> Column:
     return c
 
 
-def meter_time_order(series, ts) -> Column:
-    """Place on a space-filling (Z-order) curve over meters, by a 16-bit hash,
-    and days: stretches of it hold some meters for some time, whichever of the
-    two a query names."""
-    meter = F.pmod(F.xxhash64(col_(series)), F.lit(1 << 16))
+def meter_time_order(series, ts, meter_bits: int = 11) -> Column:
+    """Place on a space-filling (Z-order) curve over meters, by a hash of
+    ``meter_bits`` bits, and days: stretches of it hold some meters for some
+    time, whichever of the two a query names. The two weigh the same when the
+    table spans about 2 ** meter_bits days."""
+    meter = F.pmod(F.xxhash64(col_(series)), F.lit(1 << meter_bits))
     day = F.pmod(F.datediff(F.to_date(col_(ts)), F.lit("1970-01-01").cast("date")), F.lit(1 << 16)).cast("long")
     return _spread(meter).bitwiseOR(F.shiftleft(_spread(day), 1))

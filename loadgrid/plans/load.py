@@ -66,12 +66,13 @@ def filtered(load: DataFrame, cfg: LoadConfig = DEFAULT) -> DataFrame:
     return clean.filtered_view(load, drop_zeros=cfg.drop_zero_energy)
 
 
-def store_load(load: DataFrame, path: str, files: int | None = None, layout: str = "time") -> DataFrame:
+def store_load(load: DataFrame, path: str, files: int | None = None, layout: str = "time", meter_bits: int = 11) -> DataFrame:
     """Write a load table for repeated analysis and return it read back.
 
     ``layout``: ``"time"`` -- rows are range-partitioned by ``DateTimeStart``,
     each file covers one stretch of time, for queries by date; ``"mixed"`` --
-    by a Z-order of meters and days, for queries by meter, by date or by both.
+    by a Z-order of meters and days (see ``meter_time_order``), for queries by
+    meter, by date or by both.
     In either case a hot meter lies in many files. Inside a file the rows are
     sorted by ``series, DateTimeStart``, and a Parquet Bloom filter on
     ``series`` stands beside the min/max statistics: range and key predicates
@@ -79,7 +80,7 @@ def store_load(load: DataFrame, path: str, files: int | None = None, layout: str
     """
     if layout not in ("time", "mixed"):
         raise ValueError(f"unknown layout {layout!r}")
-    by = F.col("DateTimeStart") if layout == "time" else meter_time_order(SERIES, "DateTimeStart")
+    by = F.col("DateTimeStart") if layout == "time" else meter_time_order(SERIES, "DateTimeStart", meter_bits)
     ordered = load.repartitionByRange(files, by) if files else load.repartitionByRange(by)
     (ordered.sortWithinPartitions(SERIES, "DateTimeStart").write.option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
             .option(f"parquet.bloom.filter.enabled#{SERIES}", "true").mode("overwrite").parquet(path))
