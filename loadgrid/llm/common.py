@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..functions.joins import written
 
 #: Rows and bytes of an Arrow batch handed to Python: a task holds no more texts at once.
 ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
@@ -49,17 +47,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it
+    """``df`` written as Parquet below the shared checkpoint folder and read
     back: the lineage ends at files that every executor sees, so a lost
-    executor costs no more than a reread. Spark deletes the files when the
-    driver ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    executor costs no more than a reread."""
+    return written(df, f"llm-{name}", compression)
 
 
 def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:

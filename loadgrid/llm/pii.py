@@ -5,15 +5,17 @@ A character-level bidirectional LSTM with a CRF over B/I tags of the kinds is
 trained in numpy on windows around labelled spans: a bounded sample of
 documents (``SAMPLE_DOCS``, those with the smallest hash that hold a digit or
 ``@``), at most ``SAMPLE_WINDOWS`` windows, labelled by the base spans; copies
-whose phones lose the country prefix or whose cards and phones get other
-separators teach it forms that the patterns miss.
+whose phones lose the country prefix or the area, and whose cards and phones
+get other separators, teach it forms that the patterns miss.
 
 Whole texts are decoded in overlapping windows; of each window only the
 middle counts, so every character has one tag, taken where it has most
 context, and spans are read from the joined tags. Every span holds a digit or
 an ``@``; windows without one, whose neighbours have none either, can hold no
 span and are not decoded. A decoded span is added if it overlaps no base span
-and passes the check of its kind (``plausible``), with the patterns' numbers.
+and passes the check of its kind (``plausible``), with the patterns' numbers;
+national phone numbers, which no pattern bounds, pass if the posterior of each
+of their tags reaches ``SURE``.
 
 Null texts count as empty. Repeated rows and null ids stay.
 """
@@ -93,8 +95,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def plausible(kind: int, s: str) -> bool:
-    """The check that a decoded span must pass."""
+#: Posterior that every character of a decoded national number must reach.
+SURE = 0.9
+
+
+def plausible(kind: int, s: str, sure: float = 0.0) -> bool:
+    """The check that a decoded span must pass. ``sure``: the least posterior
+    of its tags. A phone of 10 to 15 digits with separators passes by its form,
+    a national one of 7 to 15 digits if the tagger is sure of every character."""
     d = _digits(s)
     if kind == 0:
         local, _, domain = s.partition("@")
@@ -104,7 +112,9 @@ def plausible(kind: int, s: str) -> bool:
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts) and len(s) >= 7
     if kind == 2:
         return 14 <= len(d) <= 19 and luhn(d)
-    return 10 <= len(d) <= 15 and len(s) - len(d) >= 2 and not re.search(r"[^0-9 ().+/-]", s)
+    if re.search(r"[^0-9 ().+/-]", s) or not 7 <= len(d) <= 15:
+        return False
+    return len(d) >= 10 and len(s) - len(d) >= 2 or sure >= SURE
 
 
 # --- the tagger -------------------------------------------------------------
@@ -271,6 +281,21 @@ def decode(p, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def posteriors(p, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Probability of each given tag at its place (forward-backward)."""
+    s, _ = emissions(p, ids)
+    tr = p["trans"] + forbidden()
+    alpha, beta = np.empty_like(s), np.zeros_like(s)
+    alpha[0] = s[0] + p["start"]
+    for i in range(1, len(s)):
+        alpha[i] = s[i] + _lse(alpha[i - 1][:, :, None] + tr, 1)
+    for i in range(len(s) - 2, -1, -1):
+        beta[i] = _lse(tr + (s[i + 1] + beta[i + 1])[:, None, :], 2)
+    z = _lse(alpha[-1], 1)
+    own = np.take_along_axis(alpha + beta, tags.T[:, :, None].astype(np.int64), 2)[:, :, 0]
+    return np.exp(own - z).T
+
+
 # --- windows ----------------------------------------------------------------
 
 def _starts(text: str) -> list[int]:
@@ -286,7 +311,7 @@ def _starts(text: str) -> list[int]:
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], p: dict, rows: int = 256):
     """For each text the decoded spans that pass and overlap no base span."""
     todo = [(t, s) for t, text in enumerate(texts) for s in _starts(text)]
-    tags: dict[int, dict[int, int]] = {}
+    tags: dict[int, dict[int, tuple[int, float]]] = {}
     for i in range(0, len(todo), rows):
         part = todo[i: i + rows]
         ids = np.zeros((len(part), WINDOW), np.int64)
@@ -294,23 +319,28 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], p: dic
             x = symbols(texts[t][s: s + WINDOW])
             ids[r, : len(x)] = x
         got = decode(p, ids)
+        sure = np.zeros(got.shape)
+        phones = np.flatnonzero((got >= 2 * 3 + 1).any(axis=1))
+        if len(phones):
+            sure[phones] = posteriors(p, ids[phones], got[phones])
         edge = (WINDOW - STRIDE) // 2
         for r, (t, s) in enumerate(part):
             lo = 0 if s == 0 else edge
             hi = WINDOW if s + WINDOW >= len(texts[t]) else edge + STRIDE
             for j in np.flatnonzero(got[r, lo:hi]):
-                tags.setdefault(t, {})[s + lo + int(j)] = int(got[r, lo + j])
+                tags.setdefault(t, {})[s + lo + int(j)] = (int(got[r, lo + j]), float(sure[r, lo + j]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for t, tag in tags.items():
         spans, text = [], texts[t]
         for at in sorted(tag):
-            kind, begins = (tag[at] - 1) // 2, tag[at] % 2 == 1
+            n, sure = tag[at]
+            kind, begins = (n - 1) // 2, n % 2 == 1
             if spans and not begins and spans[-1][1] == kind and spans[-1][2] == at:
-                spans[-1][2] = at + 1
+                spans[-1][2:] = [at + 1, min(sure, spans[-1][3])]
             else:
-                spans.append([at, kind, at + 1])
-        for s, kind, e in spans:
-            if e <= len(text) and plausible(kind, text[s:e]) and not any(s < b and a < e for a, _, b in base[t]):
+                spans.append([at, kind, at + 1, sure])
+        for s, kind, e, sure in spans:
+            if e <= len(text) and plausible(kind, text[s:e], sure) and not any(s < b and a < e for a, _, b in base[t]):
                 out[t].append((s, kind, e))
     return out
 
@@ -326,7 +356,9 @@ def _variants(text: str, spans, rng):
             return
         x = text[s:e]
         if k == 3:
-            x = re.sub(r"^\+[0-9]{1,2}[ .-]?", "", x)
+            x = re.sub(r"^\+[0-9]{1,3}[ .-]+", "", x)       # a prefix that stands apart; else the number stays whole
+            if rng.integers(2):
+                x = re.sub(r"^\([0-9]+\) ?", "", x)           # local: without the area
             x = x.replace("-", rng.choice([".", "-", " "]))
         elif k == 2:
             d, sep = _digits(x), str(rng.choice([" ", "-", ".", "/"]))
