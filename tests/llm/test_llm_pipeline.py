@@ -69,3 +69,22 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, SF), "none")
     assert docs.count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Null ids and texts, repeated rows, and columns named like helper columns go through all stages."""
+    from pyspark.sql import functions as F
+    docs = table(spark, SF, "documents").limit(60)
+    text = docs.where("length(text) > 200").orderBy("doc_id").first()["text"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    odd = spark.createDataFrame([(None, text + " One more closing line of words here.", "en", None, None), (5000, None, None, None, None), (5001, "", "en", "s", 0),
+                                 (None, None, None, None, None)] + [(5002, text[::-1], "en", "s", 9)] * 3, schema)
+    docs = staged(docs.unionByName(odd).withColumns({c: F.lit(1) for c in ("__p", "__h", "__doc", "k_id", "h", "n", "rank")}), "odd")
+    ids = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = staged(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= ids and out.count() <= docs.count()
+        docs = out
+    assert docs.where("doc_id IN (5000, 5001)").count() == 0 and docs.where("doc_id = 5002").count() <= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
