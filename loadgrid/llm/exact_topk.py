@@ -131,7 +131,7 @@ def _search_shards(k: int):
                     order[np.lexsort((rows, ids.fill_null(0).to_numpy(zero_copy_only=False), none))] = np.arange(len(rows))
                     tree, parts = KDTree(_matrix(t["v"].combine_chunks(), d)), []
                 q_rows = part.column("row").to_numpy()
-                floors = part.column("kth").cast(pa.float64()).fill_null(-math.inf).to_numpy(zero_copy_only=False)
+                floors = part.column("kth").cast(pa.float64(), safe=False).fill_null(-math.inf).to_numpy(zero_copy_only=False)
                 found = list(search(tree, rows, order, q_rows, _matrix(part.column("v"), d), floors, k))
                 n = [len(s) for _, _, s in found]
                 own = pa.array(np.repeat(np.arange(len(n)), n))
