@@ -16,6 +16,7 @@ tells why. Empty texts and the usual marks for "not available" are missing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -50,7 +51,7 @@ SUPPORTED_FORMATS = ("csv", "parquet")
 # Texts that count as a missing reading, as in common table readers.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
            "NaN", "None", "n/a", "nan", "null")
-_LINE = "__line"
+_LINE, _STAMP = "__line", "__stamp"
 
 
 def parse_datetime(c: Column, day_first: bool = False, formats: Sequence[str] | None = None) -> Column:
@@ -58,7 +59,29 @@ def parse_datetime(c: Column, day_first: bool = False, formats: Sequence[str] |
     neither ISO nor one of the layouts fits."""
     text = F.trim(c)
     layouts = formats or (DAY_FIRST if day_first else MONTH_FIRST)
-    return F.coalesce(text.try_cast("timestamp_ntz"), *[ntz(F.try_to_timestamp(text, F.lit(f))) for f in layouts])
+
+    def read(layout: str) -> Column:
+        got, shape = ntz(F.try_to_timestamp(text, F.lit(layout))), layout_shape(layout)
+        return got if shape is None else F.when(text.rlike(shape), got)
+
+    return F.coalesce(text.try_cast("timestamp_ntz"), *[read(f) for f in layouts])
+
+
+_FIELDS = {"yyyy": "[+-]?[0-9]{4,}", "MMM": "[A-Za-z]+", "MMMM": "[A-Za-z]+", "a": "[A-Za-z]+", **{c: "[+-]?[0-9]+" for c in "MdHh"},
+           **{c: "[0-9]{2}" for c in ("MM", "dd", "HH", "hh", "mm", "ss")}, "[": "(?:", "]": ")?"}
+
+
+def layout_shape(layout: str) -> str | None:
+    """A pattern that every text of a layout has (other texts may have it too),
+    so that a stamp is only read by layouts it can fit: one that fails costs an
+    exception. None for a layout with other fields than those above."""
+    out = []
+    for part in re.findall(r"([A-Za-z])(\1*)|(.)", layout, re.S):
+        field = part[0] + part[1]
+        if field and field not in _FIELDS or part[2] in ("'", "#", "{", "}"):
+            return None
+        out.append(_FIELDS.get(field or part[2]) or re.escape(part[2]))
+    return f"^{''.join(out)}$"
 
 
 def parse_energy(c: Column, decimal_comma: bool = False) -> Column:
@@ -112,11 +135,14 @@ def read_readings(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
     if rejects:
         return raw.select(series.alias(SERIES), first.cast("string").alias("stamp"), second.cast("string").alias("reading"),
                           why.alias("reason"), F.col("_metadata.file_path").alias("file")).where(F.col("reason").isNotNull())
+    # a step of its own, as each stamp is used more than once; DateTime itself reads it once, for filters that Spark moves below the step
+    raw, stamp = raw.withColumn(_STAMP, ts), F.col(_STAMP)
+    why, other = _fault(raw, stamp, second, decimal_comma), _fault(raw, F.lit(True), second, decimal_comma)
     said = F.concat(F.lit("meter "), series, F.lit(": "), why, F.lit(" ("), F.coalesce(first.cast("string"), F.lit("an empty stamp")), F.lit(", "),
                     F.coalesce(second.cast("string"), F.lit("no reading")), F.lit(")"))
     return raw.select(
         series.alias(SERIES),
-        round_to_second(F.when(why.isNull(), ts).otherwise(F.raise_error(said).cast("timestamp_ntz"))).alias("DateTime"),
+        round_to_second(F.coalesce(F.when(other.isNull(), stamp), F.raise_error(said).cast("timestamp_ntz"))).alias("DateTime"),
         _or_raise(parse_energy(second, decimal_comma), why, said).alias("Energy"),
         F.col("_metadata.file_block_start").alias("__blk"),
         F.monotonically_increasing_id().alias("__row"))

@@ -339,3 +339,30 @@ def test_two_thousand_loads_in_one_plan(spark):
     assert combine.group_loads(rows.where("NOT (series = 'm7' AND hour(DateTimeStart) = 3)"), names).count() == 23
     with pytest.raises(Exception, match="holds a stamp twice"):
         combine.group_loads(rows.union(rows.where("series = 'm3'")), names).collect()
+
+
+def test_stamps_are_only_read_by_layouts_of_their_shape(spark):
+    import re
+
+    from loadgrid.functions.time import ntz
+    from loadgrid.plans import load
+    from loadgrid.sources import files
+
+    layouts = list(dict.fromkeys(files.MONTH_FIRST + files.DAY_FIRST))
+    stamps = ["2024/1/5 6:07", "20240105 06:07:08", "5 Jan 2024 6:07", "5 march 2024", "Jan 5 2024", "january 5, 2024 6:07:08", "1/5/2024 6:07:08 pm",
+              "13.1.2024", "1-5-2024 6:07", "-1/5/2024", "1/5/2024 6:7", "1/5/24", "soon", "", None]
+    df = spark.createDataFrame([(s,) for s in stamps], "s string")
+    for row in df.select("s", *[ntz(F.try_to_timestamp("s", F.lit(x))).alias(x) for x in layouts]).collect():
+        for x in layouts:
+            assert row[x] is None or re.search(files.layout_shape(x), row["s"]), (row["s"], x)
+    assert sum(bool(re.search(files.layout_shape(x), "1/5/2024 6:07:08")) for x in files.MONTH_FIRST) == 1
+    assert files.layout_shape("d.M.yyyy'T'H") is None
+    # what a large set of files holds is parsed once: the load reads the kept table
+    path = _file("t,v\n" + "1/5/2024 6:07:08,1\n" * 3)
+    assert load.parsed_once(read_readings(spark, path)).inputFiles()[0].endswith("m.csv")
+    bytes_, load.LAZY_BYTES = load.LAZY_BYTES, 0
+    try:
+        kept = load.parsed_once(read_readings(spark, path))
+    finally:
+        load.LAZY_BYTES = bytes_
+    assert all(f.endswith(".parquet") for f in kept.inputFiles()) and kept.count() == 3
