@@ -527,6 +527,33 @@ def test_pairs_are_counted_over_all_blocks():
         assert abs(sum(p) - 1) < 1e-9
 
 
+def test_pairs_are_seated_by_draws(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    n, v = 3000, 60
+    u, w, key = rng.integers(0, v, n), rng.integers(0, v, n), rng.integers(0, 2**63, n).astype(np.uint64)
+    c = rng.integers(0, 40, n) * (rng.random(n) < 0.8)
+    logp, one = np.log10(rng.dirichlet(np.ones(v))), np.bincount(u, np.minimum(c, 1), minlength=v)
+    t = lm_scoring.pair_tables(key, c, u, w, [(one, logp)], 0.6)
+    assert ((t >= np.minimum(c, 1)) & (t <= c)).all() and (t[c > 5] > 1).mean() > 0.2
+    some = rng.permutation(n)[:500]                   # another block, other numbers of the words: the same tables
+    assert (lm_scoring.pair_tables(key[some], c[some], v - 1 - u[some], v - 1 - w[some], [(one[::-1], logp[::-1])], 0.6) == t[some]).all()
+    two = lm_scoring.pair_tables(key, c, u, w, [(one, logp), (np.bincount(u, t, minlength=v), logp)], 0.6)
+    assert ((two >= np.minimum(c, 1)) & (two <= c)).all() and (two != t).any()
+    # after a word with drawn tables the probabilities sum to one
+    n_u, t_u = np.array([7, 3, 2]), np.array([3.0, 1.0, 1.0])
+    p1 = np.array([0.2, 0.3, 0.4, 0.1])
+    p = 10 ** lm_scoring.pair_log10(np.r_[n_u, 0], 12, 5.0, np.log10(p1), 0.6, np.r_[t_u, 0])
+    assert abs(p.sum() - 1) < 1e-12
+    # scores do not depend on how texts are cut into blocks, and each sweep seats again
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 3 * 30)}" for _ in range(60))) for i in range(60)]
+    df = docs(spark, [(i, t, 1) for i, t in rows], "doc_id long, text string, block int").repartition(3)
+    got = [{r.doc_id: round(r.score, 6) for r in lm_scoring.score(df, F.lit(False), F.lit(True), block_bytes=size, pair_sweeps=k).collect()}
+           for size, k in ((1 << 20, 1), (700, 1), (1 << 20, 0), (1 << 20, 2))]
+    assert got[0] == got[1] and got[0] != got[2] and got[0] != got[3]
+
+
 def test_spelling_is_a_distribution():
     x = np.array([2, 3, 0, 2, 2, 0, 4, 0, 2, 3, 0])
     code, n = np.unique(lm_scoring.codes(x, 6, 3), return_counts=True)
