@@ -39,7 +39,9 @@ THRESHOLD = -0.5
 #: Up to so many trusted ids (8 bytes each) are broadcast.
 MAX_IDS = 500_000
 _SPACE = r"\x20\x09-\x0D"
-_TOKEN = r"[0-9A-Za-z_\x80-\x{10FFFF}]+|[!-/:-@\[-^`{-~]+"
+_ASCII = [chr(i) for i in range(128) if not (chr(i).isalnum() or chr(i) == "_")]
+#: ``[0-9A-Za-z_\x80-\x{10FFFF}]+|[!-/:-@\[-^`{-~]+`` character by character: Java looks such classes up in a bitmap.
+_TOKEN = "[^{}]+|[{}]+".format(*("".join(f"\\x{ord(c):02X}" for c in chars) for chars in (_ASCII, [c for c in _ASCII if "!" <= c <= "~"])))
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -74,17 +76,21 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _tokens(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(_TOKEN), F.lit(0))
+    """Tokens as bytes: what is hashed is joined and read without strings in between."""
+    return F.transform(F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(_TOKEN), F.lit(0)), lambda x: x.cast("binary"))
 
 
 def _features(token: str, buckets: int, order: int) -> Column:
     """Feature numbers of a token array: n-gram by n-gram, as CRC-32 of the joined tokens."""
-    number = lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(buckets)).cast("int")
-    out = [F.transform(F.col(token), number)]
+    number = lambda x: F.pmod(F.crc32(x), F.lit(buckets)).cast("int")
+    join = lambda a, b: F.concat(a, F.lit(b" "), b)
+    whole = F.col(token)
+    out = [F.transform(whole, number)]
     for n in range(2, order + 1):
-        whole = F.slice(token, F.lit(1), F.greatest(F.size(token) - (n - 1), F.lit(0)))
-        joined = (lambda n: lambda x, i: number(F.concat_ws(" ", x, *[F.get(token, i + k) for k in range(1, n)])))(n)
-        out.append(F.transform(whole, joined))
+        size = F.greatest(F.size(token) - (n - 1), F.lit(0))
+        ends = F.slice(whole, F.lit(1), size), F.slice(token, F.lit(n), size)
+        out.append(F.zip_with(*ends, lambda a, b: number(join(a, b))))
+        whole = F.zip_with(*ends, join)
     return F.concat(*out) if order > 1 else out[0]
 
 

@@ -116,3 +116,16 @@ def test_pairs_of_tokens_count_by_default(spark):
     weights = Q.fit(*Q.trusted_flag(docs, labels))
     got = {r["doc_id"]: r["score"] for r in Q.judge(docs, weights).collect()}
     assert all(got[i] > got[i + 30] + 0.1 for i in range(30))
+
+
+def test_features_of_every_character_and_order(spark):
+    rnd = random.Random(5)
+    some = [*map(chr, range(0x180)), " ", "　", "퟿", "￿", "\U00010000", "\U0010ffff"]
+    texts = [None, "", " ", "a", "a b", "a-b", "".join(some)] + ["".join(rnd.choices(some, k=rnd.randrange(60))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", Q._tokens("text").alias("k"))
+    for order in (1, 2, 4):
+        got = docs.select("doc_id", Q._features("k", Q.BUCKETS, order).alias("f"))
+        assert {r["doc_id"]: r["f"] for r in got.collect()} == {i: _features(t, order) for i, t in enumerate(texts)}
+    # tokens are joined as bytes: strings between cost a third of the query
+    plan = docs.select(Q._features("k", Q.BUCKETS, 2))._jdf.queryExecution().executedPlan().toString()
+    assert dict(docs.dtypes)["k"] == "array<binary>" and "concat_ws" not in plan
