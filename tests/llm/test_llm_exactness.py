@@ -63,3 +63,32 @@ def test_ranges_of_pairs_grow_with_the_corpus(spark):
     many = L.score(docs, no, yes, block_bytes=300, range_bytes=64).orderBy("doc_id").collect()
     for x, y in zip(one, many):
         assert x["base_score"] == y["base_score"] and abs(x["score"] - y["score"]) < 1e-9
+
+
+def test_words_of_blocks_are_packed_by_ranges(spark):
+    import pyarrow as pa
+    from loadgrid.llm import lm_scoring as L
+    texts = [b" Foo  bar\t\x0b\x0c\r\nBAZ \xff\xc3", b"", b"   ", None, b"a\x1cb \x85C\xa0d \xc2\xa0 z", "É x".encode(), b"w" * 5000, None]
+    for col in (pa.array(texts, pa.binary()), pa.array([b"q q", *texts, None], pa.binary()).slice(1, len(texts))):
+        flat, size = L.words(col)
+        want = [(t or b"").lower().split() for t in texts]
+        assert flat.to_pylist() == [w for t in want for w in t] and size.tolist() == [len(t) for t in want]
+    local, ids = L._numbered([L.words(pa.array(texts[:3], pa.binary())), L.words(pa.array(texts[3:], pa.binary()))])
+    name = {i: w for w, i in local.items()}
+    assert [[name[i] for i in x.tolist()] for x in ids] == [[*t, b""] for t in want]
+    # rows follow blocks and ranges, not distinct words; the cut changes no score
+    rnd = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{int(x) % 900}" for x in rnd.integers(0, 3000, 60))) for i in range(60)] + [(None, "w1 w2"), (70, None), (3, "w5"), (3, "w5")]
+    docs, yes, no = spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), F.lit(False)
+    key = ("doc_id", "n_tokens", "score")
+    one, many = (L.score(docs, no, yes, **k).orderBy(*key).collect() for k in ({}, {"block_bytes": 700, "word_range_bytes": 300}))
+    for x, y in zip(one, many):
+        assert x["doc_id"] == y["doc_id"] and x["base_score"] == y["base_score"] and abs(x["score"] - y["score"]) < 1e-9
+    cut = pa.Table.from_batches(list(L._emit(7, local, ids, [(i, False, True) for i in range(len(ids))])))
+    pairs = pa.Table.from_batches(list(L._count_slices(L._slices(1)(cut.drop_columns("slice").to_batches()))))
+    table = pa.concat_tables([cut, pairs.drop_columns(["once", "twice"])], promote_options="default")
+    dealt = L._dealt(2, 0, 0.5)(table.append_column("kind", pa.array([-1] * table.num_rows)))
+    assert dealt.num_rows <= 4 < len(local)
+    merged = [r for b in L._merge(dealt.sort_by("slice").to_batches()) for r in b.to_pylist()]
+    got = {w: (c, m, t) for r in merged for w, c, m, t in zip(*(x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in L._vocabulary(r["words"], r["data"])))}
+    assert got == {r["word"]: (r["n"], r["m"], r["t"]) for r in L._word_rows(table).to_pylist()}
