@@ -92,3 +92,28 @@ def test_words_of_blocks_are_packed_by_ranges(spark):
     merged = [r for b in L._merge(dealt.sort_by("slice").to_batches()) for r in b.to_pylist()]
     got = {w: (c, m, t) for r in merged for w, c, m, t in zip(*(x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in L._vocabulary(r["words"], r["data"])))}
     assert got == {r["word"]: (r["n"], r["m"], r["t"]) for r in L._word_rows(table).to_pylist()}
+
+
+def test_blocks_are_worked_off_in_parts():
+    import tracemalloc
+    import pyarrow as pa
+    from loadgrid.llm import lm_scoring as L, textkernels as K
+    rng = np.random.default_rng(4)
+    text = b" ".join(f"word{int(x)}{'x' * int(x % 23)}".encode() for x in rng.zipf(1.2, 900_000) % 300_000)
+    local, ids = L._numbered([L.words(pa.array([text, b"", b"y" * 600_000 + b" word1", None], pa.binary()))])
+    cut = pa.Table.from_batches(list(L._emit(0, local, ids, [(i, False, True) for i in range(len(ids))])))
+    ids, packed = L._opened(cut["data"][0].as_py(), cut["docs"][0].as_py())[0], cut["words"][0].as_py()
+    K._CACHE.pop("pow", None)
+    tracemalloc.start()
+    key, u, w, number = L._pairs(ids, packed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(ids), peak / len(ids)
+    # every token's pair, and one fingerprint for each pair, in order
+    assert (w[number] == ids).all() and (u[number] == np.r_[0, ids[:-1]]).all()
+    assert (key[1:] > key[:-1]).all() and len(key) == len(np.unique(u.astype(np.int64) << 32 | w))
+    # a word has one fingerprint, whatever stands before it
+    word = sorted(local)
+    some = rng.choice(len(word), 300, replace=False)
+    alone = np.array([K.span_hash(K.prefix_sums(np.frombuffer(word[i], np.uint8)), np.array([0]), np.array([len(word[i])]))[0] for i in some.tolist()])
+    assert (L._word_keys(packed)[some] == alone).all()
