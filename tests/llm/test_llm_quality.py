@@ -129,3 +129,25 @@ def test_features_of_every_character_and_order(spark):
     # tokens are joined as bytes, without strings in between
     plan = docs.select(Q._features("k", Q.BUCKETS, 2))._jdf.queryExecution().executedPlan().toString()
     assert dict(docs.dtypes)["k"] == "array<binary>" and "concat_ws" not in plan
+
+
+def test_windows_that_share_only_high_bits_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_PLACE", (1 << 62) - 1)          # two bits of a hash are left: all windows look alike at first
+    texts = [t for t in _texts() if t is None or len(t) < 5000]
+    docs = spark.createDataFrame([(i, t, 1, "s", "k", "w") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: tuple(r[c] for c in Q.BASE) for r in Q.with_base(docs).collect()}
+    assert got == {i: _base(t) for i, t in enumerate(texts)}
+
+
+def test_features_are_counted_in_columns(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(Q, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    docs = spark.createDataFrame([(1, "a b a", True), (2, "", True), (3, None, None), (4, "a, b", False)], "doc_id long, text string, good boolean")
+    for order in (1, 2, 3):
+        want = Counter(x for t in ("a b a", "a, b") for x in _features(t, order))
+        weights = {r["bucket"]: r["weight"] for r in Q.fit(docs, F.col("good"), order=order).collect()}
+        good, size = Counter(_features("a b a", order)), sum(want.values()) + Q.BUCKETS
+        assert weights.keys() == want.keys()
+        for b, w in weights.items():
+            assert abs(w - math.log((good[b] + 1) / (sum(good.values()) + Q.BUCKETS)) + math.log((want[b] + 1) / size)) < 1e-12
+    assert plans and not any("lambda" in p for p in plans)
